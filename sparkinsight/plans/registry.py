@@ -142,3 +142,234 @@ def q_describe(spark, sf):
 @register("preview_orders", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 20")
 def q_preview(spark, sf):
     return V.preview(table(spark, sf, "orders"), "o_orderkey", 20)
+
+
+# ------------------------------------------------------------------- cleaning
+NO_CONST = [c for c in DIRTY_COLS if c != "const_col"]
+_NO_CONST = ", ".join(NO_CONST)
+_MODE_SQL = ("(SELECT {c} FROM {t} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)")
+_TYPED = (f"dedup AS (SELECT DISTINCT {_NO_CONST} FROM dirty_orders),\n"
+          "typed AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority,\n"
+          "  TRY_CAST(trim(o_size_txt) AS BIGINT) AS o_size_txt,\n"
+          "  CAST(strptime(o_date_txt, '%Y-%m-%d') AS TIMESTAMP) AS o_date_txt, o_rare FROM dedup)")
+
+
+@register("drop_constant", with_dirty(f"SELECT {_NO_CONST} FROM dirty_orders"))
+def q_drop_constant(spark, sf):
+    return C.drop_constant_columns(dirty_orders(spark, sf))
+
+
+@register("drop_duplicates", with_dirty(f"SELECT DISTINCT {_NO_CONST} FROM dirty_orders"))
+def q_drop_duplicates(spark, sf):
+    return C.drop_duplicates(C.drop_constant_columns(dirty_orders(spark, sf)))
+
+
+@register("infer_types", with_dirty("SELECT * FROM typed", _TYPED))
+def q_infer_types(spark, sf):
+    return C.infer_types(C.drop_duplicates(C.drop_constant_columns(dirty_orders(spark, sf))))
+
+
+def _type_report_sql() -> str:
+    num = r"'^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$'"
+    intp = r"'^\s*[+-]?\d+\s*$'"
+    parts = []
+    for c in ["o_orderstatus", "o_orderpriority", "const_col", "o_size_txt", "o_date_txt"]:
+        dt = (f"coalesce(try_strptime({c}, '%Y-%m-%d %H:%M:%S'), try_strptime({c}, '%Y-%m-%dT%H:%M:%S'), "
+              f"try_strptime({c}, '%Y-%m-%d'))")
+        parts.append(
+            f"SELECT '{c}' AS column, CASE WHEN count_if(regexp_matches({c}, {num})) = count({c}) THEN "
+            f"(CASE WHEN count({c}) > 0 AND count_if(regexp_matches({c}, {intp})) = count({c}) THEN 'bigint' "
+            f"ELSE 'double' END) WHEN count_if({dt} IS NOT NULL) = count({c}) THEN 'timestamp_ntz' "
+            f"ELSE 'string' END AS inferred_type FROM dirty_orders")
+    return with_dirty("\nUNION ALL\n".join(parts))
+
+
+@register("type_inference", _type_report_sql())
+def q_type_report(spark, sf):
+    df = dirty_orders(spark, sf)
+    types = C.fit_types(df)
+    rows = [(c, types.get(c, "string")) for c in df.columns if df.schema[c].dataType.typeName() == "string"]
+    return spark.createDataFrame(rows, "column string, inferred_type string")
+
+
+def _impute_sql(agg: str, drop: bool = False) -> str:
+    src = "kept" if drop else "dirty_orders"
+    kept = ("kept AS (SELECT * FROM dirty_orders WHERE o_totalprice IS NOT NULL AND o_rare IS NOT NULL)")
+    fv = (f"fv AS (SELECT {agg.format(c='o_totalprice')} AS p, {agg.format(c='o_rare')} AS r, "
+          f"{_MODE_SQL.format(c='o_orderpriority', t=src)} AS m FROM {src})")
+    body = (f"SELECT o_orderkey, o_custkey, o_orderstatus, CAST(coalesce(o_totalprice, p) AS DOUBLE) AS o_totalprice, "
+            f"coalesce(o_orderpriority, m) AS o_orderpriority, const_col, o_size_txt, o_date_txt, "
+            f"CAST(coalesce(o_rare, r) AS DOUBLE) AS o_rare FROM {src}, fv")
+    return with_dirty(body, *([kept] if drop else []), fv)
+
+
+@register("impute_median", _impute_sql("quantile_cont({c}, 0.5)"))
+def q_impute_median(spark, sf):
+    return C.impute(dirty_orders(spark, sf), "median")
+
+
+@register("impute_mean", _impute_sql("avg({c})"))
+def q_impute_mean(spark, sf):
+    return C.impute(dirty_orders(spark, sf), "mean")
+
+
+@register("impute_drop", _impute_sql("avg({c})", drop=True))
+def q_impute_drop(spark, sf):
+    return C.impute(dirty_orders(spark, sf), "drop")
+
+
+@register("impute_fallthrough", _impute_sql("quantile_cont({c}, 0.5)"))
+def q_impute_none(spark, sf):
+    # any unknown strategy (``mode``/``none``) falls through to the median
+    return C.impute(dirty_orders(spark, sf), "none")
+
+
+def _bounds_frame(spark, bounds, with_quartiles=True):
+    rows = [(b.column, b.q1, b.q3, b.lo, b.hi, b.n_outliers) for b in bounds]
+    df = spark.createDataFrame(rows, "column string, q1 double, q3 double, lo double, hi double, n_outliers bigint")
+    cols = ["column"] + (["q1", "q3"] if with_quartiles else []) + ["lo", "hi"]
+    return df.select(*[F.round(c, 4).alias(c) if c != "column" else c for c in cols], "n_outliers")
+
+
+def _iqr_sql(src: str, cols: list[str], k: float = 1.5) -> str:
+    parts = []
+    for c in cols:
+        x = f"CAST({c} AS DOUBLE)"
+        parts.append(
+            f"SELECT '{c}' AS column, round(q1, 4) AS q1, round(q3, 4) AS q3, round(q1 - {k} * (q3 - q1), 4) AS lo, "
+            f"round(q3 + {k} * (q3 - q1), 4) AS hi, "
+            f"(SELECT CAST(count_if({x} < b.q1 - {k} * (b.q3 - b.q1) OR {x} > b.q3 + {k} * (b.q3 - b.q1)) AS BIGINT) "
+            f"FROM {src}) AS n_outliers "
+            f"FROM (SELECT quantile_cont({x}, 0.25) AS q1, quantile_cont({x}, 0.75) AS q3 FROM {src}) b")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _z_sql(src: str, cols: list[str], t: float = 3.0) -> tuple[str, str]:
+    """(CTE text, report select) for z-score ranges."""
+    ctes, sel = [], []
+    for c in cols:
+        x = f"CAST({c} AS DOUBLE)"
+        ctes.append(f"z_{c} AS (SELECT min(CASE WHEN abs(({x} - m) / s) < {t} THEN {x} END) AS lo, "
+                    f"max(CASE WHEN abs(({x} - m) / s) < {t} THEN {x} END) AS hi FROM {src}, "
+                    f"(SELECT avg({x}) AS m, stddev_pop({x}) AS s FROM {src}) ms)")
+        sel.append(f"SELECT '{c}' AS column, round(lo, 4) AS lo, round(hi, 4) AS hi, "
+                   f"(SELECT CAST(count_if({x} < lo OR {x} > hi) AS BIGINT) FROM {src}) AS n_outliers FROM z_{c}")
+    return ",\n".join(ctes), "\nUNION ALL\n".join(sel)
+
+
+@register("iqr_bounds", _iqr_sql("events", ["event_id", "user_id", "value"]))
+def q_iqr_bounds(spark, sf):
+    return _bounds_frame(spark, C.fit_bounds(table(spark, sf, "events"), method="iqr"))
+
+
+_ZDOC = _z_sql("documents", ["doc_id", "n_chars"])
+
+
+@register("zscore_bounds", f"WITH {_ZDOC[0]}\n{_ZDOC[1]}")
+def q_z_bounds(spark, sf):
+    return _bounds_frame(spark, C.fit_bounds(table(spark, sf, "documents"), method="zscore"), with_quartiles=False)
+
+
+@register("cap_iqr", """
+WITH b AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi
+           FROM (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events))
+SELECT event_id, ts, user_id, event_type,
+  CASE WHEN value < lo THEN lo WHEN value > hi THEN hi ELSE value END AS value, props
+FROM events, b""")
+def q_cap_iqr(spark, sf):
+    e = table(spark, sf, "events")
+    return C.cap_outliers(e, C.fit_bounds(e, method="iqr"))
+
+
+@register("cap_zscore", f"""
+WITH {_z_sql("documents", ["n_chars"])[0]}
+SELECT doc_id, lang, source,
+  CASE WHEN n_chars < lo THEN lo WHEN n_chars > hi THEN hi ELSE n_chars END AS n_chars
+FROM documents, z_n_chars""")
+def q_cap_z(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    b = [x for x in C.fit_bounds(d, method="zscore") if x.column == "n_chars"]
+    return C.cap_outliers(d, b)
+
+
+def _seq_drop_sql() -> str:
+    ctes, src = [], "dirty_orders"
+    for i, c in enumerate(["o_orderkey", "o_custkey", "o_totalprice", "o_rare"]):
+        x = f"CAST({c} AS DOUBLE)"
+        ctes.append(f"b{i} AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM "
+                    f"(SELECT quantile_cont({x}, 0.25) AS q1, quantile_cont({x}, 0.75) AS q3 FROM {src}))")
+        ctes.append(f"s{i} AS (SELECT {src}.* FROM {src}, b{i} WHERE NOT coalesce({x} < lo OR {x} > hi, false))")
+        src = f"s{i}"
+    return with_dirty(f"SELECT * FROM {src}", *ctes)
+
+
+@register("drop_outliers_seq", _seq_drop_sql())
+def q_drop_seq(spark, sf):
+    df, _ = C.drop_outliers(dirty_orders(spark, sf), method="iqr")
+    return df
+
+
+_SEGMENTS = ["BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+@register("one_hot", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, " + ", ".join(
+    f"coalesce(c_mktsegment = '{v}', false) AS \"c_mktsegment_{v}\"" for v in _SEGMENTS) + " FROM customer")
+def q_one_hot(spark, sf):
+    return C.one_hot(table(spark, sf, "customer"))
+
+
+@register("one_hot_flags", "SELECT l_orderkey, l_linenumber, "
+          "coalesce(l_returnflag = 'N', false) AS l_returnflag_N, coalesce(l_returnflag = 'R', false) AS l_returnflag_R, "
+          "coalesce(l_linestatus = 'O', false) AS l_linestatus_O FROM lineitem")
+def q_one_hot_flags(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    return C.one_hot(li)
+
+
+_PRIOS = ["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_CLEAN_NUM = ["o_orderkey", "o_custkey", "o_totalprice", "o_size_txt", "o_rare"]
+_CLEAN_CTES = [
+    _TYPED,
+    "fv AS (SELECT quantile_cont(o_totalprice, 0.5) AS p, quantile_cont(o_rare, 0.5) AS r, "
+    + _MODE_SQL.format(c="o_orderpriority", t="typed") + " AS m FROM typed)",
+    "filled AS (SELECT o_orderkey, o_custkey, o_orderstatus, coalesce(o_totalprice, p) AS o_totalprice, "
+    "coalesce(o_orderpriority, m) AS o_orderpriority, o_size_txt, o_date_txt, coalesce(o_rare, r) AS o_rare "
+    "FROM typed, fv)",
+    "q AS (SELECT " + ", ".join(
+        f"quantile_cont(CAST({c} AS DOUBLE), 0.25) AS {c}_1, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS {c}_3"
+        for c in _CLEAN_NUM) + " FROM filled)",
+    "bnd AS (SELECT " + ", ".join(
+        f"{c}_1 - 1.5 * ({c}_3 - {c}_1) AS {c}_lo, {c}_3 + 1.5 * ({c}_3 - {c}_1) AS {c}_hi" for c in _CLEAN_NUM)
+    + " FROM q)",
+    "capped AS (SELECT o_orderkey, o_custkey, o_orderstatus, "
+    "CASE WHEN o_totalprice < o_totalprice_lo THEN o_totalprice_lo WHEN o_totalprice > o_totalprice_hi "
+    "THEN o_totalprice_hi ELSE o_totalprice END AS o_totalprice, o_orderpriority, o_size_txt, o_date_txt, "
+    "CASE WHEN o_rare < o_rare_lo THEN o_rare_lo WHEN o_rare > o_rare_hi THEN o_rare_hi ELSE o_rare END AS o_rare "
+    "FROM filled, bnd)",
+]
+
+
+@register("clean_full", with_dirty(
+    "SELECT o_orderkey, o_custkey, o_totalprice, o_size_txt, o_date_txt, o_rare, "
+    "coalesce(o_orderstatus = 'O', false) AS o_orderstatus_O, coalesce(o_orderstatus = 'P', false) AS o_orderstatus_P, "
+    + ", ".join(f"coalesce(o_orderpriority = '{v}', false) AS \"o_orderpriority_{v}\"" for v in _PRIOS)
+    + " FROM capped", *_CLEAN_CTES))
+def q_clean_full(spark, sf):
+    df, _log = C.clean(dirty_orders(spark, sf))
+    return df
+
+
+@register("change_log", with_dirty(
+    "SELECT 1 AS step_no, 'constant_columns' AS step, CAST(1 AS BIGINT) AS n, 'Dropped 1 constant column(s)' AS message\n"
+    "UNION ALL SELECT 2, 'duplicates', d, 'Removed ' || d || ' duplicate rows' FROM "
+    "(SELECT (SELECT count(*) FROM dirty_orders) - (SELECT count(*) FROM dedup) AS d)\n"
+    "UNION ALL SELECT 3, 'types', 2, 'Auto-converted types for 2 column(s)'\n"
+    "UNION ALL SELECT 4, 'missing', m, 'Imputed ' || m || ' missing value(s)' FROM (SELECT sum("
+    + " + ".join(f"CAST({c} IS NULL AS BIGINT)" for c in NO_CONST) + ") AS m FROM typed)\n"
+    "UNION ALL SELECT 5, 'outliers', o, 'Outlier handling (cap): ' || o || ' value(s)' FROM (SELECT sum("
+    + " + ".join(f"CAST(coalesce({c} < {c}_lo OR {c} > {c}_hi, false) AS BIGINT)" for c in _CLEAN_NUM)
+    + ") AS o FROM filled, bnd)\n"
+    "UNION ALL SELECT 6, 'one_hot', 2, 'One-hot encoded 2 categorical column(s)'", *_CLEAN_CTES))
+def q_change_log(spark, sf):
+    _df, log = C.clean(dirty_orders(spark, sf))
+    return log

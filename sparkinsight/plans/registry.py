@@ -373,3 +373,232 @@ def q_clean_full(spark, sf):
 def q_change_log(spark, sf):
     _df, log = C.clean(dirty_orders(spark, sf))
     return log
+
+
+# ------------------------------------------------------------------------ EDA
+from ..operators import eda as E  # noqa: E402
+from ..operators import signals as I  # noqa: E402
+
+LINEITEM_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                "l_discount", "l_tax"]
+
+
+def _summary_sql(src: str, cols: list[str]) -> str:
+    parts = []
+    for i, c in enumerate(cols):
+        x = f"CAST({c} AS DOUBLE)"
+        for stat, e in [("count", f"count({c})"), ("mean", f"avg({x})"), ("std", f"stddev_samp({x})"),
+                        ("min", f"min({x})"), ("25%", f"quantile_cont({x}, 0.25)"),
+                        ("50%", f"quantile_cont({x}, 0.5)"), ("75%", f"quantile_cont({x}, 0.75)"),
+                        ("max", f"max({x})")]:
+            parts.append(f"SELECT {i} AS position, '{c}' AS column, '{stat}' AS stat, "
+                         f"round(CAST({e} AS DOUBLE), 4) AS value FROM {src}")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("numeric_summary", _summary_sql("lineitem", LINEITEM_NUM))
+def q_numeric_summary(spark, sf):
+    return E.numeric_summary(table(spark, sf, "lineitem"))
+
+
+@register("categorical_summary", with_dirty("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column, CAST(count(DISTINCT {c}) AS BIGINT) AS unique, "
+    f"coalesce({_MODE_SQL.format(c=c, t='dirty_orders')}, 'N/A') AS top FROM dirty_orders"
+    for c in ["o_orderstatus", "o_orderpriority", "const_col", "o_size_txt", "o_date_txt"])))
+def q_cat_summary(spark, sf):
+    return E.categorical_summary(dirty_orders(spark, sf))
+
+
+_DIRTY_TYPES = {"o_orderkey": "int64", "o_custkey": "int64", "o_totalprice": "float64", "o_rare": "float64"}
+
+
+@register("missing_by_column", with_dirty("\nUNION ALL\n".join(
+    f"SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST({len(DIRTY_COLS)} AS BIGINT) AS n_columns, {i} AS position, "
+    f"'{c}' AS column, CAST(count_if({c} IS NULL) AS BIGINT) AS missing, '{_DIRTY_TYPES.get(c, 'object')}' AS dtype "
+    f"FROM dirty_orders" for i, c in enumerate(DIRTY_COLS))))
+def q_missing(spark, sf):
+    return E.missing_by_column(dirty_orders(spark, sf))
+
+
+def _corr_sql_expr(a: str, b: str) -> str:
+    return (f"covar_pop({a}, {b}) / nullif(sqrt(var_pop(CASE WHEN {b} IS NOT NULL THEN {a} END) * "
+            f"var_pop(CASE WHEN {a} IS NOT NULL THEN {b} END)), 0)")
+
+
+def _corr_matrix_sql(src: str, cols: list[str]) -> str:
+    parts = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            e = f"CASE WHEN min({a}) <> max({a}) THEN 1.0 END" if i == j else _corr_sql_expr(a, b)
+            parts.append(f"SELECT {i} AS i, {j} AS j, '{a}' AS col1, '{b}' AS col2, "
+                         f"round(CAST({e} AS DOUBLE), 4) AS corr FROM {src}")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("corr_matrix", _corr_matrix_sql("lineitem", LINEITEM_NUM))
+def q_corr(spark, sf):
+    return E.correlation_matrix(table(spark, sf, "lineitem"))
+
+
+EV2 = ["event_id", "user_id", "value", "v2"]
+
+
+@register("top_correlations", f"WITH {EVENTS_V2_SQL}, m AS ({_corr_matrix_sql('events_v2', EV2)})\n"
+          "SELECT col1, col2, corr FROM m WHERE i < j ORDER BY abs(corr) DESC NULLS LAST, i, j LIMIT 10")
+def q_top_corr(spark, sf):
+    return E.top_correlations(events_v2(spark, sf))
+
+
+def _trend_sql(src: str, key: str, cols: list[str]) -> str:
+    parts = []
+    for i, c in enumerate(cols):
+        parts.append(
+            f"SELECT {i} AS position, '{c}' AS column, CAST(count(*) AS BIGINT) AS n, round(regr_slope(y, x), 4) AS slope, "
+            f"round(abs(regr_slope(y, x)) / (avg(y) + 1e-9) * 100, 4) AS pct, "
+            f"abs(regr_slope(y, x)) / (avg(y) + 1e-9) * 100 > 5 AS flagged, "
+            f"CASE WHEN abs(regr_slope(y, x)) / (avg(y) + 1e-9) * 100 > 5 THEN "
+            f"(CASE WHEN regr_slope(y, x) > 0 THEN 'increasing' ELSE 'decreasing' END) END AS direction, "
+            f"CASE WHEN abs(regr_slope(y, x)) / (avg(y) + 1e-9) * 100 > 5 THEN printf('**%s** shows a %s trend (slope=%.4f)', "
+            f"'{c}', CASE WHEN regr_slope(y, x) > 0 THEN 'increasing' ELSE 'decreasing' END, regr_slope(y, x)) END AS message "
+            f"FROM (SELECT CAST({c} AS DOUBLE) AS y, row_number() OVER (ORDER BY {key}) - 1 AS x FROM {src} "
+            f"WHERE {c} IS NOT NULL) HAVING count(*) >= 10")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("trends", _trend_sql("events", "event_id", ["event_id", "user_id", "value"]))
+def q_trends(spark, sf):
+    return E.detect_trends(table(spark, sf, "events"), "event_id")
+
+
+@register("trends_orders", _trend_sql("orders", "o_orderkey", ["o_orderkey", "o_custkey", "o_totalprice"]))
+def q_trends_orders(spark, sf):
+    return E.detect_trends(table(spark, sf, "orders"), "o_orderkey")
+
+
+def _hist_sql(src: str, cols: list[str], bins: int = 20) -> str:
+    parts = []
+    for c in cols:
+        x = f"CAST({c} AS DOUBLE)"
+        parts.append(
+            f"SELECT '{c}' AS column, CAST(b AS INTEGER) AS bin, round(lo + b * ((hi - lo) / {bins}), 4) AS lo, "
+            f"round(lo + (b + 1) * ((hi - lo) / {bins}), 4) AS hi, CAST(count(*) AS BIGINT) AS count FROM ("
+            f"SELECT CASE WHEN hi > lo THEN least(floor(({x} - lo) / (hi - lo) * {bins}), {bins - 1}) ELSE 0 END AS b, "
+            f"lo, hi FROM {src}, (SELECT min({x}) AS lo, max({x}) AS hi FROM {src}) mm WHERE {c} IS NOT NULL) "
+            f"GROUP BY b, lo, hi")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("histogram", _hist_sql("events", ["event_id", "user_id", "value"]))
+def q_hist(spark, sf):
+    return E.histogram(table(spark, sf, "events"))
+
+
+def _box_sql(src: str, cols: list[str]) -> str:
+    parts = []
+    for i, c in enumerate(cols):
+        x = f"CAST({c} AS DOUBLE)"
+        parts.append(
+            f"SELECT {i} AS position, '{c}' AS column, round(q1, 4) AS q1, round(med, 4) AS median, round(q3, 4) AS q3, "
+            f"round(min(CASE WHEN {x} >= q1 - 1.5 * (q3 - q1) THEN {x} END), 4) AS lower_whisker, "
+            f"round(max(CASE WHEN {x} <= q3 + 1.5 * (q3 - q1) THEN {x} END), 4) AS upper_whisker, "
+            f"CAST(count_if({x} < q1 - 1.5 * (q3 - q1) OR {x} > q3 + 1.5 * (q3 - q1)) AS BIGINT) AS n_outliers "
+            f"FROM {src}, (SELECT quantile_cont({x}, 0.25) AS q1, quantile_cont({x}, 0.5) AS med, "
+            f"quantile_cont({x}, 0.75) AS q3 FROM {src}) q GROUP BY q1, med, q3")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("box_stats", _box_sql("part", ["p_partkey", "p_size", "p_retailprice"]))
+def q_box(spark, sf):
+    return E.box_stats(table(spark, sf, "part"))
+
+
+@register("value_counts", "SELECT \"column\", CAST(rank AS BIGINT) AS rank, value, count FROM ("
+          "SELECT \"column\", value, count, row_number() OVER (PARTITION BY \"column\" ORDER BY count DESC, value) AS rank FROM ("
+          "SELECT 'p_name' AS column, p_name AS value, CAST(count(*) AS BIGINT) AS count FROM part GROUP BY p_name "
+          "UNION ALL SELECT 'p_brand', p_brand, CAST(count(*) AS BIGINT) FROM part GROUP BY p_brand)) WHERE rank <= 15")
+def q_value_counts(spark, sf):
+    return E.value_counts(table(spark, sf, "part"))
+
+
+@register("scatter_sample", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem")
+def q_scatter(spark, sf):
+    return E.scatter_frame(table(spark, sf, "lineitem"))
+
+
+@register("summary_context")
+def q_summary_context(spark, sf):
+    return E.summary_context(table(spark, sf, "orders"), "o_orderkey")
+
+
+# ----------------------------------------------------------------- KPIs/signals
+def _kpi_sql(src: str, all_cols: list[str], num: list[str]) -> str:
+    nulls = " + ".join(f"CAST({c} IS NULL AS BIGINT)" for c in all_cols)
+    items = [("Total Rows", "format('{:,}', count(*))", "''"),
+             ("Total Columns", f"'{len(all_cols)}'", "''"),
+             ("Missing Data %", f"CAST(round(sum({nulls}) / greatest(count(*) * {len(all_cols)}, 1) * 100, 1) AS VARCHAR) || '%'", "''")]
+    for c in num[:5]:
+        items.append((f"Mean {c}", f"printf('%.2f', avg({c}))", f"printf('std %.2f', stddev_samp({c}))"))
+        items.append((f"Max {c}", f"printf('%.2f', CAST(max({c}) AS DOUBLE))", "''"))
+    return "\nUNION ALL\n".join(f"SELECT CAST({k + 1} AS BIGINT) AS kpi_no, '{lab}' AS label, {v} AS value, {d} AS delta "
+                                + ("" if k == 1 else f"FROM {src}") for k, (lab, v, d) in enumerate(items[:12]))
+
+
+_LINEITEM_ALL = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                 "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+@register("kpis", _kpi_sql("lineitem", _LINEITEM_ALL, LINEITEM_NUM))
+def q_kpis(spark, sf):
+    return I.kpis(table(spark, sf, "lineitem"))
+
+
+@register("kpis_dirty", with_dirty(_kpi_sql("dirty_orders", DIRTY_COLS, ["o_orderkey", "o_custkey", "o_totalprice", "o_rare"])))
+def q_kpis_dirty(spark, sf):
+    return I.kpis(dirty_orders(spark, sf))
+
+
+def _signals_sql(src: str, num: list[str]) -> str:
+    parts = []
+    for i, c in enumerate(num):
+        cv = f"(stddev_samp({c}) / (avg({c}) + 1e-9))"
+        miss = f"(count_if({c} IS NULL) / count(*) * 100)"
+        parts.append(f"SELECT {2 * i} AS o, 'variability' AS kind, printf('**{c}** has very high variability (CV=%.2f) — "
+                     f"investigate outliers', {cv}) AS signal FROM {src} HAVING {cv} > 1.0")
+        parts.append(f"SELECT {2 * i + 1}, 'missing', printf('**{c}** has %.1f%% missing — data quality concern', {miss}) "
+                     f"FROM {src} HAVING {miss} > 20")
+    k = len(num)
+    pairs = []
+    for i in range(k):
+        for j in range(i + 1, k):
+            e = _corr_sql_expr(num[i], num[j])
+            pairs.append(f"SELECT {2 * k + i * k + j} AS o, '{num[i]}' AS c1, '{num[j]}' AS c2, abs({e}) AS v FROM {src}")
+    if pairs:
+        parts.append("SELECT * FROM (SELECT o, 'collinear', printf('**%s** and **%s** are highly correlated (%.2f) — "
+                     "potential multicollinearity', c1, c2, v) FROM (" + " UNION ALL ".join(pairs)
+                     + ") WHERE v > 0.85 ORDER BY o LIMIT 3)")
+    body = "\nUNION ALL\n".join(parts)
+    return (f"s AS ({body}), f AS (SELECT * FROM s UNION ALL SELECT -1, 'none', "
+            f"'No strong root-cause signals detected.' WHERE NOT EXISTS (SELECT 1 FROM s))\n"
+            "SELECT CAST(row_number() OVER (ORDER BY o) AS BIGINT) AS signal_no, kind, signal FROM f")
+
+
+def _signals_full(prefix_ctes: list[str], src: str, num: list[str]) -> str:
+    s = _signals_sql(src, num)
+    head, sel = s.split("\nSELECT CAST(row_number", 1)
+    return "WITH " + ",\n".join([*prefix_ctes, head]) + "\nSELECT CAST(row_number" + sel
+
+
+@register("signals", _signals_full([DIRTY_ORDERS_SQL], "dirty_orders",
+                                   ["o_orderkey", "o_custkey", "o_totalprice", "o_rare"]))
+def q_signals(spark, sf):
+    return I.signals(dirty_orders(spark, sf))
+
+
+@register("signals_collinear", _signals_full([EVENTS_V2_SQL], "events_v2", EV2))
+def q_signals_coll(spark, sf):
+    return I.signals(events_v2(spark, sf))
+
+
+@register("signals_documents", _signals_full([], "documents", ["doc_id", "n_chars"]))
+def q_signals_docs(spark, sf):
+    return I.signals(table(spark, sf, "documents"))

@@ -14,9 +14,17 @@ INTEGER_TEXT = r"^\s*[+-]?\d+\s*$"
 DATETIME_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd"]
 
 
+# The white-space characters removed by ``strip`` (the characters
+# Python's ``str.isspace`` accepts), as one regex class usable by Java and RE2.
+WHITESPACE_CLASS = (r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+                    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+STRIP_PATTERN = f"^{WHITESPACE_CLASS}+|{WHITESPACE_CLASS}+$"
+TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
+
+
 def strip(c: Column) -> Column:
-    """Remove leading and trailing Unicode white space (like ``str.strip``)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Remove leading and trailing white space (like ``str.strip``)."""
+    return F.regexp_replace(c, STRIP_PATTERN, "")
 
 
 def parse_datetime(c: Column) -> Column:
@@ -26,4 +34,11 @@ def parse_datetime(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-case word tokens (letters and digits), empty strings removed."""
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 0)
+    return F.filter(F.split(F.lower(c), TOKEN_SPLIT), lambda t: F.length(t) > 0)
+
+
+def short_float(c: Column) -> Column:
+    """Text of a value already rounded to <= 4 decimals, as Python prints it
+    (``0.12``, ``1.0``, ``0.0001``): fixed 4-decimal text with trailing zeros cut."""
+    s = F.regexp_replace(F.format_string("%.4f", c), r"0+$", "")
+    return F.when(s.endswith("."), F.concat(s, F.lit("0"))).otherwise(s)

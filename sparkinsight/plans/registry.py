@@ -602,3 +602,185 @@ def q_signals_coll(spark, sf):
 @register("signals_documents", _signals_full([], "documents", ["doc_id", "n_chars"]))
 def q_signals_docs(spark, sf):
     return I.signals(table(spark, sf, "documents"))
+
+
+# ------------------------------------------------------------------ documents
+from ..functions.text import STRIP_PATTERN, TOKEN_SPLIT  # noqa: E402
+from ..operators import documents as D  # noqa: E402
+from ..operators import retrieval as RT  # noqa: E402
+from ..operators import routing as RO  # noqa: E402
+
+_CHUNKS_SQL = f"""chunks AS (
+  SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INTEGER) AS chunk, t AS text,
+    substring(md5(full_text), 1, 8) || '_' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS VARCHAR) AS id
+  FROM (SELECT doc_id, source, full_text, s, regexp_replace(substring(full_text, s + 1, 800), '{STRIP_PATTERN}', '', 'g') AS t
+        FROM (SELECT doc_id, source, text AS full_text, unnest(range(0, length(text), 650)) AS s FROM documents))
+  WHERE length(t) > 0),
+store AS (SELECT id, doc_id, source, chunk, text FROM
+  (SELECT *, row_number() OVER (PARTITION BY id ORDER BY doc_id DESC) AS rn FROM chunks) WHERE rn = 1)"""
+
+
+def doc_chunks(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    return D.chunk_ids(D.chunk_text(docs))
+
+
+def chunk_store(spark, sf):
+    return D.upsert_chunks(None, doc_chunks(spark, sf).select("id", "doc_id", "source", "chunk", "text"), "doc_id")
+
+
+@register("chunk_documents", f"WITH {_CHUNKS_SQL}\nSELECT doc_id, chunk, text FROM chunks")
+def q_chunks(spark, sf):
+    return doc_chunks(spark, sf).select("doc_id", "chunk", "text")
+
+
+@register("chunk_ids", f"WITH {_CHUNKS_SQL}\nSELECT id, doc_id, chunk FROM chunks")
+def q_chunk_ids(spark, sf):
+    return doc_chunks(spark, sf).select("id", "doc_id", "chunk")
+
+
+@register("upsert_chunks", f"WITH {_CHUNKS_SQL}\nSELECT * FROM store")
+def q_upsert(spark, sf):
+    return chunk_store(spark, sf)
+
+
+@register("collection_stats", f"WITH {_CHUNKS_SQL}\nSELECT 'documents' AS collection, CAST(count(*) AS BIGINT) AS chunks FROM store")
+def q_collection(spark, sf):
+    return D.collection_stats(chunk_store(spark, sf))
+
+
+_CENTROID_SQL = """cells AS (SELECT label, unnest(embedding) AS v, unnest(generate_series(1, len(embedding))) AS d FROM embeddings),
+cent AS (SELECT label, list(v ORDER BY d) AS q FROM (SELECT label, d, avg(v) AS v FROM cells GROUP BY label, d) GROUP BY label),
+sc AS (SELECT c.label AS query_label, e.vec_id,
+  list_cosine_similarity(CAST(c.q AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS sim FROM cent c, embeddings e)"""
+
+
+@register("retrieve_topk", f"WITH {_CENTROID_SQL}\nSELECT query_label, CAST(rank AS BIGINT) AS rank, vec_id, "
+          "round(sim, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_label "
+          "ORDER BY round(sim, 10) DESC, vec_id) AS rank FROM sc) WHERE rank <= 5")
+def q_retrieve(spark, sf):
+    emb = table(spark, sf, "embeddings")
+    return RT.retrieve_dense(RT.centroids(emb, "label").withColumnRenamed("label", "query_label"), emb,
+                             k=5, query_id="query_label")
+
+
+def _tok_sql(src: str, id_col: str, text_col: str) -> str:
+    return (f"SELECT {id_col}, term, count(*) AS tf FROM (SELECT {id_col}, "
+            f"unnest(regexp_split_to_array(lower({text_col}), '{TOKEN_SPLIT}')) AS term FROM {src}) "
+            f"WHERE length(term) > 0 GROUP BY {id_col}, term")
+
+
+_TEXT_RETRIEVAL_SQL = _CHUNKS_SQL + f""",
+ctf AS ({_tok_sql('store', 'id', 'text')}),
+idf AS (SELECT term, ln(((SELECT count(DISTINCT id) FROM ctf) + 1) / (count(*) + 1)) AS idf FROM ctf GROUP BY term),
+cw0 AS (SELECT id, term, tf * idf AS w FROM ctf JOIN idf USING (term) WHERE tf * idf <> 0),
+cw AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM cw0),
+questions AS (SELECT conv_id AS query_id, arg_max(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id),
+qtf AS ({_tok_sql('questions', 'query_id', 'question')}),
+qw0 AS (SELECT query_id, term, tf * idf AS w FROM qtf JOIN idf USING (term) WHERE tf * idf <> 0),
+qw AS (SELECT query_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS weight FROM qw0),
+pairs AS (SELECT query_id, id, sum(qw.weight * cw.weight) AS sim FROM qw JOIN cw USING (term) GROUP BY query_id, id),
+hits AS (SELECT query_id, CAST(rank AS BIGINT) AS rank, id, round(sim, 4) AS score FROM
+  (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 10) DESC, id) AS rank FROM pairs) WHERE rank <= 5),
+hitrows AS (SELECT h.query_id, h.rank, h.score, s.source, s.chunk, s.text FROM hits h JOIN store s USING (id))"""
+
+
+def _py_float_sql(x: str) -> str:
+    s = f"regexp_replace(printf('%.4f', {x}), '0+$', '')"
+    return f"(CASE WHEN {s} LIKE '%.' THEN {s} || '0' ELSE {s} END)"
+
+
+def text_hits(spark, sf):
+    """Top-5 chunks for the latest user question of every conversation (TF-IDF cosine)."""
+    store = chunk_store(spark, sf)
+    ctf = RT.term_frequencies(store, "id", "text")
+    idf = RT.fit_idf(ctf, "id")
+    cw = RT.tfidf_weights(ctf, idf, "id")
+    questions = RO.latest_user_query(table(spark, sf, "conversations")).select(
+        F.col("conv_id").alias("query_id"), F.col("query").alias("question"))
+    qw = RT.tfidf_weights(RT.term_frequencies(questions, "query_id", "question"), idf, "query_id")
+    hits = RT.retrieve_sparse(qw, cw, k=5, q_id="query_id", c_id="id")
+    return questions, hits, store
+
+
+@register("retrieve_text", f"WITH {_TEXT_RETRIEVAL_SQL}\nSELECT * FROM hits")
+def q_retrieve_text(spark, sf):
+    _q, hits, _s = text_hits(spark, sf)
+    return hits
+
+
+def _hit_rows(spark, sf):
+    questions, hits, store = text_hits(spark, sf)
+    return questions, hits.join(store.select("id", "source", "chunk", "text"), "id")
+
+
+_BLOCK_SQL = ("'[Source: ' || source || ' | Chunk ' || CAST(chunk AS VARCHAR) || ' | Score: ' || "
+              + _py_float_sql("score") + " || ']' || chr(10) || text")
+_CITE_SQL = ("'- **' || source || '** (chunk ' || CAST(chunk AS VARCHAR) || ', relevance ' || "
+             + _py_float_sql("score") + " || ')'")
+
+
+@register("rag_context", f"WITH {_TEXT_RETRIEVAL_SQL}\nSELECT query_id, string_agg({_BLOCK_SQL}, chr(10) || chr(10) "
+          "ORDER BY rank) AS context FROM hitrows GROUP BY query_id")
+def q_rag_context(spark, sf):
+    _q, h = _hit_rows(spark, sf)
+    return D.build_context(h)
+
+
+@register("citations", f"WITH {_TEXT_RETRIEVAL_SQL}\nSELECT query_id, string_agg({_CITE_SQL}, chr(10) "
+          "ORDER BY rank) AS citations FROM hitrows GROUP BY query_id")
+def q_citations(spark, sf):
+    _q, h = _hit_rows(spark, sf)
+    return D.citations(h)
+
+
+@register("prompt_frame", f"""WITH {_TEXT_RETRIEVAL_SQL},
+ctx AS (SELECT query_id, string_agg({_BLOCK_SQL}, chr(10) || chr(10) ORDER BY rank) AS context,
+  string_agg({_CITE_SQL}, chr(10) ORDER BY rank) AS citations FROM hitrows GROUP BY query_id)
+SELECT q.query_id, q.question, coalesce(c.context, '{D.NO_DOCUMENTS}') AS context, coalesce(c.citations, '') AS citations,
+  CASE WHEN c.context IS NOT NULL THEN 'Context:' || chr(10) || c.context || chr(10) || chr(10) || 'Question: ' ||
+  q.question || chr(10) || chr(10) || 'Provide a detailed, well-structured answer with inline citations like [Source: filename].'
+  END AS prompt
+FROM questions q LEFT JOIN ctx c USING (query_id)""")
+def q_prompt(spark, sf):
+    q, h = _hit_rows(spark, sf)
+    return D.prompt_frame(q, h)
+
+
+@register("recent_history", "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER "
+          "(PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 6")
+def q_history(spark, sf):
+    return D.recent_history(table(spark, sf, "conversations"))
+
+
+@register("latest_user_query", "SELECT conv_id, arg_max(text, turn) AS query FROM conversations "
+          "WHERE role = 'user' GROUP BY conv_id")
+def q_latest(spark, sf):
+    return RO.latest_user_query(table(spark, sf, "conversations"))
+
+
+def _route_sql(text: str) -> str:
+    scores = []
+    for name, kws in RO.INTENTS:
+        scores.append("(" + " + ".join(f"CAST(contains(lower({text}), '{kw}') AS INTEGER)" for kw in kws) + ")")
+    best = "greatest(" + ", ".join(scores) + ")"
+    cases = " ".join(f"WHEN {s} = {best} THEN '{name}'" for s, (name, _k) in zip(scores, RO.INTENTS))
+    return f"CASE WHEN {best} = 0 THEN 'eda' {cases} END"
+
+
+@register("route_queries", f"SELECT conv_id, turn, {_route_sql('text')} AS agent FROM conversations")
+def q_route(spark, sf):
+    return RO.route_queries(table(spark, sf, "conversations")).select("conv_id", "turn", "agent")
+
+
+@register("page_text", "SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(12)), 1) AS INTEGER) AS page, "
+          "unnest(string_split(text, chr(12))) AS text FROM documents")
+def q_page_text(spark, sf):
+    return D.page_text_frame(table(spark, sf, "documents"))
+
+
+@register("document_text", "SELECT doc_id, string_agg(text || chr(10), '' ORDER BY page) AS text FROM ("
+          "SELECT doc_id, generate_subscripts(string_split(text, chr(12)), 1) AS page, "
+          "unnest(string_split(text, chr(12))) AS text FROM documents) GROUP BY doc_id")
+def q_document_text(spark, sf):
+    return D.document_text(D.page_text_frame(table(spark, sf, "documents")))

@@ -162,3 +162,64 @@ def _rank_bands(df, items, ranks):
     for r in hit.collect():  # one row per wanted rank
         c, _lo, _hi, below, _n, _want = items[r["item"]]
         ranks[(c, below + r["pos"] - 1)] = r["x"]
+
+
+def orderable_number(df: DataFrame, col: str):
+    """A double Column that orders like ``col`` (dates and timestamps as epoch numbers)."""
+    from pyspark.sql import types as T
+    dt = df.schema[col].dataType
+    if isinstance(dt, T.DateType):
+        return F.unix_date(F.col(col)).cast("double")
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
+    return F.col(col).cast("double")
+
+
+def order_statistics(df: DataFrame, col: str, ranks: list[int], band_limit: int = EXACT_PERCENTILE_LIMIT,
+                     buckets: int = 4096) -> list[float]:
+    """Exact k-th smallest non-null values (0-based ``ranks``) of ``col`` as numbers.
+
+    Histogram refinement: every pass is a distributed group-by of bounded size;
+    only a band of at most ``band_limit`` values is ever ranked in one task.
+    """
+    num = df.select(orderable_number(df, col).alias("__v")).where(F.col("__v").isNotNull())
+    n = num.count()
+    if n == 0:
+        return [None] * len(ranks)
+    want: dict[tuple[str, int], float | None] = {("__v", r): None for r in ranks}
+    b = num.agg(F.min("__v").alias("lo"), F.max("__v").alias("hi")).first()
+    items = [("__v", b["lo"], b["hi"], 0, n, sorted(set(ranks)))]
+    while items:
+        done, open_items = [], []
+        for it in items:
+            c, lo, hi, below, n_band, rs = it
+            if lo == hi:
+                for r in rs:
+                    want[(c, r)] = lo
+            elif n_band <= band_limit:
+                done.append(it)
+            else:
+                open_items.append(it)
+        if done:
+            _rank_bands(num, done, want)
+        items = _split_bands(num, open_items, buckets) if open_items else []
+    return [want[("__v", r)] for r in ranks]
+
+
+def running_sum_before(df: DataFrame, order_col: str, value_col: str, out: str, partitions: int | None = None):
+    """Exclusive running sum of ``value_col`` in ``order_col`` order (distinct keys).
+
+    Range partitions sum their own prefix; a per-partition total table (one row
+    per partition) supplies the offsets.  No single task sees more than its slice.
+    """
+    spark = df.sparkSession
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, order_col).withColumn("__pid", F.spark_partition_id())
+    w_in = Window.partitionBy("__pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("__local", F.coalesce(F.sum(value_col).over(w_in), F.lit(0)))
+    totals = ranged.groupBy("__pid").agg(F.sum(value_col).alias("__tot"))
+    w_off = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition: a bounded table, broadcast
+    offsets = totals.withColumn("__off", F.coalesce(F.sum("__tot").over(w_off), F.lit(0))).select("__pid", "__off")
+    return (local.join(F.broadcast(offsets), "__pid")
+            .withColumn(out, F.col("__local") + F.col("__off")).drop("__pid", "__local", "__off"))

@@ -784,3 +784,193 @@ def q_page_text(spark, sf):
           "unnest(string_split(text, chr(12))) AS text FROM documents) GROUP BY doc_id")
 def q_document_text(spark, sf):
     return D.document_text(D.page_text_frame(table(spark, sf, "documents")))
+
+
+# ------------------------------------------------------------------ sequences
+from ..operators import models as M  # noqa: E402
+from ..operators import sequence as N  # noqa: E402
+
+_LAGS = ", ".join(f"lag(value, {10 - i}) OVER w AS x_{i + 1}" for i in range(10))
+
+
+@register("minmax", "SELECT event_id, value, round((value - lo) / (hi - lo), 8) AS scaled FROM events, "
+          "(SELECT min(value) AS lo, max(value) AS hi FROM events) mm")
+def q_minmax(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "value")
+    return N.minmax_scale(e, "value").withColumn("scaled", F.round("scaled", 8))
+
+
+_SEQ_SQL = (f"seqs AS (SELECT user_id, event_id, {_LAGS}, value AS y, row_number() OVER w AS rn FROM events "
+            "WINDOW w AS (PARTITION BY user_id ORDER BY event_id))")
+_SEQ_COLS = ", ".join(f"x_{i}" for i in range(1, 11))
+
+
+@register("sequences", f"WITH {_SEQ_SQL}\nSELECT user_id, event_id, {_SEQ_COLS}, y FROM seqs WHERE rn > 10")
+def q_sequences(spark, sf):
+    return N.make_sequences(table(spark, sf, "events"), "value", "event_id", ["user_id"], 10)
+
+
+@register("chrono_split", f"WITH {_SEQ_SQL}, s AS (SELECT * FROM seqs WHERE rn > 10)\n"
+          f"SELECT user_id, event_id, {_SEQ_COLS}, y, row_number() OVER (PARTITION BY user_id ORDER BY event_id) "
+          "<= floor(0.8 * count(*) OVER (PARTITION BY user_id)) AS is_train FROM s")
+def q_chrono(spark, sf):
+    seqs = N.make_sequences(table(spark, sf, "events"), "value", "event_id", ["user_id"], 10)
+    return N.chronological_split(seqs, "event_id", ["user_id"])
+
+
+_GSEQ_SQL = ("gseq AS (SELECT o_orderkey, " + ", ".join(f"lag(o_totalprice, {10 - i}) OVER w AS x_{i + 1}" for i in range(10))
+             + ", o_totalprice AS y, row_number() OVER w AS rn FROM orders WINDOW w AS (ORDER BY o_orderkey))")
+
+
+@register("sequences_global", f"WITH {_GSEQ_SQL}\nSELECT o_orderkey, {_SEQ_COLS}, y FROM gseq WHERE rn > 10")
+def q_gseq(spark, sf):
+    return N.make_sequences(table(spark, sf, "orders"), "o_totalprice", "o_orderkey", None, 10)
+
+
+@register("chrono_split_global", f"WITH {_GSEQ_SQL}, s AS (SELECT * FROM gseq WHERE rn > 10)\n"
+          f"SELECT o_orderkey, {_SEQ_COLS}, y, row_number() OVER (ORDER BY o_orderkey) "
+          "<= floor(0.8 * (SELECT count(*) FROM s)) AS is_train FROM s")
+def q_gsplit(spark, sf):
+    seqs = N.make_sequences(table(spark, sf, "orders"), "o_totalprice", "o_orderkey", None, 10)
+    return N.chronological_split(seqs, "o_orderkey")
+
+
+@register("forecast_validation")
+def q_forecast_validation(spark, sf):
+    daily = N.daily_series(table(spark, sf, "lineitem"))
+    _model, _mm, _pred, metrics = N.forecast_validation(daily, "revenue", "day", ["l_returnflag"])
+    return metrics
+
+
+@register("forecast_preview")
+def q_forecast_preview(spark, sf):
+    daily = N.daily_series(table(spark, sf, "lineitem"))
+    _model, _mm, pred, _metrics = N.forecast_validation(daily, "revenue", "day", ["l_returnflag"])
+    return pred
+
+
+@register("forecast_horizon")
+def q_forecast(spark, sf):
+    daily = N.daily_series(table(spark, sf, "lineitem"))
+    return N.forecast(daily, "revenue", "day", ["l_returnflag"], horizon=6)
+
+
+# --------------------------------------------------------------------- models
+@register("folds_contiguous", "SELECT o_orderkey, CAST(ntile(5) OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS fold "
+          "FROM orders")
+def q_folds_contiguous(spark, sf):
+    return M.assign_folds(table(spark, sf, "orders").select("o_orderkey"), 5, order_by="o_orderkey")
+
+
+@register("folds_shuffled")
+def q_folds_shuffled(spark, sf):
+    return M.assign_folds(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), 5,
+                          keys=["l_orderkey", "l_linenumber"])
+
+
+@register("split")
+def q_split(spark, sf):
+    return M.train_test_split(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"),
+                              ["l_orderkey", "l_linenumber"])
+
+
+_LI_KIND = {"l_returnflag": True, "l_linestatus": True}
+
+
+@register("detect_task", "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column, CAST(count(DISTINCT {c}) AS BIGINT) AS distinct, "
+    f"CASE WHEN {'true' if c in _LI_KIND else 'false'} OR count(DISTINCT {c}) <= 20 THEN 'classification' "
+    f"ELSE 'regression' END AS task FROM lineitem" for c in _LINEITEM_ALL))
+def q_detect_task(spark, sf):
+    return M.task_report(table(spark, sf, "lineitem"))
+
+
+@register("label_encode", "SELECT l_orderkey, l_linenumber, l_returnflag, "
+          "CAST(dense_rank() OVER (ORDER BY l_returnflag) - 1 AS DOUBLE) AS label FROM lineitem")
+def q_label_encode(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    out, _labels = M.encode_label(li, "l_returnflag")
+    return out
+
+
+def labelled_documents(spark, sf):
+    return table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars"),
+                                           "doc_id")
+
+
+@register("classification_metrics", """
+WITH p AS (SELECT l.quality AS y, CASE WHEN d.lang = 'en' THEN 1 ELSE 0 END AS p, CAST(d.n_chars AS DOUBLE) AS s
+           FROM labels l JOIN documents d USING (doc_id)),
+conf AS (SELECT y, p, count(*) AS n FROM p GROUP BY y, p),
+sup AS (SELECT y AS c, sum(n) AS support FROM conf GROUP BY y),
+prd AS (SELECT p AS c, sum(n) AS predicted FROM conf GROUP BY p),
+tp AS (SELECT y AS c, n AS tp FROM conf WHERE y = p),
+per AS (SELECT c, support, coalesce(predicted, 0) AS predicted, coalesce(tp, 0) AS tp
+        FROM sup LEFT JOIN prd USING (c) LEFT JOIN tp USING (c)),
+m AS (SELECT sum(tp) / sum(support) AS accuracy,
+        sum(CASE WHEN support + predicted > 0 THEN 2.0 * tp / (support + predicted) ELSE 0 END * support) / sum(support) AS f1
+      FROM per),
+g AS (SELECT s, count_if(y = 1) AS pos, count_if(y <> 1) AS neg FROM p GROUP BY s),
+g2 AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below FROM g)
+SELECT 'accuracy' AS metric, round(accuracy, 4) AS value FROM m
+UNION ALL SELECT 'f1', round(f1, 4) FROM m
+UNION ALL SELECT 'roc_auc', round(sum(pos * (neg_below + 0.5 * neg)) / (sum(pos) * sum(neg)), 4) FROM g2""")
+def q_class_metrics(spark, sf):
+    d = labelled_documents(spark, sf).select(F.col("quality").alias("label"),
+                                             F.when(F.col("lang") == "en", 1).otherwise(0).alias("prediction"),
+                                             F.col("n_chars").cast("double").alias("score"))
+    return M.classification_metrics(d, score="score")
+
+
+@register("regression_metrics", """
+WITH r AS (SELECT sum(l_extendedprice) / sum(l_quantity) AS unit FROM lineitem),
+p AS (SELECT l_extendedprice AS y, l_quantity * unit AS p FROM lineitem, r)
+SELECT round(sqrt(avg((y - p) * (y - p))), 4) AS rmse, round(avg(abs(y - p)), 4) AS mae,
+  round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y)), 4) AS r2 FROM p""")
+def q_reg_metrics(spark, sf):
+    li = table(spark, sf, "lineitem")
+    unit = li.agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("u")).first()["u"]
+    pred = li.select(F.col("l_extendedprice").alias("label"), (F.col("l_quantity") * F.lit(unit)).alias("prediction"))
+    return M.regression_metrics(pred)
+
+
+@register("compare_classifiers")
+def q_compare_cls(spark, sf):
+    res, _best, _models, _feat = M.compare_models(labelled_documents(spark, sf).drop("toxic"), "quality", ["doc_id"])
+    return res
+
+
+def _compare_parts(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
+    return M.compare_models(p, "p_retailprice", ["p_partkey"], order_by="p_partkey")
+
+
+@register("compare_regressors")
+def q_compare_reg(spark, sf):
+    res, _best, _models, _feat = _compare_parts(spark, sf)
+    return res
+
+
+@register("model_comparison")
+def q_model_comparison(spark, sf):
+    res, _best, _models, _feat = _compare_parts(spark, sf)
+    return M.comparison_frame(res)
+
+
+@register("feature_importance")
+def q_importance(spark, sf):
+    res, best, models, feat = _compare_parts(spark, sf)
+    pairs = M.feature_importance(models[best], feat.names) if best else []
+    return spark.createDataFrame([(best, n, v) for n, v in pairs], "model string, feature string, importance double")
+
+
+@register("mlp_classifier")
+def q_mlp(spark, sf):
+    metrics, _hist = M.mlp_classifier(labelled_documents(spark, sf).drop("toxic"), "quality", ["doc_id"])
+    return metrics
+
+
+@register("training_history")
+def q_history_loss(spark, sf):
+    _metrics, hist = M.mlp_classifier(labelled_documents(spark, sf).drop("toxic"), "quality", ["doc_id"])
+    return hist

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import order_statistics, orderable_number, quantiles, running_sum_before
 from ..schema import columns_of, kind_of
+from ..session import materialize
 
 # Modelling defaults.
 CLASSIFICATION_MAX_DISTINCT = 20
@@ -33,6 +34,8 @@ TOP_FEATURES = 20
 MLP_HIDDEN = (128, 64, 32)
 MLP_EPOCHS = 50
 NULL_LABEL = "nan"
+# Training frames are re-partitioned to about this many rows per task.
+ROWS_PER_PARTITION = 200_000
 
 
 # ------------------------------------------------------------------ M1/M2
@@ -264,6 +267,9 @@ def compare_models(df: DataFrame, target: str, keys: list[str], cv_folds: int =
         passthrough.append(order_by)
     feat = prepare_features(base, target, passthrough=passthrough)
     split = feat.frame.withColumn("is_test", F.pmod(F.col("__h"), F.lit(1_000_000)) / 1_000_000.0 < TEST_FRACTION)
+    # every fit, fold and metric re-reads this frame: cut its lineage once, sized by rows
+    split = materialize(split.repartition(_partitions_for(split)))
+    feat = Features(split, feat.names, feat.task, feat.classes)
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
     n_train = train.count()
     ests = classifiers(n_train, len(feat.classes)) if feat.task == "classification" else regressors()
@@ -293,6 +299,11 @@ def compare_models(df: DataFrame, target: str, keys: list[str], cv_folds: int =
     return res, (best[0] if best else None), models, feat
 
 
+def _partitions_for(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> int:
+    n = df.count()
+    return max(1, min(math.ceil(n / rows_per_partition), 100_000))
+
+
 def _std(xs):
     m = sum(xs) / len(xs)
     return math.sqrt(sum((x - m) ** 2 for x in xs) / len(xs)) if xs else 0.0
@@ -333,7 +344,7 @@ def mlp_classifier(df: DataFrame, target: str, keys: list[str], hidden=MLP_HIDDE
     spark = df.sparkSession
     base = df.withColumn("__h", F.xxhash64(*[F.col(c) for c in keys], F.lit(SEED)))
     feat = prepare_features(base, target, passthrough=["__h", *[k for k in keys if k != target]])
-    fr = feat.frame
+    fr = materialize(feat.frame.repartition(_partitions_for(feat.frame)))
     scaled = StandardScaler(inputCol="features", outputCol="__scaled", withMean=True, withStd=True) \
         .fit(fr).transform(fr)
     n_classes = max(len(feat.classes), 2)

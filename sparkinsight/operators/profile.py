@@ -46,8 +46,8 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     return g.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
-def validation_warnings(report: DataFrame) -> DataFrame:
-    """Warning lines from a ``validate`` row, in the fixed order."""
+def warning_array():
+    """array<string> of the warnings that apply to a ``validate`` row (fixed order)."""
     pct = F.col("missing_pct").cast("string")
     w = F.array(
         F.when(F.col("missing_pct") > MISSING_PCT_WARN, F.concat(F.lit("High missing data: "), pct, F.lit("%"))),
@@ -55,7 +55,12 @@ def validation_warnings(report: DataFrame) -> DataFrame:
                F.concat(F.col("duplicate_rows").cast("string"), F.lit(" duplicate rows detected"))),
         F.when(F.col("n_rows") < MIN_ROWS_WARN, F.lit("Very small dataset — model reliability may be low")),
     )
-    return (report.select(F.posexplode(F.filter(w, lambda x: x.isNotNull())).alias("pos", "warning"))
+    return F.filter(w, lambda x: x.isNotNull())
+
+
+def validation_warnings(report: DataFrame) -> DataFrame:
+    """Warning lines from a ``validate`` row, in the fixed order."""
+    return (report.select(F.posexplode(warning_array()).alias("pos", "warning"))
             .select((F.col("pos") + 1).cast("bigint").alias("warning_no"), "warning"))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import cleaning as C
@@ -940,7 +940,21 @@ def q_compare_cls(spark, sf):
     return res
 
 
+_MEMO: dict = {}
+
+
+def _memo(key, fn):
+    """Reuse one fitted comparison across the queries that report on it."""
+    if key not in _MEMO:
+        _MEMO[key] = fn()
+    return _MEMO[key]
+
+
 def _compare_parts(spark, sf):
+    return _memo(("parts", id(spark), sf), lambda: _compare_parts_fit(spark, sf))
+
+
+def _compare_parts_fit(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
     return M.compare_models(p, "p_retailprice", ["p_partkey"], order_by="p_partkey")
 
@@ -964,13 +978,141 @@ def q_importance(spark, sf):
     return spark.createDataFrame([(best, n, v) for n, v in pairs], "model string, feature string, importance double")
 
 
+def _mlp(spark, sf):
+    return _memo(("mlp", id(spark), sf), lambda: M.mlp_classifier(
+        labelled_documents(spark, sf).drop("toxic"), "quality", ["doc_id"]))
+
+
 @register("mlp_classifier")
 def q_mlp(spark, sf):
-    metrics, _hist = M.mlp_classifier(labelled_documents(spark, sf).drop("toxic"), "quality", ["doc_id"])
+    metrics, _hist = _mlp(spark, sf)
     return metrics
 
 
 @register("training_history")
 def q_history_loss(spark, sf):
-    _metrics, hist = M.mlp_classifier(labelled_documents(spark, sf).drop("toxic"), "quality", ["doc_id"])
+    _metrics, hist = _mlp(spark, sf)
     return hist
+
+
+# ------------------------------------------------------------ sources/catalog
+from ..session import scratch_path  # noqa: E402
+from ..sources import files as S  # noqa: E402
+from ..sources.catalog import Catalog  # noqa: E402
+from . import report as RP  # noqa: E402
+
+
+@register("read_csv_roundtrip", "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, "
+          "c_mktsegment FROM customer")
+def q_csv(spark, sf):
+    path = scratch_path(spark, "customer-csv")
+    table(spark, sf, "customer").write.option("header", True).csv(path)
+    return S.read_csv(spark, path)
+
+
+@register("union_fragments", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer "
+          "WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING')\n"
+          "UNION ALL SELECT c_custkey, c_name, c_nationkey, NULL, c_mktsegment FROM customer "
+          "WHERE c_mktsegment IN ('FURNITURE', 'HOUSEHOLD')\n"
+          "UNION ALL SELECT c_custkey, NULL, NULL, c_acctbal, c_mktsegment FROM customer WHERE c_mktsegment = 'MACHINERY'")
+def q_fragments(spark, sf):
+    c = table(spark, sf, "customer")
+    seg = F.col("c_mktsegment")
+    frames = [c.where(seg.isin("AUTOMOBILE", "BUILDING")),
+              c.where(seg.isin("FURNITURE", "HOUSEHOLD")).drop("c_acctbal"),
+              c.where(seg == "MACHINERY").select("c_custkey", "c_acctbal", "c_mktsegment"),
+              c.where(seg == "NO SUCH SEGMENT")]
+    return S.union_fragments(frames).select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+
+
+@register("content_hash")
+def q_hash(spark, sf):
+    return S.content_hash(spark, sf, "*.parquet")
+
+
+def _qa_frame(spark, sf):
+    conv = table(spark, sf, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    m = conv.select("conv_id", "turn", "role", "text", F.lead("role").over(w).alias("next_role"),
+                    F.lead("text").over(w).alias("next_text"))
+    return m.where(F.col("role") == "user").select(
+        F.col("conv_id").cast("string").alias("session_id"), F.lit(None).cast("bigint").alias("dataset_id"),
+        F.col("text").alias("question"),
+        F.when(F.col("next_role") == "assistant", F.col("next_text")).alias("answer"),
+        RO.route(F.col("text")).alias("agent"), "conv_id", "turn")
+
+
+@register("history_topk", f"""
+WITH m AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text
+           FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+qa AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, conv_id, turn, text AS question,
+         CASE WHEN next_role = 'assistant' THEN next_text END AS answer, {_route_sql('text')} AS agent
+       FROM m WHERE role = 'user'),
+h AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS id, * FROM qa)
+SELECT CAST(id AS BIGINT) AS id, session_id, question, answer, agent FROM
+  (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY id DESC) AS rn FROM h) WHERE rn <= 20""")
+def q_history_topk(spark, sf):
+    cat = Catalog(spark, scratch_path(spark, "catalog"))
+    cat.bootstrap()
+    cat.save_queries(_qa_frame(spark, sf), ["conv_id", "turn"])
+    return cat.get_history().select("id", "session_id", "question", "answer", "agent")
+
+
+@register("catalog_datasets")
+def q_catalog(spark, sf):
+    import os
+    cat = Catalog(spark, scratch_path(spark, "catalog"))
+    cat.bootstrap()
+    hashes = {r["file"]: r["hash"] for r in S.content_hash(spark, sf, "*.parquet").collect()}  # one row per file
+    from .fixtures import TABLES
+    for name in TABLES:
+        df = table(spark, sf, name)
+        f = f"{name}.parquet"
+        cat.register_dataset(name, "parquet", df.count(), len(df.columns), os.path.join(sf, f), hashes.get(f))
+    return cat.list_datasets().drop("created_at")
+
+
+@register("model_runs")
+def q_model_runs(spark, sf):
+    cat = Catalog(spark, scratch_path(spark, "catalog"))
+    cat.bootstrap()
+    d = labelled_documents(spark, sf).select(F.col("quality").alias("label"),
+                                             F.when(F.col("lang") == "en", 1).otherwise(0).alias("prediction"),
+                                             F.col("n_chars").cast("double").alias("score"))
+    m = M.classification_metrics(d, score="score").agg(F.map_from_entries(
+        F.collect_list(F.struct("metric", "value"))).alias("metrics"))
+    runs = m.select(F.lit(None).cast("bigint").alias("dataset_id"), F.lit("rule: lang = en").alias("model_type"),
+                    F.lit("classification").alias("task"), F.lit("quality").alias("target_column"), "metrics",
+                    F.create_map(F.lit("rule"), F.lit("lang = en")).alias("params"))
+    cat.save_model_runs(runs)
+    return cat.list_model_runs().select("id", "model_type", "task", "target_column",
+                                        F.col("metrics")["accuracy"].alias("accuracy"),
+                                        F.col("metrics")["f1"].alias("f1"), F.col("metrics")["roc_auc"].alias("roc_auc"))
+
+
+@register("report_paragraphs", "SELECT doc_id, paragraph_no, paragraph FROM (SELECT doc_id, "
+          "CAST(generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS INTEGER) AS paragraph_no, "
+          f"regexp_replace(unnest(string_split(text, chr(10) || chr(10))), '{STRIP_PATTERN}', '', 'g') AS paragraph "
+          "FROM documents) WHERE length(paragraph) > 0")
+def q_paragraphs(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return RP.report_paragraphs(d, key="doc_id", content="text")
+
+
+@register("report_sections")
+def q_report_sections(spark, sf):
+    from .pipeline import run_pipeline
+    res = run_pipeline(dirty_orders(spark, sf), {"file_name": "orders.parquet", "order_by": "o_orderkey"})
+    return res["report"]
+
+
+@register("insight_context")
+def q_insight_context(spark, sf):
+    li = table(spark, sf, "lineitem")
+    k = I.kpis(li).orderBy("kpi_no").collect()
+    sig = I.signals(li).orderBy("signal_no").collect()
+    desc = E.numeric_summary(li).where(F.col("position") < 3).orderBy("position", "stat").collect()
+    text = ("KPIs:\n" + "\n".join(f"- {r['label']}: {r['value']}" for r in k)
+            + "\n\nSignals:\n" + "\n".join(f"- {r['signal']}" for r in sig)
+            + "\n\nStatistics:\n" + "\n".join(f"{r['column']} {r['stat']} {r['value']}" for r in desc)[:1500])
+    return spark.createDataFrame([(text,)], "context string")

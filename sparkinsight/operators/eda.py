@@ -77,23 +77,33 @@ def dtypes(df: DataFrame) -> dict[str, str]:
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None, digits: int | None = 4) -> DataFrame:
     """Pearson matrix in long form (i, j, col1, col2, corr), pairwise-complete, 4 dp.
 
-    All k(k-1)/2 pairs are computed in one aggregation; the matrix is symmetric and
-    its diagonal is 1 (NULL for a constant column).  Empty below two numeric columns.
+    Every row emits one (pair, a, b) triple per column pair (generated in the
+    task, never stored); a single ``groupBy(pair)`` with partial aggregation then
+    computes co-moments for all k(k+1)/2 pairs, so the shuffle is k^2 small rows
+    per task however large the table.  Diagonal is 1 (NULL for a constant
+    column); empty below two numeric columns.
     """
     cols = columns_of(df, "numeric") if cols is None else cols
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "i int, j int, col1 string, col2 string, corr double")
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    wide = df.agg(*[(F.when(F.min(cols[i]) != F.max(cols[i]), F.lit(1.0)) if i == j
-                     else safe_corr(cols[i], cols[j])).alias(f"r{i}_{j}") for i, j in pairs])
-    cells = []
-    for i, j in pairs:
-        for a, b in ({(i, j), (j, i)}):
-            cells.append(F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.lit(cols[a]).alias("col1"),
-                                  F.lit(cols[b]).alias("col2"),
-                                  (F.round(F.col(f"r{i}_{j}"), digits) if digits is not None
-                                   else F.col(f"r{i}_{j}")).alias("corr")))
-    return wide.select(F.inline(F.array(*cells)))
+    x = [F.col(c).cast("double") for c in cols]
+    triples = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), x[i].alias("a"), x[j].alias("b"))
+                        for i, j in pairs])
+    long = df.select(F.inline(triples))
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    g = long.groupBy("i", "j").agg(
+        F.covar_pop("a", "b").alias("cov"), F.var_pop(F.when(both, F.col("a"))).alias("va"),
+        F.var_pop(F.when(both, F.col("b"))).alias("vb"), F.min("a").alias("mn"), F.max("a").alias("mx"))
+    r = F.when(F.col("i") == F.col("j"), F.when(F.col("mn") != F.col("mx"), F.lit(1.0))) \
+        .otherwise(F.try_divide(F.col("cov"), F.sqrt(F.col("va") * F.col("vb"))))
+    r = F.round(r, digits) if digits is not None else r
+    names = F.array(*[F.lit(c) for c in cols])
+    half = g.select("i", "j", r.alias("corr"))
+    mirror = half.where(F.col("i") != F.col("j")).select(F.col("j").alias("i"), F.col("i").alias("j"), "corr")
+    return half.unionByName(mirror).select(
+        "i", "j", F.element_at(names, F.col("i") + 1).alias("col1"), F.element_at(names, F.col("j") + 1).alias("col2"),
+        "corr")
 
 
 def top_correlations(df: DataFrame, k: int = TOP_PAIRS, cols: list[str] | None = None) -> DataFrame:

@@ -91,3 +91,23 @@ def signals(df: DataFrame) -> DataFrame:
         "n_real", F.sum(F.when(F.col("o") >= 0, 1).otherwise(0)).over(Window.partitionBy()))
     out = out.where((F.col("o") >= 0) | (F.col("n_real") == 0))
     return out.select(F.row_number().over(Window.orderBy("o")).cast("bigint").alias("signal_no"), "kind", "signal")
+
+
+def insight_context(df: DataFrame, model_line: str | None = None, note: str | None = None,
+                    stats_limit: int = 1500) -> DataFrame:
+    """Prompt frame (I6): KPI bullets, signals, the first three summary rows cut to
+    ``stats_limit`` characters, an optional model line and user note.  Built from
+    the small KPI / signal / summary frames only."""
+    from .eda import numeric_summary
+    k = kpis(df).orderBy("kpi_no").collect()
+    sig = signals(df).orderBy("signal_no").collect()
+    desc = numeric_summary(df).where(F.col("position") < 3).orderBy("position", "stat").collect()
+    text = ("KPIs:\n" + "\n".join(f"- {r['label']}: {r['value']}" + (f" ({r['delta']})" if r["delta"] else "")
+                                   for r in k)
+            + "\n\nSignals:\n" + "\n".join(f"- {r['signal']}" for r in sig)
+            + "\n\nStatistics:\n" + "\n".join(f"{r['column']} {r['stat']} {r['value']}" for r in desc)[:stats_limit])
+    if model_line:
+        text += f"\n\nModel: {model_line}"
+    if note:
+        text += f"\n\nNote: {note}"
+    return df.sparkSession.createDataFrame([(text,)], "context string")

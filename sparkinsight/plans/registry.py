@@ -1115,11 +1115,4 @@ def q_report_sections(spark, sf):
 
 @register("insight_context")
 def q_insight_context(spark, sf):
-    li = table(spark, sf, "lineitem")
-    k = I.kpis(li).orderBy("kpi_no").collect()
-    sig = I.signals(li).orderBy("signal_no").collect()
-    desc = E.numeric_summary(li).where(F.col("position") < 3).orderBy("position", "stat").collect()
-    text = ("KPIs:\n" + "\n".join(f"- {r['label']}: {r['value']}" for r in k)
-            + "\n\nSignals:\n" + "\n".join(f"- {r['signal']}" for r in sig)
-            + "\n\nStatistics:\n" + "\n".join(f"{r['column']} {r['stat']} {r['value']}" for r in desc)[:1500])
-    return spark.createDataFrame([(text,)], "context string")
+    return I.insight_context(table(spark, sf, "lineitem"))

@@ -223,3 +223,31 @@ def running_sum_before(df: DataFrame, order_col: str, value_col: str, out: str,
     offsets = totals.withColumn("__off", F.coalesce(F.sum("__tot").over(w_off), F.lit(0))).select("__pid", "__off")
     return (local.join(F.broadcast(offsets), "__pid")
             .withColumn(out, F.col("__local") + F.col("__off")).drop("__pid", "__local", "__off"))
+
+
+def row_positions(df: DataFrame, keys: list[str], order_cols: list[str], out: str = "pos",
+                  total: str | None = None, partitions: int | None = None) -> DataFrame:
+    """0-based position of each row within its key group in ``order_cols`` order
+    (and, with ``total``, the group size), without gathering a group in one task.
+
+    Rows are range-partitioned and sorted on (keys, order), so a large group is
+    spread over consecutive partitions.  A summary with one row per (partition,
+    key) gives each slice its offset; the join back is on (partition, key), so a
+    hot key's rows stay spread over many tasks.
+    """
+    from ..session import materialize
+    spark = df.sparkSession
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.repartitionByRange(parts, *keys, *order_cols).sortWithinPartitions(*keys, *order_cols)
+                         .withColumn("__pid", F.spark_partition_id())
+                         .withColumn("__mono", F.monotonically_increasing_id()))
+    stats = ranged.groupBy("__pid", *keys).agg(F.min("__mono").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    by_key = Window.partitionBy(*keys).orderBy("__pid")
+    offs = stats.withColumn("__off", F.coalesce(
+        F.sum("__n").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    if total:
+        offs = offs.withColumn(total, F.sum("__n").over(Window.partitionBy(*keys)))
+    offs = offs.drop("__n")
+    return (ranged.join(offs, ["__pid", *keys])
+            .withColumn(out, F.col("__off") + F.col("__mono") - F.col("__first"))
+            .drop("__pid", "__mono", "__first", "__off"))

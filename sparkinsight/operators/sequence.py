@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import order_statistics, orderable_number
+from ..functions.stats import order_statistics, orderable_number, row_positions
 from ..session import materialize
 
 # Sequence defaults.
@@ -130,9 +130,9 @@ def chronological_split(seqs: DataFrame, order_by: str, series: list[str] | None
                         frac: float = TRAIN_FRACTION) -> DataFrame:
     """Adds ``is_train``: the first floor(frac * count) windows of each series.
 
-    Keyed series rank their rows with a per-series window (a streaming row count,
-    memory-bounded); a single unkeyed series finds its cut-off value as an exact
-    order statistic (distributed histogram refinement), never a global sort.
+    Keyed series get exact in-series positions from range slices plus offsets
+    (a long series is spread over many tasks); a single unkeyed series finds its
+    cut-off value as an exact order statistic, never a global sort.
     """
     series = list(series or [])
     if not series:
@@ -142,11 +142,8 @@ def chronological_split(seqs: DataFrame, order_by: str, series: list[str] | None
             return seqs.withColumn("is_train", F.lit(False))
         (cut,) = order_statistics(seqs, order_by, [k - 1])
         return seqs.withColumn("is_train", orderable_number(seqs, order_by) <= F.lit(cut))
-    counts = seqs.groupBy(*series).agg(F.count(F.lit(1)).alias("__cnt"))
-    w = Window.partitionBy(*series).orderBy(order_by)
-    ranked = seqs.withColumn("__rn", F.row_number().over(w))
-    return (ranked.join(counts, series)
-            .withColumn("is_train", F.col("__rn") <= F.floor(F.col("__cnt") * frac)).drop("__rn", "__cnt"))
+    pos = row_positions(seqs, series, [order_by], out="__pos", total="__cnt")
+    return pos.withColumn("is_train", F.col("__pos") < F.floor(F.col("__cnt") * frac)).drop("__pos", "__cnt")
 
 
 def daily_series(lineitem: DataFrame) -> DataFrame:

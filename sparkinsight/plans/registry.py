@@ -1038,10 +1038,16 @@ def q_hash(spark, sf):
 
 
 def _qa_frame(spark, sf):
-    conv = table(spark, sf, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    m = conv.select("conv_id", "turn", "role", "text", F.lead("role").over(w).alias("next_role"),
-                    F.lead("text").over(w).alias("next_text"))
+    """User questions with the assistant reply that follows them (S13 input).
+
+    The next message is found by position: exact in-conversation positions from
+    range slices, then a join on (conversation, position) - a long conversation
+    is never gathered in one task."""
+    from ..functions.stats import row_positions
+    pos = row_positions(table(spark, sf, "conversations"), ["conv_id"], ["turn"], out="pos")
+    nxt = pos.select("conv_id", (F.col("pos") - 1).alias("pos"), F.col("role").alias("next_role"),
+                     F.col("text").alias("next_text"))
+    m = pos.join(nxt, ["conv_id", "pos"], "left")
     return m.where(F.col("role") == "user").select(
         F.col("conv_id").cast("string").alias("session_id"), F.lit(None).cast("bigint").alias("dataset_id"),
         F.col("text").alias("question"),

@@ -67,3 +67,12 @@ def test_compare_models_small(sample_df):
     assert ("Logistic Regression", "accuracy") in metrics and best is not None
     imp = M.feature_importance(models["Random Forest"], feat.names)
     assert len(imp) == len(feat.names)
+
+
+def test_row_positions_hot_key(spark):
+    from sparkinsight.functions.stats import row_positions
+    rows = [(1, t) for t in range(300)] + [(k, t) for k in range(2, 30) for t in range(5)]
+    df = spark.createDataFrame(rows, "k long, t long")
+    out = row_positions(df, ["k"], ["t"], out="pos", total="n", partitions=9).collect()
+    assert all(r["pos"] == r["t"] for r in out)
+    assert all(r["n"] == (300 if r["k"] == 1 else 5) for r in out)

@@ -34,6 +34,8 @@ TOP_FEATURES = 20
 MLP_HIDDEN = (128, 64, 32)
 MLP_EPOCHS = 50
 NULL_LABEL = "nan"
+# Concurrent fold fits in cross-validation.
+CV_PARALLELISM = 5
 # Training frames are re-partitioned to about this many rows per task.
 ROWS_PER_PARTITION = 200_000
 
@@ -246,13 +248,17 @@ def cross_validate(feat: Features, est, k: int = FOLDS, keys: list[str] | None =
         df = assign_folds(df, k, order_by=order_by)
     else:
         df = assign_folds(df, k, keys=keys or ["__h"])
-    scores = []
-    for f in range(k):
+
+    def run_fold(f):
         model = _pipeline(est).fit(df.where(F.col("fold") != f))
         pred = model.transform(df.where(F.col("fold") == f))
         m = _metrics_row(feat.task, pred, len(feat.classes))
-        scores.append(m["accuracy"] if feat.task == "classification" else m["r2"])
-    return scores
+        return m["accuracy"] if feat.task == "classification" else m["r2"]
+
+    # fold fits are independent Spark jobs: submit them concurrently (like CrossValidator's parallelism)
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=min(k, CV_PARALLELISM)) as pool:
+        return list(pool.map(run_fold, range(k)))
 
 
 def compare_models(df: DataFrame, target: str, keys: list[str], cv_folds: int = FOLDS,

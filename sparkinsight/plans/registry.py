@@ -707,7 +707,7 @@ def text_index(spark, sf):
         idf = materialize(RT.fit_idf(ctf, "id"))
         cw = materialize(RT.tfidf_weights(ctf, idf, "id"))
         return store, idf, cw
-    return _memo(("text-index", id(spark), sf), build)
+    return _memo(("text-index", spark.sparkContext.applicationId, sf), build)
 
 
 def text_hits(spark, sf):
@@ -958,7 +958,7 @@ def q_compare_cls(spark, sf):
 
 
 def _compare_parts(spark, sf):
-    return _memo(("parts", id(spark), sf), lambda: _compare_parts_fit(spark, sf))
+    return _memo(("parts", spark.sparkContext.applicationId, sf), lambda: _compare_parts_fit(spark, sf))
 
 
 def _compare_parts_fit(spark, sf):
@@ -986,7 +986,7 @@ def q_importance(spark, sf):
 
 
 def _mlp(spark, sf):
-    return _memo(("mlp", id(spark), sf), lambda: M.mlp_classifier(
+    return _memo(("mlp", spark.sparkContext.applicationId, sf), lambda: M.mlp_classifier(
         labelled_documents(spark, sf).drop("toxic"), "quality", ["doc_id"]))
 
 

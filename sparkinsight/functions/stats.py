@@ -214,7 +214,9 @@ def running_sum_before(df: DataFrame, order_col: str, value_col: str, out: str,
     """
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, order_col).withColumn("__pid", F.spark_partition_id())
+    from ..session import materialize
+    # fixed slices: both the prefix pass and the totals read the same partitions
+    ranged = materialize(df.repartitionByRange(parts, order_col).withColumn("__pid", F.spark_partition_id()))
     w_in = Window.partitionBy("__pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumn("__local", F.coalesce(F.sum(value_col).over(w_in), F.lit(0)))
     totals = ranged.groupBy("__pid").agg(F.sum(value_col).alias("__tot"))

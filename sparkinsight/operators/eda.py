@@ -158,11 +158,12 @@ def detect_trends(df: DataFrame, order_by: str, cols: list[str] | None = None,
     parts = (src.repartitionByRange(n_parts, order_by).sortWithinPartitions(order_by)
              .mapInPandas(_trend_partials(val_cols),
                           "pid int, column string, n bigint, mean_y double, cxy double"))
+    # one row per (task, column): offsets and totals are windows over that small table
     w = Window.partitionBy("column").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("offset", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    tot = parts.groupBy("column").agg(F.sum("n").alias("tot_n"),
-                                      (F.sum(F.col("n") * F.col("mean_y")) / F.sum("n")).alias("tot_y"))
-    j = parts.join(tot, "column")
+    whole = Window.partitionBy("column")
+    j = (parts.withColumn("offset", F.coalesce(F.sum("n").over(w), F.lit(0)))
+         .withColumn("tot_n", F.sum("n").over(whole))
+         .withColumn("tot_y", F.sum(F.col("n") * F.col("mean_y")).over(whole) / F.col("tot_n")))
     mx_local = (F.col("n") - 1) / 2.0
     between = (F.col("n") * (F.col("offset") + mx_local - (F.col("tot_n") - 1) / 2.0)
                * (F.col("mean_y") - F.col("tot_y")))

@@ -22,9 +22,14 @@ STRIP_PATTERN = f"^{WHITESPACE_CLASS}+|{WHITESPACE_CLASS}+$"
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 
+# The same characters as one literal string, for ``btrim``.
+WHITESPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+                    + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(c: Column) -> Column:
     """Remove leading and trailing white space (like ``str.strip``)."""
-    return F.regexp_replace(c, STRIP_PATTERN, "")
+    return F.btrim(c, F.lit(WHITESPACE_CHARS))
 
 
 def parse_datetime(c: Column) -> Column:

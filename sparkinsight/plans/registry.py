@@ -703,8 +703,8 @@ def text_index(spark, sf):
     """The persisted chunk store and its TF-IDF index (built once per session and tables)."""
     def build():
         store = materialize(chunk_store(spark, sf))
-        ctf = RT.term_frequencies(store, "id", "text")
-        idf = materialize(RT.fit_idf(ctf, "id"))
+        ctf = materialize(RT.term_frequencies(store, "id", "text"))
+        idf = RT.fit_idf(ctf, "id")
         cw = materialize(RT.tfidf_weights(ctf, idf, "id"))
         return store, idf, cw
     return _memo(("text-index", spark.sparkContext.applicationId, sf), build)

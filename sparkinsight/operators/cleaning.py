@@ -118,8 +118,11 @@ def fit_fill(df: DataFrame, strategy: str = "auto") -> FillPlan:
             plan.numeric = {c: q[c][0] for c in num}
     cat = [c for c in columns_of(df, "categorical") if nulls[c]]
     if cat:
-        row = df.agg(*[F.mode(F.col(c), True).alias(f"m{i}") for i, c in enumerate(cat)]).first()
-        plan.categorical = {c: (row[f"m{i}"] if row[f"m{i}"] is not None else UNKNOWN) for i, c in enumerate(cat)}
+        # distributed mode: counts per (column, value), then the best value per column
+        from .profile import categorical_top
+        tops = {r["column"]: (r["top"] if r["freq"] is not None else UNKNOWN)
+                for r in categorical_top(df, cat).collect()}  # one row per column
+        plan.categorical = {c: tops[c] for c in cat}
     return plan
 
 

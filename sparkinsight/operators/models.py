@@ -279,11 +279,10 @@ def compare_models(df: DataFrame, target: str, keys: list[str], cv_folds: int =
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
     n_train = train.count()
     ests = classifiers(n_train, len(feat.classes)) if feat.task == "classification" else regressors()
-    rows, models = [], {}
-    for name, est in ests.items():
+    def evaluate(name, est):
+        out = []
         try:
             model = _pipeline(est).fit(train)
-            models[name] = model
             m = _metrics_row(feat.task, model.transform(test), len(feat.classes))
             if cv_folds:
                 cv = cross_validate(feat, est, cv_folds, keys=["__h"], order_by=order_by)
@@ -292,9 +291,20 @@ def compare_models(df: DataFrame, target: str, keys: list[str], cv_folds: int =
                 for i, sc in enumerate(cv):
                     m[f"cv_fold_{i + 1}"] = sc
             for metric, v in m.items():
-                rows.append((name, feat.task, metric, None if v is None else float(v), None))
+                out.append((name, feat.task, metric, None if v is None else float(v), None))
+            return model, out
         except Exception as e:  # noqa: BLE001 - a failing model is reported, the others continue
-            rows.append((name, feat.task, "error", None, str(e)[:500]))
+            return None, [(name, feat.task, "error", None, str(e)[:500])]
+
+    # the estimators are independent: their Spark jobs are submitted concurrently
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=len(ests)) as pool:
+        done = list(pool.map(lambda kv: evaluate(*kv), ests.items()))
+    rows, models = [], {}
+    for (name, _est), (model, out) in zip(ests.items(), done):
+        rows += out
+        if model is not None:
+            models[name] = model
     res = spark.createDataFrame(rows, "model string, task string, metric string, value double, error string")
     key = "accuracy" if feat.task == "classification" else "r2"
     best = None

@@ -111,7 +111,7 @@ def make_sequences(df: DataFrame, value: str, order_by: str, series: list[str] |
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = (df.select(*series, order_by, F.col(value).cast("double").alias(value))
            .repartitionByRange(parts, *series, order_by).sortWithinPartitions(*series, order_by))
-    src = materialize(src)  # fixes the slices both passes see
+    src = materialize(src, keep_partitions=True)  # fixes the slices both passes see
     tail_schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields], "__pid int"])
     tails = src.mapInPandas(_tail_pass(series, order_by, value, n), tail_schema).collect()  # <= n rows per task
     by_pid: dict[int, list] = {}

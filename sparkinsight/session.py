@@ -61,7 +61,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, keep_partitions: bool = False) -> DataFrame:
+    """Cut lineage by writing the frame once to the shared checkpoint folder.
+
+    By default the frame becomes a Parquet table there (one computation,
+    columnar, survives executor loss).  ``keep_partitions`` is for callers that
+    rely on the physical partitions themselves (per-task passes): the frame is
+    persisted, then reliably checkpointed from the persisted blocks.
+    """
+    spark = df.sparkSession
+    if keep_partitions:
+        from pyspark import StorageLevel
+        ensure_checkpoint_dir(spark)
+        cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+        out = cached.checkpoint(eager=True)
+        cached.unpersist()
+        return out
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -32,9 +32,14 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE_CHARS))
 
 
+# Every accepted layout starts with a date: cheaper to test than a failed parse.
+DATE_PREFIX = r"^\d{4}-\d{1,2}-\d{1,2}"
+
+
 def parse_datetime(c: Column) -> Column:
     """First layout that parses, as a wall-clock timestamp; NULL when none does."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in DATETIME_FORMATS]).cast("timestamp_ntz")
+    parsed = F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in DATETIME_FORMATS]).cast("timestamp_ntz")
+    return F.when(c.rlike(DATE_PREFIX), parsed)
 
 
 def tokens(c: Column) -> Column:

@@ -298,43 +298,113 @@ class CleanConfig:
 def clean(df: DataFrame, cfg: CleanConfig | None = None) -> tuple[DataFrame, DataFrame]:
     """The composed cleaning pipeline; returns (clean frame, change log frame).
 
-    Order: constant columns, duplicates, types, missing, outliers, one-hot.  The
-    de-duplicated, typed frame is checkpointed once so the later fits do not
-    repeat its shuffle.
+    Order: constant columns, duplicates, types, missing, outliers, one-hot.
+    One shuffle groups identical rows (it both removes and counts repeats) and is
+    written once to the checkpoint folder; a single aggregation over it then
+    decides constant columns, duplicate count, type conversions, null counts and
+    column widths.  Later fits (medians, modes, IQR fences, categories) are one
+    pass each over the de-duplicated table.
     """
     cfg = cfg or CleanConfig()
     spark = df.sparkSession
     log: list[tuple] = []
+    cols = df.columns
+    grouped = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
+    if cfg.checkpoint:
+        grouped = materialize(grouped)
 
-    const = fit_constant_columns(df)
-    df = df.drop(*const)
+    kinds = {c: kind_of(df.schema[c].dataType) for c in cols}
+    strs = [c for c in cols if kinds[c] == "categorical"]
+    aggs = [F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("__dups"), F.count(F.lit(1)).alias("__rows")]
+    for i, c in enumerate(cols):
+        x = F.col(c)
+        aggs += [F.count_if(x.isNull()).alias(f"null{i}"), F.count(x).alias(f"n{i}")]
+        if kinds[c] != "other":
+            aggs.append((F.min(x) != F.max(x)).alias(f"v{i}"))
+        if kinds[c] == "categorical":
+            aggs += [F.count_if(x.rlike(NUMERIC_TEXT)).alias(f"num{i}"), F.count_if(x.rlike(INTEGER_TEXT)).alias(f"int{i}"),
+                     F.count_if(parse_datetime(x).isNotNull()).alias(f"dt{i}"),
+                     F.approx_count_distinct(x, 0.01).alias(f"a{i}")]
+    st = grouped.agg(*aggs).first()
+    idx = {c: i for i, c in enumerate(cols)}
+
+    const = [c for c in cols if kinds[c] != "other" and not st[f"v{idx[c]}"]]
     if const:
         log.append(("constant_columns", len(const), f"Dropped {len(const)} constant column(s)"))
-
-    # one shuffle both removes and counts the repeats: group by every column
-    grouped = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n"))
-    if cfg.checkpoint:
-        grouped = materialize(grouped)
-    dups = grouped.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("d")).first()["d"]
-    df = grouped.drop("__n")
+    dups = int(st["__dups"])
     if dups:
-        log.append(("duplicates", int(dups), f"Removed {int(dups)} duplicate rows"))
-    types = fit_types(df)
+        log.append(("duplicates", dups, f"Removed {dups} duplicate rows"))
+    df = grouped.drop("__n", *const)
+    kept = df.columns
+
+    types = {}
+    for c in strs:
+        if c in const:
+            continue
+        i, n = idx[c], st[f"n{idx[c]}"]
+        if st[f"num{i}"] == n:
+            types[c] = "bigint" if n > 0 and st[f"int{i}"] == n else "double"
+        elif st[f"dt{i}"] == n:
+            types[c] = "timestamp_ntz"
     df = apply_types(df, types)
     if types:
         log.append(("types", len(types), f"Auto-converted types for {len(types)} column(s)"))
 
-    plan = fit_fill(df, cfg.missing_strategy)
-    if plan.total_missing:
+    total_missing = int(sum(st[f"null{idx[c]}"] for c in kept))
+    strategy = cfg.missing_strategy
+    rows_known = True
+    plan = FillPlan()
+    if total_missing:
+        if strategy in ("drop", "mean"):
+            plan = fit_fill(df, strategy)
+            rows_known = strategy != "drop"
+        else:
+            plan = FillPlan(total_missing=total_missing)
+            num = [c for c in columns_of(df, "numeric") if st[f"null{idx[c]}"]]
+            if num:
+                q = quantiles(df, num, [0.5], counts={c: st[f"n{idx[c]}"] for c in num})
+                plan.numeric = {c: q[c][0] for c in num}
+            cat = [c for c in columns_of(df, "categorical") if st[f"null{idx[c]}"]]
+            if cat:
+                from .profile import categorical_top
+                tops = {r["column"]: (r["top"] if r["freq"] is not None else UNKNOWN)
+                        for r in categorical_top(df, cat).collect()}  # one row per column
+                plan.categorical = {c: tops[c] for c in cat}
         df = apply_fill(df, plan)
-        log.append(("missing", plan.total_missing, f"Imputed {plan.total_missing} missing value(s)"))
-
-    df, flagged = handle_outliers(df, cfg.outlier_method, cfg.outlier_action, cfg.iqr_factor, cfg.zscore_thresh)
+        log.append(("missing", total_missing, f"Imputed {total_missing} missing value(s)"))
+
+    if cfg.outlier_method == "iqr" and cfg.outlier_action == "cap" and rows_known:
+        num = columns_of(df, "numeric")
+        filled = {c for c, v in plan.numeric.items() if v is not None} if total_missing else set()
+        counts = {c: st[f"n{idx[c]}"] + (st[f"null{idx[c]}"] if c in filled else 0) for c in num}
+        q = quantiles(df, num, [0.25, 0.75], counts=counts) if num else {}
+        bounds = []
+        for c in num:
+            q1, q3 = q[c]
+            if q1 is None:
+                bounds.append(Bounds(c, None, None))
+            else:
+                bounds.append(Bounds(c, q1 - cfg.iqr_factor * (q3 - q1), q3 + cfg.iqr_factor * (q3 - q1), q1, q3))
+        if bounds:
+            row = df.agg(*[F.count_if(_outlier_mask(b.column, b.lo, b.hi)).alias(f"n{i}")
+                           for i, b in enumerate(bounds)]).first()
+            for i, b in enumerate(bounds):
+                b.n_outliers = int(row[f"n{i}"])
+        df = cap_outliers(df, bounds)
+        flagged = sum(b.n_outliers for b in bounds)
+    else:
+        df, flagged = handle_outliers(df, cfg.outlier_method, cfg.outlier_action, cfg.iqr_factor, cfg.zscore_thresh)
     if flagged:
         log.append(("outliers", flagged, f"Outlier handling ({cfg.outlier_action}): {flagged} value(s)"))
 
     if cfg.encode_categoricals:
-        cats = fit_categories(df)
+        cand = [c for c in columns_of(df, "categorical")]
+        narrow = [c for c in cand if c in idx and st[f"a{idx[c]}"] + 1 <= 2 * ONE_HOT_MAX_CARDINALITY + 2]
+        cats = {}
+        if narrow:
+            row = df.agg(*[F.sort_array(F.collect_set(c)).alias(f"s{i}") for i, c in enumerate(narrow)]).first()
+            cats = {c: list(row[f"s{i}"]) for i, c in enumerate(narrow)
+                    if len(row[f"s{i}"]) <= ONE_HOT_MAX_CARDINALITY}
         if cats:
             df = one_hot(df, cats)
             log.append(("one_hot", len(cats), f"One-hot encoded {len(cats)} categorical column(s)"))

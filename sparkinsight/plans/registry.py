@@ -704,8 +704,8 @@ def text_index(spark, sf):
     def build():
         store = materialize(chunk_store(spark, sf))
         ctf = materialize(RT.term_frequencies(store, "id", "text"))
-        idf = RT.fit_idf(ctf, "id")
-        cw = materialize(RT.tfidf_weights(ctf, idf, "id"))
+        idf = materialize(RT.fit_idf(ctf, "id"))  # counted below: broadcast only when small
+        cw = materialize(RT.tfidf_weights(ctf, idf, "id", idf_rows=idf.count()))
         return store, idf, cw
     return _memo(("text-index", spark.sparkContext.applicationId, sf), build)
 

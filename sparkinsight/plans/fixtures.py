@@ -3,7 +3,8 @@
 The driver tables are clean (no NULLs, no repeated rows), so cleaning operators
 run on ``dirty_orders``: the whole ``orders`` table with NULLs, a scaled-up price
 outlier, a constant column, numeric and date text columns and a sparse column
-injected by fixed rules on the key, plus a repeated copy of some rows.  The same
+injected by fixed rules on the key, plus a second copy of every urgent finished
+order (repeated rows).  The same
 derivation is written once in Spark and once in SQL (``DIRTY_ORDERS_SQL``).
 """
 
@@ -36,7 +37,8 @@ def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_date_txt"),
         F.when(k % 4 == 0, F.col("o_custkey").cast("double")).alias("o_rare"),
     )
-    return b.unionByName(b.where(k % 17 == 0))
+    # repeated rows: every urgent, finished order appears twice
+    return b.unionByName(b.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F")))
 
 
 DIRTY_ORDERS_SQL = """
@@ -50,7 +52,8 @@ dirty_base AS (
     strftime(o_orderdate, '%Y-%m-%d') AS o_date_txt,
     CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_custkey AS DOUBLE) END AS o_rare
   FROM orders),
-dirty_orders AS (SELECT * FROM dirty_base UNION ALL SELECT * FROM dirty_base WHERE o_orderkey % 17 = 0)
+dirty_orders AS (SELECT * FROM dirty_base UNION ALL
+  SELECT * FROM dirty_base WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')
 """.strip()
 
 

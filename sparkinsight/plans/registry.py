@@ -1122,3 +1122,30 @@ def q_report_sections(spark, sf):
 @register("insight_context")
 def q_insight_context(spark, sf):
     return I.insight_context(table(spark, sf, "lineitem"))
+
+
+@register("read_sqlite_roundtrip", "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, "
+          "c_mktsegment FROM customer")
+def q_sqlite(spark, sf):
+    from ..sources.sqlite import read_sqlite, write_sqlite_shards
+    folder = scratch_path(spark, "customer-sqlite")
+    write_sqlite_shards(table(spark, sf, "customer"), folder, "customer").collect()  # one row per shard
+    return read_sqlite(spark, folder, "customer")
+
+
+@register("list_tables", "SELECT DISTINCT 'customer' AS name FROM customer")
+def q_list_tables(spark, sf):
+    from ..sources.sqlite import list_tables, write_sqlite_shards
+    folder = scratch_path(spark, "customer-sqlite")
+    write_sqlite_shards(table(spark, sf, "customer"), folder, "customer").collect()  # one row per shard
+    return list_tables(spark, folder).distinct()
+
+
+@register("read_text_roundtrip", "SELECT doc_id, text || chr(10) AS text FROM documents")
+def q_text_roundtrip(spark, sf):
+    folder = scratch_path(spark, "documents-text")
+    # one text file per document (Spark's text writer ends each value with a newline)
+    table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id") \
+        .write.partitionBy("doc_id").text(folder)
+    docs = S.read_text_documents(spark, folder)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")

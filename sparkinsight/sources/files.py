@@ -55,9 +55,12 @@ def read_csv(spark: SparkSession, path: str, **opts) -> DataFrame:
 
 
 def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per text file: (source file name, whole text)."""
-    df = spark.read.text(path, wholetext=True)
-    return df.select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("text"))
+    """One row per text file: (source file name, whole text, partition columns...).
+
+    Bytes that are not valid UTF-8 become replacement characters."""
+    df = spark.read.option("basePath", path).text(path, wholetext=True)
+    extra = [c for c in df.columns if c != "value"]
+    return df.select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("text"), *extra)
 
 
 def content_hash(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:

@@ -1,11 +1,15 @@
 """SQLite tables as a Spark Python Data Source.
 
-Partitions are rowid ranges, so each task reads its own slice of the table
-straight from the database file (opened read-only on the executor).
+``path`` is one database file or a folder of database shards (``*.db``).
+Partitions are (file, rowid range) pairs, so each task reads its own slice
+straight from a database file opened read-only on the executor.  The files must
+sit on a file system every executor can read (a shared mount).
 """
 
 from __future__ import annotations
 
+import glob
+import os
 import sqlite3
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +35,28 @@ def _connect(path: str):
     return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
 
 
+def posix_path(path: str) -> str:
+    """SQLite needs a mounted file system: accept plain paths and ``file:`` URIs."""
+    if path.startswith("file://"):
+        return path[len("file://"):]
+    if path.startswith("file:"):
+        return path[len("file:"):]
+    if "://" in path:
+        raise ValueError(f"SQLite databases need a mounted (POSIX) path, not {path}")
+    return path
+
+
+def database_files(path: str) -> list[str]:
+    path = posix_path(path)
+    if os.path.isdir(path):
+        return sorted(glob.glob(os.path.join(path, "*.db")))
+    return [path]
+
+
 class _RowidRange(InputPartition):
-    def __init__(self, lo, hi):
-        super().__init__((lo, hi))
-        self.lo, self.hi = lo, hi
+    def __init__(self, path, lo, hi):
+        super().__init__((path, lo, hi))
+        self.path, self.lo, self.hi = path, lo, hi
 
 
 class _Reader(DataSourceReader):
@@ -44,16 +66,19 @@ class _Reader(DataSourceReader):
         self.schema = schema
 
     def partitions(self):
-        with _connect(self.path) as con:
-            lo, hi = con.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
-        if lo is None:
-            return [_RowidRange(0, -1)]
-        step = max((hi - lo + 1 + self.n - 1) // self.n, 1)
-        return [_RowidRange(s, min(s + step - 1, hi)) for s in range(lo, hi + 1, step)]
+        out = []
+        for f in database_files(self.path):
+            with _connect(f) as con:
+                lo, hi = con.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
+            if lo is None:
+                continue
+            step = max((hi - lo + 1 + self.n - 1) // self.n, 1)
+            out += [_RowidRange(f, s, min(s + step - 1, hi)) for s in range(lo, hi + 1, step)]
+        return out or [_RowidRange(database_files(self.path)[0], 0, -1)]
 
     def read(self, partition):
         cols = ", ".join(f'"{f.name}"' for f in self.schema.fields)
-        with _connect(self.path) as con:
+        with _connect(partition.path) as con:
             cur = con.execute(f'SELECT {cols} FROM "{self.table}" WHERE rowid BETWEEN ? AND ? ORDER BY rowid',
                               (partition.lo, partition.hi))
             for row in cur:
@@ -68,7 +93,10 @@ class SqliteDataSource(DataSource):
         return "sqlite"
 
     def schema(self):
-        with _connect(self.options["path"]) as con:
+        files = database_files(self.options["path"])
+        if not files:
+            raise ValueError(f"no SQLite database at {self.options['path']}")
+        with _connect(files[0]) as con:
             info = con.execute(f'PRAGMA table_info("{self.options["table"]}")').fetchall()
         if not info:
             raise ValueError(f"no such table: {self.options['table']}")
@@ -95,3 +123,41 @@ def list_tables(spark: SparkSession, db_path: str) -> DataFrame:
     m = spark.read.format("sqlite").option("path", db_path).option("table", "sqlite_master") \
         .option("numPartitions", "1").load()
     return m.where(F.col("type") == "table").select(F.col("name"))
+
+
+# Spark type -> SQLite declared type for written shards.
+DECLARED = {"bigint": "INTEGER", "int": "INTEGER", "smallint": "INTEGER", "tinyint": "INTEGER",
+            "double": "REAL", "float": "REAL", "string": "TEXT", "boolean": "INTEGER", "binary": "BLOB"}
+
+
+def write_sqlite_shards(df: DataFrame, folder: str, table: str) -> DataFrame:
+    """Write every partition of ``df`` as its own SQLite database ``part-<n>.db``
+    under ``folder`` (one writer per task, no single-file bottleneck).  Returns a
+    frame of (file, rows) per written shard; run it with an action."""
+    folder = posix_path(folder)
+    cols = [(f.name, DECLARED.get(f.dataType.simpleString(), "TEXT")) for f in df.schema.fields]
+    ddl = ", ".join(f'"{c}" {t}' for c, t in cols)
+    names = [c for c, _t in cols]
+
+    def write(it):
+        import uuid
+        import pandas as pd
+        from pyspark import TaskContext
+        os.makedirs(folder, exist_ok=True)
+        ctx = TaskContext.get()
+        final = os.path.join(folder, f"part-{ctx.partitionId():05d}.db")
+        tmp = f"{final}.{uuid.uuid4().hex}.tmp"  # a retried task never sees a half file
+        con = sqlite3.connect(tmp)
+        con.execute(f'CREATE TABLE "{table}" ({ddl})')
+        n = 0
+        for pdf in it:
+            rows = [tuple(None if pd.isna(v) else (v.item() if hasattr(v, "item") else v) for v in r)
+                    for r in pdf[names].itertuples(index=False, name=None)]
+            con.executemany(f'INSERT INTO "{table}" VALUES ({", ".join("?" * len(names))})', rows)
+            n += len(rows)
+        con.commit()
+        con.close()
+        os.replace(tmp, final)
+        yield pd.DataFrame({"file": [final], "rows": [n]})
+
+    return df.mapInPandas(write, "file string, rows bigint")

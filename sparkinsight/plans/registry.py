@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cleaning as C
@@ -46,7 +46,7 @@ DIRTY_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_ord
               "const_col", "o_size_txt", "o_date_txt", "o_rare"]
 
 
-def _sum_nulls(cols, weight: str | None = None) -> str:
+def _sum_nulls(cols) -> str:
     return " + ".join(f"CAST({c} IS NULL AS BIGINT)" for c in cols)
 
 

@@ -1071,21 +1071,40 @@ def q_history_topk(spark, sf):
     return cat.get_history().select("id", "session_id", "question", "answer", "agent")
 
 
-@register("catalog_datasets")
+def _catalog_sql() -> str:
+    from .fixtures import TABLES
+    parts = [f"SELECT CAST({i + 1} AS BIGINT) AS id, '{t}' AS name, 'parquet' AS file_type, "
+             f"CAST(count(*) AS BIGINT) AS rows, CAST((SELECT count(*) FROM (DESCRIBE {t})) AS BIGINT) AS columns "
+             f"FROM {t}" for i, t in enumerate(TABLES)]
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("catalog_datasets", _catalog_sql())
 def q_catalog(spark, sf):
     import os
     cat = Catalog(spark, scratch_path(spark, "catalog"))
     cat.bootstrap()
     hashes = {r["file"]: r["hash"] for r in S.content_hash(spark, sf, "*.parquet").collect()}  # one row per file
     from .fixtures import TABLES
-    for name in TABLES:
+    entries = []
+    for name in TABLES:  # one small entry per driver table
         df = table(spark, sf, name)
         f = f"{name}.parquet"
-        cat.register_dataset(name, "parquet", df.count(), len(df.columns), os.path.join(sf, f), hashes.get(f))
-    return cat.list_datasets().drop("created_at")
+        entries.append((name, "parquet", df.count(), len(df.columns), os.path.join(sf, f), hashes.get(f)))
+    cat.register_datasets(entries)
+    return cat.list_datasets().select("id", "name", "file_type", "rows", "columns")
+
+
+def _model_runs_sql() -> str:
+    base = ORACLE["classification_metrics"]
+    return ("WITH cm AS (" + base + ")\n"
+            "SELECT CAST(1 AS BIGINT) AS id, 'rule: lang = en' AS model_type, 'classification' AS task, "
+            "'quality' AS target_column, max(CASE WHEN metric = 'accuracy' THEN value END) AS accuracy, "
+            "max(CASE WHEN metric = 'f1' THEN value END) AS f1, "
+            "max(CASE WHEN metric = 'roc_auc' THEN value END) AS roc_auc FROM cm")
 
 
-@register("model_runs")
+@register("model_runs", _model_runs_sql())
 def q_model_runs(spark, sf):
     cat = Catalog(spark, scratch_path(spark, "catalog"))
     cat.bootstrap()

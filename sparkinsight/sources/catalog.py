@@ -82,6 +82,15 @@ class Catalog:
         self._append("datasets", row.withColumn("created_at", F.current_timestamp()))
         return i
 
+    def register_datasets(self, entries: list[tuple]) -> list[int]:
+        """Append several (name, file_type, rows, columns, file_path, hash) entries in one write."""
+        start = self._next_id("datasets")
+        rows = [(start + i, *e) for i, e in enumerate(entries)]
+        df = self.spark.createDataFrame(rows, "id bigint, name string, file_type string, rows bigint, "
+                                              "columns bigint, file_path string, hash string")
+        self._append("datasets", df.withColumn("created_at", F.current_timestamp()))
+        return [r[0] for r in rows]
+
     def list_datasets(self) -> DataFrame:
         return self.table("datasets").orderBy(F.desc("id")).select(
             "id", "name", "file_type", "rows", "columns", "created_at")

@@ -10,8 +10,14 @@ from pyspark.sql import functions as F
 NUMERIC_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 INTEGER_TEXT = r"^\s*[+-]?\d+\s*$"
 
-# Datetime layouts accepted by datetime inference, tried in order.
-DATETIME_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd"]
+# Datetime layouts accepted by datetime inference, each with the
+# text shape it applies to (a failed parse is costly, so only the layout whose
+# shape matches is tried).
+DATETIME_FORMATS = [
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", "yyyy-MM-dd HH:mm:ss"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$", "yyyy-MM-dd'T'HH:mm:ss"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-MM-dd"),
+]
 
 
 # The white-space characters removed by ``strip`` (the characters
@@ -32,14 +38,13 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE_CHARS))
 
 
-# Every accepted layout starts with a date: cheaper to test than a failed parse.
-DATE_PREFIX = r"^\d{4}-\d{1,2}-\d{1,2}"
-
-
 def parse_datetime(c: Column) -> Column:
-    """First layout that parses, as a wall-clock timestamp; NULL when none does."""
-    parsed = F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in DATETIME_FORMATS]).cast("timestamp_ntz")
-    return F.when(c.rlike(DATE_PREFIX), parsed)
+    """The layout matching the text's shape, as a wall-clock timestamp; NULL otherwise."""
+    out = None
+    for shape, fmt in DATETIME_FORMATS:
+        parsed = F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
+        out = F.when(c.rlike(shape), parsed) if out is None else out.when(c.rlike(shape), parsed)
+    return out
 
 
 def tokens(c: Column) -> Column:

@@ -263,7 +263,7 @@ def fit_categories(df: DataFrame, max_card: int = ONE_HOT_MAX_CARDINALITY) -> di
     cols = columns_of(df, "categorical")
     if not cols:
         return {}
-    approx = df.agg(*[F.approx_count_distinct(c, 0.01).alias(f"a{i}") for i, c in enumerate(cols)]).first()
+    approx = df.agg(*[F.approx_count_distinct(c).alias(f"a{i}") for i, c in enumerate(cols)]).first()
     narrow = [c for i, c in enumerate(cols) if approx[f"a{i}"] <= 2 * max_card + 2]
     if not narrow:
         return {}
@@ -324,7 +324,7 @@ def clean(df: DataFrame, cfg: CleanConfig | None = None) -> tuple[DataFrame, Dat
         if kinds[c] == "categorical":
             aggs += [F.count_if(x.rlike(NUMERIC_TEXT)).alias(f"num{i}"), F.count_if(x.rlike(INTEGER_TEXT)).alias(f"int{i}"),
                      F.count_if(parse_datetime(x).isNotNull()).alias(f"dt{i}"),
-                     F.approx_count_distinct(x, 0.01).alias(f"a{i}")]
+                     F.approx_count_distinct(x).alias(f"a{i}")]
     st = grouped.agg(*aggs).first()
     idx = {c: i for i, c in enumerate(cols)}
 

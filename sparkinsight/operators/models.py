@@ -99,7 +99,7 @@ def prepare_features(df: DataFrame, target: str, max_card: int = ONE_HOT_FEATURE
         cols.append(F.coalesce(F.col(c).cast("double"), F.lit(m if m is not None else 0.0)).alias(c))
     names = list(num)
     if text:
-        approx = df.agg(*[F.approx_count_distinct(c, 0.01).alias(f"a{i}") for i, c in enumerate(text)]).first()
+        approx = df.agg(*[F.approx_count_distinct(c).alias(f"a{i}") for i, c in enumerate(text)]).first()
         wide = [c for i, c in enumerate(text) if approx[f"a{i}"] > 2 * max_card]
         if wide:
             raise ValueError(f"too many categories to one-hot: {wide}")

@@ -74,29 +74,75 @@ def dtypes(df: DataFrame) -> dict[str, str]:
 
 
 # ------------------------------------------------------------------ E4/E5
+def _comoment_partials(k: int, shift: list[float]):
+    """Per task: pairwise-complete sums of each column pair over its Arrow batches."""
+    def run(it):
+        shp = (k, k)
+        acc = {name: np.zeros(shp) for name in ("n", "sa", "sb", "saa", "sbb", "sab")}
+        mn, mx = np.full(k, np.inf), np.full(k, -np.inf)
+        seen = False
+        for pdf in it:
+            if pdf.empty:
+                continue
+            seen = True
+            x = pdf.to_numpy(dtype="float64") - np.asarray(shift)[None, :]
+            m = (~np.isnan(x)).astype("float64")
+            x0 = np.nan_to_num(x, nan=0.0)
+            acc["n"] += m.T @ m
+            acc["sa"] += x0.T @ m          # sum of a over rows where b is present
+            acc["sb"] += m.T @ x0          # sum of b over rows where a is present
+            acc["saa"] += (x0 * x0).T @ m
+            acc["sbb"] += m.T @ (x0 * x0)
+            acc["sab"] += x0.T @ x0
+            with np.errstate(invalid="ignore"):
+                mn = np.fmin(mn, np.nanmin(np.where(m > 0, x, np.nan), axis=0))
+                mx = np.fmax(mx, np.nanmax(np.where(m > 0, x, np.nan), axis=0))
+        if not seen:
+            return
+        ii, jj = np.triu_indices(k)
+        out = pd.DataFrame({"i": ii.astype("int32"), "j": jj.astype("int32")})
+        for name, a in acc.items():
+            out[name] = a[ii, jj]
+        out["mn"] = np.where(np.isfinite(mn[ii]), mn[ii], np.nan)
+        out["mx"] = np.where(np.isfinite(mx[ii]), mx[ii], np.nan)
+        yield out
+    return run
+
+
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None, digits: int | None = 4) -> DataFrame:
     """Pearson matrix in long form (i, j, col1, col2, corr), pairwise-complete, 4 dp.
 
-    Every row emits one (pair, a, b) triple per column pair (generated in the
-    task, never stored); a single ``groupBy(pair)`` with partial aggregation then
-    computes co-moments for all k(k+1)/2 pairs, so the shuffle is k^2 small rows
-    per task however large the table.  Diagonal is 1 (NULL for a constant
-    column); empty below two numeric columns.
+    Each task folds its Arrow batches into per-pair sums (count, sums, squares,
+    cross products over rows where both values are present) with a few matrix
+    products; a ``groupBy(i, j)`` then adds k(k+1)/2 small rows per task.  Values
+    are shifted by the column means first (one cheap aggregate) so the sums stay
+    well conditioned.  Diagonal is 1 (NULL for a constant column); empty below two
+    numeric columns.
     """
     cols = columns_of(df, "numeric") if cols is None else cols
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "i int, j int, col1 string, col2 string, corr double")
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    x = [F.col(c).cast("double") for c in cols]
-    triples = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), x[i].alias("a"), x[j].alias("b"))
-                        for i, j in pairs])
-    long = df.select(F.inline(triples))
-    both = F.col("a").isNotNull() & F.col("b").isNotNull()
-    g = long.groupBy("i", "j").agg(
-        F.covar_pop("a", "b").alias("cov"), F.var_pop(F.when(both, F.col("a"))).alias("va"),
-        F.var_pop(F.when(both, F.col("b"))).alias("vb"), F.min("a").alias("mn"), F.max("a").alias("mx"))
-    r = F.when(F.col("i") == F.col("j"), F.when(F.col("mn") != F.col("mx"), F.lit(1.0))) \
-        .otherwise(F.try_divide(F.col("cov"), F.sqrt(F.col("va") * F.col("vb"))))
+    k = len(cols)
+    src = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    means = src.agg(*[F.avg(f"c{i}").alias(f"m{i}") for i in range(k)]).first()
+    shift = [float(means[f"m{i}"]) if means[f"m{i}"] is not None else 0.0 for i in range(k)]
+    parts = src.mapInPandas(_comoment_partials(k, shift),
+                            "i int, j int, n double, sa double, sb double, saa double, sbb double, sab double, "
+                            "mn double, mx double")
+    g = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")],
+                                    F.min("mn").alias("mn"), F.max("mx").alias("mx"))
+    n = F.col("n")
+    cov = F.col("sab") / n - (F.col("sa") / n) * (F.col("sb") / n)
+    va = F.col("saa") / n - (F.col("sa") / n) * (F.col("sa") / n)
+    vb = F.col("sbb") / n - (F.col("sb") / n) * (F.col("sb") / n)
+    raw = cov / F.sqrt(va * vb)
+    # clamp rounding noise to [-1, 1]; NULL (constant side, no overlap) stays NULL
+    # a side whose variance is float noise around its mean (a constant) has no correlation
+    eps = 1e-9
+    ok = (n > 0) & (va > eps * F.col("saa") / n) & (vb > eps * F.col("sbb") / n)
+    off = F.when(ok,
+                 F.when(raw > 1, F.lit(1.0)).when(raw < -1, F.lit(-1.0)).otherwise(raw))
+    r = F.when(F.col("i") == F.col("j"), F.when(F.col("mn") != F.col("mx"), F.lit(1.0))).otherwise(off)
     r = F.round(r, digits) if digits is not None else r
     names = F.array(*[F.lit(c) for c in cols])
     half = g.select("i", "j", r.alias("corr"))

@@ -57,3 +57,9 @@ def test_constant_column_correlation_and_trend(spark):
     tr = {r["column"]: r for r in E.detect_trends(df, "t", ["c", "y"]).collect()}
     assert tr["c"]["slope"] == 0.0 and tr["c"]["flagged"] is False
     assert tr["y"]["slope"] == 1.0 and tr["y"]["direction"] == "increasing"
+
+
+def test_constant_non_representable_value_has_no_correlation(spark):
+    df = spark.createDataFrame([(0.1, float(i)) for i in range(50)], "a double, b double")
+    m = {(r["col1"], r["col2"]): r["corr"] for r in E.correlation_matrix(df).collect()}
+    assert m[("a", "b")] is None and m[("a", "a")] is None and m[("b", "b")] == 1.0

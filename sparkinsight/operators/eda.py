@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import quantiles
 from ..schema import columns_of, dtype_name
+from ..session import ship_package
 from .profile import categorical_top
 
 # EDA defaults.
@@ -122,6 +123,7 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None, digits: int
     cols = columns_of(df, "numeric") if cols is None else cols
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "i int, j int, col1 string, col2 string, corr double")
+    ship_package(df.sparkSession)
     k = len(cols)
     src = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
     means = src.agg(*[F.avg(f"c{i}").alias(f"m{i}") for i in range(k)]).first()
@@ -196,6 +198,7 @@ def detect_trends(df: DataFrame, order_by: str, cols: list[str] | None = None,
     flagged when the column has at least 10 values and pct > 5.
     """
     spark = df.sparkSession
+    ship_package(spark)
     cols = [c for c in (columns_of(df, "numeric") if cols is None else cols)]
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = df.select(order_by, *[F.col(c).cast("double").alias(c) for c in cols if c != order_by],

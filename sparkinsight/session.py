@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +36,32 @@ def get_session(master: str | None = None, app: str = "sparkinsight",
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers (once per application).
+
+    Operators that run Python inside tasks (Arrow batches, the SQLite data source)
+    need it there; the package is zipped on the driver and handed to Spark's own
+    file distribution with ``addPyFile``, so executors fetch it from the driver.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="sparkinsight-pkg-"), "sparkinsight.zip")
+    with zipfile.ZipFile(zpath, "w") as z:
+        for d, _sub, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(sc.applicationId)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
@@ -42,6 +69,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local-mode session without one gets a private folder, as in tests; a cluster
     session without a shared folder is an error, never a machine-local path.
     """
+    ship_package(spark)
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d:

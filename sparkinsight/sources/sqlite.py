@@ -107,6 +107,8 @@ class SqliteDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    from ..session import ship_package
+    ship_package(spark)
     spark.dataSource.register(SqliteDataSource)
 
 
@@ -134,6 +136,8 @@ def write_sqlite_shards(df: DataFrame, folder: str, table: str) -> DataFrame:
     """Write every partition of ``df`` as its own SQLite database ``part-<n>.db``
     under ``folder`` (one writer per task, no single-file bottleneck).  Returns a
     frame of (file, rows) per written shard; run it with an action."""
+    from ..session import ship_package
+    ship_package(df.sparkSession)
     folder = posix_path(folder)
     cols = [(f.name, DECLARED.get(f.dataType.simpleString(), "TEXT")) for f in df.schema.fields]
     ddl = ", ".join(f'"{c}" {t}' for c, t in cols)

@@ -108,3 +108,15 @@ def test_streaming_chunk_ingest(spark):
     store = store_view(spark, log)
     assert first == 4 and store.count() == 4  # same text -> same id: last write wins
     assert store.where(F.col("text") == "beta").first()["doc_id"] == 3
+
+
+def test_ship_package_and_read_any(spark):
+    from sparkinsight.session import _SHIPPED, ship_package
+    ship_package(spark)
+    assert spark.sparkContext.applicationId in _SHIPPED
+    d = tempfile.mkdtemp()
+    spark.createDataFrame([(1, float("nan")), (2, 2.5)], "k long, v double").write.parquet(d + "/t.parquet")
+    df = S.read_any(spark, d + "/t.parquet")
+    assert df.where(F.col("v").isNull()).count() == 1  # NaN normalised to NULL
+    _write(d + "/c.csv", "a,b\n1,x\n")
+    assert S.read_any(spark, d + "/c.csv").dtypes == [("a", "bigint"), ("b", "string")]

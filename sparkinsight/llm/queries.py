@@ -12,6 +12,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secrets(spark, sf_dir):
+    from .secrets import scan
+    return scan(read_table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark, sf_dir):
     from .mixing import mix_report
     return mix_report(read_table(spark, sf_dir, "documents"))
@@ -27,7 +32,7 @@ def op8_exact_dedup(spark, sf_dir):
     return dedup_report(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op6_packing, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op3_mixing, op6_packing, op8_exact_dedup)}
 
 ORACLE = {
     "op8_exact_dedup": """

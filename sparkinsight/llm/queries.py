@@ -32,7 +32,12 @@ def op8_exact_dedup(spark, sf_dir):
     return dedup_report(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_mixing, op6_packing, op8_exact_dedup)}
+def op9_toxicity(spark, sf_dir):
+    from .toxicity import toxicity_report
+    return toxicity_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op3_mixing, op6_packing, op8_exact_dedup, op9_toxicity)}
 
 ORACLE = {
     "op8_exact_dedup": """

@@ -17,6 +17,11 @@ def op1_secrets(spark, sf_dir):
     return scan(read_table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark, sf_dir):
+    from .quality import quality_report
+    return quality_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_mixing(spark, sf_dir):
     from .mixing import mix_report
     return mix_report(read_table(spark, sf_dir, "documents"))
@@ -37,7 +42,7 @@ def op9_toxicity(spark, sf_dir):
     return toxicity_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_mixing, op6_packing, op8_exact_dedup, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_mixing, op6_packing, op8_exact_dedup, op9_toxicity)}
 
 ORACLE = {
     "op8_exact_dedup": """

@@ -32,6 +32,11 @@ def op4_substring_dedup(spark, sf_dir):
     return substring_report(read_table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark, sf_dir):
+    from .ngram_join import ngram_join
+    return ngram_join(read_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark, sf_dir):
     from .packing import pack
     return pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
@@ -47,7 +52,7 @@ def op9_toxicity(spark, sf_dir):
     return toxicity_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_mixing, op4_substring_dedup, op6_packing, op8_exact_dedup, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_mixing, op4_substring_dedup, op5_ngram_join, op6_packing, op8_exact_dedup, op9_toxicity)}
 
 ORACLE = {
     "op8_exact_dedup": """

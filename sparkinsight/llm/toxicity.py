@@ -212,7 +212,7 @@ class Vocabulary:
 
 
 def fit(texts: list[bytes], labels: np.ndarray, size: int = 48, stride: int = 32, epochs: int = 14, batch: int = 128,
-        rate: float = 0.01, seed: int = 7) -> dict:
+        rate: float = 0.01, updates: int = 300, seed: int = 7) -> dict:
     """Train on labelled texts: evidence from two thirds, the network on the other third."""
     part = np.arange(len(texts)) % 3
     order = np.random.default_rng(seed).permutation(len(texts))
@@ -226,6 +226,9 @@ def fit(texts: list[bytes], labels: np.ndarray, size: int = 48, stride: int = 32
         net["o"][:] = 0  # nothing to tell apart: everything gets the same low score
         net["c"][:] = -3
         return model
+    # few samples: smaller batches and more rounds, for about ``updates`` steps at least
+    batch = max(16, min(batch, len(tx) // 12))
+    epochs = max(epochs, -(-updates // max(1, len(tx) // batch)))
     voc = Vocabulary(ev, limit=1 << 60)
     lens, ids = voc.encode(tx)
     base = np.cumsum(lens) - lens

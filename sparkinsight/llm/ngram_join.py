@@ -69,18 +69,19 @@ class Schemes:
         return int(np.searchsorted(self.bounds, n, "right")) - 1
 
     def partitions(self, scheme: int) -> int:
-        """Many for small sets (one element each), about three elements each for large ones."""
+        """Many for small sets (one element each), about three elements each for
+        large ones, and always more than similar sets of the scheme can differ in."""
         s = self.bounds[max(0, scheme)]
-        return int(1 << 20 if s < 64 else s if s < 128 else s / 2 if s < 400 else s / 3) + 1
+        return int(1 << 20 if s < 64 else s if s < 128 else s / 2 if s < 400 else s / 2.5) + 1
 
     def spoiled(self, n: int, lower: bool) -> int:
         """The most elements in which a set of n and a similar one can differ.
 
         |A xor B| <= (|A| + |B|) (100 - p) / (100 + p) and |B| <= 100 |A| / p; in the scheme of
-        the band below, the partner is the smaller one.
+        the band below, the partner lies in that band.
         """
         p = self.percent
-        both = 2 * n if lower else n + n * 100 // p
+        both = n + (int(self.bounds[self.band(n)]) if lower else n * 100 // p)
         return both * (100 - p) // (100 + p)
 
     def signatures(self, s: np.ndarray, lower: bool) -> np.ndarray:

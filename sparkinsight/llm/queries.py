@@ -52,7 +52,13 @@ def op9_toxicity(spark, sf_dir):
     return toxicity_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_mixing, op4_substring_dedup, op5_ngram_join, op6_packing, op8_exact_dedup, op9_toxicity)}
+def op10_embedding_dedup(spark, sf_dir):
+    from .embedding_join import embedding_join
+    return embedding_join(read_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_mixing, op4_substring_dedup, op5_ngram_join, op6_packing, op8_exact_dedup, op9_toxicity,
+                                   op10_embedding_dedup)}
 
 ORACLE = {
     "op8_exact_dedup": """

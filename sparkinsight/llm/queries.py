@@ -42,6 +42,11 @@ def op6_packing(spark, sf_dir):
     return pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_html_extract(spark, sf_dir):
+    from .html_extract import extract_report
+    return extract_report(read_table(spark, sf_dir, "pages"))
+
+
 def op8_exact_dedup(spark, sf_dir):
     from .exact_dedup import dedup_report
     return dedup_report(read_table(spark, sf_dir, "documents"))
@@ -57,7 +62,7 @@ def op10_embedding_dedup(spark, sf_dir):
     return embedding_join(read_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_mixing, op4_substring_dedup, op5_ngram_join, op6_packing, op8_exact_dedup, op9_toxicity,
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_mixing, op4_substring_dedup, op5_ngram_join, op6_packing, op7_html_extract, op8_exact_dedup, op9_toxicity,
                                    op10_embedding_dedup)}
 
 ORACLE = {

@@ -65,6 +65,7 @@ def parse(page: str) -> list[tuple[str, str]]:
     buf: list[str] = []
     chrome = article = 0
     pos, n, low = 0, len(page), None
+    mute = None  # a leaf element declared chrome: its text is left out
 
     def flush():
         if buf:
@@ -76,9 +77,9 @@ def parse(page: str) -> list[tuple[str, str]]:
     while pos < n:
         m = TAG.search(page, pos)
         if not m:
-            buf.append(page[pos:])
+            buf.append("" if mute else page[pos:])
             break
-        if m.start() > pos:
+        if m.start() > pos and not mute:
             buf.append(page[pos:m.start()])
         pos, tag = m.end(), m.group()
         head = NAME.match(tag)
@@ -96,8 +97,15 @@ def parse(page: str) -> list[tuple[str, str]]:
             buf.append(" ")
         elif name in BLOCK_TAGS:
             flush()
-        if name in LEAF or name in VOID or name in DROP:
-            # an advert or notice may be a paragraph: it then holds to its end tag or the next block
+            mute = None
+        if name in LEAF:
+            # an advert or notice may be a paragraph: it holds to its end tag or the next block
+            if closing and name == mute:
+                mute = None
+            elif not closing and not mute and "=" in tag and _region(name, tag, article > 0) == CHROME:
+                mute = name
+            continue
+        if name in VOID or name in DROP:
             continue
         if not closing:
             kind = _region(name, tag, article > 0)

@@ -24,7 +24,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHasher:
     """64-bit hashes of the words of texts; known words are kept, at most ``limit``."""
 
-    def __init__(self, lower: bool = False, limit: int = 400_000):
+    def __init__(self, lower: bool = False, limit: int = 200_000):
         self.lower, self.limit, self.known = lower, limit, {}
 
     def __call__(self, texts: list[bytes]):
@@ -54,12 +54,12 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
-def chunks(texts: list, limit: int = 6 << 20):
-    """(from, to) runs of about ``limit`` bytes."""
+def chunks(texts: list, limit: int = 4 << 20, most: int = 30_000):
+    """(from, to) runs of about ``limit`` bytes and at most ``most`` texts."""
     start = size = 0
     for i, t in enumerate(texts):
         size += len(t)
-        if size >= limit:
+        if size >= limit or i + 1 - start >= most:
             yield start, i + 1
             start, size = i + 1, 0
     if start < len(texts):

@@ -25,34 +25,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import parallelism
+from .common import bytes_of
 from .graph import components
-from .hashing import MULT, WordHasher, chunks, compressed, decompressor, mix, power_of_two, total_bytes, window_hashes
+from .hashing import MULT, WordHasher, chunks, decompressor, mix, power_of_two, total_bytes, window_hashes
 
-SETS = "doc_id long, n_shingles long, set_id long, needed array<int>, z binary"
+SETS = "doc_id long, n_shingles long, set_id long, needed array<int>"
 
 
 # ---- sets ------------------------------------------------------------------------
-def shingle_sets(texts: list[bytes], size: int, hasher: WordHasher) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; fewer words than ``size`` make one shingle."""
-    _, lens, h = hasher(texts)
-    at = np.cumsum(lens) - lens
-    full = window_hashes(h, size)
-    out = []
-    for s, n in zip(at, lens):
-        if n >= size:
-            out.append(np.unique(full[s:s + n - size + 1]))
-        elif n:
-            out.append(mix(window_hashes(h[s:s + n], int(n)) + np.uint64(n)))
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
-
-
-def set_id(s: np.ndarray) -> int:
-    with np.errstate(over="ignore"):
-        x = mix(s).sum(dtype=np.uint64) + np.uint64(len(s)) * MULT
-    return int(mix(np.array([x], np.uint64))[0].astype(np.int64))
+def shingle_sets(texts: list[bytes], size: int, hasher: WordHasher):
+    """(hashes, owner, n): the distinct shingle hashes of all texts, by text and value, the
+    text each belongs to, and each text's number.  Fewer words than ``size`` make one
+    shingle, no words none.  At most 65,535 texts."""
+    _, lens, words = hasher(texts)
+    end = np.cumsum(lens)
+    h = window_hashes(words, size)
+    of = np.repeat(np.arange(len(lens)), lens)[:len(h)]
+    ok = np.arange(len(h)) + size <= end[of]
+    h, of = h[ok], of[ok]
+    few = [i for i in np.flatnonzero((lens > 0) & (lens < size))]
+    if few:
+        one = [mix(window_hashes(words[end[i] - lens[i]:end[i]], int(lens[i])) + np.uint64(lens[i])) for i in few]
+        h, of = np.concatenate([h, *one]), np.concatenate([of, few])
+    order = np.argsort(h)
+    order = order[np.argsort(of[order].astype(np.uint16), kind="stable")]
+    h, of = h[order], of[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+    h, of = h[new], of[new]
+    return h, of, np.bincount(of, minlength=len(lens))
+
+
+def set_ids(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """64-bit identity of each text's set (0 for the empty set)."""
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(h), dtype=np.uint64)])
+    end = np.cumsum(n)
+    out = mix(total[end] - total[end - n] + n.astype(np.uint64) * MULT).astype(np.int64)
+    return np.where(n > 0, out, 0)
 
 
 # ---- schemes -----------------------------------------------------------------------
@@ -63,37 +72,40 @@ class Schemes:
         b = [0.9]
         while b[-1] < 1e12:
             b.append(b[-1] * ratio)
-        self.bounds = np.array(b)
+        self.bounds = s = np.array(b)
+        # many partitions for small sets (one element each), about three elements each for
+        # large ones, and always more than similar sets of the scheme can differ in
+        size = np.where(s < 64, 1 << 20, np.where(s < 128, s, np.where(s < 400, s / 2, s / 2.5)))
+        self.partitions = size.astype(np.uint64) + np.uint64(1)
 
-    def band(self, n: int) -> int:
-        return int(np.searchsorted(self.bounds, n, "right")) - 1
+    def bands(self, n: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.bounds, n, "right") - 1
 
-    def partitions(self, scheme: int) -> int:
-        """Many for small sets (one element each), about three elements each for
-        large ones, and always more than similar sets of the scheme can differ in."""
-        s = self.bounds[max(0, scheme)]
-        return int(1 << 20 if s < 64 else s if s < 128 else s / 2 if s < 400 else s / 2.5) + 1
-
-    def spoiled(self, n: int, lower: bool) -> int:
+    def spoiled(self, n: np.ndarray, lower: bool) -> np.ndarray:
         """The most elements in which a set of n and a similar one can differ.
 
         |A xor B| <= (|A| + |B|) (100 - p) / (100 + p) and |B| <= 100 |A| / p; in the scheme of
         the band below, the partner lies in that band.
         """
         p = self.percent
-        both = n + (int(self.bounds[self.band(n)]) if lower else n * 100 // p)
+        both = n + (self.bounds[np.maximum(0, self.bands(n))].astype(np.int64) if lower else n * 100 // p)
         return both * (100 - p) // (100 + p)
 
-    def signatures(self, s: np.ndarray, lower: bool) -> np.ndarray:
-        scheme = self.band(len(s)) - lower
-        n = self.partitions(scheme)
-        tag = np.array([(scheme + 2) * 1_000_003 + self.seed], np.uint64)
-        part = (mix(s ^ (tag * MULT)) >> np.uint64(20)) % np.uint64(n)
-        order = np.argsort(part, kind="stable")
-        part = part[order]
-        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        content = np.add.reduceat(mix(s[order] + tag), at)
-        return np.unique(mix(content + mix(part[at] + tag * MULT)))
+    def signatures(self, h: np.ndarray, of: np.ndarray, n: np.ndarray, lower: bool):
+        """(signatures, owner) of all sets in the scheme of their band or of the one below."""
+        scheme = self.bands(n) - int(lower)
+        tag = (scheme + 2).astype(np.uint64) * np.uint64(1_000_003) + np.uint64(self.seed)
+        tag, salt = tag[of], (tag * MULT)[of]
+        part = (mix(h ^ salt) >> np.uint64(20)) % self.partitions[np.maximum(0, scheme)][of]
+        key = (of.astype(np.uint64) << np.uint64(44)) | part
+        order = np.argsort(key)
+        key = key[order]
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        if not len(at):
+            return np.zeros(0, np.uint64), at
+        first = order[at]
+        content = np.add.reduceat(mix(h + tag)[order], at)
+        return mix(content + mix(part[first] + salt[first])), of[first]
 
 
 # ---- signatures counted in parts of their space ----------------------------------------
@@ -110,19 +122,34 @@ def _from5(b):
 def _sets(size: int, schemes: Schemes):
     """Per document: its set's size, id and the number of signatures a similar set shares."""
     def run(batches):
-        hasher, un = WordHasher(lower=True), decompressor()
+        hasher = WordHasher(lower=True)
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for s, e in chunks(texts):
+                h, of, n = shingle_sets(texts[s:e], size, hasher)
+                need = [np.bincount(schemes.signatures(h, of, n, low)[1], minlength=len(n)) - schemes.spoiled(n, low)
+                        for low in (False, True)]
+                empty = n == 0
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(n) + 1, 2), pa.int32()),
+                                                 pa.array(np.stack(need, 1).ravel().astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(s, e - s), pa.array(n.astype(np.int64)), pa.array(set_ids(h, n), mask=empty), lists],
+                    names=["doc_id", "n_shingles", "set_id", "needed"])
+    return run
+
+
+def _set_texts(size: int):
+    """(set_id, z): the set of each text and the text as zstd bytes."""
+    def run(batches):
+        import zstandard
+        hasher, squeeze = WordHasher(lower=True), zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            z = b.column(1).to_pylist()
-            texts = [un(x) for x in z]
-            rows = []
+            texts = b.column(0).to_pylist()
             for s, e in chunks(texts):
-                rows += [(len(x), set_id(x) if len(x) else None,
-                          [len(schemes.signatures(x, low)) - schemes.spoiled(len(x), low) for low in (False, True)] if len(x) else None)
-                         for x in shingle_sets(texts[s:e], size, hasher)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                 pa.array([r[2] for r in rows], pa.list_(pa.int32())), pa.array(z, pa.binary())],
-                names=["doc_id", "n_shingles", "set_id", "needed", "z"])
+                h, of, n = shingle_sets(texts[s:e], size, hasher)
+                use = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(set_ids(h, n)[use]), pa.array([squeeze(texts[s + i]) for i in use], pa.binary())], names=["set_id", "z"])
     return run
 
 
@@ -131,34 +158,31 @@ def _send(size: int, schemes: Schemes, parts: int):
     mask, bits = np.uint64(parts - 1), np.uint64(parts.bit_length() - 1)
 
     def run(batches):
-        hasher, un = WordHasher(lower=True), decompressor()
+        hasher = WordHasher(lower=True)
         for b in batches:
-            texts = [un(x) for x in b.column(0).to_pylist()]
+            texts = b.column(0).to_pylist()
             for s, e in chunks(texts):
-                ids, sigs, seen = [], [], set()
-                for x in shingle_sets(texts[s:e], size, hasher):
-                    if not len(x) or (k := set_id(x)) in seen:
-                        continue
-                    seen.add(k)
-                    for low in (0, 1):
-                        ids.append((k, low))
-                        sigs.append(schemes.signatures(x, bool(low)))
-                if not ids:
+                h, of, n = shingle_sets(texts[s:e], size, hasher)
+                ids = set_ids(h, n)
+                # equal sets of one chunk are sent once
+                first = np.zeros(len(n), bool)
+                first[np.unique(ids, return_index=True)[1]] = True
+                use = (first & (n > 0))[of]
+                h, of = h[use], of[use]
+                if not len(h):
                     continue
-                run_of = np.repeat(np.arange(len(ids)), [len(x) for x in sigs])
-                sig = np.concatenate(sigs)
+                two = [schemes.signatures(h, of, n, low) for low in (False, True)]
+                sig = np.concatenate([t[0] for t in two])
+                # the scheme (own band or the one below) is the lowest bit of the owner
+                own = np.concatenate([t[1] * 2 + low for low, t in enumerate(two)])
                 part = (sig & mask).astype(np.int64)
-                order = np.lexsort((run_of, part))
-                sig, part, run_of = sig[order] >> bits, part[order], run_of[order]
+                order = np.argsort(part * (2 * len(n)) + own, kind="stable")
+                sig, part, own = sig[order] >> bits, part[order], own[order]
                 cut = np.flatnonzero(np.diff(part, prepend=-1, append=parts))
-                key = np.array([i[0] for i in ids], np.int64)
-                low = np.array([i[1] for i in ids], np.uint32)
                 out = []
                 for f, t in zip(cut[:-1], cut[1:]):
-                    r, n = np.unique(run_of[f:t], return_counts=True)
-                    # the scheme (own band or the one below) rides on the count
-                    out.append((int(part[f]), key[r].astype("<i8").tobytes(), (n.astype("<u4") * 2 + low[r]).astype("<u4").tobytes(),
-                                _low5(sig[f:t])))
+                    r, k = np.unique(own[f:t], return_counts=True)
+                    out.append((int(part[f]), ids[r >> 1].astype("<i8").tobytes(), (k * 2 + (r & 1)).astype("<u4").tobytes(), _low5(sig[f:t])))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([o[0] for o in out], pa.int32()), *[pa.array([o[k] for o in out], pa.binary()) for k in (1, 2, 3)]],
                     names=["part", "sets", "counts", "sigs"])
@@ -234,17 +258,27 @@ def _prefix(key, table, needed):
 # ---- exact verification ------------------------------------------------------------------
 def _verify(size: int, percent: int):
     def run(batches):
-        hasher, un, last = WordHasher(lower=True), decompressor(), (None, None)
+        hasher, un = WordHasher(lower=True), decompressor()
         for b in batches:
-            a, c, za, zc = (b.column(k).to_pylist() for k in range(4))
-            ok = []
-            for i, j, x, y in zip(a, c, za, zc):
-                if last[0] != i:
-                    last = (i, shingle_sets([un(x)], size, hasher)[0])
-                other = shingle_sets([un(y)], size, hasher)[0]
-                both = len(np.intersect1d(last[1], other, assume_unique=True))
-                ok.append(100 * both >= percent * (len(last[1]) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
+            x, y = (b.column(k).to_pylist() for k in (2, 3))
+            for s in range(0, len(x), 200):
+                # both sides' sets in one go, each text once
+                place, texts = {}, []
+                for z in [*x[s:s + 200], *y[s:s + 200]]:
+                    if z not in place:
+                        place[z] = len(texts)
+                        texts.append(un(z))
+                h, _, n = shingle_sets(texts, size, hasher)
+                end = np.cumsum(n)
+                ok = []
+                for i, j in zip(map(place.get, x[s:s + 200]), map(place.get, y[s:s + 200])):
+                    two = np.concatenate([h[end[i] - n[i]:end[i]], h[end[j] - n[j]:end[j]]])
+                    two.sort()
+                    both = int((two[1:] == two[:-1]).sum())
+                    ok.append(100 * both >= percent * (len(two) - both))
+                k = len(ok)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, k), b.column(1).slice(s, k), pa.array(ok, pa.bool_())],
+                                                 names=["a", "b", "linked"])
     return run
 
 
@@ -262,22 +296,21 @@ def near_sets(docs: DataFrame, size: int = 5, percent: int = 80, part_sigs: int
     total = total_bytes(docs)
     parts = max(least_parts, power_of_two(total / 12 / part_sigs))
     buckets = max(1, -(-total // (8 << 20)))
-    packed = compressed(docs)
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), bytes_of().alias("b"))
     for seed in range(64):
         schemes = Schemes(percent, seed)
-        rows = materialize(packed.mapInArrow(_sets(size, schemes), SETS).drop("z"))
+        rows = materialize(raw.mapInArrow(_sets(size, schemes), SETS))
         thin = F.least(F.get("needed", F.lit(0)), F.get("needed", F.lit(1)))
         # the guarantee needs one shared signature: another dealing if a set has too few
-        if rows.where(thin < 1).isEmpty():
+        if rows.where((F.col("n_shingles") > 0) & (thin < 1)).isEmpty():
             break
-    rows_z = packed.mapInArrow(_sets(size, schemes), SETS)
-    sent = packed.select("z").mapInArrow(_send(size, schemes, parts), "part int, sets binary, counts binary, sigs binary")
+    sent = raw.select("b").mapInArrow(_send(size, schemes, parts), "part int, sets binary, counts binary, sigs binary")
     back = sent.groupBy("part").applyInArrow(
         _repeated(parts, buckets), "bucket long, sets binary, low binary, n binary, sig binary, freq binary")
     info = (rows.where("set_id is not null").select("set_id", "n_shingles", "needed").dropDuplicates(["set_id"])
             .withColumn("bucket", F.pmod("set_id", F.lit(buckets))))
     pre = materialize(back.groupBy("bucket").cogroup(info.groupBy("bucket")).applyInArrow(_prefix, PREFIX))
-    texts = materialize(rows_z.where("set_id is not null").select("set_id", "z")
+    texts = materialize(raw.select("b").mapInArrow(_set_texts(size), "set_id long, z binary")
                         .join(pre.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]))
 
     def members(comps):

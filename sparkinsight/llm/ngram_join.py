@@ -13,8 +13,9 @@ a set with fewer repeated signatures than needed has no partner; and of the othe
 order of frequency, only the first (repeated - needed + 1) must be looked at, as similar
 sets share one of them.  So a very common passage costs no pairs.  Candidates are
 verified exactly.  The components come from few links: first each set with the centre it
-shares most with, then with further centres, at last every pair of candidates that is
-not yet connected.
+shares most with; sets that hang together by these candidates form clusters.  Where a
+signature's sets are not connected yet, those of one cluster are compared in blocks of
+bounded size (which give back spanning links only), and pairs across clusters one by one.
 """
 
 from __future__ import annotations
@@ -290,9 +291,65 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return materialize(j.mapInArrow(_verify(size, percent), "a long, b long, linked boolean"))
 
 
-def near_sets(docs: DataFrame, size: int = 5, percent: int = 80, part_sigs: int = 1 << 20, least_parts: int = 64):
-    """(rows, links): per document (doc_id, n_shingles, set_id) and a set's component."""
-    spark = docs.sparkSession
+# ---- clusters of candidates, in blocks ------------------------------------------------------
+BLOCK = "clu long, blk long, ids array<long>, comps array<long>, zs array<binary>"
+
+
+def _pack_block(key, table):
+    return pa.table({"clu": [key[0].as_py()], "blk": [key[1].as_py()], "ids": [table.column("set_id").to_pylist()],
+                     "comps": [table.column("comp").to_pylist()], "zs": [table.column("z").to_pylist()]},
+                    schema=pa.schema([("clu", pa.int64()), ("blk", pa.int64()), ("ids", pa.list_(pa.int64())),
+                                      ("comps", pa.list_(pa.int64())), ("zs", pa.list_(pa.binary()))]))
+
+
+def overlaps(h: np.ndarray, of: np.ndarray, sets: int, width: int = 4096) -> np.ndarray:
+    """Sizes of all pairwise intersections of a bounded number of sets."""
+    order = np.argsort(h, kind="stable")
+    h, of = h[order], of[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    col = np.cumsum(new) - 1
+    often = np.bincount(col) > 1 if len(col) else np.zeros(0, bool)
+    keep = often[col] if len(col) else np.zeros(0, bool)
+    col, of = (np.cumsum(often) - 1)[col[keep]], of[keep]
+    out = np.zeros((sets, sets), np.float32)
+    for c in range(0, int(often.sum()), width):
+        s, e = np.searchsorted(col, (c, c + width))
+        m = np.zeros((sets, width), np.float32)
+        m[of[s:e], col[s:e] - c] = 1
+        out += m @ m.T
+    return out
+
+
+def _verify_blocks(size: int, percent: int):
+    """Links that span what two blocks of a cluster connect: a row per set at most."""
+    def run(batches):
+        hasher, un = WordHasher(lower=True), decompressor()
+        for b in batches:
+            for i in range(b.num_rows):
+                i1, c1, z1, i2, c2, z2, same = (c[i].as_py() for c in b.columns)
+                ids, comp, zs = (i1, c1, z1) if same else (i1 + i2, c1 + c2, z1 + z2)
+                h, of, n = shingle_sets([un(z) for z in zs], size, hasher)
+                both = overlaps(h, of, len(n)).astype(np.int64)
+                hit = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+                comp = np.array(comp)
+                hit &= comp[:, None] != comp[None, :]
+                root = np.arange(len(n))
+                while True:
+                    new = np.minimum(root, np.where(hit, root[None, :], len(n)).min(1))
+                    new = np.minimum(new, new[new])
+                    if (new == root).all():
+                        break
+                    root = new
+                k = np.flatnonzero(root != np.arange(len(n)))
+                ids = np.array(ids, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[k]), pa.array(ids[root[k]])], names=["a", "b"])
+    return run
+
+
+def near_sets(docs: DataFrame, size: int = 5, percent: int = 80, part_sigs: int = 1 << 20, least_parts: int = 64,
+              block: int = 256):
+    """(rows, components): per document (doc_id, n_shingles, set_id) and each linked set's component."""
     total = total_bytes(docs)
     parts = max(least_parts, power_of_two(total / 12 / part_sigs))
     buckets = max(1, -(-total // (8 << 20)))
@@ -307,46 +364,51 @@ def near_sets(docs: DataFrame, size: int = 5, percent: int = 80, part_sigs: int
     sent = raw.select("b").mapInArrow(_send(size, schemes, parts), "part int, sets binary, counts binary, sigs binary")
     back = sent.groupBy("part").applyInArrow(
         _repeated(parts, buckets), "bucket long, sets binary, low binary, n binary, sig binary, freq binary")
-    info = (rows.where("set_id is not null").select("set_id", "n_shingles", "needed").dropDuplicates(["set_id"])
-            .withColumn("bucket", F.pmod("set_id", F.lit(buckets))))
+    info = (rows.where("set_id is not null").groupBy("set_id").agg(
+        F.max("n_shingles").alias("n_shingles"), F.max("needed").alias("needed"))
+        .withColumn("bucket", F.pmod("set_id", F.lit(buckets))))
     pre = materialize(back.groupBy("bucket").cogroup(info.groupBy("bucket")).applyInArrow(_prefix, PREFIX))
     texts = materialize(raw.select("b").mapInArrow(_set_texts(size), "set_id long, z binary")
                         .join(pre.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]))
 
-    def members(comps):
-        """(sig, set, size, component) of every prefix signature."""
-        p = pre.join(comps, pre["set_id"] == comps["node"], "left").select(
-            "set_id", "size", F.coalesce("component", "set_id").alias("comp"), "sigs")
-        return p.select("set_id", "size", "comp", F.explode("sigs").alias("sig"))
-
-    def open_sigs(m):
-        return m.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-
+    # each set with the centre (the member of least hash of a signature's sets) it shares most with
     fits = F.least("size", "size2") * 100 >= F.greatest("size", "size2") * percent
-    links = tried = spark.createDataFrame([], "a long, b long, linked boolean").select("a", "b")
-    comps = spark.createDataFrame([], "node long, component long")
-    for turn in (0, 1):
-        m = members(comps)
-        centre = m.groupBy("sig").agg(F.min(F.struct(F.xxhash64("set_id", F.lit(turn)), F.col("set_id"), F.col("size"), F.col("comp"))).alias("c"),
-                                      F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(
-            "sig", F.col("c.set_id").alias("b"), F.col("c.size").alias("size2"), F.col("c.comp").alias("comp2"))
-        cand = (m.join(centre, "sig").where((F.col("set_id") != F.col("b")) & (F.col("comp") != F.col("comp2")) & fits)
-                .groupBy(F.col("set_id").alias("a"), "b").agg(F.count("*").alias("n")))
-        best = (cand.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).where("r = 1")
-                .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        got = verify(best.join(tried, ["a", "b"], "left_anti"), texts, size, percent)
-        tried = tried.unionByName(got.select("a", "b"))
-        links = links.unionByName(got.where("linked").select("a", "b"))
-        comps = components(links)
-    # every candidate pair that is still unconnected: exact, whatever the rounds left
-    m = members(comps)
-    rest = materialize(m.join(open_sigs(m).select("sig"), "sig", "left_semi"))
-    other = rest.select("sig", F.col("set_id").alias("b"), F.col("size").alias("size2"), F.col("comp").alias("comp2"))
-    pairs = (rest.join(other, "sig").where((F.col("set_id") < F.col("b")) & (F.col("comp") != F.col("comp2")) & fits)
-             .select(F.col("set_id").alias("a"), "b").distinct().join(tried, ["a", "b"], "left_anti"))
-    got = verify(pairs, texts, size, percent)
-    comps = components(links.unionByName(got.where("linked").select("a", "b")))
-    return rows.select("doc_id", "n_shingles", "set_id"), comps
+    m = pre.select("set_id", "size", F.explode("sigs").alias("sig"))
+    centre = (m.groupBy("sig").agg(F.min(F.struct(F.xxhash64("set_id"), F.col("set_id"), F.col("size"))).alias("c"), F.count("*").alias("n"))
+              .where("n > 1").select("sig", F.col("c.set_id").alias("b"), F.col("c.size").alias("size2")))
+    cand = (m.join(centre, "sig").where((F.col("set_id") != F.col("b")) & fits)
+            .groupBy(F.col("set_id").alias("a"), "b").agg(F.count("*").alias("n")))
+    best = materialize(cand.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).where("r = 1")
+                       .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = verify(best, texts, size, percent).where("linked").select("a", "b")
+    comps, clusters = components(links), components(best)
+
+    # signatures whose sets are not one component yet
+    named = (pre.join(comps, F.col("set_id") == F.col("node"), "left").select(
+        "set_id", "size", "sigs", F.coalesce("component", "set_id").alias("comp"))
+        .join(clusters.withColumnRenamed("component", "clu"), F.col("set_id") == F.col("node"), "left")
+        .select("set_id", "size", "comp", F.coalesce("clu", "set_id").alias("clu"), F.explode("sigs").alias("sig")))
+    open_ = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
+    rest = materialize(named.join(open_, "sig", "left_semi"))
+    # inside a cluster: all its open sets against each other, in blocks of bounded size
+    members = rest.groupBy("set_id").agg(F.first("clu").alias("clu"), F.first("comp").alias("comp"))
+    sizes = members.groupBy("clu").agg(F.ceil(F.count("*") / block).alias("nb"), F.min("comp").alias("lo"),
+                                       F.max("comp").alias("hi")).where("lo < hi").select("clu", "nb")
+    blocks = materialize(members.join(sizes, "clu").withColumn("blk", F.pmod(F.xxhash64("set_id"), F.col("nb")))
+                         .join(texts, "set_id").groupBy("clu", "blk").applyInArrow(_pack_block, BLOCK))
+    two = blocks.select(F.col("clu"), F.col("blk").alias("blk2"), F.col("ids").alias("ids2"), F.col("comps").alias("comps2"),
+                        F.col("zs").alias("zs2"))
+    work = blocks.join(two, "clu").where("blk <= blk2").select("ids", "comps", "zs", "ids2", "comps2", "zs2",
+                                                                (F.col("blk") == F.col("blk2")).alias("same"))
+    inside = materialize(work.mapInArrow(_verify_blocks(size, percent), "a long, b long"))
+    # across clusters: the candidate pairs one by one
+    other = rest.select("sig", F.col("set_id").alias("b"), F.col("size").alias("size2"), F.col("comp").alias("comp2"),
+                        F.col("clu").alias("clu2"))
+    pairs = (rest.join(other, "sig").where((F.col("set_id") < F.col("b")) & (F.col("clu") != F.col("clu2"))
+                                           & (F.col("comp") != F.col("comp2")) & fits)
+             .select(F.col("set_id").alias("a"), "b").distinct())
+    across = verify(pairs, texts, size, percent).where("linked").select("a", "b")
+    return rows.select("doc_id", "n_shingles", "set_id"), components(links.unionByName(inside).unionByName(across))
 
 
 def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

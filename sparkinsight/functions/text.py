@@ -57,3 +57,15 @@ def short_float(c: Column) -> Column:
     (``0.12``, ``1.0``, ``0.0001``): fixed 4-decimal text with trailing zeros cut."""
     s = F.regexp_replace(F.format_string("%.4f", c), r"0+$", "")
     return F.when(s.endswith("."), F.concat(s, F.lit("0"))).otherwise(s)
+
+
+def fits(c: str, i: int) -> list[Column]:
+    """Aggregates ``w64_i``, ``w128_i``: values of a text column that fit each integer width."""
+    return [F.expr(f"count(try_cast(trim(`{c}`) AS {t}))").alias(f"{n}_{i}")
+            for n, t in (("w64", "bigint"), ("w128", "decimal(38,0)"))]
+
+
+def integer_type(row, i: int) -> str | None:
+    """The narrowest type that holds every value of an all-digits column; None: stays text."""
+    n = row[f"n{i}"]
+    return "bigint" if row[f"w64_{i}"] == n else "decimal(38,0)" if row[f"w128_{i}"] == n else None

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import quantiles
-from ..functions.text import INTEGER_TEXT, NUMERIC_TEXT, parse_datetime
+from ..functions.text import INTEGER_TEXT, NUMERIC_TEXT, fits, integer_type, parse_datetime
 from ..schema import columns_of, kind_of
 from ..session import materialize
 
@@ -57,14 +57,17 @@ def fit_types(df: DataFrame) -> dict[str, str]:
         x = F.col(c)
         aggs += [F.count(x).alias(f"n{i}"),
                  F.count_if(x.rlike(NUMERIC_TEXT)).alias(f"num{i}"),
-                 F.count_if(x.rlike(INTEGER_TEXT)).alias(f"int{i}"),
+                 F.count_if(x.rlike(INTEGER_TEXT)).alias(f"int{i}"), *fits(c, i),
                  F.count_if(parse_datetime(x).isNotNull()).alias(f"dt{i}")]
     row = df.agg(*aggs).first()
     out = {}
     for i, c in enumerate(cols):
         n = row[f"n{i}"]
         if row[f"num{i}"] == n:
-            out[c] = "bigint" if n > 0 and row[f"int{i}"] == n else "double"
+            whole = n > 0 and row[f"int{i}"] == n
+            kind = integer_type(row, i) if whole else "double"
+            if kind:
+                out[c] = kind
         elif row[f"dt{i}"] == n:
             out[c] = "timestamp_ntz"
     return out
@@ -322,7 +325,7 @@ def clean(df: DataFrame, cfg: CleanConfig | None = None) -> tuple[DataFrame, Dat
         if kinds[c] != "other":
             aggs.append((F.min(x) != F.max(x)).alias(f"v{i}"))
         if kinds[c] == "categorical":
-            aggs += [F.count_if(x.rlike(NUMERIC_TEXT)).alias(f"num{i}"), F.count_if(x.rlike(INTEGER_TEXT)).alias(f"int{i}"),
+            aggs += [*fits(c, i), F.count_if(x.rlike(NUMERIC_TEXT)).alias(f"num{i}"), F.count_if(x.rlike(INTEGER_TEXT)).alias(f"int{i}"),
                      F.count_if(parse_datetime(x).isNotNull()).alias(f"dt{i}"),
                      F.approx_count_distinct(x).alias(f"a{i}")]
     st = grouped.agg(*aggs).first()
@@ -343,7 +346,10 @@ def clean(df: DataFrame, cfg: CleanConfig | None = None) -> tuple[DataFrame, Dat
             continue
         i, n = idx[c], st[f"n{idx[c]}"]
         if st[f"num{i}"] == n:
-            types[c] = "bigint" if n > 0 and st[f"int{i}"] == n else "double"
+            whole = n > 0 and st[f"int{i}"] == n
+            kind = integer_type(st, i) if whole else "double"
+            if kind:
+                types[c] = kind
         elif st[f"dt{i}"] == n:
             types[c] = "timestamp_ntz"
     df = apply_types(df, types)

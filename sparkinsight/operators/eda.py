@@ -218,7 +218,8 @@ def detect_trends(df: DataFrame, order_by: str, cols: list[str] | None = None,
                * (F.col("mean_y") - F.col("tot_y")))
     agg = j.groupBy("column").agg(F.first("tot_n").alias("n_all"), F.first("tot_y").alias("mean"),
                                   F.sum(F.col("cxy") + between).alias("cxy"))
-    sxx = F.col("n_all") * (F.col("n_all") * F.col("n_all") - 1) / 12.0
+    n_all = F.col("n_all").cast("double")  # its cube passes 64 bits from about two million rows
+    sxx = n_all * (n_all * n_all - 1) / 12.0
     names = F.create_map(*[x for c, v in zip(cols, val_cols) for x in (F.lit(v), F.lit(c))])
     pos = F.create_map(*[x for i, v in enumerate(val_cols) for x in (F.lit(v), F.lit(i))])
     res = agg.where(F.col("n_all") >= TREND_MIN_POINTS).select(
@@ -237,8 +238,8 @@ def detect_trends(df: DataFrame, order_by: str, cols: list[str] | None = None,
 
 # ------------------------------------------------------------------ E7-E10
 def histogram(df: DataFrame, cols: list[str] | None = None, bins: int = HIST_BINS) -> DataFrame:
-    """Equal-width bins over [min, max] of each of the first 4 numeric columns."""
-    cols = columns_of(df, "numeric")[:4] if cols is None else cols
+    """Equal-width bins over [min, max] of each numeric column (or of ``cols``)."""
+    cols = columns_of(df, "numeric") if cols is None else cols
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, bin int, lo double, hi double, count bigint")
     mm = df.agg(*[e for i, c in enumerate(cols) for e in
@@ -264,7 +265,7 @@ def histogram(df: DataFrame, cols: list[str] | None = None, bins: int = HIST_BIN
 def box_stats(df: DataFrame, cols: list[str] | None = None, k: float = 1.5) -> DataFrame:
     """Quartiles, whiskers (extreme values inside the 1.5 IQR fences) and outlier counts."""
     spark = df.sparkSession
-    cols = columns_of(df, "numeric")[:6] if cols is None else cols
+    cols = columns_of(df, "numeric") if cols is None else cols
     q = quantiles(df, cols, [0.25, 0.5, 0.75])
     aggs = []
     for i, c in enumerate(cols):
@@ -287,8 +288,8 @@ def box_stats(df: DataFrame, cols: list[str] | None = None, k: float = 1.5) -> D
 
 
 def value_counts(df: DataFrame, cols: list[str] | None = None, k: int = VALUE_COUNTS_K) -> DataFrame:
-    """Top ``k`` non-null values per column (count desc, value asc), first 2 string columns."""
-    cols = columns_of(df, "categorical")[:2] if cols is None else cols
+    """Top ``k`` non-null values per column (count desc, value asc); all string columns or ``cols``."""
+    cols = columns_of(df, "categorical") if cols is None else cols
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
     counts = (df.select(F.inline(pairs)).where(F.col("value").isNotNull())
               .groupBy("column", "value").agg(F.count(F.lit(1)).alias("count")))
@@ -297,16 +298,17 @@ def value_counts(df: DataFrame, cols: list[str] | None = None, k: int = VALUE_CO
             .select("column", F.col("rank").cast("bigint").alias("rank"), "value", "count"))
 
 
-def scatter_frame(df: DataFrame, fraction: float = 1.0, seed: int = 42, key: str | None = None) -> DataFrame:
-    """Points of the first 4 numeric columns (when there are at least 3).
+def scatter_frame(df: DataFrame, fraction: float = 1.0, seed: int = 42, key: str | None = None,
+                  cols: list[str] | None = None) -> DataFrame:
+    """Points of the numeric columns, or of ``cols`` (when there are at least 3).
 
     ``fraction < 1`` keeps a hash-deterministic subset (``xxhash64`` of ``key``):
     independent of partitioning, so reruns and retried tasks draw the same rows.
     """
-    num = columns_of(df, "numeric")
+    num = columns_of(df, "numeric") if cols is None else cols
     if len(num) < 3:
         return df.select(*num).limit(0)
-    out = df.select(*num[:4])
+    out = df.select(*num)
     if fraction < 1.0:
         buckets = 1_000_000
         h = F.pmod(F.xxhash64(F.col(key or num[0]), F.lit(seed)), F.lit(buckets))
@@ -343,8 +345,8 @@ def eda(df: DataFrame, order_by: str) -> dict[str, DataFrame]:
     }
 
 
-def summary_context(df: DataFrame, order_by: str, limit: int = 3000) -> DataFrame:
-    """Prompt frame: JSON of the summary cut to ``limit`` chars, then trend lines."""
+def summary_context(df: DataFrame, order_by: str, limit: int | None = None) -> DataFrame:
+    """Prompt frame: JSON of the summary (cut to ``limit`` chars if given), then trend lines."""
     spark = df.sparkSession
     stats: dict = {}
     for r in numeric_summary(df).collect():

@@ -214,7 +214,7 @@ def roc_auc(pred: DataFrame, label: str, score: str) -> DataFrame:
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
     g = running_sum_before(g, "s", "neg", "neg_below")
     return g.agg(F.round(F.try_divide(F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))),
-                                      F.sum("pos") * F.sum("neg")), 4).alias("roc_auc"))
+                                      F.sum("pos").cast("double") * F.sum("neg")), 4).alias("roc_auc"))
 
 
 def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -294,7 +294,7 @@ def compare_models(df: DataFrame, target: str, keys: list[str], cv_folds: int =
                 out.append((name, feat.task, metric, None if v is None else float(v), None))
             return model, out
         except Exception as e:  # noqa: BLE001 - a failing model is reported, the others continue
-            return None, [(name, feat.task, "error", None, str(e)[:500])]
+            return None, [(name, feat.task, "error", None, str(e))]
 
     # the estimators are independent: their Spark jobs are submitted concurrently
     from concurrent.futures import ThreadPoolExecutor

@@ -61,7 +61,7 @@ def run_pipeline(df: DataFrame, cfg: dict, steps=("ingestion", "cleaning", "eda"
             if name == "cleaning":
                 current = res["frame"]
         except Exception as e:  # noqa: BLE001 - a failing step is reported, the run goes on
-            results[name] = {"error": str(e)[:500]}
+            results[name] = {"error": str(e)}
     parts = {}
     if "ingestion" in results and "report" in results["ingestion"]:
         parts["ingestion"] = R.ingestion_section(results["ingestion"]["report"], cfg.get("file_name", "input"))

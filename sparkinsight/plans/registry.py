@@ -534,12 +534,12 @@ def q_box(spark, sf):
           "SELECT 'p_name' AS column, p_name AS value, CAST(count(*) AS BIGINT) AS count FROM part GROUP BY p_name "
           "UNION ALL SELECT 'p_brand', p_brand, CAST(count(*) AS BIGINT) FROM part GROUP BY p_brand)) WHERE rank <= 15")
 def q_value_counts(spark, sf):
-    return E.value_counts(table(spark, sf, "part"))
+    return E.value_counts(table(spark, sf, "part"), cols=["p_name", "p_brand"])
 
 
 @register("scatter_sample", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem")
 def q_scatter(spark, sf):
-    return E.scatter_frame(table(spark, sf, "lineitem"))
+    return E.scatter_frame(table(spark, sf, "lineitem"), cols=["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])
 
 
 @register("summary_context")

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import INTEGER_TEXT, NUMERIC_TEXT
+from ..functions.text import INTEGER_TEXT, NUMERIC_TEXT, fits, integer_type
 from ..schema import normalise
 
 # Text read as missing (the pandas CSV defaults).
@@ -24,8 +24,12 @@ SUPPORTED = {"csv": "csv", "parquet": "parquet", "txt": "text", "db": "sqlite",
 def read_csv(spark: SparkSession, path: str, **opts) -> DataFrame:
     """CSV with a header; NA tokens -> NULL; a column becomes bigint / double /
     boolean only when every non-null value parses (dates stay text, as pandas does).
+    Quoted fields may hold doubled quotes and line breaks, so one file is read by one
+    task: give large data as a folder of many files.  Whole numbers beyond 64 bits become
+    decimal(38, 0), or stay text beyond 38 digits.
     All columns are read as text first, then one aggregation decides the types."""
-    raw = spark.read.options(header=True, inferSchema=False, **opts).csv(path)
+    options = {"header": True, "inferSchema": False, "quote": '"', "escape": '"', "multiLine": True, **opts}
+    raw = spark.read.options(**options).csv(path)
     cols = raw.columns
     na = F.array(*[F.lit(t) for t in NA_TOKENS])
     clean = raw.select(*[F.when(F.array_contains(na, F.col(c)), F.lit(None)).otherwise(F.col(c)).alias(c)
@@ -35,7 +39,7 @@ def read_csv(spark: SparkSession, path: str, **opts) -> DataFrame:
     for i, c in enumerate(cols):
         x = F.col(c)
         aggs += [F.count(x).alias(f"n{i}"), F.count_if(x.rlike(INTEGER_TEXT)).alias(f"i{i}"),
-                 F.count_if(x.rlike(NUMERIC_TEXT) | x.isin("inf", "-inf", "Infinity", "-Infinity")).alias(f"d{i}"),
+                 *fits(c, i), F.count_if(x.rlike(NUMERIC_TEXT) | x.isin("inf", "-inf", "Infinity", "-Infinity")).alias(f"d{i}"),
                  F.count_if(F.array_contains(bools, x)).alias(f"b{i}")]
     row = clean.agg(*aggs).first() if cols else None
     out = []
@@ -44,7 +48,8 @@ def read_csv(spark: SparkSession, path: str, **opts) -> DataFrame:
         if n == 0:
             out.append(F.col(c).cast("double").alias(c))
         elif row[f"i{i}"] == n:
-            out.append(F.expr(f"try_cast(trim(`{c}`) AS bigint)").alias(c))
+            kind = integer_type(row, i)
+            out.append(F.col(c) if kind is None else F.expr(f"try_cast(trim(`{c}`) AS {kind})").alias(c))
         elif row[f"d{i}"] == n:
             out.append(F.expr(f"try_cast(trim(`{c}`) AS double)").alias(c))
         elif row[f"b{i}"] == n:

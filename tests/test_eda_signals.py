@@ -40,7 +40,22 @@ def test_trends_match_polyfit(spark):
     r = E.detect_trends(df, "t", ["y"], partitions=6).first()
     s = y[~np.isnan(y)]
     slope = np.polyfit(np.arange(len(s)), s, 1)[0]
-    assert abs(r["slope"] - round(slope, 4)) < 1e-4 and r["flagged"] is False or r["pct"] <= 5 or r["flagged"]
+    assert abs(r["slope"] - round(slope, 4)) < 1e-4
+    assert r["flagged"] == (r["pct"] > 5) and (r["message"] is not None) == r["flagged"]
+
+
+def test_trend_above_two_million_rows(spark):
+    df = spark.range(3_000_000).selectExpr("id AS t", "2.0 * id + 5 AS y")
+    r = E.detect_trends(df, "t", ["y"], partitions=8).first()
+    assert r["n"] == 3_000_000 and r["slope"] == 2.0
+
+
+def test_charts_cover_all_columns(spark):
+    df = spark.range(50).selectExpr(*[f"id + {k} AS c{k}" for k in range(8)], *[f"cast(id % 3 AS string) AS s{k}" for k in range(4)])
+    assert E.histogram(df).select("column").distinct().count() == 8
+    assert E.box_stats(df).count() == 8
+    assert E.value_counts(df).select("column").distinct().count() == 4
+    assert len(E.scatter_frame(df).columns) == 8
 
 
 def test_trend_needs_ten_points(spark):

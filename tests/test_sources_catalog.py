@@ -120,3 +120,22 @@ def test_ship_package_and_read_any(spark):
     assert df.where(F.col("v").isNull()).count() == 1  # NaN normalised to NULL
     _write(d + "/c.csv", "a,b\n1,x\n")
     assert S.read_any(spark, d + "/c.csv").dtypes == [("a", "bigint"), ("b", "string")]
+
+
+def test_csv_quotes_line_breaks_and_wide_integers(spark):
+    d = tempfile.mkdtemp()
+    _write(d + "/q.csv", 'n,t,w,x\n1,"he said ""hi"", ok",12345678901234567890,' + "9" * 45
+           + '\n2,"two\nlines",5,1\n')
+    df = S.read_csv(spark, d + "/q.csv")
+    assert df.dtypes == [("n", "bigint"), ("t", "string"), ("w", "decimal(38,0)"), ("x", "string")]
+    rows = {r["n"]: r for r in df.collect()}
+    assert rows[1]["t"] == 'he said "hi", ok' and rows[2]["t"] == "two\nlines"
+    assert int(rows[1]["w"]) == 12345678901234567890 and rows[1]["x"] == "9" * 45
+
+
+def test_clean_keeps_wide_integers(spark):
+    from sparkinsight.operators.cleaning import infer_types
+    df = spark.createDataFrame([("12345678901234567890", "7"), ("1", "8")], "w string, s string")
+    out = infer_types(df)
+    assert out.dtypes == [("w", "decimal(38,0)"), ("s", "bigint")]
+    assert out.where("w is null").count() == 0

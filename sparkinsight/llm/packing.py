@@ -31,20 +31,40 @@ class Encoder:
     their ids are kept (at most ``limit`` of them, then the store starts anew).
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tok, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def learn(self, chunks) -> None:
         if len(self.known) > self.limit:
             self.known = {}
-        new = [c for c in chunks if c not in self.known]
-        for k in range(0, len(new), 20_000):
-            part = new[k:k + 20_000]
-            enc = self.tok.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)
-            for c, e in zip(part, enc):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
+        words, other = [], []
+        for c in chunks:
+            if c not in self.known:
+                t = c.decode("utf-8", "replace")
+                (words if t.isalpha() and t.lower().isalpha() else other).append((c, t))
+        # a chunk of letters is one word of the vocabulary's: many go as one text, and their
+        # ids part after each end-of-word token
+        lines = [words[k:k + 500] for k in range(0, len(words), 500)]
+        for line, e in zip(lines, self._batches([" ".join(t for _, t in x) for x in lines])):
+            at = np.flatnonzero(self.ends[e]) + 1
+            if len(at) != len(line) or at[-1] != len(e):
+                other += line
+                continue
+            b, at = e.tobytes(), (at * 4).tolist()
+            for (c, _), f, t in zip(line, [0, *at], at):
+                self.known[c] = b[f:t]
+        for (c, _), e in zip(other, self._batches([t for _, t in other])):
+            self.known[c] = e.tobytes()
+
+    def _batches(self, texts: list[str], size: int = 2_000):
+        for k in range(0, len(texts), size):
+            for e in self.tok.encode_batch_fast(texts[k:k + size], add_special_tokens=False):
+                yield np.array(e.ids, "<u4")
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
         split = [t.split() for t in texts]  # bytes.split(): ASCII white space only

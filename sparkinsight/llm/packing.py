@@ -27,14 +27,19 @@ class Encoder:
     """Token ids of whole texts as little-endian uint32 bytes.
 
     The vocabulary drops white space and never joins characters across it, so a
-    text's ids are those of its white-space-free chunks in a row; chunks repeat, so
-    their ids are kept (at most ``limit`` of them, then the store starts anew).
+    text's ids are those of its white-space-free chunks in a row.  It folds case and
+    parts letters from punctuation, so a chunk of letters with punctuation behind has
+    the ids of its lower-case letters and those of the punctuation.  Chunks and words
+    repeat, so their ids are kept (at most ``limit`` of each, then that store starts anew).
     """
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    # ASCII punctuation without the apostrophe, which the vocabulary joins to letters
+    TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+    def __init__(self, path: str, limit: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        self.tok, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.tok, self.limit, self.known, self.words = Tokenizer.from_file(path), limit, {}, {}
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -42,24 +47,42 @@ class Encoder:
     def learn(self, chunks) -> None:
         if len(self.known) > self.limit:
             self.known = {}
-        words, other = [], []
+        if len(self.words) > self.limit:
+            self.words = {}
+        known, words, made, new, other = self.known, self.words, [], set(), []
         for c in chunks:
-            if c not in self.known:
-                t = c.decode("utf-8", "replace")
-                (words if t.isalpha() and t.lower().isalpha() else other).append((c, t))
-        # a chunk of letters is one word of the vocabulary's: many go as one text, and their
-        # ids part after each end-of-word token
-        lines = [words[k:k + 500] for k in range(0, len(words), 500)]
-        for line, e in zip(lines, self._batches([" ".join(t for _, t in x) for x in lines])):
+            if c in known:
+                continue
+            t = c.decode("utf-8", "replace")
+            core = t.rstrip(self.TAIL)
+            low = core.lower()
+            # a capital sigma's lower case depends on its place
+            if core.isalpha() and low.isalpha() and "\u03a3" not in core:
+                tail = t[len(core):]
+                made.append((c, low, tail))
+                if low not in words:
+                    new.add(low)
+                if tail not in words:
+                    words[tail] = self._ids([tail])[0]
+            else:
+                other.append((c, t))
+        # many words go as one text, and their ids part after each end-of-word token
+        order, odd = list(new), []
+        lines = [order[k:k + 500] for k in range(0, len(order), 500)]
+        for line, e in zip(lines, self._batches([" ".join(x) for x in lines])):
             at = np.flatnonzero(self.ends[e]) + 1
             if len(at) != len(line) or at[-1] != len(e):
-                other += line
+                odd += line
                 continue
             b, at = e.tobytes(), (at * 4).tolist()
-            for (c, _), f, t in zip(line, [0, *at], at):
-                self.known[c] = b[f:t]
-        for (c, _), e in zip(other, self._batches([t for _, t in other])):
-            self.known[c] = e.tobytes()
+            words.update(zip(line, [b[f:t] for f, t in zip([0, *at], at)]))
+        words.update(zip(odd, self._ids(odd)))
+        for c, low, tail in made:
+            known[c] = words[low] + words[tail]
+        known.update(zip([c for c, _ in other], self._ids([t for _, t in other])))
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [e.tobytes() for e in self._batches(texts)]
 
     def _batches(self, texts: list[str], size: int = 2_000):
         for k in range(0, len(texts), size):

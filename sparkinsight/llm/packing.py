@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import os
 import zlib
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +57,9 @@ class Encoder:
             t = c.decode("utf-8", "replace")
             core = t.rstrip(self.TAIL)
             low = core.lower()
-            # a capital sigma's lower case depends on its place
-            if core.isalpha() and low.isalpha() and "\u03a3" not in core:
+            # a capital sigma's lower case depends on its place; letters that normalise to
+            # letter and mark would join the mark to the punctuation behind
+            if core.isalpha() and low.isalpha() and "\u03a3" not in core and is_normalized("NFC", core):
                 tail = t[len(core):]
                 made.append((c, low, tail))
                 if low not in words:

@@ -222,3 +222,18 @@ def test_native_operators_use_no_python():
     for name in ("secrets", "exact_dedup"):
         src = Path(secrets.__file__).with_name(f"{name}.py").read_text()
         assert not re.search(r"\budf|mapIn|applyIn|\.rdd\b|pandas|pyarrow", src)
+
+
+def test_encoder_gives_the_tokenizers_ids():
+    import numpy as np
+
+    from sparkinsight.llm.packing import Encoder
+    from sparkinsight.llm.queries import tokenizer_path
+
+    enc = Encoder(tokenizer_path(), limit=3)  # the stores start anew between calls
+    texts = ["", "...", "Word, WORD word!! wo-rd don't DON'T it's! 'tis x.y.z a_b 12.5%",
+             "\u0391\u03a3 \u03a3\u0391\u03a3. \u0130stanbul, \u212a \u212b. \ufb01x \ufb2d, e\u0301a\u0301. \u1e9e \u00df a\u0338= b",
+             "\u65e5\u672c\u8a9e\u3002 \u0661\u0662, na\u00efve-- \u0153uvre;\u00a0x", "a" * 5000 + "." * 300]
+    for t in [*texts, " ".join(texts), *texts]:
+        want = np.array(enc.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        assert enc.encode([t.encode()], b"") == [want]

@@ -713,7 +713,7 @@ def text_index(spark, sf):
         store = materialize(chunk_store(spark, sf))
         ctf = materialize(RT.term_frequencies(store, "id", "text"))
         idf = materialize(RT.fit_idf(ctf, "id"))  # counted below: broadcast only when small
-        cw = materialize(RT.tfidf_weights(ctf, idf, "id", idf_rows=idf.count()))
+        cw = materialize(RT.posting_rows(RT.tfidf_weights(ctf, idf, "id", idf_rows=idf.count()), "id"))
         return store, idf, cw
     return _memo(("text-index", spark.sparkContext.applicationId, sf), build)
 

@@ -2,11 +2,9 @@
 
 ``safe_corr`` is a lazy aggregate expression.  ``quantiles`` is a fit helper that
 returns a few numbers per column: exact linear-interpolated quantiles (the pandas /
-numpy default) computed either with Spark's exact ``percentile`` aggregate (small
-columns) or, for columns too large for one value->count map in a single task, by
-histogram refinement: every pass is one distributed ``groupBy(column, bucket)``
-whose shuffle holds at most ``buckets`` groups per column, and the last pass ranks
-a bounded band of values.
+numpy default), by histogram refinement at every size: every pass is one distributed
+``groupBy(column, bucket)`` whose shuffle holds at most ``buckets`` groups per column,
+and the last pass ranks a bounded band of values.
 """
 
 from __future__ import annotations
@@ -16,9 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Above this many non-null values a column is not sent through ``percentile``
-# (whose final merge keeps every distinct value of the column in one task).
-EXACT_PERCENTILE_LIMIT = 1_000_000
+# A band of values is split further until it holds at most this many, then ranked.
+BAND_LIMIT = 50_000
 
 
 def safe_corr(a: str, b: str) -> Column:
@@ -41,44 +38,34 @@ def _interpolate(lo_v: float, hi_v: float, pos: float) -> float:
     return (higher - pos) * lo_v + (pos - lower) * hi_v
 
 
-def quantiles(df: DataFrame, cols: list[str], probs: list[float],
-              exact_limit: int = EXACT_PERCENTILE_LIMIT, buckets: int = 4096,
-              counts: dict[str, int] | None = None) -> dict[str, list[float | None]]:
-    """Exact linear quantiles of each column over its non-null values."""
-    if not cols:
-        return {}
-    if counts is None:
-        row = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-        counts = {c: row[f"n{i}"] for i, c in enumerate(cols)}
-    small = [c for c in cols if counts[c] <= exact_limit]
-    large = [c for c in cols if counts[c] > exact_limit]
-    out: dict[str, list[float | None]] = {}
-    if small:
-        pa = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), pa).alias(f"q{i}")
-                       for i, c in enumerate(small)]).first()
-        for i, c in enumerate(small):
-            v = row[f"q{i}"]
-            out[c] = [None] * len(probs) if v is None else [float(x) for x in v]
-    if large:
-        out.update(_refined_quantiles(df, large, probs, counts, exact_limit, buckets))
-    return out
+def number(c: str) -> Column:
+    """``c`` as a double with NaN as missing (pandas makes no difference between them)."""
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x), x)
 
 
-def _refined_quantiles(df, cols, probs, counts, band_limit, buckets):
-    """k-th smallest values by histogram refinement (no single-task value map)."""
+def quantiles(df: DataFrame, cols: list[str], probs: list[float],
+              band_limit: int = BAND_LIMIT, buckets: int = 4096) -> dict[str, list[float | None]]:
+    """Exact linear quantiles of each column over its values that are not NULL or NaN:
+    k-th smallest values by histogram refinement (no single-task value map)."""
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
+    if not cols:
+        return out
+    bounds = df.agg(*[e for i, c in enumerate(cols) for e in (
+        F.count(number(c)).alias(f"n{i}"), F.min(number(c)).alias(f"lo{i}"), F.max(number(c)).alias(f"hi{i}"))]).first()
+    place = {c: i for i, c in enumerate(cols)}
+    counts = {c: bounds[f"n{i}"] for c, i in place.items()}
+    cols = [c for c in cols if counts[c]]
     ranks: dict[tuple[str, int], float | None] = {}
     for c in cols:
-        n = counts[c]
         for p in probs:
-            pos = (n - 1) * p
+            pos = (counts[c] - 1) * p
             ranks[(c, math.floor(pos))] = None
             ranks[(c, math.ceil(pos))] = None
-    bounds = df.agg(*[F.min(F.col(c).cast("double")).alias(f"lo{i}") for i, c in enumerate(cols)],
-                    *[F.max(F.col(c).cast("double")).alias(f"hi{i}") for i, c in enumerate(cols)]).first()
     # each open item: (column, lo, hi, below, n_in_band, ranks wanted)
     items = []
-    for i, c in enumerate(cols):
+    for c in cols:
+        i = place[c]
         want = sorted(r for (cc, r) in ranks if cc == c)
         items.append((c, bounds[f"lo{i}"], bounds[f"hi{i}"], 0, counts[c], want))
     while True:
@@ -97,22 +84,21 @@ def _refined_quantiles(df, cols, probs, counts, band_limit, buckets):
         if not open_items:
             break
         items = _split_bands(df, open_items, buckets)
-    res = {}
     for c in cols:
         n = counts[c]
         vals = []
         for p in probs:
             pos = (n - 1) * p
             vals.append(_interpolate(ranks[(c, math.floor(pos))], ranks[(c, math.ceil(pos))], pos))
-        res[c] = vals
-    return res
+        out[c] = vals
+    return out
 
 
 def _band_rows(df, items):
     """One row per (value, item) for the items whose band holds the value."""
     parts = []
     for k, (c, lo, hi, *_rest) in enumerate(items):
-        x = F.col(c).cast("double")
+        x = number(c)
         parts.append(F.when(x.between(F.lit(lo), F.lit(hi)),
                             F.struct(F.lit(k).alias("item"), x.alias("x"))))
     arr = F.filter(F.array(*parts), lambda s: s.isNotNull())
@@ -123,8 +109,11 @@ def _split_bands(df, items, buckets):
     rows = _band_rows(df, items)
     lo_e = F.element_at(F.array(*[F.lit(float(it[1])) for it in items]), F.col("item") + 1)
     hi_e = F.element_at(F.array(*[F.lit(float(it[2])) for it in items]), F.col("item") + 1)
-    b = F.least(F.lit(buckets - 1),
-                F.floor((F.col("x") - lo_e) / (hi_e - lo_e) * buckets).cast("int"))
+    # both ends have buckets of their own, so every pass narrows the band; halves keep the
+    # span finite, and an infinite end leaves one inner bucket whose own bounds are finite
+    share = (F.col("x") / 2 - lo_e / 2) / (hi_e / 2 - lo_e / 2)
+    inner = F.least(F.lit(buckets), 1 + F.floor(F.nanvl(share, F.lit(0.0)) * buckets).cast("int"))
+    b = F.when(F.col("x") == lo_e, 0).when(F.col("x") == hi_e, buckets + 1).otherwise(inner)
     hist = (rows.groupBy("item", b.alias("b"))
             .agg(F.count("*").alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"))
             .collect())  # at most len(items) * buckets small rows
@@ -175,7 +164,7 @@ def orderable_number(df: DataFrame, col: str):
     return F.col(col).cast("double")
 
 
-def order_statistics(df: DataFrame, col: str, ranks: list[int], band_limit: int = EXACT_PERCENTILE_LIMIT,
+def order_statistics(df: DataFrame, col: str, ranks: list[int], band_limit: int = BAND_LIMIT,
                      buckets: int = 4096) -> list[float]:
     """Exact k-th smallest non-null values (0-based ``ranks``) of ``col`` as numbers.
 
@@ -250,6 +239,12 @@ def row_positions(df: DataFrame, keys: list[str], order_cols: list[str], out: st
     if total:
         offs = offs.withColumn(total, F.sum("__n").over(Window.partitionBy(*keys)))
     offs = offs.drop("__n")
-    return (ranged.join(offs, ["__pid", *keys])
+    if keys:  # a NULL key is a group of its own
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ["__pid", *keys]]
+        extra = [F.col(f"b.{c}") for c in offs.columns if c not in ("__pid", *keys)]
+        joined = ranged.alias("a").join(offs.alias("b"), same).select("a.*", *extra)
+    else:
+        joined = ranged.join(F.broadcast(offs), "__pid")  # one row per partition
+    return (joined
             .withColumn(out, F.col("__off") + F.col("__mono") - F.col("__first"))
             .drop("__pid", "__mono", "__first", "__off"))

@@ -368,7 +368,7 @@ def clean(df: DataFrame, cfg: CleanConfig | None = None) -> tuple[DataFrame, Dat
             plan = FillPlan(total_missing=total_missing)
             num = [c for c in columns_of(df, "numeric") if st[f"null{idx[c]}"]]
             if num:
-                q = quantiles(df, num, [0.5], counts={c: st[f"n{idx[c]}"] for c in num})
+                q = quantiles(df, num, [0.5])
                 plan.numeric = {c: q[c][0] for c in num}
             cat = [c for c in columns_of(df, "categorical") if st[f"null{idx[c]}"]]
             if cat:
@@ -381,9 +381,7 @@ def clean(df: DataFrame, cfg: CleanConfig | None = None) -> tuple[DataFrame, Dat
 
     if cfg.outlier_method == "iqr" and cfg.outlier_action == "cap" and rows_known:
         num = columns_of(df, "numeric")
-        filled = {c for c, v in plan.numeric.items() if v is not None} if total_missing else set()
-        counts = {c: st[f"n{idx[c]}"] + (st[f"null{idx[c]}"] if c in filled else 0) for c in num}
-        q = quantiles(df, num, [0.25, 0.75], counts=counts) if num else {}
+        q = quantiles(df, num, [0.25, 0.75]) if num else {}
         bounds = []
         for c in num:
             q1, q3 = q[c]

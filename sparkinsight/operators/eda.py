@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import quantiles
+from ..functions.stats import number, quantiles
 from ..schema import columns_of, dtype_name
 from ..session import ship_package
 from .profile import categorical_top
@@ -39,10 +39,10 @@ def numeric_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     rows = []
     if cols:
         m = df.agg(*[e for i, c in enumerate(cols) for e in (
-            F.count(c).alias(f"c{i}"), F.avg(c).alias(f"a{i}"), F.stddev_samp(c).alias(f"s{i}"),
-            F.min(F.col(c).cast("double")).alias(f"mn{i}"),
-            F.max(F.col(c).cast("double")).alias(f"mx{i}"))]).first()
-        q = quantiles(df, cols, [0.25, 0.5, 0.75], counts={c: m[f"c{i}"] for i, c in enumerate(cols)})
+            F.count(number(c)).alias(f"c{i}"), F.avg(number(c)).alias(f"a{i}"),
+            F.stddev_samp(number(c)).alias(f"s{i}"), F.min(number(c)).alias(f"mn{i}"),
+            F.max(number(c)).alias(f"mx{i}"))]).first()
+        q = quantiles(df, cols, [0.25, 0.5, 0.75])
         for i, c in enumerate(cols):
             vals = [m[f"c{i}"], m[f"a{i}"], m[f"s{i}"], m[f"mn{i}"], *q[c], m[f"mx{i}"]]
             rows += [(i, c, s, None if v is None else float(v)) for s, v in zip(SUMMARY_STATS, vals)]
@@ -125,7 +125,7 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None, digits: int
         return df.sparkSession.createDataFrame([], "i int, j int, col1 string, col2 string, corr double")
     ship_package(df.sparkSession)
     k = len(cols)
-    src = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    src = df.select(*[number(c).alias(f"c{i}") for i, c in enumerate(cols)])
     means = src.agg(*[F.avg(f"c{i}").alias(f"m{i}") for i in range(k)]).first()
     shift = [float(means[f"m{i}"]) if means[f"m{i}"] is not None else 0.0 for i in range(k)]
     parts = src.mapInPandas(_comoment_partials(k, shift),
@@ -275,7 +275,7 @@ def box_stats(df: DataFrame, cols: list[str] | None = None, k: float = 1.5) -> D
                      F.lit(0).alias(f"o{i}")]
             continue
         lo, hi = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
-        x = F.col(c).cast("double")
+        x = number(c)
         aggs += [F.min(F.when(x >= lo, x)).alias(f"l{i}"), F.max(F.when(x <= hi, x)).alias(f"u{i}"),
                  F.count_if((x < lo) | (x > hi)).alias(f"o{i}")]
     row = df.agg(*aggs).first() if aggs else None

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import order_statistics, orderable_number, quantiles, running_sum_before
+from ..functions.stats import quantiles, row_positions, running_sum_before
 from ..schema import columns_of, kind_of
 from ..session import materialize
 
@@ -137,18 +137,18 @@ def train_test_split(df: DataFrame, keys: list[str], test_frac: float = TEST_FRA
 
 def assign_folds(df: DataFrame, k: int = FOLDS, keys: list[str] | None = None, order_by: str | None = None,
                  seed: int = SEED) -> DataFrame:
-    """Adds ``fold``.  With ``order_by``: contiguous folds in that order, sizes as
-    ``ntile(k)`` (boundaries are exact order statistics, no global sort).
+    """Adds ``fold``.  With ``order_by``: contiguous folds in that order (NULL first, ties
+    by ``keys``, which should be unique), sizes as ``ntile(k)``, from range slices.
     Otherwise shuffled folds by key hash (every class spread evenly in expectation)."""
     if order_by is None:
         return df.withColumn("fold", F.pmod(F.xxhash64(*[F.col(c) for c in keys], F.lit(seed)), F.lit(k)).cast("int"))
-    n = df.where(F.col(order_by).isNotNull()).count()
+    # exact positions: equal or very large order keys never merge two folds
+    n = df.count()
     base, extra = divmod(n, k)
-    starts = [i * base + min(i, extra) for i in range(1, k)]
-    bounds = order_statistics(df, order_by, starts) if n else []
-    x = orderable_number(df, order_by)
-    fold = sum((F.when(x >= F.lit(b), 1).otherwise(0) for b in bounds if b is not None), F.lit(0))
-    return df.withColumn("fold", fold.cast("int"))
+    pos = row_positions(df, [], [order_by, *[c for c in keys or [] if c != order_by]], out="__pos")
+    p, head = F.col("__pos"), extra * (base + 1)
+    fold = F.when(p < head, F.floor(p / (base + 1))).otherwise(extra + F.floor((p - head) / max(base, 1)))
+    return pos.withColumn("fold", fold.cast("int")).drop("__pos")
 
 
 # ------------------------------------------------------------------ M6-M11
@@ -213,10 +213,18 @@ def roc_auc(pred: DataFrame, label: str, score: str) -> DataFrame:
     g = pred.groupBy(F.col(score).cast("double").alias("s")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
     g = running_sum_before(g, "s", "neg", "neg_below")
-    return g.agg(F.round(F.try_divide(F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))),
+    return g.agg(F.round(F.try_divide(F.sum(F.col("pos").cast("double") * (F.col("neg_below") + 0.5 * F.col("neg"))),
                                       F.sum("pos").cast("double") * F.sum("neg")), 4).alias("roc_auc"))
 
 
+def roc_auc_macro(pred: DataFrame, label: str, scores: str, n_classes: int) -> float | None:
+    """ROC-AUC from an array of class scores: of class 1 for two classes, else the plain
+    mean of the one-vs-rest values; NULL when a class has no rows or all rows."""
+    each = [roc_auc(pred.select((F.col(label) == c).cast("int").alias("y"), F.col(scores)[c].alias("s")), "y", "s")
+            .first()["roc_auc"] for c in ([1] if n_classes == 2 else range(n_classes))]
+    return None if None in each else round(sum(each) / len(each), 4)
+
+
 def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """One row: rmse, mae, r2 (4 dp)."""
     y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
@@ -230,10 +238,10 @@ def regression_metrics(pred: DataFrame, label: str = "label", prediction: str =
 def _metrics_row(task, pred, n_classes):
     if task == "classification":
         out = {r["metric"]: r["value"] for r in classification_metrics(pred).collect()}
-        if n_classes == 2 and "probability" in pred.columns:
+        if n_classes >= 2 and "probability" in pred.columns:
             from pyspark.ml.functions import vector_to_array
-            sc = pred.withColumn("__s", vector_to_array("probability")[1])
-            out["roc_auc"] = roc_auc(sc, "label", "__s").first()["roc_auc"]
+            probs = pred.select("label", vector_to_array("probability").alias("__p"))
+            out["roc_auc"] = roc_auc_macro(probs, "label", "__p", n_classes)
         return out
     r = regression_metrics(pred).first()
     return {"rmse": r["rmse"], "mae": r["mae"], "r2": r["r2"]}
@@ -245,7 +253,7 @@ def cross_validate(feat: Features, est, k: int = FOLDS, keys: list[str] | None =
     classification, contiguous folds in ``order_by`` order for regression."""
     df = feat.frame
     if feat.task == "regression" and order_by:
-        df = assign_folds(df, k, order_by=order_by)
+        df = assign_folds(df, k, keys=keys or ["__h"], order_by=order_by)
     else:
         df = assign_folds(df, k, keys=keys or ["__h"])
 

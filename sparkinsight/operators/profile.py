@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import quantiles
+from ..functions.stats import number, quantiles
 from ..schema import columns_of, dtype_name, kind_of
 
 # Warning thresholds (strict comparisons).
@@ -119,9 +119,10 @@ def describe_all(df: DataFrame, probs=(0.25, 0.5, 0.75)) -> DataFrame:
     rows: list[tuple] = []
     if num:
         m = df.agg(*[e for i, c in enumerate(num) for e in (
-            F.count(c).alias(f"c{i}"), F.avg(c).alias(f"a{i}"), F.stddev_samp(c).alias(f"s{i}"),
-            F.min(F.col(c).cast("double")).alias(f"mn{i}"), F.max(F.col(c).cast("double")).alias(f"mx{i}"))]).first()
-        q = quantiles(df, num, list(probs), counts={c: m[f"c{i}"] for i, c in enumerate(num)})
+            F.count(number(c)).alias(f"c{i}"), F.avg(number(c)).alias(f"a{i}"),
+            F.stddev_samp(number(c)).alias(f"s{i}"), F.min(number(c)).alias(f"mn{i}"),
+            F.max(number(c)).alias(f"mx{i}"))]).first()
+        q = quantiles(df, num, list(probs))
         for i, c in enumerate(num):
             stats = [("count", float(m[f"c{i}"])), ("mean", m[f"a{i}"]), ("std", m[f"s{i}"]), ("min", m[f"mn{i}"])]
             stats += [(f"{int(p * 100)}%", v) for p, v in zip(probs, q[c])]

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import order_statistics, orderable_number, row_positions
+from ..functions.stats import row_positions
 from ..session import materialize
 
 # Sequence defaults.
@@ -130,18 +130,10 @@ def chronological_split(seqs: DataFrame, order_by: str, series: list[str] | None
                         frac: float = TRAIN_FRACTION) -> DataFrame:
     """Adds ``is_train``: the first floor(frac * count) windows of each series.
 
-    Keyed series get exact in-series positions from range slices plus offsets
-    (a long series is spread over many tasks); a single unkeyed series finds its
-    cut-off value as an exact order statistic, never a global sort.
+    Exact in-series positions come from range slices plus offsets, so a long series
+    (an unkeyed one is a single series) is spread over many tasks.
     """
     series = list(series or [])
-    if not series:
-        n = seqs.count()
-        k = int(np.floor(n * frac))
-        if k <= 0:
-            return seqs.withColumn("is_train", F.lit(False))
-        (cut,) = order_statistics(seqs, order_by, [k - 1])
-        return seqs.withColumn("is_train", orderable_number(seqs, order_by) <= F.lit(cut))
     pos = row_positions(seqs, series, [order_by], out="__pos", total="__cnt")
     return pos.withColumn("is_train", F.col("__pos") < F.floor(F.col("__cnt") * frac)).drop("__pos", "__cnt")
 

@@ -69,7 +69,7 @@ def test_refined_quantiles_equal_exact(spark):
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
     probs = [0.1, 0.25, 0.5, 0.75, 0.99]
     exact = quantiles(df, ["x"], probs)["x"]
-    refined = quantiles(df, ["x"], probs, exact_limit=100, buckets=16)["x"]
+    refined = quantiles(df, ["x"], probs, band_limit=100, buckets=16)["x"]
     assert np.allclose(exact, refined, rtol=0, atol=1e-12)
     assert np.allclose(refined, np.quantile(vals, probs), atol=1e-9)
     ks = order_statistics(df, "x", [0, 17, 4499], band_limit=50, buckets=8)
@@ -91,3 +91,15 @@ def test_value_counts_top_k(spark):
     df = spark.createDataFrame([(str(i % 20),) for i in range(400)] + [("hot",)] * 300, "c string")
     out = E.value_counts(df, ["c"], k=15).orderBy("rank").collect()
     assert len(out) == 15 and out[0]["value"] == "hot" and out[0]["count"] == 300
+
+
+def test_nan_is_missing_and_infinities_rank(spark):
+    rows = [(float(i), float(i) * 2) for i in range(20)] + [(float("nan"), 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    st = {(r["column"], r["stat"]): r["value"] for r in E.numeric_summary(df).collect()}
+    assert st[("x", "count")] == 20 and st[("x", "mean")] == 9.5 and st[("x", "50%")] == 9.5 and st[("x", "max")] == 19
+    corr = {(r["col1"], r["col2"]): r["corr"] for r in E.correlation_matrix(df).collect()}
+    assert corr[("x", "y")] == 1.0 and corr[("x", "x")] == 1.0
+    wide = spark.createDataFrame([(v,) for v in [float("-inf"), -1.7e308, 1.0, 2.0, 1.7e308, float("inf"), 3.0]],
+                                 "x double")
+    assert quantiles(wide, ["x"], [1 / 3, 0.5, 2 / 3], band_limit=1, buckets=4)["x"] == [1.0, 2.0, 3.0]

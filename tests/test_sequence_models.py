@@ -76,3 +76,31 @@ def test_row_positions_hot_key(spark):
     out = row_positions(df, ["k"], ["t"], out="pos", total="n", partitions=9).collect()
     assert all(r["pos"] == r["t"] for r in out)
     assert all(r["n"] == (300 if r["k"] == 1 else 5) for r in out)
+
+
+def test_contiguous_folds_exact_on_ties_and_wide_keys(spark):
+    from collections import Counter
+    wide = spark.createDataFrame([(2 ** 53 + i,) for i in range(10)], "k long")
+    folds = [r["fold"] for r in M.assign_folds(wide, 5, order_by="k").orderBy("k").collect()]
+    assert folds == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4]
+    tied = spark.createDataFrame([(i, i % 3 if i else None) for i in range(32)], "id long, k long")
+    got = M.assign_folds(tied, 5, keys=["id"], order_by="k").collect()
+    assert Counter(r["fold"] for r in got) == {0: 7, 1: 7, 2: 6, 3: 6, 4: 6}
+    assert [r["fold"] for r in got if r["k"] is None] == [0]
+    cut = N.chronological_split(wide, "k").where("is_train")
+    assert cut.count() == 8
+
+
+def test_multiclass_auc_is_the_mean_over_classes(spark):
+    rows = [(0, [0.8, 0.1, 0.1]), (0, [0.4, 0.5, 0.1]), (1, [0.3, 0.6, 0.1]), (1, [0.5, 0.3, 0.2]), (2, [0.1, 0.2, 0.7]),
+            (2, [0.2, 0.4, 0.4])]
+    df = spark.createDataFrame(rows, "label int, p array<double>")
+
+    def auc(c):
+        pos = [p[c] for y, p in rows if y == c]
+        neg = [p[c] for y, p in rows if y != c]
+        return sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
+
+    want = sum(auc(c) for c in range(3)) / 3
+    assert abs(M.roc_auc_macro(df, "label", "p", 3) - want) < 2e-4
+    assert M.roc_auc_macro(df.where("label < 2"), "label", "p", 3) is None

@@ -152,7 +152,7 @@ def assign_folds(df: DataFrame, k: int = FOLDS, keys: list[str] | None = None, o
 
 
 # ------------------------------------------------------------------ M6-M11
-def classifiers(n_train: int, n_classes: int) -> dict:
+def classifiers(n_train: int, n_classes: int, tree_depth: int = TREE_DEPTH) -> dict:
     from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
                                            RandomForestClassifier)
     gbt = GBTClassifier(maxIter=BOOST_ROUNDS, maxDepth=BOOST_DEPTH, stepSize=BOOST_STEP, seed=SEED)
@@ -160,17 +160,17 @@ def classifiers(n_train: int, n_classes: int) -> dict:
         "Logistic Regression": LogisticRegression(maxIter=LOGISTIC_MAX_ITER, regParam=1.0 / max(n_train, 1),
                                                   elasticNetParam=0.0, standardization=False),
         "Random Forest": RandomForestClassifier(numTrees=TREES, featureSubsetStrategy="sqrt", seed=SEED,
-                                                maxDepth=TREE_DEPTH),
+                                                maxDepth=tree_depth),
         "Gradient Boosting": gbt if n_classes <= 2 else OneVsRest(classifier=gbt),
     }
 
 
-def regressors() -> dict:
+def regressors(tree_depth: int = TREE_DEPTH) -> dict:
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
     return {
         "Linear Regression": LinearRegression(regParam=0.0, solver="normal"),
         "Random Forest": RandomForestRegressor(numTrees=TREES, featureSubsetStrategy="all", seed=SEED,
-                                               maxDepth=TREE_DEPTH),
+                                               maxDepth=tree_depth),
         "Gradient Boosting": GBTRegressor(maxIter=BOOST_ROUNDS, maxDepth=BOOST_DEPTH, stepSize=BOOST_STEP, seed=SEED),
     }
 
@@ -270,7 +270,7 @@ def cross_validate(feat: Features, est, k: int = FOLDS, keys: list[str] | None =
 
 
 def compare_models(df: DataFrame, target: str, keys: list[str], cv_folds: int = FOLDS,
-                   order_by: str | None = None):
+                   order_by: str | None = None, tree_depth: int = TREE_DEPTH):
     """Fit every estimator on the 80 % split, score the 20 %, cross-validate on all
     rows; a failing model becomes an ``error`` row and the others continue.
     Returns (results frame, best model name, fitted models, features)."""
@@ -286,7 +286,8 @@ def compare_models(df: DataFrame, target: str, keys: list[str], cv_folds: int =
     feat = Features(split, feat.names, feat.task, feat.classes)
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
     n_train = train.count()
-    ests = classifiers(n_train, len(feat.classes)) if feat.task == "classification" else regressors()
+    ests = classifiers(n_train, len(feat.classes), tree_depth) if feat.task == "classification" \
+        else regressors(tree_depth)
     def evaluate(name, est):
         out = []
         try:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import number
 from ..schema import columns_of
 from .eda import correlation_matrix
 
-# KPI and signal thresholds.
+# KPI and signal thresholds; the short report shows 5 columns, 12 KPIs, 3 pairs.
 KPI_NUMERIC_COLUMNS = 5
 KPI_CAP = 12
 CV_THRESHOLD = 1.0
@@ -19,14 +20,15 @@ EPS = 1e-9
 NO_SIGNALS = "No strong root-cause signals detected."
 
 
-def kpis(df: DataFrame) -> DataFrame:
-    """(kpi_no, label, value, delta): rows, columns, missing %, then Mean/Max of the
-    first five numeric columns; capped at 12 rows (so the 5th column's Max is cut)."""
-    num = columns_of(df, "numeric")[:KPI_NUMERIC_COLUMNS]
+def kpis(df: DataFrame, numeric_columns: int | None = None, top: int | None = None) -> DataFrame:
+    """(kpi_no, label, value, delta): rows, columns, missing %, then Mean/Max of every
+    numeric column.  A short report passes how many columns and rows to show."""
+    num = columns_of(df, "numeric")[:numeric_columns]
     cells = sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0))
     aggs = [F.count(F.lit(1)).alias("rows"), cells.alias("missing")]
     for i, c in enumerate(num):
-        aggs += [F.avg(c).alias(f"a{i}"), F.stddev_samp(c).alias(f"s{i}"), F.max(F.col(c).cast("double")).alias(f"m{i}")]
+        aggs += [F.avg(number(c)).alias(f"a{i}"), F.stddev_samp(number(c)).alias(f"s{i}"),
+                 F.max(number(c)).alias(f"m{i}")]
     w = df.agg(*aggs)
     ncols = len(df.columns)
     pct = F.round(F.col("missing") / F.greatest(F.col("rows") * ncols, F.lit(1)) * 100, 1)
@@ -43,20 +45,20 @@ def kpis(df: DataFrame) -> DataFrame:
                               F.format_string("std %.2f", F.col(f"s{i}")).alias("delta")))
         items.append(F.struct(F.lit(f"Max {c}").alias("label"),
                               F.format_string("%.2f", F.col(f"m{i}")).alias("value"), F.lit("").alias("delta")))
-    items = items[:KPI_CAP]
+    items = items[:top]
     return w.select(F.posexplode(F.array(*items)).alias("pos", "k")).select(
         (F.col("pos") + 1).cast("bigint").alias("kpi_no"), "k.label", "k.value", "k.delta")
 
 
-def signals(df: DataFrame) -> DataFrame:
+def signals(df: DataFrame, pairs: int | None = None) -> DataFrame:
     """(signal_no, kind, signal): variability and missing-data signals per numeric
-    column in column order, then the first three collinear pairs in column order;
-    one fallback row when nothing fires."""
+    column in column order, then the collinear pairs in column order (all of them, or
+    the first ``pairs``); one fallback row when nothing fires."""
     num = columns_of(df, "numeric")
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(num):
-        aggs += [F.avg(c).alias(f"a{i}"), F.stddev_samp(c).alias(f"s{i}"),
-                 F.count_if(F.col(c).isNull()).alias(f"n{i}")]
+        aggs += [F.avg(number(c)).alias(f"a{i}"), F.stddev_samp(number(c)).alias(f"s{i}"),
+                 F.count_if(number(c).isNull()).alias(f"n{i}")]
     w = df.agg(*aggs)
     items = []
     for i, c in enumerate(num):
@@ -71,22 +73,22 @@ def signals(df: DataFrame) -> DataFrame:
     per_col = w.select(F.explode(F.filter(F.array(*items), lambda s: s.isNotNull())).alias("s")).select("s.*") \
         if items else None
     base = 2 * len(num)
-    pairs = None
+    collinear = None
     if len(num) >= 2:
         m = correlation_matrix(df, num, digits=None).where((F.col("i") < F.col("j")) & (F.abs("corr") > COLLINEAR_THRESHOLD))
-        pairs = (m.orderBy("i", "j").limit(COLLINEAR_SHOWN)
-                 .select((F.lit(base) + F.col("i") * len(num) + F.col("j")).alias("o"),
-                         F.lit("collinear").alias("kind"),
-                         F.format_string("**%s** and **%s** are highly correlated (%.2f) — potential multicollinearity",
-                                         "col1", "col2", F.abs("corr")).alias("signal")))
-    frames = [f for f in (per_col, pairs) if f is not None]
+        m = m if pairs is None else m.orderBy("i", "j").limit(pairs)
+        collinear = m.select(
+            (F.lit(base) + F.col("i") * len(num) + F.col("j")).alias("o"), F.lit("collinear").alias("kind"),
+            F.format_string("**%s** and **%s** are highly correlated (%.2f) — potential multicollinearity",
+                            "col1", "col2", F.abs("corr")).alias("signal"))
+    frames = [f for f in (per_col, collinear) if f is not None]
     spark = df.sparkSession
     allsig = frames[0] if frames else spark.createDataFrame([], "o int, kind string, signal string")
     for f in frames[1:]:
         allsig = allsig.unionByName(f)
     fallback = spark.range(1).select(F.lit(-1).alias("o"), F.lit("none").alias("kind"),
                                      F.lit(NO_SIGNALS).alias("signal"))
-    # the frame holds at most 2 * columns + 4 rows: a global window is fine here
+    # rows grow with columns and pairs of columns, never with the table: a global window is fine here
     out = allsig.unionByName(fallback).withColumn(
         "n_real", F.sum(F.when(F.col("o") >= 0, 1).otherwise(0)).over(Window.partitionBy()))
     out = out.where((F.col("o") >= 0) | (F.col("n_real") == 0))
@@ -94,18 +96,22 @@ def signals(df: DataFrame) -> DataFrame:
 
 
 def insight_context(df: DataFrame, model_line: str | None = None, note: str | None = None,
-                    stats_limit: int = 1500) -> DataFrame:
-    """Prompt frame (I6): KPI bullets, signals, the first three summary rows cut to
-    ``stats_limit`` characters, an optional model line and user note.  Built from
-    the small KPI / signal / summary frames only."""
-    from .eda import numeric_summary
-    k = kpis(df).orderBy("kpi_no").collect()
-    sig = signals(df).orderBy("signal_no").collect()
-    desc = numeric_summary(df).where(F.col("position") < 3).orderBy("position", "stat").collect()
+                    stats_limit: int | None = None) -> DataFrame:
+    """Prompt frame (I6): KPI bullets, signals, the count / unique / top rows of the
+    description over all columns, an optional model line and user note.  Built from
+    the small KPI / signal / description frames only; ``stats_limit`` cuts the
+    description to that many characters where a caller asks for it."""
+    from .profile import describe_all
+    k = kpis(df, KPI_NUMERIC_COLUMNS, KPI_CAP).orderBy("kpi_no").collect()
+    sig = signals(df, COLLINEAR_SHOWN).orderBy("signal_no").collect()
+    desc = {(r["column"], r["stat"]): r["str_value"] if r["num_value"] is None else f"{r['num_value']:g}"
+            for r in describe_all(df).where(F.col("stat").isin("count", "unique", "top")).collect()}
+    stats = "\n".join(f"{c} {stat} {desc[c, stat]}" for stat in ("count", "unique", "top") for c in df.columns
+                      if desc.get((c, stat)) is not None)
     text = ("KPIs:\n" + "\n".join(f"- {r['label']}: {r['value']}" + (f" ({r['delta']})" if r["delta"] else "")
                                    for r in k)
             + "\n\nSignals:\n" + "\n".join(f"- {r['signal']}" for r in sig)
-            + "\n\nStatistics:\n" + "\n".join(f"{r['column']} {r['stat']} {r['value']}" for r in desc)[:stats_limit])
+            + "\n\nStatistics:\n" + stats[:stats_limit])
     if model_line:
         text += f"\n\nModel: {model_line}"
     if note:

@@ -566,12 +566,12 @@ _LINEITEM_ALL = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quan
 
 @register("kpis", _kpi_sql("lineitem", _LINEITEM_ALL, LINEITEM_NUM))
 def q_kpis(spark, sf):
-    return I.kpis(table(spark, sf, "lineitem"))
+    return I.kpis(table(spark, sf, "lineitem"), I.KPI_NUMERIC_COLUMNS, I.KPI_CAP)
 
 
 @register("kpis_dirty", with_dirty(_kpi_sql("dirty_orders", DIRTY_COLS, ["o_orderkey", "o_custkey", "o_totalprice", "o_rare"])))
 def q_kpis_dirty(spark, sf):
-    return I.kpis(dirty_orders(spark, sf))
+    return I.kpis(dirty_orders(spark, sf), I.KPI_NUMERIC_COLUMNS, I.KPI_CAP)
 
 
 def _signals_sql(src: str, num: list[str]) -> str:
@@ -608,17 +608,17 @@ def _signals_full(prefix_ctes: list[str], src: str, num: list[str]) -> str:
 @register("signals", _signals_full([DIRTY_ORDERS_SQL], "dirty_orders",
                                    ["o_orderkey", "o_custkey", "o_totalprice", "o_rare"]))
 def q_signals(spark, sf):
-    return I.signals(dirty_orders(spark, sf))
+    return I.signals(dirty_orders(spark, sf), I.COLLINEAR_SHOWN)
 
 
 @register("signals_collinear", _signals_full([EVENTS_V2_SQL], "events_v2", EV2))
 def q_signals_coll(spark, sf):
-    return I.signals(events_v2(spark, sf))
+    return I.signals(events_v2(spark, sf), I.COLLINEAR_SHOWN)
 
 
 @register("signals_documents", _signals_full([], "documents", ["doc_id", "n_chars"]))
 def q_signals_docs(spark, sf):
-    return I.signals(table(spark, sf, "documents"))
+    return I.signals(table(spark, sf, "documents"), I.COLLINEAR_SHOWN)
 
 
 # ------------------------------------------------------------------ documents

@@ -103,3 +103,19 @@ def test_nan_is_missing_and_infinities_rank(spark):
     wide = spark.createDataFrame([(v,) for v in [float("-inf"), -1.7e308, 1.0, 2.0, 1.7e308, float("inf"), 3.0]],
                                  "x double")
     assert quantiles(wide, ["x"], [1 / 3, 0.5, 2 / 3], band_limit=1, buckets=4)["x"] == [1.0, 2.0, 3.0]
+
+
+def test_kpis_and_signals_cover_all_columns(spark):
+    df = spark.range(30).select(*[(F.col("id") * (i + 1)).cast("double").alias(f"c{i}") for i in range(7)])
+    labels = [r["label"] for r in I.kpis(df).orderBy("kpi_no").collect()]
+    assert len(labels) == 3 + 2 * 7 and labels[-1] == "Max c6"
+    assert I.kpis(df, I.KPI_NUMERIC_COLUMNS, I.KPI_CAP).count() == 12
+    assert I.signals(df).where("kind = 'collinear'").count() == 21
+    assert I.signals(df, 3).where("kind = 'collinear'").count() == 3
+
+
+def test_insight_context_counts_every_column(spark):
+    df = spark.range(12).select("id", F.lit("a").alias("kind"), *[F.col("id").alias(f"c{i}") for i in range(5)])
+    text = I.insight_context(df).first()["context"]
+    stats = text.split("Statistics:\n")[1].split("\n")
+    assert stats == [f"{c} count 12" for c in df.columns] + ["kind unique 1", "kind top a"]

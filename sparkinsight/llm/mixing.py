@@ -4,8 +4,11 @@ Every document of a source has the same expected number of copies r = target / s
 of the source.  floor(r) copies are certain; the fraction is drawn with the cube
 method: inclusion probabilities move along null-space vectors of the constraints
 (document total, word total) until they are 0 or 1.  Flights run on bounded blocks
-of one source, the at most two open units of each block fly on together in the next
-level, and a landing of at most ``landing`` + 2 units per source remains.
+of one source: units too long for a landing to make up for are settled first, against
+all others of the block and for the word total alone.  ``landing`` units of all sizes stay
+aside and fly on with the at most two open ones in the next level, until one block of the
+source is left; so every source lands over ``landing`` + 2 units, or all it has, whatever
+the sizes of the other sources.
 """
 
 from __future__ import annotations
@@ -58,6 +61,27 @@ def source_targets(units: DataFrame, weights=(5, 2, 1), max_repeat: int = 3) ->
     return src.withColumn("target", F.least(F.col("cap"), F.lit(level) * F.col("weight")))
 
 
+def _step(open_, u, probs, rng):
+    """Move open units along ``u``, up or down, until one settles; the ones still open."""
+    up = down = math.inf
+    for x, v in zip(open_, u):
+        p = probs[x]
+        if v > 0:
+            up, down = min(up, (1 - p) / v), min(down, p / v)
+        elif v < 0:
+            up, down = min(up, -p / v), min(down, (p - 1) / v)
+    step = up if rng.random() * (up + down) < down else -down
+    keep = []
+    for x, v in zip(open_, u):
+        p = probs[x] + step * v
+        if p <= EPS or p >= 1 - EPS:
+            probs[x] = float(round(min(1.0, max(0.0, p))))
+        else:
+            probs[x] = p
+            keep.append(x)
+    return keep
+
+
 def fly(sizes, counts, probs, rng):
     """Flight phase over one block, in place: probabilities move until <= 2 are open.
 
@@ -79,23 +103,47 @@ def fly(sizes, counts, probs, rng):
         u = ((sizes[k] - sizes[j]) / counts[i], (sizes[i] - sizes[k]) / counts[j], (sizes[j] - sizes[i]) / counts[k])
         if not any(u):
             u = (1.0 / counts[i], -1.0 / counts[j], 0.0)
-        up = down = math.inf
-        for x, v in zip(open_, u):
-            p = probs[x]
-            if v > 0:
-                up, down = min(up, (1 - p) / v), min(down, p / v)
-            elif v < 0:
-                up, down = min(up, -p / v), min(down, (p - 1) / v)
-        step = up if rng.random() * (up + down) < down else -down
-        keep = []
-        for x, v in zip(open_, u):
-            p = probs[x] + step * v
-            if p <= EPS or p >= 1 - EPS:
-                probs[x] = float(round(min(1.0, max(0.0, p))))
-            else:
-                probs[x] = p
-                keep.append(x)
-        open_ = keep
+        open_ = _step(open_, u, probs, rng)
+
+
+def aside(units, landing):
+    """``landing`` of the units, of all sizes as they are sorted by it; few units: all."""
+    n = len(units)
+    return list(units) if n <= landing + 2 else [units[(2 * k + 1) * n // (2 * landing)] for k in range(landing)]
+
+
+def settle_long(sizes, counts, probs, units, landing, rng):
+    """Settle, in place, the units with more words than ``landing`` others can make up for.
+
+    Each moves against all others, but for those of the landing, at once, in proportion to p (1 - p), which
+    keeps the word total and every expectation.  The units still open are returned.
+    """
+    units = sorted(units, key=lambda x: -sizes[x] * counts[x])
+    w = np.array([sizes[x] * counts[x] for x in units], float)
+    p = np.array([probs[x] for x in units])
+    at = aside(range(len(units)), landing)
+    free = np.ones(len(units), bool)
+    free[at] = False  # for the landing
+    limit = float((p * (1 - p) * w)[at].sum()) / 2
+    for x in np.flatnonzero(free).tolist():
+        if w[x] <= limit:
+            break
+        while EPS < p[x] < 1 - EPS:
+            v = np.where(free & (w > 0), p * (1 - p), 0.0)
+            v[x] = 0.0
+            rest = np.flatnonzero(v)
+            total = float(v @ w)
+            if not len(rest):
+                break
+            up = min(1 - p[x], total / (w[x] * (1 - p[rest]).max()))
+            down = min(p[x], total / (w[x] * p[rest].max()))
+            step = up if rng.random() * (up + down) < down else -down
+            p[x] += step
+            p -= step * w[x] * v / total
+            p = np.where(p <= EPS, 0.0, np.where(p >= 1 - EPS, 1.0, p))
+    for x, q in zip(units, p.tolist()):
+        probs[x] = q
+    return sorted(x for x in units if EPS < probs[x] < 1 - EPS)
 
 
 def land(sizes, counts, probs, open_):
@@ -110,7 +158,7 @@ def land(sizes, counts, probs, open_):
         probs[x] = float(v)
 
 
-def _flight(last: bool, seed: int, landing: int):
+def _flight(seed: int, landing: int):
     def run(key, table):
         if table.num_rows == 0:
             return table
@@ -118,15 +166,18 @@ def _flight(last: bool, seed: int, landing: int):
         sizes, counts, probs = (t.column(c).to_pylist() for c in ("size", "m", "p"))
         rng = random.Random(zlib.crc32(repr((seed, [k.as_py() for k in key])).encode()))
         units = [i for i, p in enumerate(probs) if EPS < p < 1 - EPS]
-        # the last flight of a source leaves units of all sizes for the landing
-        spare = set(units[::max(1, -(-len(units) // landing))]) if last else set()
+        probs = [p if EPS < p < 1 - EPS else float(round(p)) for p in probs]
+        if len(units) > 2:
+            units = settle_long(sizes, counts, probs, units, landing, rng)
+        # every flight leaves units of all sizes, down to the landing of the source
+        spare = set(aside(units, landing))
         ready = [i for i in units if i not in spare]
         moved = [probs[i] for i in ready]
         left = fly([sizes[i] for i in ready], [counts[i] for i in ready], moved, rng)
         for i, p in zip(ready, moved):
             probs[i] = p
-        left = [ready[i] for i in left] + sorted(spare)
-        if last and left:
+        left = sorted([ready[i] for i in left] + list(spare))
+        if left and t.column("nb")[0].as_py() <= 1:  # the only block of its source
             land(sizes, counts, probs, left)
         return t.set_column(t.schema.get_field_index("p"), "p", pa.array(probs, pa.float64()))
     return run
@@ -153,18 +204,18 @@ def mix_units(docs: DataFrame, weights=(5, 2, 1), max_repeat: int = 3, block: in
            .withColumn("base", F.floor("_rate").cast("long"))
            .withColumn("p", F.col("_rate") - F.col("base"))
            .withColumn("b", F.pmod(F.xxhash64("doc_id", "size"), F.col("nb"))).select(*cols))
+    # landing + 2 open units a block at most: half a block's worth of them meet in one
+    fan = max(2, block // (2 * (landing + 2)))
     done, level = [], 0
     while True:
-        last = most <= 1
-        cur = materialize(cur.groupBy("source", "b").applyInArrow(_flight(last, seed + level, landing), cur.schema))
-        if last:
+        cur = materialize(cur.groupBy("source", "b").applyInArrow(_flight(seed + level, landing), cur.schema))
+        if most <= 1:
             done.append(cur)
             break
         settled = (F.col("p") == 0) | (F.col("p") == 1)
         done.append(cur.where(settled))
-        # two open units a block at most: half a block's worth of blocks meet in one
-        fan = max(2, block // 2)
-        cur = cur.where(~settled).withColumn("b", F.floor(F.col("b") / fan).cast("long"))
+        cur = (cur.where(~settled).withColumn("b", F.floor(F.col("b") / fan).cast("long"))
+               .withColumn("nb", F.ceil(F.col("nb") / fan).cast("long")))
         most, level = math.ceil(most / fan), level + 1
     out = done[0]
     for d in done[1:]:

@@ -72,6 +72,20 @@ def test_cube_flight_keeps_totals():
     assert sum(p) == pytest.approx(150) and sum(a * b for a, b in zip(s, p)) == pytest.approx(0.3 * sum(s))
 
 
+def test_mixing_small_source_beside_a_hot_one(spark):
+    import random
+    g = random.Random(3)
+    sizes = {"hot": [g.randint(1, 400) for _ in range(1500)]}
+    sizes |= {f"s{k:02d}": [g.randint(5, 60) for _ in range(40 + 15 * k)] + [800 + 7 * k] for k in range(8)}
+    rows = [(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate((s, n) for s, v in sizes.items() for n in v)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    u = mixing.mix_units(df, weights=(100,) + (1,) * 8, block=64).groupBy("source", "target").agg(
+        mixing.F.sum(mixing.F.col("size") * mixing.F.col("copies")).alias("taken")).collect()
+    assert {r["source"] for r in u} == set(sizes)
+    # a landing over 16 units of all sizes comes within a few words, not half a long document
+    assert max(abs(r["taken"] - r["target"]) for r in u) <= 3, sorted((r["source"], r["taken"] - r["target"]) for r in u)
+
+
 def test_packing(odd_docs, no_docs, small):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(tokenizer_path())

@@ -4,7 +4,7 @@ A page becomes blocks of text, each declared article, declared chrome (menus, fo
 adverts, forms, comments ...) or plain.  The token streams of everything outside the
 declared articles are concatenated and suffix-sorted, per host and task; runs shared by
 distinct pages of a host are merged over all tasks.  Of pages that declare an article,
-its blocks are the text.  Of other pages, tokens covered by a repeated run of their host
+its blocks are the text; of doubtful ones (related-work, has-sidebar) the unique runs.  Of other pages, tokens covered by a repeated run of their host
 are boilerplate; the unique runs of the plain blocks are kept.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .hashing import chunks, window_hashes
 
-ARTICLE, CHROME, PLAIN = "article", "chrome", "plain"
+ARTICLE, CHROME, PLAIN, DOUBT = "article", "chrome", "plain", "doubtful"
 # Elements by their role in a page.
 DROP = frozenset("script style noscript template iframe object svg canvas audio video map head title math".split())
 CHROME_TAGS = frozenset("nav footer aside form button select textarea dialog menu search".split())
@@ -39,12 +39,30 @@ CHROME_WORDS = frozenset("""ad ads advert adverts advertisement advertising spon
     cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup share sharing social
     sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus replies related
     recommended recommendations widget widgets toolbar pagination pager login masthead copyright skip""".split())
+# what a name may hold beside a chrome word and still say what its element is: site-sidebar, ad-slot
+FORMS = frozenset("""site global top bottom left right box bar block container wrapper wrap list link links item items area
+    inner unit slot button buttons icon icons post posts article articles primary secondary sticky mobile desktop""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[/!?]?[a-zA-Z\[-](?:[^<>"']|"[^"]{0,8192}"|'[^']{0,8192}'|["'])*>?""", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTR = re.compile(r"""([a-zA-Z_:][\w:.-]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 
 
+def _named(name: str, attrs: dict) -> str | None:
+    """What class and id say: chrome if a whole name does, doubtful if only a part of one does."""
+    kind = None
+    if name in ("html", "body"):
+        return kind
+    for x in f"{attrs.get('class', '')} {'' if name in HEADINGS else attrs.get('id', '')}".split():
+        parts = {w for w in re.split(r"[^a-z0-9]+", x) if w}
+        if parts & CHROME_WORDS:
+            if parts <= CHROME_WORDS | FORMS:
+                return CHROME
+            kind = DOUBT
+    return kind
+
+
 def _region(name: str, tag: str, inside_article: bool) -> str | None:
     """What an opening element declares its content to be, if anything."""
     if name in CHROME_TAGS or name == "header" and not inside_article:
@@ -53,17 +71,29 @@ def _region(name: str, tag: str, inside_article: bool) -> str | None:
     if attrs.get("role") in CHROME_ROLES or attrs.get("hidden") is not None or attrs.get("aria-hidden") == "true":
         return CHROME
     if name in ARTICLE_TAGS or attrs.get("role") in ("main", "article") or attrs.get("itemprop") == "articlebody":
-        return ARTICLE
-    words = re.split(r"[^a-z0-9]+", f"{attrs.get('class', '')} {attrs.get('id', '')}")
-    return CHROME if name != "body" and any(w in CHROME_WORDS for w in words) else None
+        # <article class="comment"> is a comment
+        return CHROME if name == "article" and _named(name, attrs) == CHROME else ARTICLE
+    return _named(name, attrs)
+
 
+def _by_name(name: str, tag: str) -> bool:
+    """Whether an element is chrome by nothing but its class or id."""
+    return name not in ARTICLE_TAGS and _region(name, re.sub(r"(?i)\b(?:class|id)\s*=", "_=", tag), True) is None
 
-def parse(page: str) -> list[tuple[str, str]]:
-    """(region, text) of the non-empty blocks of a page, in page order."""
+
+def parse(page: str, holders: frozenset = frozenset()) -> list[tuple[str, str]]:
+    """(region, text) of the non-empty blocks of a page, in page order.
+
+    Doubtful: inside an article, within an element that only a part of a name calls chrome.
+    Where the only articles of a page stand in elements that are chrome by name, these
+    (``holders``, by place in the page) are not chrome.
+    """
     out: list[tuple[str, str]] = []
     open_: list[tuple[str, str | None]] = []  # elements that can hold a region
     buf: list[str] = []
-    chrome = article = 0
+    chrome = article = doubt = 0
+    named: list[int | None] = []  # place of each open element that is chrome by name alone
+    held: set[int] = set()
     pos, n, low = 0, len(page), None
     mute = None  # a leaf element declared chrome: its text is left out
 
@@ -72,7 +102,7 @@ def parse(page: str) -> list[tuple[str, str]]:
             text = " ".join(htmllib.unescape("".join(buf)).split())
             buf.clear()
             if text:
-                out.append((CHROME if chrome else ARTICLE if article else PLAIN, text))
+                out.append((CHROME if chrome else PLAIN if not article else DOUBT if doubt else ARTICLE, text))
 
     while pos < n:
         m = TAG.search(page, pos)
@@ -109,9 +139,17 @@ def parse(page: str) -> list[tuple[str, str]]:
             continue
         if not closing:
             kind = _region(name, tag, article > 0)
+            if kind == CHROME and m.start() in holders or kind == DOUBT and not article:
+                kind = None
             if kind and name not in BLOCK_TAGS:
                 flush()
+            if kind == ARTICLE and chrome:
+                by = [x for (_, k), x in zip(open_, named) if k == CHROME]
+                if None not in by:
+                    held.update(by)
             open_.append((name, kind))
+            named.append(m.start() if kind == CHROME and _by_name(name, tag) else None)
+            doubt += kind == DOUBT
             chrome += kind == CHROME
             article += kind == ARTICLE
         else:
@@ -122,8 +160,11 @@ def parse(page: str) -> list[tuple[str, str]]:
                 for _, kind in open_[at:]:
                     chrome -= kind == CHROME
                     article -= kind == ARTICLE
-                del open_[at:]
+                    doubt -= kind == DOUBT
+                del open_[at:], named[at:]
     flush()
+    if held and not holders and not any(r in (ARTICLE, DOUBT) for r, _ in out):
+        return parse(page, frozenset(held))
     return out
 
 
@@ -220,22 +261,25 @@ def _main(batches):
     """Per page: its article text, or its plain blocks where it declares no article."""
     for b in batches:
         ids, urls, pages, row = (b.column(k) for k in range(4))
-        text, plain = [], []
+        text, plain, keep = [], [], []
         for p in pages.to_pylist():
             blocks = parse(p or "")
-            own = [t for r, t in blocks if r == ARTICLE]
-            rest = [t for r, t in blocks if r == PLAIN]
-            text.append("\n".join(own) if own or not rest else None)
-            plain.append(None if own or not rest else rest)
+            own = [(r, t) for r, t in blocks if r in (ARTICLE, DOUBT)]
+            # a block to be tested for repeats, or kept as it is
+            rest = [(t, r == ARTICLE) for r, t in own or blocks if r != CHROME]
+            sure = all(k for _, k in rest)
+            text.append("\n".join(t for t, _ in rest) if sure else None)
+            plain.append(None if sure else [t for t, _ in rest])
+            keep.append(None if sure else [k for _, k in rest])
         yield pa.RecordBatch.from_arrays([ids, urls, row, pa.array(text, pa.string()), pa.array(plain, pa.list_(pa.string())),
-                                          pa.array([host_of(u) for u in urls.to_pylist()])],
-                                         names=["page_id", "url", "row", "text", "plain", "host"])
+                                          pa.array(keep, pa.list_(pa.bool_())), pa.array([host_of(u) for u in urls.to_pylist()])],
+                                         names=["page_id", "url", "row", "text", "plain", "keep", "host"])
 
 
 def _keys(depth: int):
     def run(batches):
         for b in batches:
-            st = Streams(b.column(2).to_pylist(), depth)
+            st = Streams([["" if k else t for t, k in zip(*x)] for x in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], depth)
             at, h = st.keys()
             page = st.page[at]
             yield pa.RecordBatch.from_arrays(
@@ -270,9 +314,9 @@ def extract(pages: DataFrame, depth: int = 8) -> DataFrame:
     runs = (src.mapInArrow(_repeats(depth), "host string, key long, lo long, hi long")
             .groupBy("host", "key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("host", "key"))
     found = src.withColumn("row", F.xxhash64("page_id", "url", "html")).mapInArrow(
-        _main, "page_id long, url string, row long, text string, plain array<string>, host string")
+        _main, "page_id long, url string, row long, text string, plain array<string>, keep array<boolean>, host string")
     plain = found.where("plain is not null")
-    hits = (plain.select("row", "host", "plain").dropDuplicates(["row"]).mapInArrow(
+    hits = (plain.select("row", "host", "plain", "keep").dropDuplicates(["row"]).mapInArrow(
         _keys(depth), "row long, host string, key long, block long, at long")
         .join(runs, ["host", "key"], "left_semi")
         .groupBy("row").agg(F.collect_list(F.struct("block", "at")).alias("hits")))

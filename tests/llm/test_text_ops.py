@@ -126,6 +126,25 @@ def test_parse_structure():
     assert blocks == ["Title & more", "First boldly said.", "Second one goes on now"]
 
 
+@pytest.mark.parametrize("page", [
+    '<html class="cookie-consent"><body><article><p>Body text</article></body></html>',
+    '<div class="layout has-sidebar"><article><p>Body text</article></div>',
+    '<div class="page with-banner"><main><p>Body text</main></div>',
+    '<div class="sidebar"><p>Links</p><article><p>Body text</article></div>',
+    '<div class="sidebar">x</div><article><p>Body text</article><div class="comments"><article><p>A reader</article></div>',
+    '<article><p>Body text</article><article class="comment"><p>A reader</article>',
+    '<article><p>Body text<div class="site-sidebar">x</div><p class="notice">y</article>',
+])
+def test_parse_name_rule(page):
+    assert [t for r, t in html_extract.parse(page) if r == "article"] == ["Body text"]
+
+
+def test_extract_keeps_doubtful_sections(spark):
+    html = '<article><h2 id="social-policy">Head {k}</h2><p id="notice-period">Term {k}<section id="related-work"><p>Work {k}</section></article>'
+    df = spark.createDataFrame([(k, f"http://h.example/{k}", html.format(k=k)) for k in range(4)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()} == {k: f"Head {k}\nTerm {k}\nWork {k}" for k in range(4)}
+
+
 def test_suffix_order_is_sorted():
     tok = np.random.default_rng(0).integers(0, 3, 200).astype(np.uint64)
     order, rank = html_extract.suffix_order(tok, 8)

@@ -2,9 +2,9 @@
 
 A page becomes blocks of text, each declared article, declared chrome (menus, footers,
 adverts, forms, comments ...) or plain.  The token streams of everything outside the
-declared articles are concatenated and suffix-sorted, per host and task; runs shared by
-distinct pages of a host are merged over all tasks.  Of pages that declare an article,
-its blocks are the text; of doubtful ones (related-work, has-sidebar) the unique runs.  Of other pages, tokens covered by a repeated run of their host
+declared articles are concatenated and suffix-sorted, per host and task; the distinct
+pages of a host that hold a run are counted over all tasks, pages of equal text once.  Of pages that declare an article,
+its blocks are the text; of doubtful ones (related-work, has-sidebar) the unrepeated runs.  Of other pages, tokens covered by a repeated run of their host
 are boilerplate; the unique runs of the plain blocks are kept.
 """
 
@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .hashing import chunks, window_hashes
 
 ARTICLE, CHROME, PLAIN, DOUBT = "article", "chrome", "plain", "doubtful"
@@ -228,32 +229,44 @@ class Streams:
 
 
 def _repeats(depth: int):
-    """Per task: one row for each distinct run of each host, from the suffix array of its
-    pages: (host, key, least and largest page that has it)."""
+    """Per task: one row for each distinct run of each distinct page, from the suffix array
+    of its pages: (host, key, page), the page as hash of its text; key null: the page itself.
+
+    The text of a page is its plain one, or all outside its articles if there is none.
+    """
     def run(batches):
         for b in batches:
-            ids, urls, pages = (b.column(k).to_pylist() for k in range(3))
+            urls, pages = (b.column(k).to_pylist() for k in range(2))
             for s, e in chunks([p or "" for p in pages], 8 << 20):
-                use = [i for i in range(s, e) if ids[i] is not None]
-                blocks = [[t for r, t in parse(pages[i] or "") if r != ARTICLE] for i in use]
+                use, blocks, sigs, seen = [], [], [], set()
+                for i in range(s, e):
+                    out = [x for x in parse(pages[i] or "") if x[0] != ARTICLE]
+                    text = "\n".join([t for r, t in out if r != CHROME] or [t for _, t in out])
+                    sig = xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+                    if text and (host_of(urls[i]), sig) not in seen:
+                        seen.add((host_of(urls[i]), sig))
+                        use.append(i)
+                        blocks.append([t for _, t in out])
+                        sigs.append(sig)
                 st = Streams(blocks, depth)
                 at, h = st.keys()
                 if not len(at):
                     continue
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([host_of(urls[i]) for i in use]), pa.nulls(len(use), pa.int64()), pa.array(sigs, pa.int64())],
+                    names=["host", "key", "page"])
                 # host before token: runs of one host lie together in the suffix order
                 names = {x: k for k, x in enumerate(sorted({host_of(urls[i]) for i in use}))}
                 host = np.array([names[host_of(urls[i])] for i in use], np.int64)
                 order, rank = suffix_order(st.tok, depth)
                 order = order[np.isin(order, at)]
-                order = order[np.lexsort((rank[order], host[st.page[order]]))]
-                group = np.stack([host[st.page[order]], rank[order]], 1)
+                order = order[np.lexsort((st.page[order], rank[order], host[st.page[order]]))]
+                group = np.stack([host[st.page[order]], rank[order], st.page[order]], 1)
                 cut = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(1)]))
-                page = np.array([ids[i] for i in use], np.int64)[st.page[order]]
                 by = list(names)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([by[k] for k in group[cut, 0]]), pa.array(h[order[cut]].astype(np.int64)),
-                     pa.array(np.minimum.reduceat(page, cut)), pa.array(np.maximum.reduceat(page, cut))],
-                    names=["host", "key", "lo", "hi"])
+                     pa.array(np.array(sigs, np.int64)[group[cut, 2]])], names=["host", "key", "page"])
     return run
 
 
@@ -288,8 +301,19 @@ def _keys(depth: int):
     return run
 
 
+def long_runs(gone: np.ndarray, least: int) -> np.ndarray:
+    """The covered tokens of a block that go: all if all are covered, else runs of ``least`` tokens at least."""
+    if gone.all():
+        return gone
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+    out = np.zeros(len(gone), bool)
+    for s, e in zip(edge[::2], edge[1::2]):
+        out[s:e] = e - s >= least
+    return out
+
+
 def _unique(depth: int):
-    """Plain blocks without their covered tokens; a block all covered goes."""
+    """Plain blocks without their long covered runs; a block all covered goes."""
     def run(batches):
         for b in batches:
             out = []
@@ -297,22 +321,28 @@ def _unique(depth: int):
                 gone = [np.zeros(len(t.split()), bool) for t in blocks]
                 for h in hits or []:
                     gone[h["block"]][h["at"]:h["at"] + depth] = True
-                kept = [" ".join(w for w, g in zip(t.split(), d.tolist()) if not g) for t, d in zip(blocks, gone)]
+                kept = [" ".join(w for w, g in zip(t.split(), long_runs(d, 2 * depth).tolist()) if not g) for t, d in zip(blocks, gone)]
                 out.append("\n".join(k for k in kept if k))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
     return run
 
 
-def extract(pages: DataFrame, depth: int = 8) -> DataFrame:
+def extract(pages: DataFrame, depth: int = 8, share: float = 0.25, least: int = 3) -> DataFrame:
     """One row per page: page_id, url, text (empty if none).
 
     Null html counts as empty.  Blocks are joined by a line feed; character references
     are decoded and white space inside a block is one space.  Pages with a null or odd
-    url share the empty host.  Repeated rows get the same text each.
+    url share the empty host.  Repeated rows get the same text each.  A run is boilerplate
+    if ``least`` distinct pages of its host and more than ``share`` of them have it.
     """
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    runs = (src.mapInArrow(_repeats(depth), "host string, key long, lo long, hi long")
-            .groupBy("host", "key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("host", "key"))
+    # key null: the distinct pages of the host
+    count = (src.select("url", "html").mapInArrow(_repeats(depth), "host string, key long, page long")
+             .distinct().groupBy("host", "key").count().where((F.col("count") >= least) | F.col("key").isNull()))
+    count = materialize(count)
+    runs = (count.where("key is not null")
+            .join(count.where("key is null").select("host", F.col("count").alias("pages")), "host")
+            .where(F.col("count") > F.col("pages") * share).select("host", "key"))
     found = src.withColumn("row", F.xxhash64("page_id", "url", "html")).mapInArrow(
         _main, "page_id long, url string, row long, text string, plain array<string>, keep array<boolean>, host string")
     plain = found.where("plain is not null")

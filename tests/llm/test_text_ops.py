@@ -145,6 +145,28 @@ def test_extract_keeps_doubtful_sections(spark):
     assert {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()} == {k: f"Head {k}\nTerm {k}\nWork {k}" for k in range(4)}
 
 
+def test_extract_repeats_need_a_share_of_the_host(spark):
+    foot = "All rights of these pages belong to the town and to its people"
+    quote = "we hold that all words of this line are used twice"
+    def own(k):
+        return f"Page {k} has words of its own like no other, {k * 7919} of them {k * 31}"
+    # 1 and 2: one text under two urls; 3 and 4 share a quotation; 5 and 6 a heading
+    body = {k: f"<p>{own(k)}</p>" for k in range(3, 13)}
+    body |= {k: f"<p>{own(1)}</p><p>More of the one story that two urls of the host give</p>" for k in (1, 2)}
+    body[3], body[4] = (f"<p>Start {k} {quote} end {k}</p>" for k in (3, 4))
+    body[5], body[6] = (f"<h2>Summary</h2><p>{own(k)}</p>" for k in (5, 6))
+    df = spark.createDataFrame([(k, f"http://h.example/{k}", t + f"<div>{foot}</div>") for k, t in body.items()],
+                               "page_id long, url string, html string").repartition(4)
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    assert got[1] == got[2] == own(1) + "\nMore of the one story that two urls of the host give"
+    assert got[3] == f"Start 3 {quote} end 3" and got[4] == f"Start 4 {quote} end 4"
+    assert got[5] == "Summary\n" + own(5) and got[7] == own(7)
+    # the copies of one text count as one page
+    twins = spark.createDataFrame([(k, f"http://t.example/{k}", f"<p>{own(1)}</p><div>{foot}</div>") for k in range(9)],
+                                  "page_id long, url string, html string")
+    assert {r["text"] for r in html_extract.extract(twins).collect()} == {own(1) + "\n" + foot}
+
+
 def test_suffix_order_is_sorted():
     tok = np.random.default_rng(0).integers(0, 3, 200).astype(np.uint64)
     order, rank = html_extract.suffix_order(tok, 8)

@@ -1,10 +1,10 @@
-"""N-gram Jaccard join with PartEnum signatures.
+"""N-gram Jaccard join with one-partition signatures, a count filter and a prefix filter.
 
 A document's set holds the hashes of its distinct word shingles.  Sets are dealt to size
 bands of ratio just over 1 / similarity, so that similar sets lie in one band or in
 neighbours; a set joins the scheme of its band and that of the band below.  A scheme
-deals the hash domain to partitions, in groups of two, and enumerates the subsets of one
-partition of each group: the signatures are the non-empty partitions' contents.  Sets at
+deals the hash domain to partitions as PartEnum does, but enumerates no subsets of them:
+the signatures are the contents of the single non-empty partitions.  Sets at
 least ``similarity`` alike differ in at most k elements, each of which spoils one
 signature, so of A's m signatures they share m - k or more (``needed``, over 0).
 

@@ -62,8 +62,24 @@ def op10_embedding_dedup(spark, sf_dir):
     return embedding_join(read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    from .hard_negatives import mining_report
+    return mining_report(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_chat_format(spark, sf_dir):
+    from .chat_format import chat_report, with_planted
+    return chat_report(with_planted(read_table(spark, sf_dir, "conversations")))
+
+
+def op13_alignment(spark, sf_dir):
+    from .alignment import alignment_report
+    return alignment_report(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"),
+                            tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_mixing, op4_substring_dedup, op5_ngram_join, op6_packing, op7_html_extract, op8_exact_dedup, op9_toxicity,
-                                   op10_embedding_dedup)}
+                                   op10_embedding_dedup, op11_hard_negatives, op12_chat_format, op13_alignment)}
 
 ORACLE = {
     "op8_exact_dedup": """

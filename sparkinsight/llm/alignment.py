@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,10 @@ from ..session import materialize
 from .common import bytes_of
 from .hashing import chunks, decompressor
 
-U4, U8 = np.dtype("<u4"), np.uint64
+U4 = np.dtype("<u4")
 
 
-def gallop(short: np.ndarray, long: np.ndarray, run: int = 16) -> np.ndarray:
+def gallop(short: np.ndarray, long: np.ndarray, run: int = 4) -> np.ndarray:
     """For every number of ``short`` the first place in ``long`` that is not less (both sorted).
 
     Every ``run``-th number is placed first (by the same search); the others start
@@ -102,10 +103,11 @@ class Tokenizers:
     adds the space itself.  Neither joins a character to a space behind it: A's pattern
     starts a new part there, and no piece of B holds a space behind another character
     (else texts are encoded whole).  So segments that start at such a space have their own
-    ids, which are kept, at most ``limit`` of up to ``longest`` characters each.
+    ids, which are kept in two flat arrays; beyond ``limit`` segments those that fewer
+    chunks of texts held are forgotten, and so is any longer than ``longest`` characters.
     """
 
-    def __init__(self, a: bytes, b: bytes, limit: int = 300_000, longest: int = 80):
+    def __init__(self, a: bytes, b: bytes, limit: int = 600_000, longest: int = 80):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -126,14 +128,18 @@ class Tokenizers:
         self.a_len, self.b_len = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.parted = not any("▁" in p.lstrip("▁") for p in pieces)
         self.space = self.b.piece_to_id("▁")
-        self.limit, self.longest, self.known_a, self.known_b = limit, longest, {}, {}
+        self.limit, self.longest, self.known = limit, longest, {}
+        # by number of the segment: its ids' place and number on each side (-1: bytes not kept), chunks that held it
+        self.flat = [np.zeros(0, U4), np.zeros(0, U4)]
+        self.at, self.size = np.zeros((2, 0), np.int64), np.zeros((2, 0), np.int64)
+        self.held = np.zeros(0, np.int64)
         # digits of an id and what follows: inside a side, at the end of a side
         self.marks = ([x for i in range(len(self.a_bytes)) for x in (b"%d," % i, b"%d|" % i)]
                       + [x for i in range(size) for x in (b"%d," % i, b"%d;" % i)])
 
     # a space behind white space starts no segment (U+180E: white space in older tables)
-    _GAP = re.compile(r"[\s᠎] ")
-    _CUT = re.compile(r"(?<=[^\s᠎])(?= )")
+    _GAP = re.compile("[\\s\u180e] ")
+    _CUT = re.compile("(?<=[^\\s\u180e])(?= )")
 
     def segments(self, text: str) -> list[str]:
         """Space and text cut before every space behind another character, each without its first space."""
@@ -151,65 +157,105 @@ class Tokenizers:
             return None
         return np.array(a, U4).tobytes(), np.array(b, U4).tobytes()
 
-    def _line(self, segments: list[str]) -> None:
-        """Learn many segments from one text; they part at their known ends."""
-        line = " ".join(segments)
-        both = self._one(line)
+    def _lines(self, segments: list[str], out: list) -> None:
+        """Ids of many segments, taken from one text of them all; they part at their known ends."""
+        both = self._one(" ".join(segments))
         sizes = np.cumsum([len(s.encode()) + 1 for s in segments])
-        for ids, lens, known in zip(both or (), (self.a_len, self.b_len), (self.known_a, self.known_b)):
-            at = np.searchsorted(ends := np.cumsum(lens[np.frombuffer(ids, U4)]), sizes)
-            if not (ends[at] == sizes).all():
-                both = None
-                break
-            cut = [0, *((at + 1) * 4).tolist()]
-            known.update(zip(segments, [ids[s:e] for s, e in zip(cut, cut[1:])]))
-        if both is None:
-            for s in segments:
-                self.known_a[s], self.known_b[s] = self._one(s) or (None, None)
+        cuts = []
+        for ids, lens in zip(both or (), (self.a_len, self.b_len)):
+            ends = np.cumsum(lens[np.frombuffer(ids, U4)])
+            at = np.searchsorted(ends, sizes)
+            if (ends[at] == sizes).all():
+                cuts.append(np.diff(at, prepend=-1))
+        if len(cuts) == 2:
+            out.append((segments, *both, *cuts))
+        else:
+            out += [self._alone(s, s) for s in segments]
+
+    def _alone(self, name: str, text: str) -> tuple:
+        got = self._one(text)
+        return ([name], b"", b"", [-1], [-1]) if got is None else ([name], *got, [len(got[0]) // 4], [len(got[1]) // 4])
+
+    def _add(self, learnt: list) -> None:
+        """Append (names, ids of A, ids of B, their numbers by name) to the store; None names nothing."""
+        if not learnt:
+            return
+        first = len(self.held)
+        for k, name in enumerate(n for x in learnt for n in x[0]):
+            if name is not None:
+                self.known[name] = first + k
+        sizes = np.array([np.concatenate([x[3 + side] for x in learnt]) for side in (0, 1)], np.int64)
+        taken = np.maximum(sizes, 0)
+        starts = np.cumsum(taken, axis=1) - taken + [[len(f)] for f in self.flat]
+        self.flat = [np.concatenate([f, np.frombuffer(b"".join(x[1 + side] for x in learnt), U4)]) for side, f in enumerate(self.flat)]
+        self.at, self.size = np.concatenate([self.at, starts], axis=1), np.concatenate([self.size, sizes], axis=1)
+        self.held = np.concatenate([self.held, np.zeros(sizes.shape[1], np.int64)])
+
+    def _taken(self, idx: np.ndarray, side: int) -> np.ndarray:
+        """The ids of the segments ``idx`` in a row."""
+        n = np.maximum(self.size[side][idx], 0)
+        return self.flat[side][np.repeat(self.at[side][idx] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+    def _forget(self) -> None:
+        """Keep the half of the limit that most chunks held."""
+        names = np.array(list(self.known), object)
+        idx = np.fromiter(self.known.values(), np.int64, len(names))
+        keep = np.argsort(-self.held[idx], kind="stable")[:self.limit // 2]
+        names, idx = names[keep], idx[keep]
+        self.flat, size = [self._taken(idx, side) for side in (0, 1)], self.size[:, idx]
+        taken = np.maximum(size, 0)
+        self.at, self.size, self.held = np.cumsum(taken, axis=1) - taken, size, self.held[idx] // 2
+        self.known = dict(zip(names.tolist(), range(len(names))))
 
     def learn(self, segments: set[str]) -> None:
-        if len(self.known_a) > self.limit:
-            self.known_a, self.known_b = {}, {}
-        new = [s for s in segments if s not in self.known_b]
-        plain = [s for s in new if s and len(s) <= self.longest and not s[-1].isspace() and s[-1] != "᠎"]
-        taken = set(plain)
+        if len(self.known) > self.limit or len(self.flat[0]) > 16 * self.limit:
+            self._forget()
+        new = [s for s in segments if s not in self.known]
+        plain = [s for s in new if s and len(s) <= self.longest and not s[-1].isspace() and s[-1] != "\u180e"]
+        learnt, taken = [], set(plain)
         for k in range(0, len(plain), 400):
-            self._line(plain[k:k + 400])
-        for s in new:
-            if s not in taken:
-                self.known_a[s], self.known_b[s] = self._one(s) or (None, None)
-
-    def encode(self, texts: list[bytes]) -> tuple[list[bytes], list[bytes]]:
-        """Ids (little-endian uint32) of both sides; empty for texts without tokens."""
-        cut = []
+            self._lines(plain[k:k + 400], learnt)
+        learnt += [self._alone(s, s) for s in new if s not in taken]
+        self._add(learnt)
+
+    def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For both sides the ids of all texts in a row, and their number by text (0: no tokens)."""
+        plain, cut = [], []
         for t in texts:
             try:
-                cut.append(self.segments(t.decode("utf-8")) if t else [])
+                plain.append(t.decode("utf-8"))
             except UnicodeDecodeError:
-                cut.append([])
+                plain.append("")
+            cut.append(self.segments(plain[-1]) if plain[-1] else [])
         self.learn(set().union(*cut) if cut else set())
-        a, b = [], []
-        get_a, get_b = self.known_a.__getitem__, self.known_b.__getitem__
-        for segments, t in zip(cut, texts):
-            try:
-                x, y = b"".join(map(get_a, segments)), b"".join(map(get_b, segments))
-            except TypeError:  # a segment whose bytes are not kept: the text as a whole decides
-                x, y = self._one(t.decode("utf-8")) or (b"", b"")
-            a.append(x)
-            b.append(y)
+        n = np.array([len(c) for c in cut], np.int64)
+        idx = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(n.sum()))
+        bad = self.size[0][idx] < 0
+        if bad.any():  # a segment whose bytes are not kept: the text as a whole decides
+            of, base = np.repeat(np.arange(len(n)), n), len(self.held)
+            whole = np.unique(of[bad])
+            self._add([self._alone(None, plain[d]) for d in whole.tolist()])
+            rest = ~np.isin(of, whole)
+            idx, of = np.concatenate([idx[rest], base + np.arange(len(whole))]), np.concatenate([of[rest], whole])
+            order = np.argsort(of, kind="stable")
+            idx, n = idx[order], np.bincount(of, minlength=len(n))
+        self.held[np.unique(idx)] += 1
+        to = np.cumsum(n)
+        out = []
+        for side in (0, 1):
+            ends = np.concatenate([[0], np.cumsum(np.maximum(self.size[side][idx], 0))])
+            out.append((self._taken(idx, side).astype(np.int64), ends[to] - ends[to - n]))
         for s in {s for c in cut for s in c if len(s) > self.longest}:
-            del self.known_a[s], self.known_b[s]
-        return a, b
+            del self.known[s]
+        return out
 
 
 class Aligned:
     """Alignment of some texts: ids in a row, and per text its ranges of tokens and groups."""
 
     def __init__(self, tok: Tokenizers, texts: list[bytes]):
-        a, b = tok.encode(texts)
         self.tok = tok
-        self.a, self.b = np.frombuffer(b"".join(a), U4).astype(np.int64), np.frombuffer(b"".join(b), U4).astype(np.int64)
-        self.n_a, self.n_b = (np.array([len(x) // 4 for x in s], np.int64) for s in (a, b))
+        (self.a, self.n_a), (self.b, self.n_b) = tok.encode(texts)
         ends = np.cumsum(tok.a_len[self.a])
         # texts follow each other, so the end of each is a common end of both lists
         self.rank_a, self.rank_b = common(ends, np.cumsum(tok.b_len[self.b]))

@@ -166,7 +166,7 @@ def brute_alignment(rows, tok):
                     hashlib.sha256(";".join(g).encode()).hexdigest() if a else "") for i, a, b, g, ln in docs), key=repr)
 
 
-ODD_TEXTS = ["", None, " ", "a ", "  a", "a  b\n c \n", "x  y", "x᠎ y", "▁ a▁b", "<|endoftext|> </s> <s><unk>", "\x00 \x01\t\r\n ok",
+ODD_TEXTS = ["", None, " ", "a ", "  a", "a  b\n c \n", "x  y", "x\u180e y", "▁ a▁b", "<|endoftext|> </s> <s><unk>", "\x00 \x01\t\r\n ok",
              "日本語のテキスト です", "é é ​   x", "don't 'll  12 345", "﻿ bom", "y" * 5000 + " z", "w " * 3000, "　 全角"]
 
 
@@ -200,3 +200,18 @@ def test_end_pairs_hold_every_link(tok):
     pairs = alignment.end_pairs(tok.a_bytes, tok.b_bytes)
     x = alignment.Aligned(tok, ["some text, with 123 numbers\nand lines".encode()])
     assert np.isin(x.links(), pairs).all() and (np.diff(pairs) > 0).all()
+
+
+def test_segments_are_forgotten(paths):
+    """A store of ten segments gives the ids of a store that forgets nothing."""
+    few = alignment.Tokenizers(*(open(p, "rb").read() for p in paths), limit=10, longest=12)
+    rng = np.random.default_rng(3)
+    for _ in range(6):
+        texts = [" ".join(f"word{rng.integers(30)}" for _ in range(8)).encode() for _ in range(4)] + [b"x" * 40 + b" y", "\u2581 q".encode()]
+        for (got, n), whole in zip(few.encode(texts), (few.a, few.b)):
+            want = []
+            for t in texts[:-1]:
+                t = t.decode()
+                want += few.a.encode(" " + t, add_special_tokens=False).ids if whole is few.a else few.b.encode(t)
+            assert got.tolist() == want and n[-1] == 0 and n.sum() == len(want)
+        assert len(few.known) < 200

@@ -2,20 +2,27 @@
 
 ``safe_corr`` is a lazy aggregate expression.  ``quantiles`` is a fit helper that
 returns a few numbers per column: exact linear-interpolated quantiles (the pandas /
-numpy default), by histogram refinement at every size: every pass is one distributed
-``groupBy(column, bucket)`` whose shuffle holds at most ``buckets`` groups per column,
-and the last pass ranks a bounded band of values.
+numpy default).  A mergeable sketch brackets every wanted rank in one scan, and a
+counting scan settles it from the few values inside the bracket; brackets of very
+large tables are narrowed by further sketches first, a hundredfold each time.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A band of values is split further until it holds at most this many, then ranked.
-BAND_LIMIT = 50_000
+# Quantile sketches (Spark's KLL aggregate): their size, and the share of the rows a bracket
+# leaves on each side of the rank looked for (above the error of such a sketch, 0.24 %).
+SKETCH_K = 2048
+SKETCH_SLACK = 0.003
+# Sketches of tasks are merged in this many groups first, then in one.
+MERGE_GROUPS = 64
+# A bracket with more values inside than this is narrowed before its values are read back.
+BRACKET_LIMIT = 20_000
 
 
 def safe_corr(a: str, b: str) -> Column:
@@ -44,113 +51,122 @@ def number(c: str) -> Column:
     return F.when(~F.isnan(x), x)
 
 
-def quantiles(df: DataFrame, cols: list[str], probs: list[float],
-              band_limit: int = BAND_LIMIT, buckets: int = 4096) -> dict[str, list[float | None]]:
-    """Exact linear quantiles of each column over its values that are not NULL or NaN:
-    k-th smallest values by histogram refinement (no single-task value map)."""
+@dataclass
+class Bracket:
+    """Two values of a column with the ranks ``want`` between them; about ``held`` values lie strictly inside."""
+
+    column: str
+    lo: float
+    hi: float
+    want: list[int]
+    held: float
+
+
+def quantiles(df: DataFrame, cols: list[str], probs: list[float], limit: int = BRACKET_LIMIT,
+              sketch_k: int = SKETCH_K, slack: float = SKETCH_SLACK) -> dict[str, list[float | None]]:
+    """Exact linear quantiles of each column over its values that are not NULL or NaN.
+
+    One scan sketches every column, which gives each wanted rank a bracket of two values;
+    the next one settles the ranks (``_settle``).
+    """
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
     if not cols:
         return out
-    bounds = df.agg(*[e for i, c in enumerate(cols) for e in (
-        F.count(number(c)).alias(f"n{i}"), F.min(number(c)).alias(f"lo{i}"), F.max(number(c)).alias(f"hi{i}"))]).first()
-    place = {c: i for i, c in enumerate(cols)}
-    counts = {c: bounds[f"n{i}"] for c, i in place.items()}
-    cols = [c for c in cols if counts[c]]
-    ranks: dict[tuple[str, int], float | None] = {}
-    for c in cols:
-        for p in probs:
-            pos = (counts[c] - 1) * p
-            ranks[(c, math.floor(pos))] = None
-            ranks[(c, math.ceil(pos))] = None
-    # each open item: (column, lo, hi, below, n_in_band, ranks wanted)
-    items = []
-    for c in cols:
-        i = place[c]
-        want = sorted(r for (cc, r) in ranks if cc == c)
-        items.append((c, bounds[f"lo{i}"], bounds[f"hi{i}"], 0, counts[c], want))
-    while True:
-        done, open_items = [], []
-        for it in items:
-            c, lo, hi, below, n_band, want = it
-            if lo == hi:
-                for r in want:
-                    ranks[(c, r)] = lo
-            elif n_band <= band_limit:
-                done.append(it)
-            else:
-                open_items.append(it)
-        if done:
-            _rank_bands(df, done, ranks)
-        if not open_items:
-            break
-        items = _split_bands(df, open_items, buckets)
-    for c in cols:
-        n = counts[c]
-        vals = []
-        for p in probs:
-            pos = (n - 1) * p
-            vals.append(_interpolate(ranks[(c, math.floor(pos))], ranks[(c, math.ceil(pos))], pos))
-        out[c] = vals
+    src = df.select(*[number(c).alias(f"x{i}") for i, c in enumerate(cols)])
+    wide = [x for p in probs for x in (max(0.0, p - slack), min(1.0, p + slack))]
+    told = _sketched(src, {f"x{i}": F.col(f"x{i}") for i in range(len(cols))}, sketch_k, wide)
+    counts, ends, brackets = {}, {}, []
+    for i in range(len(cols)):
+        x = f"x{i}"
+        n, lo, hi, q = told[x]
+        counts[x], ends[x] = n, (lo, hi)
+        for k, p in enumerate(probs if n else []):
+            want = sorted({math.floor((n - 1) * p), math.ceil((n - 1) * p)})
+            a, b = (lo if wide[2 * k] == 0.0 else q[2 * k]), (hi if wide[2 * k + 1] == 1.0 else q[2 * k + 1])
+            brackets.append(Bracket(x, a, b, want, 2 * slack * n))
+    found = _settle(src, brackets, counts, ends, limit, sketch_k, slack)
+    for i, c in enumerate(cols):
+        n = counts[f"x{i}"]
+        if n:
+            out[c] = [_interpolate(found[f"x{i}", math.floor((n - 1) * p)], found[f"x{i}", math.ceil((n - 1) * p)],
+                                   (n - 1) * p) for p in probs]
     return out
 
 
-def _band_rows(df, items):
-    """One row per (value, item) for the items whose band holds the value."""
-    parts = []
-    for k, (c, lo, hi, *_rest) in enumerate(items):
-        x = number(c)
-        parts.append(F.when(x.between(F.lit(lo), F.lit(hi)),
-                            F.struct(F.lit(k).alias("item"), x.alias("x"))))
-    arr = F.filter(F.array(*parts), lambda s: s.isNotNull())
-    return df.select(F.explode(arr).alias("s")).select("s.item", "s.x")
-
-
-def _split_bands(df, items, buckets):
-    rows = _band_rows(df, items)
-    lo_e = F.element_at(F.array(*[F.lit(float(it[1])) for it in items]), F.col("item") + 1)
-    hi_e = F.element_at(F.array(*[F.lit(float(it[2])) for it in items]), F.col("item") + 1)
-    # both ends have buckets of their own, so every pass narrows the band; halves keep the
-    # span finite, and an infinite end leaves one inner bucket whose own bounds are finite
-    share = (F.col("x") / 2 - lo_e / 2) / (hi_e / 2 - lo_e / 2)
-    inner = F.least(F.lit(buckets), 1 + F.floor(F.nanvl(share, F.lit(0.0)) * buckets).cast("int"))
-    b = F.when(F.col("x") == lo_e, 0).when(F.col("x") == hi_e, buckets + 1).otherwise(inner)
-    hist = (rows.groupBy("item", b.alias("b"))
-            .agg(F.count("*").alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"))
-            .collect())  # at most len(items) * buckets small rows
-    by_item: dict[int, list] = {}
-    for r in hist:
-        by_item.setdefault(r["item"], []).append(r)
-    new_items = []
-    for k, (c, lo, hi, below, n_band, want) in enumerate(items):
-        hs = sorted(by_item.get(k, []), key=lambda r: r["b"])
-        groups: dict[int, list[int]] = {}
-        for r in want:
-            seen = below
-            for h in hs:
-                if r < seen + h["n"]:
-                    groups.setdefault(h["b"], []).append(r)
-                    break
-                seen += h["n"]
-        for bi, rs in groups.items():
-            before = below + sum(h["n"] for h in hs if h["b"] < bi)
-            h = next(h for h in hs if h["b"] == bi)
-            new_items.append((c, h["mn"], h["mx"], before, h["n"], rs))
-    return new_items
-
-
-def _rank_bands(df, items, ranks):
-    rows = _band_rows(df, items)
-    wanted = []
-    for k, (c, lo, hi, below, n_band, want) in enumerate(items):
-        for r in want:
-            wanted.append((k, r - below + 1))
-    w = Window.partitionBy("item").orderBy("x")
-    pick = F.array(*[F.struct(F.lit(k).alias("item"), F.lit(pos).alias("pos")) for k, pos in wanted])
-    ranked = rows.withColumn("pos", F.row_number().over(w))
-    hit = ranked.where(F.exists(pick, lambda s: (s["item"] == F.col("item")) & (s["pos"] == F.col("pos"))))
-    for r in hit.collect():  # one row per wanted rank
-        c, _lo, _hi, below, _n, _want = items[r["item"]]
-        ranks[(c, below + r["pos"] - 1)] = r["x"]
+def _sketched(src: DataFrame, values: dict, sketch_k: int, fractions: list[float]) -> dict[str, tuple]:
+    """(count, min, max, values at ``fractions``) of each expression, from one scan and mergeable sketches.
+
+    Sketches are merged per group of tasks first, so no task merges those of all tasks.
+    """
+    names = list(values)
+    group = F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("__g")
+    part = src.groupBy(group).agg(*[e for i, x in enumerate(names) for e in (
+        F.count(values[x]).alias(f"n{i}"), F.min(values[x]).alias(f"lo{i}"), F.max(values[x]).alias(f"hi{i}"),
+        F.kll_sketch_agg_double(values[x], F.lit(sketch_k)).alias(f"s{i}"))])
+    whole = part.agg(*[e for i in range(len(names)) for e in (
+        F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}"), F.min(f"lo{i}").alias(f"lo{i}"), F.max(f"hi{i}").alias(f"hi{i}"),
+        F.kll_merge_agg_double(F.when(F.col(f"n{i}") > 0, F.col(f"s{i}"))).alias(f"s{i}"))])
+    at = F.array(*[F.lit(float(x)) for x in fractions])
+    row = whole.select(*[e for i in range(len(names)) for e in (f"n{i}", f"lo{i}", f"hi{i}", F.when(
+        F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(f"s{i}", at)).alias(f"q{i}"))]).first()
+    return {x: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"], row[f"q{i}"]) for i, x in enumerate(names)}
+
+
+def _settle(src: DataFrame, brackets: list[Bracket], counts: dict, ends: dict, limit: int, sketch_k: int,
+            slack: float) -> dict[tuple[str, int], float]:
+    """The values at the wanted ranks of every bracket, exactly.
+
+    A scan counts the values below a bracket and on its two ends and reads back the few
+    inside.  A bracket with more than ``limit`` values inside is sketched instead and
+    narrowed; one that missed a rank (a sketch may err) goes on between it and the column's end.
+    """
+    found: dict[tuple[str, int], float] = {}
+    grid = [k / 512 for k in range(513)]
+    while brackets:
+        inside = [F.when((F.col(b.column) > F.lit(b.lo)) & (F.col(b.column) < F.lit(b.hi)), F.col(b.column)) for b in brackets]
+        aggs = []
+        for k, b in enumerate(brackets):
+            x = F.col(b.column)
+            aggs += [F.count_if(x < F.lit(b.lo)).alias(f"b{k}"), F.count_if(x == F.lit(b.lo)).alias(f"l{k}"),
+                     F.count_if(x == F.lit(b.hi)).alias(f"h{k}")]
+            if b.held <= limit:
+                aggs.append(F.collect_list(inside[k]).alias(f"v{k}"))
+        row = src.agg(*aggs).first()
+        wide = {str(k): inside[k] for k, b in enumerate(brackets) if b.held > limit}
+        told = _sketched(src, wide, sketch_k, grid) if wide else {}
+        left = []
+        for k, b in enumerate(brackets):
+            below, at_lo, at_hi = row[f"b{k}"], row[f"l{k}"], row[f"h{k}"] if b.hi > b.lo else 0
+            values = sorted(row[f"v{k}"]) if b.held <= limit else None
+            n = len(values) if values is not None else told[str(k)][0]
+            less, more, open_ = [], [], []
+            for r in b.want:
+                at = r - below - at_lo
+                if r < below:
+                    less.append(r)
+                elif at < 0:
+                    found[b.column, r] = b.lo
+                elif at >= n + at_hi:
+                    more.append(r)
+                elif at >= n:
+                    found[b.column, r] = b.hi
+                elif values is not None:
+                    found[b.column, r] = values[at]
+                else:
+                    open_.append(r)
+            first, last = ends[b.column]
+            if less:
+                left.append(Bracket(b.column, first, b.lo, less, below))
+            if more:
+                left.append(Bracket(b.column, b.hi, last, more, counts[b.column] - below))
+            if open_:
+                _, lo, hi, q = told[str(k)]
+                f, g = ((open_[0] - below - at_lo) / n - slack) * 512, ((open_[-1] - below - at_lo) / n + slack) * 512
+                a, z = (lo if f <= 0 else q[math.floor(f)]), (hi if g >= 512 else q[math.ceil(g)])
+                # the ends are values inside, so every round leaves fewer
+                left.append(Bracket(b.column, a, z, open_, n * ((g - f + 2) / 512 + slack)))
+        brackets = left
+    return found
 
 
 def orderable_number(df: DataFrame, col: str):
@@ -164,35 +180,15 @@ def orderable_number(df: DataFrame, col: str):
     return F.col(col).cast("double")
 
 
-def order_statistics(df: DataFrame, col: str, ranks: list[int], band_limit: int = BAND_LIMIT,
-                     buckets: int = 4096) -> list[float]:
-    """Exact k-th smallest non-null values (0-based ``ranks``) of ``col`` as numbers.
-
-    Histogram refinement: every pass is a distributed group-by of bounded size;
-    only a band of at most ``band_limit`` values is ever ranked in one task.
-    """
-    num = df.select(orderable_number(df, col).alias("__v")).where(F.col("__v").isNotNull())
-    n = num.count()
-    if n == 0:
+def order_statistics(df: DataFrame, col: str, ranks: list[int], limit: int = BRACKET_LIMIT) -> list[float | None]:
+    """Exact k-th smallest non-null values (0-based ``ranks``) of ``col`` as numbers."""
+    num = df.select(orderable_number(df, col).alias("x0")).where(F.col("x0").isNotNull())
+    n, lo, hi, _ = _sketched(num, {"x0": F.col("x0")}, SKETCH_K, [0.5])["x0"]
+    if not n:
         return [None] * len(ranks)
-    want: dict[tuple[str, int], float | None] = {("__v", r): None for r in ranks}
-    b = num.agg(F.min("__v").alias("lo"), F.max("__v").alias("hi")).first()
-    items = [("__v", b["lo"], b["hi"], 0, n, sorted(set(ranks)))]
-    while items:
-        done, open_items = [], []
-        for it in items:
-            c, lo, hi, below, n_band, rs = it
-            if lo == hi:
-                for r in rs:
-                    want[(c, r)] = lo
-            elif n_band <= band_limit:
-                done.append(it)
-            else:
-                open_items.append(it)
-        if done:
-            _rank_bands(num, done, want)
-        items = _split_bands(num, open_items, buckets) if open_items else []
-    return [want[("__v", r)] for r in ranks]
+    brackets = [Bracket("x0", lo, hi, [r], n) for r in sorted(set(ranks))]
+    found = _settle(num, brackets, {"x0": n}, {"x0": (lo, hi)}, limit, SKETCH_K, SKETCH_SLACK)
+    return [found["x0", r] for r in ranks]
 
 
 def running_sum_before(df: DataFrame, order_col: str, value_col: str, out: str, partitions: int | None = None):

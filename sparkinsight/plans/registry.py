@@ -626,6 +626,8 @@ from ..functions.text import STRIP_PATTERN, TOKEN_SPLIT  # noqa: E402
 from ..operators import documents as D  # noqa: E402
 from ..operators import retrieval as RT  # noqa: E402
 from ..operators import routing as RO  # noqa: E402
+from ..operators import vector_index as X  # noqa: E402
+from ..session import scratch_path  # noqa: E402
 
 _CHUNKS_SQL = f"""chunks AS (
   SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INTEGER) AS chunk, t AS text,
@@ -681,6 +683,37 @@ def q_retrieve(spark, sf):
                              k=5, query_id="query_label")
 
 
+_NEIGHBOUR_SQL = """nb AS (SELECT q.vec_id AS query_id, e.vec_id,
+  list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS sim
+  FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 10) DESC, vec_id) AS rank FROM nb)"""
+
+
+def _index_queries(emb):
+    """Every twentieth vector asks the whole table."""
+    return emb.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@register("index_search", f"WITH {_NEIGHBOUR_SQL}\nSELECT query_id, CAST(rank AS BIGINT) AS rank, vec_id, "
+          "round(sim, 4) AS score FROM top WHERE rank <= 5")
+def q_index_search(spark, sf):
+    """The inverted-file index with every cell read, which is exact."""
+    emb = table(spark, sf, "embeddings")
+    index = X.build_index(emb, scratch_path(spark, "vector-index"))
+    return X.search_index(X.load_index(spark, index.path), _index_queries(emb), probes=len(index.centres))
+
+
+@register("index_recall", f"WITH {_NEIGHBOUR_SQL}\nSELECT CAST(count(DISTINCT query_id) AS BIGINT) AS queries, "
+          "CAST(count(*) AS BIGINT) AS neighbours, true AS recall_reached FROM top WHERE rank <= 5")
+def q_index_recall(spark, sf):
+    """Recall of the index at the number of cells it chose, against all exact neighbours (0.9 at least)."""
+    emb = table(spark, sf, "embeddings")
+    index = X.build_index(emb, scratch_path(spark, "vector-index"))
+    asked = _index_queries(emb)
+    told = X.recall_report(X.search_index(index, asked), RT.retrieve_dense(asked, emb), "query_id", "vec_id")
+    return told.select("queries", "neighbours", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
 def _tok_sql(src: str, id_col: str, text_col: str) -> str:
     return (f"SELECT {id_col}, term, count(*) AS tf FROM (SELECT {id_col}, "
             f"unnest(regexp_split_to_array(lower({text_col}), '{TOKEN_SPLIT}')) AS term FROM {src}) "
@@ -1011,7 +1044,6 @@ def q_history_loss(spark, sf):
 
 
 # ------------------------------------------------------------ sources/catalog
-from ..session import scratch_path  # noqa: E402
 from ..sources import files as S  # noqa: E402
 from ..sources.catalog import Catalog  # noqa: E402
 from . import report as RP  # noqa: E402

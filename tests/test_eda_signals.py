@@ -69,10 +69,10 @@ def test_refined_quantiles_equal_exact(spark):
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
     probs = [0.1, 0.25, 0.5, 0.75, 0.99]
     exact = quantiles(df, ["x"], probs)["x"]
-    refined = quantiles(df, ["x"], probs, band_limit=100, buckets=16)["x"]
+    refined = quantiles(df, ["x"], probs, limit=100, sketch_k=16)["x"]
     assert np.allclose(exact, refined, rtol=0, atol=1e-12)
     assert np.allclose(refined, np.quantile(vals, probs), atol=1e-9)
-    ks = order_statistics(df, "x", [0, 17, 4499], band_limit=50, buckets=8)
+    ks = order_statistics(df, "x", [0, 17, 4499], limit=50)
     srt = np.sort(vals)
     assert ks == [srt[0], srt[17], srt[4499]]
 
@@ -102,7 +102,7 @@ def test_nan_is_missing_and_infinities_rank(spark):
     assert corr[("x", "y")] == 1.0 and corr[("x", "x")] == 1.0
     wide = spark.createDataFrame([(v,) for v in [float("-inf"), -1.7e308, 1.0, 2.0, 1.7e308, float("inf"), 3.0]],
                                  "x double")
-    assert quantiles(wide, ["x"], [1 / 3, 0.5, 2 / 3], band_limit=1, buckets=4)["x"] == [1.0, 2.0, 3.0]
+    assert quantiles(wide, ["x"], [1 / 3, 0.5, 2 / 3], limit=1, sketch_k=8, slack=0.0)["x"] == [1.0, 2.0, 3.0]
 
 
 def test_kpis_and_signals_cover_all_columns(spark):
@@ -119,3 +119,24 @@ def test_insight_context_counts_every_column(spark):
     text = I.insight_context(df).first()["context"]
     stats = text.split("Statistics:\n")[1].split("\n")
     assert stats == [f"{c} count 12" for c in df.columns] + ["kind unique 1", "kind top a"]
+
+
+def test_quantiles_stay_exact_with_poor_sketches(spark):
+    """Brackets that miss their rank or hold too much are followed up until the rank is settled."""
+    rng = np.random.default_rng(11)
+    vals = np.concatenate([rng.normal(size=1500), np.zeros(900), [np.inf] * 3, [-np.inf] * 2, [1e300, -1e300]])
+    rng.shuffle(vals)
+    rows = [(float(v), None if i % 3 else float(i % 7), float("nan") if i % 2 else float(v) * 1e9, None) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5)
+    probs = [0.0, 0.001, 0.25, 0.5, 0.999, 1.0]
+    exact = {c: np.sort([r[k] for r in rows if r[k] is not None and r[k] == r[k]]) for k, c in enumerate("abcd")}
+    for limit, sketch_k, slack in ((20_000, 2048, 0.003), (20, 8, 0.003), (5, 200, 0.0), (100, 64, 0.02)):
+        got = quantiles(df, list("abcd"), probs, limit=limit, sketch_k=sketch_k, slack=slack)
+        for c, v in exact.items():
+            for p, q in zip(probs, got[c]):
+                if not len(v):
+                    assert q is None
+                    continue
+                at = (len(v) - 1) * p
+                lo, hi = v[int(np.floor(at))], v[int(np.ceil(at))]
+                assert q == (lo if at == int(at) else (np.ceil(at) - at) * lo + (at - np.floor(at)) * hi)

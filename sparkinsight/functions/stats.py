@@ -1,7 +1,6 @@
 """Statistics building blocks.
 
-``safe_corr`` is a lazy aggregate expression.  ``quantiles`` is a fit helper that
-returns a few numbers per column: exact linear-interpolated quantiles (the pandas /
+``quantiles`` is a fit helper that returns a few numbers per column: exact linear-interpolated quantiles (the pandas /
 numpy default).  A mergeable sketch brackets every wanted rank in one scan, and a
 counting scan settles it from the few values inside the bracket; brackets of very
 large tables are narrowed by further sketches first, a hundredfold each time.
@@ -15,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import named
+
 # Quantile sketches (Spark's KLL aggregate): their size, and the share of the rows a bracket
 # leaves on each side of the rank looked for (above the error of such a sketch, 0.24 %).
 SKETCH_K = 2048
@@ -25,19 +26,6 @@ MERGE_GROUPS = 64
 BRACKET_LIMIT = 20_000
 
 
-def safe_corr(a: str, b: str) -> Column:
-    """Pearson correlation over rows where both are non-null; NULL when a side is constant.
-
-    ``corr`` raises DIVIDE_BY_ZERO under ANSI mode on a constant column; pandas
-    gives NaN, which we represent as NULL.
-    """
-    ca, cb = F.col(a), F.col(b)
-    both = ca.isNotNull() & cb.isNotNull()
-    va = F.var_pop(F.when(both, ca))
-    vb = F.var_pop(F.when(both, cb))
-    return F.try_divide(F.covar_pop(ca, cb), F.sqrt(va * vb))
-
-
 def _interpolate(lo_v: float, hi_v: float, pos: float) -> float:
     lower, higher = math.floor(pos), math.ceil(pos)
     if lower == higher:
@@ -47,7 +35,7 @@ def _interpolate(lo_v: float, hi_v: float, pos: float) -> float:
 
 def number(c: str) -> Column:
     """``c`` as a double with NaN as missing (pandas makes no difference between them)."""
-    x = F.col(c).cast("double")
+    x = named(c).cast("double")
     return F.when(~F.isnan(x), x)
 
 
@@ -244,3 +232,19 @@ def row_positions(df: DataFrame, keys: list[str], order_cols: list[str], out: st
     return (joined
             .withColumn(out, F.col("__off") + F.col("__mono") - F.col("__first"))
             .drop("__pid", "__mono", "__first", "__off"))
+
+
+def ordered_slices(df: DataFrame, order_cols: list[str], partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows in range slices with ``__slice`` and their global 0-based position ``__at``,
+    and a table (``__slice``, ``__start``, ``__rows``) with one row per slice that has rows."""
+    from ..session import materialize
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.repartitionByRange(parts, *order_cols).sortWithinPartitions(*order_cols)
+                         .withColumn("__slice", F.spark_partition_id())
+                         .withColumn("__mono", F.monotonically_increasing_id()))
+    stats = ranged.groupBy("__slice").agg(F.min("__mono").alias("__first"), F.count(F.lit(1)).alias("__rows"))
+    before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stats.withColumn("__start", F.coalesce(F.sum("__rows").over(before), F.lit(0)))  # one row per slice
+    placed = ranged.join(F.broadcast(starts.select("__slice", "__start", "__first")), "__slice")
+    placed = placed.withColumn("__at", F.col("__start") + F.col("__mono") - F.col("__first")).drop("__mono", "__first", "__start")
+    return placed, starts.select("__slice", "__start", "__rows")

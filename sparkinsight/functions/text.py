@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..schema import named
+
 # Number text accepted by numeric inference (plain decimal or
 # scientific notation, optional sign, optional surrounding blanks).
 NUMERIC_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -61,7 +63,7 @@ def short_float(c: Column) -> Column:
 
 def fits(c: str, i: int) -> list[Column]:
     """Aggregates ``w64_i``, ``w128_i``: values of a text column that fit each integer width."""
-    return [F.expr(f"count(try_cast(trim(`{c}`) AS {t}))").alias(f"{n}_{i}")
+    return [F.count(F.trim(named(c)).try_cast(t)).alias(f"{n}_{i}")
             for n, t in (("w64", "bigint"), ("w128", "decimal(38,0)"))]
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import quantiles
 from ..functions.text import INTEGER_TEXT, NUMERIC_TEXT, fits, integer_type, parse_datetime
-from ..schema import columns_of, kind_of
+from ..schema import columns_of, kind_of, named
 from ..session import materialize
 
 # Cleaning defaults.
@@ -31,7 +31,7 @@ def fit_constant_columns(df: DataFrame) -> list[str]:
     orderable = [c for c in df.columns if kind_of(df.schema[c].dataType) != "other"]
     if not orderable:
         return []
-    row = df.agg(*[(F.min(c) != F.max(c)).alias(f"v{i}") for i, c in enumerate(orderable)]).first()
+    row = df.agg(*[(F.min(named(c)) != F.max(named(c))).alias(f"v{i}") for i, c in enumerate(orderable)]).first()
     return [c for i, c in enumerate(orderable) if not row[f"v{i}"]]
 
 
@@ -54,7 +54,7 @@ def fit_types(df: DataFrame) -> dict[str, str]:
         return {}
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c)
+        x = named(c)
         aggs += [F.count(x).alias(f"n{i}"),
                  F.count_if(x.rlike(NUMERIC_TEXT)).alias(f"num{i}"),
                  F.count_if(x.rlike(INTEGER_TEXT)).alias(f"int{i}"), *fits(c, i),
@@ -77,9 +77,9 @@ def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
     def conv(c):
         t = types[c]
         if t == "timestamp_ntz":
-            return parse_datetime(F.col(c)).alias(c)
-        return F.expr(f"try_cast(trim(`{c}`) AS {t})").alias(c)
-    return df.select(*[conv(c) if c in types else F.col(c) for c in df.columns])
+            return parse_datetime(named(c)).alias(c)
+        return F.trim(named(c)).try_cast(t).alias(c)
+    return df.select(*[conv(c) if c in types else named(c) for c in df.columns])
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ class FillPlan:
 
 
 def _null_counts(df: DataFrame) -> dict[str, int]:
-    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)]).first()
+    row = df.agg(*[F.count_if(named(c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)]).first()
     return {c: row[f"m{i}"] for i, c in enumerate(df.columns)}
 
 
@@ -111,10 +111,10 @@ def fit_fill(df: DataFrame, strategy: str = "auto") -> FillPlan:
     num = [c for c in columns_of(df, "numeric") if nulls[c]]
     if strategy == "drop":
         plan.drop_subset = num
-        df = df.na.drop(subset=num) if num else df
+        df = _present(df, num)
     elif num:
         if strategy == "mean":
-            row = df.agg(*[F.avg(c).alias(f"f{i}") for i, c in enumerate(num)]).first()
+            row = df.agg(*[F.avg(named(c)).alias(f"f{i}") for i, c in enumerate(num)]).first()
             plan.numeric = {c: row[f"f{i}"] for i, c in enumerate(num)}
         else:
             q = quantiles(df, num, [0.5])
@@ -129,17 +129,24 @@ def fit_fill(df: DataFrame, strategy: str = "auto") -> FillPlan:
     return plan
 
 
+def _present(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows with a value in each of the columns."""
+    for c in cols:
+        df = df.where(named(c).isNotNull())
+    return df
+
+
 def apply_fill(df: DataFrame, plan: FillPlan) -> DataFrame:
     if plan.drop_subset:
-        df = df.na.drop(subset=plan.drop_subset)
+        df = _present(df, plan.drop_subset)
     out = []
     for c in df.columns:
         if c in plan.numeric and plan.numeric[c] is not None:
-            out.append(F.coalesce(F.col(c).cast("double"), F.lit(float(plan.numeric[c]))).alias(c))
+            out.append(F.coalesce(named(c).cast("double"), F.lit(float(plan.numeric[c]))).alias(c))
         elif c in plan.categorical:
-            out.append(F.coalesce(F.col(c), F.lit(plan.categorical[c])).alias(c))
+            out.append(F.coalesce(named(c), F.lit(plan.categorical[c])).alias(c))
         else:
-            out.append(F.col(c))
+            out.append(named(c))
     return df.select(*out)
 
 
@@ -159,7 +166,7 @@ class Bounds:
 
 
 def _outlier_mask(c: str, lo, hi):
-    x = F.col(c)
+    x = named(c)
     parts = []
     if lo is not None:
         parts.append(x < F.lit(lo))
@@ -191,14 +198,14 @@ def fit_bounds(df: DataFrame, cols: list[str] | None = None, method: str = "iqr"
             out.append(Bounds(c, q1 - k * iqr, q3 + k * iqr, q1, q3))
     else:
         m = df.agg(*[e for i, c in enumerate(cols) for e in
-                     (F.avg(c).alias(f"a{i}"), F.stddev_pop(c).alias(f"s{i}"))]).first()
+                     (F.avg(named(c)).alias(f"a{i}"), F.stddev_pop(named(c)).alias(f"s{i}"))]).first()
         aggs = []
         for i, c in enumerate(cols):
             mu, sd = m[f"a{i}"], m[f"s{i}"]
             if mu is None or not sd:
                 aggs += [F.lit(None).cast("double").alias(f"lo{i}"), F.lit(None).cast("double").alias(f"hi{i}")]
                 continue
-            inside = F.when(F.abs((F.col(c) - F.lit(mu)) / F.lit(sd)) < t, F.col(c).cast("double"))
+            inside = F.when(F.abs((named(c) - F.lit(mu)) / F.lit(sd)) < t, named(c).cast("double"))
             aggs += [F.min(inside).alias(f"lo{i}"), F.max(inside).alias(f"hi{i}")]
         row = df.agg(*aggs).first()
         out = [Bounds(c, row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(cols)]
@@ -216,7 +223,7 @@ def cap_outliers(df: DataFrame, bounds: list[Bounds]) -> DataFrame:
     out = []
     for c in df.columns:
         if c in by:
-            b, x = by[c], F.col(c).cast("double")
+            b, x = by[c], named(c).cast("double")
             e = x
             if b.lo is not None:
                 e = F.when(x < F.lit(b.lo), F.lit(b.lo)).otherwise(e)
@@ -224,7 +231,7 @@ def cap_outliers(df: DataFrame, bounds: list[Bounds]) -> DataFrame:
                 e = F.when(x > F.lit(b.hi), F.lit(b.hi)).otherwise(e)
             out.append(e.alias(c))
         else:
-            out.append(F.col(c))
+            out.append(named(c))
     return df.select(*out)
 
 
@@ -266,11 +273,11 @@ def fit_categories(df: DataFrame, max_card: int = ONE_HOT_MAX_CARDINALITY) -> di
     cols = columns_of(df, "categorical")
     if not cols:
         return {}
-    approx = df.agg(*[F.approx_count_distinct(c).alias(f"a{i}") for i, c in enumerate(cols)]).first()
+    approx = df.agg(*[F.approx_count_distinct(named(c)).alias(f"a{i}") for i, c in enumerate(cols)]).first()
     narrow = [c for i, c in enumerate(cols) if approx[f"a{i}"] <= 2 * max_card + 2]
     if not narrow:
         return {}
-    row = df.agg(*[F.sort_array(F.collect_set(c)).alias(f"s{i}") for i, c in enumerate(narrow)]).first()
+    row = df.agg(*[F.sort_array(F.collect_set(named(c))).alias(f"s{i}") for i, c in enumerate(narrow)]).first()
     return {c: list(row[f"s{i}"]) for i, c in enumerate(narrow) if len(row[f"s{i}"]) <= max_card}
 
 
@@ -278,11 +285,11 @@ def one_hot(df: DataFrame, categories: dict[str, list[str]] | None = None,
             drop_first: bool = True, max_card: int = ONE_HOT_MAX_CARDINALITY) -> DataFrame:
     """Boolean indicator columns ``col_value`` appended at the end; sources removed."""
     categories = fit_categories(df, max_card) if categories is None else categories
-    keep = [F.col(c) for c in df.columns if c not in categories]
+    keep = [named(c) for c in df.columns if c not in categories]
     dummies = []
     for c, values in categories.items():
         for v in (values[1:] if drop_first else values):
-            dummies.append(F.coalesce(F.col(c) == F.lit(v), F.lit(False)).alias(f"{c}_{v}"))
+            dummies.append(F.coalesce(named(c) == F.lit(v), F.lit(False)).alias(f"{c}_{v}"))
     return df.select(*keep, *dummies)
 
 
@@ -312,7 +319,7 @@ def clean(df: DataFrame, cfg: CleanConfig | None = None) -> tuple[DataFrame, Dat
     spark = df.sparkSession
     log: list[tuple] = []
     cols = df.columns
-    grouped = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
+    grouped = df.groupBy(*[named(c) for c in cols]).agg(F.count(F.lit(1)).alias("__n"))
     if cfg.checkpoint:
         grouped = materialize(grouped)
 
@@ -320,7 +327,7 @@ def clean(df: DataFrame, cfg: CleanConfig | None = None) -> tuple[DataFrame, Dat
     strs = [c for c in cols if kinds[c] == "categorical"]
     aggs = [F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("__dups"), F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(cols):
-        x = F.col(c)
+        x = named(c)
         aggs += [F.count_if(x.isNull()).alias(f"null{i}"), F.count(x).alias(f"n{i}")]
         if kinds[c] != "other":
             aggs.append((F.min(x) != F.max(x)).alias(f"v{i}"))
@@ -406,7 +413,7 @@ def clean(df: DataFrame, cfg: CleanConfig | None = None) -> tuple[DataFrame, Dat
         narrow = [c for c in cand if c in idx and st[f"a{idx[c]}"] + 1 <= 2 * ONE_HOT_MAX_CARDINALITY + 2]
         cats = {}
         if narrow:
-            row = df.agg(*[F.sort_array(F.collect_set(c)).alias(f"s{i}") for i, c in enumerate(narrow)]).first()
+            row = df.agg(*[F.sort_array(F.collect_set(named(c))).alias(f"s{i}") for i, c in enumerate(narrow)]).first()
             cats = {c: list(row[f"s{i}"]) for i, c in enumerate(narrow)
                     if len(row[f"s{i}"]) <= ONE_HOT_MAX_CARDINALITY}
         if cats:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import number, quantiles
-from ..schema import columns_of, dtype_name
+from ..schema import columns_of, dtype_name, named
 from ..session import ship_package
 from .profile import categorical_top
 
@@ -60,7 +60,7 @@ def categorical_summary(df: DataFrame) -> DataFrame:
 
 def missing_by_column(df: DataFrame) -> DataFrame:
     """(position, column, missing, dtype) plus the shape in every row."""
-    aggs = [F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)]
+    aggs = [F.count_if(named(c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)]
     wide = df.agg(F.count(F.lit(1)).alias("__rows"), *aggs)
     stack = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"),
                                F.col(f"m{i}").cast("bigint").alias("missing"),
@@ -75,76 +75,84 @@ def dtypes(df: DataFrame) -> dict[str, str]:
 
 
 # ------------------------------------------------------------------ E4/E5
-def _comoment_partials(k: int, shift: list[float]):
-    """Per task: pairwise-complete sums of each column pair over its Arrow batches."""
+def _merged(a: dict, b: dict) -> dict:
+    """Moments of two sets of rows together: counts, means and centred (co-)moments of every pair."""
+    n = a["n"] + b["n"]
+    share = np.divide(a["n"] * b["n"], n, out=np.zeros_like(n), where=n > 0)
+    part = np.divide(b["n"], n, out=np.zeros_like(n), where=n > 0)
+    da, db = b["ma"] - a["ma"], b["mb"] - a["mb"]
+    return {"n": n, "ma": a["ma"] + da * part, "mb": a["mb"] + db * part, "caa": a["caa"] + b["caa"] + da * da * share,
+            "cbb": a["cbb"] + b["cbb"] + db * db * share, "cab": a["cab"] + b["cab"] + da * db * share,
+            "lo": np.fmin(a["lo"], b["lo"]), "hi": np.fmax(a["hi"], b["hi"])}
+
+
+def _moments(x: np.ndarray) -> dict:
+    """Moments of column i over the rows where column j is present as well, for every pair (i, j)."""
+    there = ~np.isnan(x)
+    m = there.astype("float64")
+    # near the middle of each column, so products of far-off values cannot swamp their differences
+    mid = np.nanmean(np.where(there.any(axis=0), x, 0.0), axis=0)
+    y = np.where(there, x - mid, 0.0)
+    n = m.T @ m
+    over = np.divide(1.0, n, out=np.zeros_like(n), where=n > 0)
+    sa, sb = y.T @ m, m.T @ y
+    lo, hi = (np.stack([f.reduce(np.where(there & there[:, [j]], x, np.nan), axis=0) for j in range(x.shape[1])], axis=1)
+              for f in (np.fmin, np.fmax))
+    return {"n": n, "ma": mid[:, None] + sa * over, "mb": mid[None, :] + sb * over, "caa": (y * y).T @ m - sa * sa * over,
+            "cbb": m.T @ (y * y) - sb * sb * over, "cab": y.T @ y - sa * sb * over, "lo": lo, "hi": hi}
+
+
+def _comoment_partials(k: int):
+    """Per task: the merged pairwise-complete moments of its Arrow batches, one row per pair i <= j."""
     def run(it):
-        shp = (k, k)
-        acc = {name: np.zeros(shp) for name in ("n", "sa", "sb", "saa", "sbb", "sab")}
-        mn, mx = np.full(k, np.inf), np.full(k, -np.inf)
-        seen = False
+        acc = None
         for pdf in it:
-            if pdf.empty:
-                continue
-            seen = True
-            x = pdf.to_numpy(dtype="float64") - np.asarray(shift)[None, :]
-            m = (~np.isnan(x)).astype("float64")
-            x0 = np.nan_to_num(x, nan=0.0)
-            acc["n"] += m.T @ m
-            acc["sa"] += x0.T @ m          # sum of a over rows where b is present
-            acc["sb"] += m.T @ x0          # sum of b over rows where a is present
-            acc["saa"] += (x0 * x0).T @ m
-            acc["sbb"] += m.T @ (x0 * x0)
-            acc["sab"] += x0.T @ x0
-            with np.errstate(invalid="ignore"):
-                mn = np.fmin(mn, np.nanmin(np.where(m > 0, x, np.nan), axis=0))
-                mx = np.fmax(mx, np.nanmax(np.where(m > 0, x, np.nan), axis=0))
-        if not seen:
+            if len(pdf):
+                x = pdf.to_numpy(dtype="float64")
+                one = _moments(x)
+                acc = one if acc is None else _merged(acc, one)
+        if acc is None:
             return
         ii, jj = np.triu_indices(k)
-        out = pd.DataFrame({"i": ii.astype("int32"), "j": jj.astype("int32")})
-        for name, a in acc.items():
-            out[name] = a[ii, jj]
-        out["mn"] = np.where(np.isfinite(mn[ii]), mn[ii], np.nan)
-        out["mx"] = np.where(np.isfinite(mx[ii]), mx[ii], np.nan)
-        yield out
+        out = {"i": ii.astype("int32"), "j": jj.astype("int32"), **{c: acc[c][ii, jj] for c in ("n", "ma", "mb", "caa", "cbb", "cab")}}
+        for c, own in (("lo", "a"), ("hi", "a")):
+            out[f"{c}_{own}"], out[f"{c}_b"] = acc[c][ii, jj], acc[c][jj, ii]
+        yield pd.DataFrame(out)
     return run
 
 
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None, digits: int | None = 4) -> DataFrame:
     """Pearson matrix in long form (i, j, col1, col2, corr), pairwise-complete, 4 dp.
 
-    Each task folds its Arrow batches into per-pair sums (count, sums, squares,
-    cross products over rows where both values are present) with a few matrix
-    products; a ``groupBy(i, j)`` then adds k(k+1)/2 small rows per task.  Values
-    are shifted by the column means first (one cheap aggregate) so the sums stay
-    well conditioned.  Diagonal is 1 (NULL for a constant column); empty below two
-    numeric columns.
+    One scan: each task folds its Arrow batches into counts, means and centred co-moments
+    per pair of columns (rows where both values are present) and sends k(k+1)/2 small
+    rows; those are merged about the common mean.  A side whose least and largest value over
+    the pair's rows are equal is constant: NULL.  Diagonal is 1 (NULL for a constant
+    column); empty below two numeric columns.
     """
     cols = columns_of(df, "numeric") if cols is None else cols
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "i int, j int, col1 string, col2 string, corr double")
     ship_package(df.sparkSession)
-    k = len(cols)
     src = df.select(*[number(c).alias(f"c{i}") for i, c in enumerate(cols)])
-    means = src.agg(*[F.avg(f"c{i}").alias(f"m{i}") for i in range(k)]).first()
-    shift = [float(means[f"m{i}"]) if means[f"m{i}"] is not None else 0.0 for i in range(k)]
-    parts = src.mapInPandas(_comoment_partials(k, shift),
-                            "i int, j int, n double, sa double, sb double, saa double, sbb double, sab double, "
-                            "mn double, mx double")
-    g = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")],
-                                    F.min("mn").alias("mn"), F.max("mx").alias("mx"))
-    n = F.col("n")
-    cov = F.col("sab") / n - (F.col("sa") / n) * (F.col("sb") / n)
-    va = F.col("saa") / n - (F.col("sa") / n) * (F.col("sa") / n)
-    vb = F.col("sbb") / n - (F.col("sb") / n) * (F.col("sb") / n)
-    raw = cov / F.sqrt(va * vb)
-    # clamp rounding noise to [-1, 1]; NULL (constant side, no overlap) stays NULL
-    # a side whose variance is float noise around its mean (a constant) has no correlation
-    eps = 1e-9
-    ok = (n > 0) & (va > eps * F.col("saa") / n) & (vb > eps * F.col("sbb") / n)
-    off = F.when(ok,
-                 F.when(raw > 1, F.lit(1.0)).when(raw < -1, F.lit(-1.0)).otherwise(raw))
-    r = F.when(F.col("i") == F.col("j"), F.when(F.col("mn") != F.col("mx"), F.lit(1.0))).otherwise(off)
+    parts = src.mapInPandas(_comoment_partials(len(cols)), "i int, j int, " + ", ".join(f"{c} double" for c in (
+        "n", "ma", "mb", "caa", "cbb", "cab", "lo_a", "lo_b", "hi_a", "hi_b")))
+    # one row per (task, pair): the common means first, then the moments about them
+    w = Window.partitionBy("i", "j")
+    mean = lambda c: F.try_divide(F.sum(F.col("n") * F.col(c)).over(w), F.sum("n").over(w))
+    da, db = F.col("ma") - F.col("all_a"), F.col("mb") - F.col("all_b")
+    g = (parts.where(F.col("n") > 0).withColumn("all_a", mean("ma")).withColumn("all_b", mean("mb")).groupBy("i", "j").agg(
+        F.sum(F.col("caa") + F.col("n") * da * da).alias("va"), F.sum(F.col("cbb") + F.col("n") * db * db).alias("vb"),
+        F.sum(F.col("cab") + F.col("n") * da * db).alias("cov"), F.min("lo_a").alias("lo_a"), F.max("hi_a").alias("hi_a"),
+        F.min("lo_b").alias("lo_b"), F.max("hi_b").alias("hi_b")))
+    # pairs that no row has both values of are listed as well
+    pairs = df.sparkSession.range(len(cols) * len(cols)).select(
+        F.floor(F.col("id") / len(cols)).cast("int").alias("i"), (F.col("id") % len(cols)).cast("int").alias("j")).where("i <= j")
+    g = pairs.join(F.broadcast(g), ["i", "j"], "left")  # at most one row per pair of columns
+    varies = (F.col("lo_a") < F.col("hi_a")) & (F.col("lo_b") < F.col("hi_b")) & (F.col("va") > 0) & (F.col("vb") > 0)
+    raw = F.col("cov") / (F.sqrt("va") * F.sqrt("vb"))
+    # rounding noise beyond [-1, 1] is clamped
+    r = F.when(varies, F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw))))
     r = F.round(r, digits) if digits is not None else r
     names = F.array(*[F.lit(c) for c in cols])
     half = g.select("i", "j", r.alias("corr"))
@@ -201,10 +209,9 @@ def detect_trends(df: DataFrame, order_by: str, cols: list[str] | None = None,
     ship_package(spark)
     cols = [c for c in (columns_of(df, "numeric") if cols is None else cols)]
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    src = df.select(order_by, *[F.col(c).cast("double").alias(c) for c in cols if c != order_by],
-                    *([F.col(order_by).cast("double").alias("__key_value")] if order_by in cols else []))
-    val_cols = [c if c != order_by else "__key_value" for c in cols]
-    parts = (src.repartitionByRange(n_parts, order_by).sortWithinPartitions(order_by)
+    val_cols = [f"v{i}" for i in range(len(cols))]
+    src = df.select(named(order_by).alias("__order"), *[named(c).cast("double").alias(v) for c, v in zip(cols, val_cols)])
+    parts = (src.repartitionByRange(n_parts, "__order").sortWithinPartitions("__order")
              .mapInPandas(_trend_partials(val_cols),
                           "pid int, column string, n bigint, mean_y double, cxy double"))
     # one row per (task, column): offsets and totals are windows over that small table
@@ -243,14 +250,14 @@ def histogram(df: DataFrame, cols: list[str] | None = None, bins: int = HIST_BIN
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, bin int, lo double, hi double, count bigint")
     mm = df.agg(*[e for i, c in enumerate(cols) for e in
-                  (F.min(F.col(c).cast("double")).alias(f"a{i}"), F.max(F.col(c).cast("double")).alias(f"b{i}"))]).first()
+                  (F.min(named(c).cast("double")).alias(f"a{i}"), F.max(named(c).cast("double")).alias(f"b{i}"))]).first()
     cells = []
     for i, c in enumerate(cols):
         lo, hi = mm[f"a{i}"], mm[f"b{i}"]
         if lo is None:
             continue
         width = (hi - lo) / bins if hi > lo else 0.0
-        x = F.col(c).cast("double")
+        x = named(c).cast("double")
         b = F.lit(0) if width == 0 else F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * bins), F.lit(bins - 1))
         cells.append(F.when(x.isNotNull(), F.struct(F.lit(i).alias("i"), b.cast("int").alias("bin"),
                                                      F.lit(lo).alias("lo0"), F.lit(width).alias("w"))))
@@ -290,7 +297,7 @@ def box_stats(df: DataFrame, cols: list[str] | None = None, k: float = 1.5) -> D
 def value_counts(df: DataFrame, cols: list[str] | None = None, k: int = VALUE_COUNTS_K) -> DataFrame:
     """Top ``k`` non-null values per column (count desc, value asc); all string columns or ``cols``."""
     cols = columns_of(df, "categorical") if cols is None else cols
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), named(c).cast("string").alias("value")) for c in cols])
     counts = (df.select(F.inline(pairs)).where(F.col("value").isNotNull())
               .groupBy("column", "value").agg(F.count(F.lit(1)).alias("count")))
     w = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value"))
@@ -307,11 +314,11 @@ def scatter_frame(df: DataFrame, fraction: float = 1.0, seed: int = 42, key: str
     """
     num = columns_of(df, "numeric") if cols is None else cols
     if len(num) < 3:
-        return df.select(*num).limit(0)
-    out = df.select(*num)
+        return df.select(*[named(c) for c in num]).limit(0)
+    out = df.select(*[named(c) for c in num])
     if fraction < 1.0:
         buckets = 1_000_000
-        h = F.pmod(F.xxhash64(F.col(key or num[0]), F.lit(seed)), F.lit(buckets))
+        h = F.pmod(F.xxhash64(named(key or num[0]), F.lit(seed)), F.lit(buckets))
         out = out.where(h < int(fraction * buckets))
     return out
 
@@ -334,7 +341,7 @@ def chart_data(df: DataFrame) -> dict[str, DataFrame]:
 
 # ------------------------------------------------------------------ E12/E13
 def eda(df: DataFrame, order_by: str) -> dict[str, DataFrame]:
-    """Summary, correlation and trend frames over one persisted input."""
+    """Summary, correlation and trend frames of one input."""
     return {
         "numeric_summary": numeric_summary(df),
         "categorical_summary": categorical_summary(df),

@@ -1,4 +1,4 @@
-"""Model comparison with ``pyspark.ml`` (M1-M17) and the neural classifier.
+"""Model comparison with ``pyspark.ml``.
 
 Feature preparation, splits and folds are column expressions (hash-based, so a
 row's split does not depend on partitioning and survives task retries); metrics
@@ -9,13 +9,13 @@ distributed ones.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import quantiles, row_positions, running_sum_before
-from ..schema import columns_of, kind_of
+from ..functions.stats import number, quantiles, row_positions, running_sum_before
+from ..schema import columns_of, kind_of, named
 from ..session import materialize
 
 # Modelling defaults.
@@ -29,10 +29,9 @@ BOOST_DEPTH = 3
 BOOST_STEP = 0.1
 LOGISTIC_MAX_ITER = 1000
 TREE_DEPTH = 10
-ONE_HOT_FEATURE_CAP = 100
 TOP_FEATURES = 20
-MLP_HIDDEN = (128, 64, 32)
-MLP_EPOCHS = 50
+# Feature vectors up to this width are centred (and so dense) before a fit.
+CENTRED_FEATURES = 1024
 NULL_LABEL = "nan"
 # Concurrent fold fits in cross-validation.
 CV_PARALLELISM = 5
@@ -44,13 +43,13 @@ ROWS_PER_PARTITION = 200_000
 def detect_task(df: DataFrame, target: str) -> str:
     if kind_of(df.schema[target].dataType) in ("categorical", "boolean"):
         return "classification"
-    n = df.agg(F.count_distinct(target).alias("n")).first()["n"]
+    n = df.agg(F.count_distinct(named(target)).alias("n")).first()["n"]
     return "classification" if n <= CLASSIFICATION_MAX_DISTINCT else "regression"
 
 
 def task_report(df: DataFrame) -> DataFrame:
     """(column, distinct, task) for every column taken as the target."""
-    aggs = [F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(df.columns)]
+    aggs = [F.count_distinct(named(c)).alias(f"d{i}") for i, c in enumerate(df.columns)]
     cells = []
     for i, c in enumerate(df.columns):
         is_text = kind_of(df.schema[c].dataType) in ("categorical", "boolean")
@@ -61,73 +60,127 @@ def task_report(df: DataFrame) -> DataFrame:
     return df.agg(*aggs).select(F.inline(F.array(*cells)))
 
 
-def encode_label(df: DataFrame, target: str, out: str = "label"):
-    """Sorted-order integer codes for a string/bool target (NULL is its own class ``nan``)."""
-    from pyspark.ml.feature import StringIndexer
-    tmp = df.withColumn("__y", F.coalesce(F.col(target).cast("string"), F.lit(NULL_LABEL)))
-    model = StringIndexer(inputCol="__y", outputCol=out, stringOrderType="alphabetAsc").fit(tmp)
-    return model.transform(tmp).drop("__y"), list(model.labels)
+def label_codes(df: DataFrame, target: str) -> tuple[Column, DataFrame]:
+    """(class of a row, table of ``__class`` and its code in sorted order).
+
+    Classes of text and booleans are their text, NULL the class ``nan``; numbers are classes
+    in numeric order, NULL and NaN take the median.  The table is distributed: its positions
+    come from range slices, so a target of any width passes through no single task.
+    """
+    if kind_of(df.schema[target].dataType) == "numeric":
+        plain = df.select(named(target).alias("__t"))
+        med = quantiles(plain, ["__t"], [0.5])["__t"][0]
+        value = F.coalesce(number(target), F.lit(0.0 if med is None else float(med)))
+    else:
+        value = F.coalesce(named(target).cast("string"), F.lit(NULL_LABEL))
+    classes = row_positions(df.select(value.alias("__class")).distinct(), [], ["__class"], out="__code")
+    return value, classes
+
+
+def encode_label(df: DataFrame, target: str, out: str = "label") -> tuple[DataFrame, DataFrame]:
+    """``df`` with the integer code of its class (as a double), and the table of classes (class, code)."""
+    value, classes = label_codes(df, target)
+    coded = df.withColumn("__class", value).join(classes, "__class").withColumn(out, F.col("__code").cast("double"))
+    return coded.drop("__class", "__code"), classes.select(F.col("__class").alias("class"), F.col("__code").alias("code"))
 
 
 # ------------------------------------------------------------------ M3-M5
 @dataclass
 class Features:
+    """A training frame (``features``, ``label``, kept columns) and its table of feature names (index, name)."""
+
     frame: DataFrame
-    names: list[str]
+    dictionary: DataFrame
+    size: int
     task: str
-    classes: list[str] = field(default_factory=list)
+    n_classes: int = 0
+
+    @property
+    def names(self) -> list[str]:
+        """Names by index; as long as a model's weights, which the driver holds as well."""
+        return [r["name"] for r in self.dictionary.orderBy("index").collect()]
+
 
+def category_dictionary(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[int]]:
+    """(feature, value, position): the sorted distinct texts of every column, and their number by column.
 
-def prepare_features(df: DataFrame, target: str, max_card: int = ONE_HOT_FEATURE_CAP,
-                     passthrough: list[str] | None = None) -> Features:
-    """Drop datetime columns; one-hot every string feature (first category dropped,
-    error above ``max_card`` categories); numeric NULLs (target too) -> median;
-    assemble ``features``; encode the label."""
-    from pyspark.ml.feature import VectorAssembler
+    Only the numbers reach the driver; positions come from range slices.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), named(c).cast("string").alias("value")) for c in cols])
+    values = df.select(F.inline(cells)).where(F.col("value").isNotNull()).distinct()
+    table = row_positions(values, ["feature"], ["value"], out="position")
+    sizes = {r["feature"]: r["n"] for r in table.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per column
+    return table, [sizes.get(c, 0) for c in cols]
+
+
+def prepare_features(df: DataFrame, target: str, passthrough: list[str] | None = None) -> Features:
+    """Drop datetime columns; one-hot every string feature of any width (first category dropped);
+    numeric NULLs (a numeric target too) -> median; assemble sparse ``features``; encode the label.
+
+    Each string column is joined with its part of the dictionary (a broadcast while that is
+    small), and its category's position becomes one entry of a sparse vector.
+    """
+    from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 
     task = detect_task(df, target)
     keep = list(passthrough or [])
-    df = df.drop(*[c for c in columns_of(df, "datetime") if c not in keep])
+    df = df.drop(*[named(c) for c in columns_of(df, "datetime") if c not in keep])
     feats = [c for c in df.columns if c != target and c not in keep]
     text = [c for c in feats if kind_of(df.schema[c].dataType) in ("categorical", "boolean")]
     num = [c for c in feats if kind_of(df.schema[c].dataType) == "numeric"]
     fill_cols = num + ([target] if task == "regression" else [])
     med = quantiles(df, fill_cols, [0.5]) if fill_cols else {}
-    cols = []
-    for c in num:
-        m = med[c][0]
-        cols.append(F.coalesce(F.col(c).cast("double"), F.lit(m if m is not None else 0.0)).alias(c))
-    names = list(num)
-    if text:
-        approx = df.agg(*[F.approx_count_distinct(c).alias(f"a{i}") for i, c in enumerate(text)]).first()
-        wide = [c for i, c in enumerate(text) if approx[f"a{i}"] > 2 * max_card]
-        if wide:
-            raise ValueError(f"too many categories to one-hot: {wide}")
-        sets = df.agg(*[F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(f"s{i}")
-                        for i, c in enumerate(text)]).first()
-        for i, c in enumerate(text):
-            values = sets[f"s{i}"]
-            if len(values) > max_card:
-                raise ValueError(f"too many categories to one-hot: {c} ({len(values)})")
-            for v in values[1:]:
-                name = f"{c}_{v}"
-                cols.append(F.coalesce(F.col(c).cast("string") == F.lit(v), F.lit(False)).cast("double").alias(name))
-                names.append(name)
+    filled = lambda c: F.coalesce(number(c), F.lit(float(med[c][0]) if med[c][0] is not None else 0.0))
+    dictionary, sizes = category_dictionary(df, text) if text else (None, [])
+    # a column of one category says nothing once its first category is dropped
+    wide = [(c, n) for c, n in zip(text, sizes) if n > 1]
     if task == "regression":
-        m = med[target][0]
-        y = F.coalesce(F.col(target).cast("double"), F.lit(m if m is not None else 0.0)).alias("label")
-        out = df.select(*keep, *cols, y)
-        classes = []
+        label, classes, n_classes = filled(target), None, 0
     else:
-        out, classes = encode_label(df.select(*keep, *cols, F.col(target)), target)
-        out = out.drop(target)
-    out = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(out)
-    return Features(out, names, task, classes)
+        label, classes = label_codes(df, target)
+        n_classes = classes.count()
+    out = df.select(*[named(c) for c in keep], *[filled(c).alias(f"__n{i}") for i, c in enumerate(num)],
+                    *[named(c).cast("string").alias(f"__t{i}") for i, (c, _) in enumerate(wide)],
+                    label.alias("label" if classes is None else "__class"))
+    for i, (c, n) in enumerate(wide):
+        part = dictionary.where(F.col("feature") == c).select(F.col("value").alias(f"__t{i}"), F.col("position").alias(f"__p{i}"))
+        out = out.join(part, f"__t{i}", "left").drop(f"__t{i}")
+        # the encoder drops the last place: the first category and NULL stand there, the others one place lower
+        place = F.when(F.coalesce(F.col(f"__p{i}"), F.lit(0)) == 0, n - 1).otherwise(F.col(f"__p{i}") - 1)
+        out = out.withColumn(f"__p{i}", place.cast("double"))
+    if classes is not None:
+        out = out.join(classes, "__class").withColumn("label", F.col("__code").cast("double")).drop("__class", "__code")
+    inputs = [f"__n{i}" for i in range(len(num))]
+    if wide:
+        places, hot = [f"__p{i}" for i in range(len(wide))], [f"__h{i}" for i in range(len(wide))]
+        out = _sized(out, {f"__p{i}": n for i, (_, n) in enumerate(wide)})
+        out = OneHotEncoder(inputCols=places, outputCols=hot, dropLast=True).fit(out).transform(out).drop(*places)
+        inputs += hot
+    out = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep").transform(out).drop(*inputs)
+    spark = df.sparkSession
+    names = spark.createDataFrame([(i, c) for i, c in enumerate(num)], "index long, name string")
+    base = len(num)
+    for c, n in wide:
+        names = names.unionByName(dictionary.where((F.col("feature") == c) & (F.col("position") > 0)).select(
+            (F.col("position") - 1 + base).alias("index"), F.concat(F.lit(f"{c}_"), "value").alias("name")))
+        base += n - 1
+    return Features(out, names, base, task, n_classes)
+
+
+def _sized(df: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """Columns with the number of their categories as ML metadata, so the encoder needs no pass to find it."""
+    return df.select(*[named(c).alias(c, metadata={"ml_attr": {"type": "nominal", "num_vals": sizes[c]}}) if c in sizes
+                       else named(c) for c in df.columns])
 
 
-def hash_fraction(keys: list[str], seed: int = SEED):
+def key_digest(keys: list[str], seed: int = SEED) -> Column:
+    """md5 of the seed and the key columns as text (NULL is empty): an order that looks random and is the same anywhere."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(named(k).cast("string"), F.lit("")) for k in keys]))
+
+
+def hash_fraction(keys: list[str], seed: int = SEED) -> Column:
     """A deterministic number in [0, 1) per row from its key columns."""
-    return F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
+    return F.conv(F.substring(key_digest(keys, seed), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
 def train_test_split(df: DataFrame, keys: list[str], test_frac: float = TEST_FRACTION, seed: int = SEED) -> DataFrame:
@@ -136,12 +189,15 @@ def train_test_split(df: DataFrame, keys: list[str], test_frac: float = TEST_FRA
 
 
 def assign_folds(df: DataFrame, k: int = FOLDS, keys: list[str] | None = None, order_by: str | None = None,
-                 seed: int = SEED) -> DataFrame:
+                 seed: int = SEED, stratify: str | None = None) -> DataFrame:
     """Adds ``fold``.  With ``order_by``: contiguous folds in that order (NULL first, ties
     by ``keys``, which should be unique), sizes as ``ntile(k)``, from range slices.
-    Otherwise shuffled folds by key hash (every class spread evenly in expectation)."""
+    Otherwise shuffled folds: rows in the order of ``stratify`` and an md5 of the keys are dealt
+    in turn, so the folds' shares of every class differ by at most one row."""
     if order_by is None:
-        return df.withColumn("fold", F.pmod(F.xxhash64(*[F.col(c) for c in keys], F.lit(seed)), F.lit(k)).cast("int"))
+        order = [*([stratify] if stratify else []), "__md5", *(keys or [])]
+        pos = row_positions(df.withColumn("__md5", key_digest(keys or [], seed)), [], list(dict.fromkeys(order)), out="__pos")
+        return pos.withColumn("fold", (F.col("__pos") % k).cast("int")).drop("__pos", "__md5")
     # exact positions: equal or very large order keys never merge two folds
     n = df.count()
     base, extra = divmod(n, k)
@@ -175,10 +231,12 @@ def regressors(tree_depth: int = TREE_DEPTH) -> dict:
     }
 
 
-def _pipeline(est):
+def _pipeline(est, size: int):
+    """Scaling, then the estimator.  Wide (sparse) features are not centred, which would fill
+    every vector; with an intercept that changes no fitted model."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import StandardScaler
-    scaler = StandardScaler(inputCol="features", outputCol="__scaled", withMean=True, withStd=True)
+    scaler = StandardScaler(inputCol="features", outputCol="__scaled", withMean=size <= CENTRED_FEATURES, withStd=True)
     est = est.copy()
     est.setFeaturesCol("__scaled")
     return Pipeline(stages=[scaler, est])
@@ -208,21 +266,30 @@ def classification_metrics(pred: DataFrame, label: str = "label", prediction: st
 
 
 def roc_auc(pred: DataFrame, label: str, score: str) -> DataFrame:
-    """Exact binary ROC-AUC (ties count 1/2): positive/negative counts per distinct
-    score, then a distributed running count of negatives below each score."""
-    g = pred.groupBy(F.col(score).cast("double").alias("s")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    g = running_sum_before(g, "s", "neg", "neg_below")
-    return g.agg(F.round(F.try_divide(F.sum(F.col("pos").cast("double") * (F.col("neg_below") + 0.5 * F.col("neg"))),
-                                      F.sum("pos").cast("double") * F.sum("neg")), 4).alias("roc_auc"))
+    """Exact binary ROC-AUC (ties count 1/2) of class 1 against the rest, 4 dp."""
+    one = pred.select(F.lit(1).alias("c"), (F.col(label) == 1).alias("y"), F.col(score).cast("double").alias("s"))
+    return _class_aucs(one).agg(F.round(F.first("auc"), 4).alias("roc_auc"))
+
 
+def _class_aucs(rows: DataFrame) -> DataFrame:
+    """(c, auc) of rows (c, y, s): counts per distinct (class, score), then one distributed
+    running count of negatives over all classes; what stood before a class is taken off again.
+    NULL for a class without positives or negatives."""
+    g = rows.groupBy(F.struct("c", "s").alias("o")).agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"))
+    g = running_sum_before(g, "o", "neg", "below")
+    per = g.groupBy("o.c").agg(F.sum("pos").cast("double").alias("p"), F.sum("neg").cast("double").alias("n"), F.min("below").alias("first"),
+                               F.sum(F.col("pos").cast("double") * (F.col("below") + 0.5 * F.col("neg"))).alias("won"))
+    return per.select("c", F.try_divide(F.col("won") - F.col("p") * F.col("first"), F.col("p") * F.col("n")).alias("auc"))
 
-def roc_auc_macro(pred: DataFrame, label: str, scores: str, n_classes: int) -> float | None:
-    """ROC-AUC from an array of class scores: of class 1 for two classes, else the plain
-    mean of the one-vs-rest values; NULL when a class has no rows or all rows."""
-    each = [roc_auc(pred.select((F.col(label) == c).cast("int").alias("y"), F.col(scores)[c].alias("s")), "y", "s")
-            .first()["roc_auc"] for c in ([1] if n_classes == 2 else range(n_classes))]
-    return None if None in each else round(sum(each) / len(each), 4)
+
+def roc_auc_macro(pred: DataFrame, label: str, scores: str, n_classes: int) -> DataFrame:
+    """One row ``roc_auc`` (4 dp) from an array of class scores: of class 1 for two classes, else the plain
+    mean of the one-vs-rest values, rounded once; NULL when a class has no rows or all rows."""
+    of = F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), lambda c: F.struct(
+        c.alias("c"), (F.col(label) == c).alias("y"), F.get(scores, c).alias("s")))
+    rows = pred.select(F.inline(F.slice(of, 2, 1) if n_classes == 2 else of))
+    mean = F.when((F.count(F.lit(1)) > 0) & (F.count("auc") == F.count(F.lit(1))), F.round(F.avg("auc"), 4))
+    return _class_aucs(rows).agg(mean.alias("roc_auc"))
 
 
 def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -241,7 +308,7 @@ def _metrics_row(task, pred, n_classes):
         if n_classes >= 2 and "probability" in pred.columns:
             from pyspark.ml.functions import vector_to_array
             probs = pred.select("label", vector_to_array("probability").alias("__p"))
-            out["roc_auc"] = roc_auc_macro(probs, "label", "__p", n_classes)
+            out["roc_auc"] = roc_auc_macro(probs, "label", "__p", n_classes).first()["roc_auc"]
         return out
     r = regression_metrics(pred).first()
     return {"rmse": r["rmse"], "mae": r["mae"], "r2": r["r2"]}
@@ -249,18 +316,19 @@ def _metrics_row(task, pred, n_classes):
 
 def cross_validate(feat: Features, est, k: int = FOLDS, keys: list[str] | None = None,
                    order_by: str | None = None) -> list[float]:
-    """Per-fold scores (accuracy or r2, 4 dp) on all rows: shuffled folds for
+    """Per-fold scores (accuracy or r2, 4 dp) on all rows: shuffled stratified folds for
     classification, contiguous folds in ``order_by`` order for regression."""
     df = feat.frame
     if feat.task == "regression" and order_by:
         df = assign_folds(df, k, keys=keys or ["__h"], order_by=order_by)
     else:
-        df = assign_folds(df, k, keys=keys or ["__h"])
+        df = assign_folds(df, k, keys=keys or ["__h"], stratify="label" if feat.task == "classification" else None)
+    df = materialize(df)
 
     def run_fold(f):
-        model = _pipeline(est).fit(df.where(F.col("fold") != f))
+        model = _pipeline(est, feat.size).fit(df.where(F.col("fold") != f))
         pred = model.transform(df.where(F.col("fold") == f))
-        m = _metrics_row(feat.task, pred, len(feat.classes))
+        m = _metrics_row(feat.task, pred, 0)  # the fold's score needs no curve
         return m["accuracy"] if feat.task == "classification" else m["r2"]
 
     # fold fits are independent Spark jobs: submit them concurrently (like CrossValidator's parallelism)
@@ -270,29 +338,30 @@ def cross_validate(feat: Features, est, k: int = FOLDS, keys: list[str] | None =
 
 
 def compare_models(df: DataFrame, target: str, keys: list[str], cv_folds: int = FOLDS,
-                   order_by: str | None = None, tree_depth: int = TREE_DEPTH):
+                   order_by: str | None = None, tree_depth: int = TREE_DEPTH, catalog=None, dataset_id: int | None = None):
     """Fit every estimator on the 80 % split, score the 20 %, cross-validate on all
     rows; a failing model becomes an ``error`` row and the others continue.
+    With a ``catalog`` every model that has metrics is saved there as a run.
     Returns (results frame, best model name, fitted models, features)."""
     spark = df.sparkSession
-    base = df.withColumn("__h", F.xxhash64(*[F.col(c) for c in keys], F.lit(SEED)))
+    base = df.withColumn("__h", key_digest(keys))
     passthrough = ["__h", *[k for k in keys if k != target]]
     if order_by and order_by != target and order_by not in passthrough:
         passthrough.append(order_by)
     feat = prepare_features(base, target, passthrough=passthrough)
-    split = feat.frame.withColumn("is_test", F.pmod(F.col("__h"), F.lit(1_000_000)) / 1_000_000.0 < TEST_FRACTION)
+    split = train_test_split(feat.frame, ["__h"])
     # every fit, fold and metric re-reads this frame: cut its lineage once, sized by rows
-    split = materialize(split.repartition(_partitions_for(split)))
-    feat = Features(split, feat.names, feat.task, feat.classes)
+    split = materialize(split.repartition(partitions_for(base)))
+    feat = replace(feat, frame=split)
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
     n_train = train.count()
-    ests = classifiers(n_train, len(feat.classes), tree_depth) if feat.task == "classification" \
-        else regressors(tree_depth)
+    ests = classifiers(n_train, feat.n_classes, tree_depth) if feat.task == "classification" else regressors(tree_depth)
+
     def evaluate(name, est):
         out = []
         try:
-            model = _pipeline(est).fit(train)
-            m = _metrics_row(feat.task, model.transform(test), len(feat.classes))
+            model = _pipeline(est, feat.size).fit(train)
+            m = _metrics_row(feat.task, model.transform(test), feat.n_classes)
             if cv_folds:
                 cv = cross_validate(feat, est, cv_folds, keys=["__h"], order_by=order_by)
                 m["cv_mean"] = round(sum(cv) / len(cv), 4)
@@ -315,6 +384,8 @@ def compare_models(df: DataFrame, target: str, keys: list[str], cv_folds: int =
         if model is not None:
             models[name] = model
     res = spark.createDataFrame(rows, "model string, task string, metric string, value double, error string")
+    if catalog is not None:
+        save_runs(catalog, res, target, dataset_id)
     key = "accuracy" if feat.task == "classification" else "r2"
     best = None
     for name in ests:
@@ -324,7 +395,16 @@ def compare_models(df: DataFrame, target: str, keys: list[str], cv_folds: int =
     return res, (best[0] if best else None), models, feat
 
 
-def _partitions_for(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> int:
+def save_runs(catalog, results: DataFrame, target: str, dataset_id: int | None = None) -> None:
+    """One catalog run per model with metrics (folds are left to the results frame), in the order of the names."""
+    kept = results.where((F.col("metric") != "error") & ~F.col("metric").startswith("cv_fold_"))
+    runs = kept.groupBy("model", "task").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "value")))).alias("metrics"))
+    catalog.save_model_runs(runs.orderBy("model").select(
+        F.lit(dataset_id).cast("bigint").alias("dataset_id"), F.col("model").alias("model_type"), "task",
+        F.lit(target).alias("target_column"), "metrics", F.create_map(F.lit("seed"), F.lit(str(SEED))).alias("params")))
+
+
+def partitions_for(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> int:
     n = df.count()
     return max(1, min(math.ceil(n / rows_per_partition), 100_000))
 
@@ -357,28 +437,3 @@ def comparison_frame(results: DataFrame) -> DataFrame:
     """(model, accuracy|r2) rows for models with metrics."""
     return (results.where(F.col("metric").isin("accuracy", "r2"))
             .groupBy("model").pivot("metric", ["accuracy", "r2"]).agg(F.first("value")))
-
-
-# ------------------------------------------------------------------ N1/N2
-def mlp_classifier(df: DataFrame, target: str, keys: list[str], hidden=MLP_HIDDEN, epochs: int = MLP_EPOCHS):
-    """Multilayer perceptron on scaled features (scaler fitted on all rows), 80/20
-    split; returns (metrics row frame, loss history frame)."""
-    from pyspark.ml.classification import MultilayerPerceptronClassifier
-    from pyspark.ml.feature import StandardScaler
-
-    spark = df.sparkSession
-    base = df.withColumn("__h", F.xxhash64(*[F.col(c) for c in keys], F.lit(SEED)))
-    feat = prepare_features(base, target, passthrough=["__h", *[k for k in keys if k != target]])
-    fr = materialize(feat.frame.repartition(_partitions_for(feat.frame)))
-    scaled = StandardScaler(inputCol="features", outputCol="__scaled", withMean=True, withStd=True) \
-        .fit(fr).transform(fr)
-    n_classes = max(len(feat.classes), 2)
-    split = scaled.withColumn("is_test", F.pmod(F.col("__h"), F.lit(1_000_000)) / 1_000_000.0 < TEST_FRACTION)
-    mlp = MultilayerPerceptronClassifier(featuresCol="__scaled", layers=[len(feat.names), *hidden, n_classes],
-                                         maxIter=epochs, seed=SEED)
-    model = mlp.fit(split.where(~F.col("is_test")))
-    pred = model.transform(split.where(F.col("is_test")))
-    metrics = classification_metrics(pred)
-    hist = model.summary().objectiveHistory
-    history = spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(hist)], "epoch int, train_loss double")
-    return metrics, history

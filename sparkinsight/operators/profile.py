@@ -1,18 +1,17 @@
 """Validation, profiling and inspection.
 
-All whole-table numbers come from one aggregation over ``groupBy(all columns)``:
-the grouping is the duplicate detector (null-safe, partial aggregation on the map
+Repeated rows are found by a grouping of row digests (partial aggregation on the map
 side, so even a row repeated across a third of the table collapses before the
-shuffle) and the second, global aggregation sums rows, nulls and repeats.
+shuffle); rows are compared themselves only where digests repeat.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import number, quantiles
-from ..schema import columns_of, dtype_name, kind_of
+from ..schema import columns_of, dtype_name, kind_of, named
 
 # Warning thresholds (strict comparisons).
 MISSING_PCT_WARN = 30
@@ -20,30 +19,55 @@ MIN_ROWS_WARN = 10
 TARGET_NAMES = ("target", "label", "y", "class", "output")
 
 
+def _digest(df: DataFrame) -> list[Column]:
+    """128 bits of a row, as two numbers; equal rows (NULL equals NULL) have equal bits."""
+    zero = lambda c: F.when(named(c) == 0, F.lit(0.0)).otherwise(named(c))  # noqa: E731 - 0.0 and -0.0 are one value
+    vals = [zero(f.name) if f.dataType.typeName() in ("double", "float") else named(f.name) for f in df.schema.fields]
+    # columns' places are mixed in, as a NULL leaves a hash as it was
+    marks = [F.when(named(c).isNull(), F.lit(i + 1)).otherwise(F.lit(0)) for i, c in enumerate(df.columns)]
+    return [F.xxhash64(*vals, *marks).alias("__h1"), F.xxhash64(F.lit("second"), *marks, *reversed(vals)).alias("__h2")]
+
+
+def row_counts(df: DataFrame) -> DataFrame:
+    """One row: n_rows, missing_cells, duplicate_rows.
+
+    Rows are grouped by a digest, so 16 bytes of a row and two counts are shuffled; rows
+    themselves are compared only where digests repeat.
+    """
+    nulls = sum((named(c).isNull().cast("bigint") for c in df.columns), F.lit(0).cast("bigint"))
+    digests = (df.select(*_digest(df), nulls.alias("__nulls")).groupBy("__h1", "__h2")
+               .agg(F.count(F.lit(1)).alias("__n"), F.sum("__nulls").alias("__nulls")))
+    total = digests.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("__nulls"), F.lit(0)).alias("missing_cells"))
+    again = digests.where(F.col("__n") > 1).select("__h1", "__h2")
+    suspects = df.select(*[named(c) for c in df.columns], *_digest(df)).join(again, ["__h1", "__h2"], "left_semi")
+    groups = suspects.groupBy(*[named(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
+    repeats = groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows"))
+    return total.join(F.broadcast(repeats)).select(*[F.col(c).cast("bigint").alias(c) for c in ("n_rows", "missing_cells", "duplicate_rows")])
+
+
+def _missing_pct(n_columns: int) -> Column:
+    cells = F.greatest(F.col("n_rows") * F.lit(n_columns), F.lit(1))
+    return F.round(F.col("missing_cells") / cells * 100, 2).alias("missing_pct")
+
+
 def validate(df: DataFrame) -> DataFrame:
     """One row: rows, columns, missing_cells, missing_pct (2 dp), duplicate_rows."""
-    cols = df.columns
-    grouped = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
-    nulls = [F.sum(F.when(F.col(c).isNull(), F.col("__n")).otherwise(0)) for c in cols]
-    missing = F.coalesce(sum(nulls[1:], nulls[0]) if nulls else F.lit(0), F.lit(0))
-    rows = F.coalesce(F.sum("__n"), F.lit(0))
-    out = grouped.agg(
-        rows.cast("bigint").alias("n_rows"),
-        F.lit(len(cols)).cast("bigint").alias("n_columns"),
-        missing.cast("bigint").alias("missing_cells"),
-        F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"),
-    )
-    return out.select(
-        "n_rows", "n_columns", "missing_cells",
-        F.round(F.col("missing_cells") / F.greatest(F.col("n_rows") * F.col("n_columns"), F.lit(1)) * 100, 2)
-        .alias("missing_pct"),
-        "duplicate_rows")
+    return row_counts(df).select("n_rows", F.lit(len(df.columns)).cast("bigint").alias("n_columns"), "missing_cells",
+                                 _missing_pct(len(df.columns)), "duplicate_rows")
+
+
+def validation_report(df: DataFrame) -> DataFrame:
+    """The whole report as (item_no, item, value): the counts of ``validate``, the memory and every column's dtype."""
+    v = validate(df).join(F.broadcast(memory_estimate_mb(df)))
+    heads = ["n_rows", "n_columns", "missing_cells", "missing_pct", "duplicate_rows", "memory_mb"]
+    cells = [F.struct(F.lit(c).alias("item"), F.col(c).cast("string").alias("value")) for c in heads]
+    cells += [F.struct(F.lit(f"dtype {f.name}").alias("item"), F.lit(dtype_name(f.dataType)).alias("value")) for f in df.schema.fields]
+    return v.select(F.posexplode(F.array(*cells)).alias("p", "c")).select((F.col("p") + 1).cast("bigint").alias("item_no"), "c.*")
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier row (NULL equals NULL)."""
-    g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n"))
-    return g.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
+    return row_counts(df).select("duplicate_rows")
 
 
 def warning_array():
@@ -88,7 +112,7 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     cd = F.approx_count_distinct if approx else F.count_distinct
     aggs = []
     for i, c in enumerate(df.columns):
-        aggs += [F.count_if(F.col(c).isNull()).alias(f"n{i}"), cd(F.col(c)).alias(f"d{i}")]
+        aggs += [F.count_if(named(c).isNull()).alias(f"n{i}"), cd(named(c)).alias(f"d{i}")]
     wide = df.agg(*aggs)
     stack = F.array(*[
         F.struct(F.lit(i).cast("bigint").alias("position"), F.lit(c).alias("column"),
@@ -145,7 +169,7 @@ def categorical_top(df: DataFrame, cols: list[str]) -> DataFrame:
     (index, value) pair per cell; map-side partial aggregation bounds the shuffle
     by the number of distinct values, whatever the skew.
     """
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(cols)])
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), named(c).cast("string").alias("v")) for i, c in enumerate(cols)])
     counts = (df.select(F.inline(pairs)).where(F.col("v").isNotNull())
               .groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")))
     per = counts.groupBy("i").agg(
@@ -163,14 +187,21 @@ def categorical_top(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def table_metrics(df: DataFrame) -> DataFrame:
-    """Header numbers: rows, columns, missing cells (V7)."""
-    return validate(df).select("n_rows", "n_columns", "missing_cells", "missing_pct")
+    """Header numbers: rows, columns, missing cells (V7); sums of one scan, nothing is grouped."""
+    nulls = sum((named(c).isNull().cast("bigint") for c in df.columns), F.lit(0).cast("bigint"))
+    n = df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(nulls), F.lit(0)).alias("missing_cells"))
+    return n.select("n_rows", F.lit(len(df.columns)).cast("bigint").alias("n_columns"), "missing_cells", _missing_pct(len(df.columns)))
 
 
 def memory_estimate_mb(df: DataFrame) -> DataFrame:
-    """Rough in-memory size: sum of value text lengths (not the pandas figure)."""
-    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(0))
-    return df.agg(F.round(F.sum(size) / 1e6, 3).alias("memory_mb"))
+    """Size of the values: UTF-8 bytes of texts, one byte a boolean, eight any other value, none for NULL
+    (not the pandas figure, which counts Python objects)."""
+    def size(f):
+        x, kind = named(f.name), kind_of(f.dataType)
+        n = F.octet_length(x.cast("string")) if kind in ("categorical", "other") else F.lit(1 if kind == "boolean" else 8)
+        return F.when(x.isNotNull(), n.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    total = sum((size(f) for f in df.schema.fields), F.lit(0).cast("bigint"))
+    return df.agg(F.round(F.coalesce(F.sum(total), F.lit(0)) / 1e6, 3).alias("memory_mb"))
 
 
 def preview(df: DataFrame, order_by: list[str] | str, n: int = 20) -> DataFrame:
@@ -188,4 +219,5 @@ def infer_target(df: DataFrame) -> str:
 
 
 def select_columns(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    return df if not cols else df.select(*cols)
+    """The given columns in their order, or all of them."""
+    return df if not cols else df.select(*[named(c) for c in cols])

@@ -2,9 +2,9 @@
 one-step-ahead validation and recursive forecasts.
 
 ``make_sequences`` range-partitions rows on (series, order) so a long series is
-split over many tasks like any other; each task only needs the last ``n`` rows
-before its slice, which a first pass collects (at most ``n`` rows per task) and
-the second pass prepends.  No series is ever gathered whole in one task.
+split over many tasks like any other; each slice only needs the ``n`` rows before
+it, which reach it by a join.  No series is ever gathered whole in one task, and the
+models of all series are fitted at once from sums of products.
 """
 
 from __future__ import annotations
@@ -12,12 +12,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import row_positions
-from ..session import materialize
+from ..functions.stats import ordered_slices, row_positions
+from ..session import materialize, ship_package
 
 # Sequence defaults.
 WINDOW = 10
@@ -52,78 +51,33 @@ def _lag_names(n):
     return [f"x_{i}" for i in range(1, n + 1)]
 
 
-def _tail_pass(series, order, value, n):
-    def run(it):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        tail = None
-        for pdf in it:
-            tail = pdf if tail is None else pd.concat([tail, pdf])
-            tail = tail.iloc[-n:]
-        if tail is not None and len(tail):
-            yield tail.assign(__pid=pid)
-    return run
-
-
-def _window_pass(series, order, value, n, context):
-    names = _lag_names(n)
-
-    def run(it):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        prev = context.get(pid)
-        buf = pd.DataFrame(prev, columns=[*series, order, value]) if prev else None
-        for pdf in it:
-            if pdf.empty:
-                continue
-            n_prev = 0 if buf is None else len(buf)
-            full = pdf if buf is None else pd.concat([buf, pdf], ignore_index=True)
-            full = full.reset_index(drop=True)
-            vals = full[value].to_numpy(dtype="float64")
-            if series:
-                key = full[series].astype(str).agg("\x1f".join, axis=1).to_numpy()
-            else:
-                key = np.zeros(len(full), dtype=np.int8)
-            out = {c: full[c].to_numpy()[n_prev:] for c in [*series, order]}
-            m = len(full) - n_prev
-            valid = np.ones(m, dtype=bool)
-            for lag in range(1, n + 1):
-                idx = np.arange(n_prev, len(full)) - lag
-                ok = idx >= 0
-                safe = np.where(ok, idx, 0)
-                same = ok & (key[safe] == key[n_prev:])
-                valid &= same
-                out[names[n - lag]] = np.where(same, vals[safe], np.nan)
-            out["y"] = vals[n_prev:]
-            res = pd.DataFrame(out)[valid]
-            if len(res):
-                yield res[[*series, order, *names, "y"]]
-            buf = full.iloc[-n:]
-    return run
-
-
 def make_sequences(df: DataFrame, value: str, order_by: str, series: list[str] | None = None,
                    n: int = WINDOW, partitions: int | None = None) -> DataFrame:
     """Every length-``n`` window of each series and its next value:
-    (series..., order_by, x_1 .. x_n, y) with x_1 the oldest value."""
-    spark = df.sparkSession
+    (series..., order_by, x_1 .. x_n, y) with x_1 the oldest value.
+
+    Rows without a value are left out first.  The rows lie in range slices of (series,
+    order); the ``n`` rows before a slice travel to it as rows of a join on its start, from
+    as many earlier slices as they lie in.  Within a slice the windows are ``lag``s,
+    and a window counts when its oldest row belongs to the same series.
+    """
     series = list(series or [])
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    src = (df.select(*series, order_by, F.col(value).cast("double").alias(value))
-           .repartitionByRange(parts, *series, order_by).sortWithinPartitions(*series, order_by))
-    src = materialize(src, keep_partitions=True)  # fixes the slices both passes see
-    tail_schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields], "__pid int"])
-    tails = src.mapInPandas(_tail_pass(series, order_by, value, n), tail_schema).collect()  # <= n rows per task
-    by_pid: dict[int, list] = {}
-    for r in tails:
-        by_pid.setdefault(r["__pid"], []).append(tuple(r[c] for c in [*series, order_by, value]))
-    context, buf = {}, []
-    for pid in range(src.rdd.getNumPartitions()):
-        context[pid] = list(buf)
-        buf = (buf + by_pid.get(pid, []))[-n:]
-    out_schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields
-                              if f.name != value], *[f"{c} double" for c in _lag_names(n)], "y double"])
-    return src.mapInPandas(_window_pass(series, order_by, value, n, context), out_schema)
+    known = (df.select(*series, order_by, F.col(value).cast("double").alias("__y"))
+             .where(F.col("__y").isNotNull() & ~F.isnan("__y")))
+    placed, starts = ordered_slices(known, [*series, order_by], partitions)
+    # only the last n rows of a slice can stand before the start of a later one
+    ends = starts.select("__slice", (F.col("__start") + F.col("__rows")).alias("__end"))
+    tail = placed.join(F.broadcast(ends), "__slice").where(F.col("__at") >= F.col("__end") - n)
+    reach = tail.withColumn("__start", F.explode(F.sequence(F.col("__at") + 1, F.col("__at") + n))).drop("__slice", "__end")
+    halo = reach.join(F.broadcast(starts.select("__slice", "__start")), "__start").drop("__start")
+    both = placed.withColumn("__own", F.lit(True)).unionByName(halo.withColumn("__own", F.lit(False)))
+    w = Window.partitionBy("__slice").orderBy("__at")
+    lags = [F.lag("__y", n + 1 - i).over(w).alias(f"x_{i}") for i in range(1, n + 1)]
+    same = F.lag(F.lit(True), n).over(w)
+    for c in series:
+        same = same & F.lag(F.col(c), n).over(w).eqNullSafe(F.col(c))
+    rows = both.select(*series, order_by, "__own", *lags, F.col("__y").alias("y"), same.alias("__same"))
+    return rows.where(F.col("__own") & F.coalesce("__same", F.lit(False))).drop("__own", "__same")
 
 
 def chronological_split(seqs: DataFrame, order_by: str, series: list[str] | None = None,
@@ -144,60 +98,103 @@ def daily_series(lineitem: DataFrame) -> DataFrame:
             .agg(F.sum("l_extendedprice").alias("revenue")))
 
 
-def forecast_validation(series_df: DataFrame, value: str, order_by: str, series: list[str] | None = None,
-                        n: int = WINDOW, frac: float = TRAIN_FRACTION):
-    """One-step-ahead validation of a lag-feature linear model on the last 20 %.
+def _scaled_series(df: DataFrame, value: str, order_by: str, series: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The known rows with the value min-max scaled within its series, and (series..., lo, span)."""
+    known = (df.select(*series, order_by, F.col(value).cast("double").alias("__v"))
+             .where(F.col("__v").isNotNull() & ~F.isnan("__v")))
+    ends = known.groupBy(*series).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    span = F.when(F.col("__hi") > F.col("__lo"), F.col("__hi") - F.col("__lo")).otherwise(1.0)
+    ends = ends.select(*series, "__lo", span.alias("__span"))
+    rows = _with_series(known, ends, series)
+    return rows.select(*series, order_by, ((F.col("__v") - F.col("__lo")) / F.col("__span")).alias(value)), ends
+
+
+def _with_series(rows: DataFrame, table: DataFrame, series: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``table`` (one row per series; a NULL key is a series of its own)."""
+    if not series:
+        return rows.join(F.broadcast(table))  # one row
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in series]
+    extra = [F.col(f"b.{c}") for c in table.columns if c not in series]
+    return rows.alias("a").join(table.alias("b"), same).select("a.*", *extra)
+
+
+def _solve(n: int, keys: int):
+    """Least squares from the sums of products: per row (series) the intercept and ``n`` weights."""
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for sums in pdf["__sums"]:
+                m = np.zeros((n + 2, n + 2))
+                m[np.triu_indices(n + 2)] = np.asarray(sums, dtype="float64")
+                m = m + np.triu(m, 1).T
+                # the shortest solution where windows do not settle the weights
+                out.append(np.linalg.lstsq(m[:n + 1, :n + 1], m[:n + 1, n + 1], rcond=1e-12)[0].tolist())
+            yield pdf.iloc[:, :keys].assign(__weights=out)
+    return run
+
+
+def fit_lag_model(windows: DataFrame, series: list[str], n: int) -> DataFrame:
+    """(series..., __weights): intercept and weights of x_1 .. x_n by least squares, one model per series.
 
-    Returns (model, scaler, predictions frame, metrics frame); rmse and r2 are in
-    the original units (the min-max scaling is inverted first).
+    The normal equations are sums of products over the windows, added in tasks before the
+    shuffle, so a series of any length is one row of (n+2)(n+3)/2 sums.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+    ship_package(windows.sparkSession)
+    terms = [F.lit(1.0), *[F.col(c) for c in _lag_names(n)], F.col("y")]
+    products = [F.sum(terms[i] * terms[j]) for i in range(n + 2) for j in range(i, n + 2)]
+    sums = windows.groupBy(*series).agg(*[p.alias(f"__s{k}") for k, p in enumerate(products)])
+    rows = sums.select(*series, F.array(*[f"__s{k}" for k in range(len(products))]).alias("__sums")).where(
+        F.col("__sums")[0].isNotNull())
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.select(*series).schema.fields)
+    return rows.mapInPandas(_solve(n, len(series)), ", ".join(x for x in (keys, "__weights array<double>") if x))
+
+
+def _predicted(weights, lags):
+    """Intercept plus the weighted sum of an array of n lagged values."""
+    return F.aggregate(F.zip_with(F.slice(weights, 2, F.size(lags)), lags, lambda w, x: w * x), F.get(weights, F.lit(0)),
+                       lambda acc, x: acc + x)
 
+
+def forecast_validation(series_df: DataFrame, value: str, order_by: str, series: list[str] | None = None,
+                        n: int = WINDOW, frac: float = TRAIN_FRACTION) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One-step-ahead validation of a lag model per series on its last 20 % of windows.
+
+    Returns (models, predictions, metrics): weights by series; (series..., order, actual,
+    predicted) and rmse and r2 by series, in the original units (each series is min-max scaled
+    for the fit).  Rows without a value are left out first.
+    """
     series = list(series or [])
-    mm = fit_minmax(series_df, value)
-    scaled = series_df.withColumn(value, mm.scale(F.col(value).cast("double")))
+    scaled, ends = _scaled_series(series_df, value, order_by, series)
     seqs = chronological_split(make_sequences(scaled, value, order_by, series, n), order_by, series, frac)
-    feats = VectorAssembler(inputCols=_lag_names(n), outputCol="features").transform(seqs)
-    model = LinearRegression(featuresCol="features", labelCol="y", regParam=0.0, solver="normal") \
-        .fit(feats.where("is_train"))
-    pred = model.transform(feats.where(~F.col("is_train"))).select(
-        *series, order_by, mm.inverse(F.col("y")).alias("actual"), mm.inverse(F.col("prediction")).alias("predicted"))
-    from .models import regression_metrics
-    return model, mm, pred, regression_metrics(pred, "actual", "predicted")
+    models = materialize(_with_series(fit_lag_model(seqs.where("is_train"), series, n), ends, series))
+    test = _with_series(seqs.where(~F.col("is_train")), models, series)
+    back = lambda x: x * F.col("__span") + F.col("__lo")
+    pred = test.select(*series, order_by, back(F.col("y")).alias("actual"),
+                       back(_predicted(F.col("__weights"), F.array(*_lag_names(n)))).alias("predicted"))
+    err = F.col("actual") - F.col("predicted")
+    m = pred.groupBy(*series).agg(F.avg(err * err).alias("mse"), F.sum(err * err).alias("ssr"),
+                                  (F.var_pop("actual") * F.count("actual")).alias("sst"))
+    metrics = m.select(*series, F.round(F.sqrt("mse"), 4).alias("rmse"),
+                       F.round(1 - F.try_divide(F.col("ssr"), F.when(F.col("sst") != 0, F.col("sst"))), 4).alias("r2"))
+    return models, pred, metrics
 
 
 def forecast(series_df: DataFrame, value: str, order_by: str, series: list[str] | None = None,
-             horizon: int = HORIZON, n: int = WINDOW) -> DataFrame:
-    """Recursive ``horizon``-step forecast per series from the fitted lag model.
+             horizon: int = HORIZON, n: int = WINDOW, frac: float = TRAIN_FRACTION) -> DataFrame:
+    """Recursive ``horizon``-step forecast per series from its lag model: (series..., step, forecast).
 
-    Only the last ``n`` values of each series are grouped (a bounded top-k per
-    key), and the <= horizon-step loop runs per series in ``applyInPandas``.
+    Of each series only its last ``n`` values are gathered (a top-k per key); each step
+    appends its own forecast to them.  Series of fewer than ``n`` values have none.
     """
     series = list(series or [])
-    model, mm, _pred, _m = forecast_validation(series_df, value, order_by, series, n)
-    coef = np.array(model.coefficients.toArray(), dtype="float64")
-    icept = float(model.intercept)
-    lo, span = mm.lo, (mm.hi - mm.lo) or 1.0
-    w = Window.partitionBy(*series).orderBy(F.col(order_by).desc()) if series else Window.orderBy(F.col(order_by).desc())
-    last = (series_df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n)
-            .select(*series, "__rn", F.col(value).cast("double").alias("v")))
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in series_df.select(*series).schema.fields)
-    schema = ", ".join(x for x in [key_schema, "step int, forecast double"] if x)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hist = list(((pdf.sort_values("__rn", ascending=False)["v"].to_numpy() - lo) / span))
-        rows = []
-        for step in range(1, horizon + 1):
-            x = np.array(hist[-n:], dtype="float64")
-            if len(x) < n:
-                break
-            nxt = float(x @ coef + icept)
-            hist.append(nxt)
-            rows.append({**{c: pdf[c].iloc[0] for c in series}, "step": step, "forecast": nxt * span + lo})
-        return pd.DataFrame(rows, columns=[*series, "step", "forecast"])
-
-    if series:
-        return last.groupBy(*series).applyInPandas(run, schema)
-    return last.groupBy(F.lit(0).alias("__g")).applyInPandas(
-        lambda p: run(p.drop(columns="__g")), schema)
+    models, _pred, _metrics = forecast_validation(series_df, value, order_by, series, n, frac)
+    scaled, _ends = _scaled_series(series_df, value, order_by, series)
+    w = Window.partitionBy(*series).orderBy(F.col(order_by).desc())
+    last = scaled.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("__rn")).alias("r"), F.col(value).alias("v")))), lambda s: s["v"])
+    tails = last.groupBy(*series).agg(listed.alias("__last")).where(F.size("__last") == n)
+    known = _with_series(tails, models, series)
+    grown = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.col("__last"), lambda acc, _k: F.concat(
+        acc, F.array(_predicted(F.col("__weights"), F.slice(acc, -n, n)))))
+    ahead = F.transform(F.slice(grown, n + 1, horizon), lambda x: x * F.col("__span") + F.col("__lo"))
+    return known.select(*series, F.posexplode(ahead).alias("step", "forecast")).withColumn("step", F.col("step") + 1)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import number
-from ..schema import columns_of
+from ..schema import columns_of, named
 from .eda import correlation_matrix
 
 # KPI and signal thresholds; the short report shows 5 columns, 12 KPIs, 3 pairs.
@@ -24,7 +24,7 @@ def kpis(df: DataFrame, numeric_columns: int | None = None, top: int | None = No
     """(kpi_no, label, value, delta): rows, columns, missing %, then Mean/Max of every
     numeric column.  A short report passes how many columns and rows to show."""
     num = columns_of(df, "numeric")[:numeric_columns]
-    cells = sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0))
+    cells = sum((F.count_if(named(c).isNull()) for c in df.columns), F.lit(0))
     aggs = [F.count(F.lit(1)).alias("rows"), cells.alias("missing")]
     for i, c in enumerate(num):
         aggs += [F.avg(number(c)).alias(f"a{i}"), F.stddev_samp(number(c)).alias(f"s{i}"),
@@ -66,10 +66,10 @@ def signals(df: DataFrame, pairs: int | None = None) -> DataFrame:
         miss = F.col(f"n{i}") / F.col("rows") * 100
         items.append(F.when(cv > CV_THRESHOLD, F.struct(
             F.lit(i * 2).alias("o"), F.lit("variability").alias("kind"),
-            F.format_string(f"**{c}** has very high variability (CV=%.2f) — investigate outliers", cv).alias("signal"))))
+            F.format_string("**%s** has very high variability (CV=%.2f) — investigate outliers", F.lit(c), cv).alias("signal"))))
         items.append(F.when(miss > MISSING_THRESHOLD, F.struct(
             F.lit(i * 2 + 1).alias("o"), F.lit("missing").alias("kind"),
-            F.format_string(f"**{c}** has %.1f%% missing — data quality concern", miss).alias("signal"))))
+            F.format_string("**%s** has %.1f%% missing — data quality concern", F.lit(c), miss).alias("signal"))))
     per_col = w.select(F.explode(F.filter(F.array(*items), lambda s: s.isNotNull())).alias("s")).select("s.*") \
         if items else None
     base = 2 * len(num)

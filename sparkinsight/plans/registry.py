@@ -18,14 +18,6 @@ from .fixtures import DIRTY_ORDERS_SQL, EVENTS_V2_SQL, dirty_orders, events_v2,
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-_MEMO: dict = {}
-
-
-def _memo(key, fn):
-    """Build a fitted model or persisted index once per session and input folder."""
-    if key not in _MEMO:
-        _MEMO[key] = fn()
-    return _MEMO[key]
 
 
 def register(name: str, sql: str | None = None):
@@ -61,6 +53,29 @@ def q_validate(spark, sf):
     return V.validate(dirty_orders(spark, sf))
 
 
+_DIRTY_BYTES = " + ".join(f"CASE WHEN {c} IS NOT NULL THEN {'strlen(' + c + ')' if t else 8} ELSE 0 END" for c, t in [
+    ("o_orderkey", 0), ("o_custkey", 0), ("o_orderstatus", 1), ("o_totalprice", 0), ("o_orderpriority", 1), ("const_col", 1),
+    ("o_size_txt", 1), ("o_date_txt", 1), ("o_rare", 0)])
+_DIRTY_DTYPES = {"o_orderkey": "int64", "o_custkey": "int64", "o_totalprice": "float64", "o_rare": "float64"}
+
+
+@register("validation_report", f"WITH r AS ({ORACLE['validate_orders']}),\nd AS (" + with_dirty(
+    f"SELECT round(sum({_DIRTY_BYTES}) / 1e6, 3) AS memory_mb FROM dirty_orders") + ")\n" + "\nUNION ALL\n".join(
+    f"SELECT CAST({i + 1} AS BIGINT) AS item_no, '{c}' AS item, CAST({c} AS VARCHAR) AS value FROM {'d' if c == 'memory_mb' else 'r'}"
+    for i, c in enumerate(["n_rows", "n_columns", "missing_cells", "missing_pct", "duplicate_rows", "memory_mb"])) + "".join(
+    f"\nUNION ALL SELECT {i + 7}, 'dtype {c}', '{_DIRTY_DTYPES.get(c, 'object')}'" for i, c in enumerate(DIRTY_COLS)))
+def q_validation_report(spark, sf):
+    return V.validation_report(dirty_orders(spark, sf))
+
+
+@register("table_metrics", with_dirty(f"""
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST({len(DIRTY_COLS)} AS BIGINT) AS n_columns,
+  CAST(sum({_sum_nulls(DIRTY_COLS)}) AS BIGINT) AS missing_cells,
+  round(sum({_sum_nulls(DIRTY_COLS)}) / greatest(count(*) * {len(DIRTY_COLS)}, 1) * 100, 2) AS missing_pct FROM dirty_orders"""))
+def q_table_metrics(spark, sf):
+    return V.table_metrics(dirty_orders(spark, sf))
+
+
 @register("duplicate_count", with_dirty(
     "SELECT CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty_orders)) AS BIGINT) "
     "AS duplicate_rows FROM dirty_orders"))
@@ -460,6 +475,22 @@ def q_corr(spark, sf):
 EV2 = ["event_id", "user_id", "value", "v2"]
 
 
+_FAR_COLS = ["event_id", "a", "b", "c", "d"]
+_FAR_SQL = """far AS (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN 1e9 + value END AS a,
+  CASE WHEN event_id % 5 = 0 OR event_id % 3 = 0 THEN 1e9 + 2 * value + event_id % 7 END AS b,
+  CASE WHEN event_id % 5 = 0 THEN value END AS c, CASE WHEN event_id % 2 = 0 THEN 1000000007.0 ELSE 1000000007.0 END AS d FROM events)"""
+
+
+@register("corr_far", f"WITH {_FAR_SQL}\n{_corr_matrix_sql('far', _FAR_COLS)}")
+def q_corr_far(spark, sf):
+    """Values near 1e9 with paired NULLs, a pair without common rows (a, c) and a constant."""
+    k, v = F.col("event_id"), F.col("value")
+    far = table(spark, sf, "events").select(
+        "event_id", F.when(k % 5 != 0, v + 1e9).alias("a"), F.when((k % 5 == 0) | (k % 3 == 0), 2 * v + 1e9 + k % 7).alias("b"),
+        F.when(k % 5 == 0, v).alias("c"), F.lit(1000000007.0).alias("d"))
+    return E.correlation_matrix(far)
+
+
 @register("top_correlations", f"WITH {EVENTS_V2_SQL}, m AS ({_corr_matrix_sql('events_v2', EV2)})\n"
           "SELECT col1, col2, corr FROM m WHERE i < j ORDER BY abs(corr) DESC NULLS LAST, i, j LIMIT 10")
 def q_top_corr(spark, sf):
@@ -628,6 +659,7 @@ from ..operators import retrieval as RT  # noqa: E402
 from ..operators import routing as RO  # noqa: E402
 from ..operators import vector_index as X  # noqa: E402
 from ..session import scratch_path  # noqa: E402
+from ..sources.chunk_store import ChunkStore  # noqa: E402
 
 _CHUNKS_SQL = f"""chunks AS (
   SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INTEGER) AS chunk, t AS text,
@@ -663,6 +695,39 @@ def q_upsert(spark, sf):
     return chunk_store(spark, sf)
 
 
+_MERGED_SQL = _CHUNKS_SQL + """,
+batches AS (SELECT *, 1 AS batch FROM chunks WHERE doc_id % 3 <> 1 UNION ALL
+  SELECT id, doc_id, source, chunk, text, batch FROM (SELECT doc_id, source || ' v2' AS source, chunk, text, id, 2 AS batch FROM chunks
+    WHERE doc_id % 3 <> 0)),
+merged AS (SELECT id, doc_id, source, chunk, text FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY batch DESC, doc_id DESC) AS rn
+  FROM batches) WHERE rn = 1)""".replace("SELECT *, 1 AS batch FROM chunks", "SELECT id, doc_id, source, chunk, text, 1 AS batch FROM chunks")
+
+
+def merged_store(spark, sf):
+    """Two batches of documents merged into a stored collection; a third of them is in both, changed."""
+    store = ChunkStore(spark, scratch_path(spark, "chunk-store"), "id string, doc_id bigint, source string, chunk int, text string", "doc_id")
+    chunks = doc_chunks(spark, sf).select("id", "doc_id", "source", "chunk", "text")
+    store.merge(chunks.where(F.col("doc_id") % 3 != 1))
+    store.merge(chunks.where(F.col("doc_id") % 3 != 0).withColumn("source", F.concat("source", F.lit(" v2"))))
+    return store
+
+
+@register("merge_chunks", f"WITH {_MERGED_SQL}\nSELECT * FROM merged")
+def q_merge(spark, sf):
+    return merged_store(spark, sf).read()
+
+
+@register("store_versions", f"""WITH {_MERGED_SQL},
+one AS (SELECT count(DISTINCT id) AS n FROM chunks WHERE doc_id % 3 <> 1)
+SELECT CAST(1 AS BIGINT) AS version, CAST(n AS BIGINT) AS chunks FROM one
+UNION ALL SELECT 2, CAST(count(*) AS BIGINT) FROM merged""")
+def q_store_versions(spark, sf):
+    """Rows of every version of the store; the first one stays readable."""
+    store = merged_store(spark, sf)
+    first, second = (store.read(v).agg(F.lit(v).cast("bigint").alias("version"), F.count(F.lit(1)).alias("chunks")) for v in (1, 2))
+    return first.unionByName(second)
+
+
 @register("collection_stats", f"WITH {_CHUNKS_SQL}\nSELECT 'documents' AS collection, CAST(count(*) AS BIGINT) AS chunks FROM store")
 def q_collection(spark, sf):
     return D.collection_stats(chunk_store(spark, sf))
@@ -741,14 +806,12 @@ def _py_float_sql(x: str) -> str:
 
 
 def text_index(spark, sf):
-    """The persisted chunk store and its TF-IDF index (built once per session and tables)."""
-    def build():
-        store = materialize(chunk_store(spark, sf))
-        ctf = materialize(RT.term_frequencies(store, "id", "text"))
-        idf = materialize(RT.fit_idf(ctf, "id"))  # counted below: broadcast only when small
-        cw = materialize(RT.posting_rows(RT.tfidf_weights(ctf, idf, "id", idf_rows=idf.count()), "id"))
-        return store, idf, cw
-    return _memo(("text-index", spark.sparkContext.applicationId, sf), build)
+    """The written chunk store and its TF-IDF index."""
+    store = materialize(chunk_store(spark, sf))
+    ctf = materialize(RT.term_frequencies(store, "id", "text"))
+    idf = materialize(RT.fit_idf(ctf, "id"))
+    cw = materialize(RT.posting_rows(RT.tfidf_weights(ctf, idf, "id"), "id"))
+    return store, idf, cw
 
 
 def text_hits(spark, sf):
@@ -846,6 +909,7 @@ def q_document_text(spark, sf):
 
 # ------------------------------------------------------------------ sequences
 from ..operators import models as M  # noqa: E402
+from ..operators import neural as NN  # noqa: E402
 from ..operators import sequence as N  # noqa: E402
 
 _LAGS = ", ".join(f"lag(value, {10 - i}) OVER w AS x_{i + 1}" for i in range(10))
@@ -893,24 +957,79 @@ def q_gsplit(spark, sf):
     return N.chronological_split(seqs, "o_orderkey")
 
 
-@register("forecast_validation")
-def q_forecast_validation(spark, sf):
+_NSEQ_SQL = """nv AS (SELECT user_id, event_id, CASE WHEN event_id % 7 <> 0 THEN value END AS v FROM events),
+nk AS (SELECT * FROM nv WHERE v IS NOT NULL),
+seqs AS (SELECT user_id, event_id, """ + _LAGS.replace("value", "v") + """, v AS y, row_number() OVER w AS rn FROM nk
+  WINDOW w AS (PARTITION BY user_id ORDER BY event_id))"""
+
+
+@register("sequences_nulls", f"WITH {_NSEQ_SQL}\nSELECT user_id, event_id, {_SEQ_COLS}, y FROM seqs WHERE rn > 10")
+def q_sequences_nulls(spark, sf):
+    """Windows of a column with missing values, which are left out first."""
+    e = table(spark, sf, "events").withColumn("v", F.when(F.col("event_id") % 7 != 0, F.col("value")))
+    return N.make_sequences(e, "v", "event_id", ["user_id"], 10)
+
+
+def _forecast_sql(n: int = 10) -> str:
+    """Lag models by series: sums of products, then Gauss-Jordan elimination column by column."""
+    lags = ", ".join(f"lag(v, {n - i}) OVER w AS x_{i + 1}" for i in range(n))
+    terms = ["1.0", *[f"x_{i + 1}" for i in range(n)], "y"]
+    rows = "[" + ", ".join("[" + ", ".join(f"sum({a} * {b})" for b in terms) + "]" for a in terms[:-1]) + "]"
+    dot = " + ".join(f"m[{i + 2}][{n + 2}] * x_{i + 1}" for i in range(n))
+    return f"""RECURSIVE daily AS (SELECT l_returnflag, CAST(l_shipdate AS DATE) AS day,
+    CASE WHEN dayofmonth(CAST(l_shipdate AS DATE)) <> 13 THEN sum(l_extendedprice) END AS revenue FROM lineitem GROUP BY 1, 2),
+known AS (SELECT * FROM daily WHERE revenue IS NOT NULL),
+ends AS (SELECT l_returnflag, min(revenue) AS lo, CASE WHEN max(revenue) > min(revenue) THEN max(revenue) - min(revenue)
+  ELSE 1.0 END AS span FROM known GROUP BY l_returnflag),
+scaled AS (SELECT k.l_returnflag, day, (revenue - lo) / span AS v FROM known k JOIN ends USING (l_returnflag)),
+wins AS (SELECT l_returnflag, day, {lags}, v AS y, row_number() OVER w AS rn FROM scaled
+  WINDOW w AS (PARTITION BY l_returnflag ORDER BY day)),
+cut AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY day) <= floor({N.TRAIN_FRACTION} * count(*)
+  OVER (PARTITION BY l_returnflag)) AS is_train FROM wins WHERE rn > {n}),
+eliminate AS (SELECT l_returnflag, 1 AS k, {rows} AS m FROM cut WHERE is_train GROUP BY l_returnflag
+  UNION ALL SELECT l_returnflag, k + 1, [[CASE WHEN i = k THEN m[k][j] / m[k][k] ELSE m[i][j] - m[i][k] * m[k][j] / m[k][k] END
+    FOR j IN range(1, {n + 3})] FOR i IN range(1, {n + 2})] FROM eliminate WHERE k <= {n + 1}),
+models AS (SELECT l_returnflag, m FROM eliminate WHERE k = {n + 2}),
+pred AS (SELECT l_returnflag, day, y * span + lo AS actual, (m[1][{n + 2}] + {dot}) * span + lo AS predicted
+  FROM cut JOIN models USING (l_returnflag) JOIN ends USING (l_returnflag) WHERE NOT is_train)"""
+
+
+def _daily_revenue(spark, sf):
+    """Daily revenue per return flag; the thirteenth of a month is missing."""
     daily = N.daily_series(table(spark, sf, "lineitem"))
-    _model, _mm, _pred, metrics = N.forecast_validation(daily, "revenue", "day", ["l_returnflag"])
-    return metrics
+    return daily.withColumn("revenue", F.when(F.dayofmonth("day") != 13, F.col("revenue")))
 
 
-@register("forecast_preview")
+def _daily_fit(spark, sf):
+    return N.forecast_validation(_daily_revenue(spark, sf), "revenue", "day", ["l_returnflag"])
+
+
+@register("forecast_validation", f"""WITH {_forecast_sql()}
+SELECT l_returnflag, round(sqrt(avg((actual - predicted) ** 2)), 4) AS rmse,
+  round(1 - sum((actual - predicted) ** 2) / (var_pop(actual) * count(actual)), 4) AS r2 FROM pred GROUP BY l_returnflag""")
+def q_forecast_validation(spark, sf):
+    return _daily_fit(spark, sf)[2]
+
+
+@register("forecast_preview", f"WITH {_forecast_sql()}\nSELECT l_returnflag, day, round(actual, 2) AS actual, "
+          "round(predicted, 2) AS predicted FROM pred")
 def q_forecast_preview(spark, sf):
-    daily = N.daily_series(table(spark, sf, "lineitem"))
-    _model, _mm, pred, _metrics = N.forecast_validation(daily, "revenue", "day", ["l_returnflag"])
-    return pred
+    return _daily_fit(spark, sf)[1].select("l_returnflag", "day", F.round("actual", 2).alias("actual"),
+                                           F.round("predicted", 2).alias("predicted"))
+
 
+_AHEAD_DOT = " + ".join(f"m[{i + 2}][12] * h[step + {i + 1}]" for i in range(10))
 
-@register("forecast_horizon")
+
+@register("forecast_horizon", f"""WITH {_forecast_sql()},
+ahead AS (SELECT l_returnflag, 0 AS step, m, (SELECT list(v ORDER BY day) FROM (SELECT v, day FROM scaled s
+    WHERE s.l_returnflag = models.l_returnflag ORDER BY day DESC LIMIT 10)) AS h FROM models
+  UNION ALL SELECT l_returnflag, step + 1, m, list_append(h, m[1][12] + {_AHEAD_DOT}) FROM ahead WHERE step < 6)
+SELECT l_returnflag, CAST(step AS INTEGER) AS step, round(h[10 + step] * span + lo, 2) AS forecast
+FROM ahead JOIN ends USING (l_returnflag) WHERE step > 0""")
 def q_forecast(spark, sf):
-    daily = N.daily_series(table(spark, sf, "lineitem"))
-    return N.forecast(daily, "revenue", "day", ["l_returnflag"], horizon=6)
+    ahead = N.forecast(_daily_revenue(spark, sf), "revenue", "day", ["l_returnflag"], horizon=6)
+    return ahead.withColumn("forecast", F.round("forecast", 2))
 
 
 # --------------------------------------------------------------------- models
@@ -920,13 +1039,25 @@ def q_folds_contiguous(spark, sf):
     return M.assign_folds(table(spark, sf, "orders").select("o_orderkey"), 5, order_by="o_orderkey")
 
 
-@register("folds_shuffled")
+_LI_DIGEST = f"md5('{M.SEED}|' || CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR))"
+
+
+@register("folds_shuffled", "SELECT l_orderkey, l_linenumber, l_returnflag, CAST((row_number() OVER (ORDER BY l_returnflag, "
+          f"{_LI_DIGEST}, l_orderkey, l_linenumber) - 1) % 5 AS INTEGER) AS fold FROM lineitem")
 def q_folds_shuffled(spark, sf):
     return M.assign_folds(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), 5,
-                          keys=["l_orderkey", "l_linenumber"])
+                          keys=["l_orderkey", "l_linenumber"], stratify="l_returnflag")
+
+
+@register("fold_sizes", f"""WITH f AS ({ORACLE['folds_shuffled']})
+SELECT l_returnflag, fold, CAST(count(*) AS BIGINT) AS n FROM f GROUP BY l_returnflag, fold""")
+def q_fold_sizes(spark, sf):
+    """Rows of each class in each fold: they differ by at most one."""
+    return q_folds_shuffled(spark, sf).groupBy("l_returnflag", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("split")
+@register("split", f"SELECT l_orderkey, l_linenumber, CAST('0x' || substring({_LI_DIGEST}, 1, 8) AS BIGINT) / 4294967296.0 "
+          f"< {M.TEST_FRACTION} AS is_test FROM lineitem")
 def q_split(spark, sf):
     return M.train_test_split(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"),
                               ["l_orderkey", "l_linenumber"])
@@ -951,6 +1082,37 @@ def q_label_encode(spark, sf):
     return out
 
 
+@register("label_encode_wide", "SELECT o_orderkey, clerk, CAST(dense_rank() OVER (ORDER BY c) - 1 AS DOUBLE) AS label FROM ("
+          "SELECT *, coalesce(clerk, 'nan') AS c FROM (SELECT o_orderkey, CASE WHEN o_custkey % 10 <> 0 "
+          "THEN 'c' || CAST(o_custkey AS VARCHAR) END AS clerk FROM orders))")
+def q_label_encode_wide(spark, sf):
+    """A label of thousands of classes with missing values: the codes come from a distributed dictionary."""
+    clerk = F.when(F.col("o_custkey") % 10 != 0, F.concat(F.lit("c"), F.col("o_custkey").cast("string")))
+    out, _labels = M.encode_label(table(spark, sf, "orders").select("o_orderkey", clerk.alias("clerk")), "clerk")
+    return out
+
+
+@register("label_encode_numeric", "SELECT l_orderkey, l_linenumber, q, CAST(dense_rank() OVER (ORDER BY coalesce(q, med)) - 1 AS DOUBLE) "
+          "AS label FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 9 <> 0 THEN l_linenumber END AS q FROM lineitem), "
+          "(SELECT quantile_cont(CASE WHEN l_orderkey % 9 <> 0 THEN l_linenumber END, 0.5) AS med FROM lineitem)")
+def q_label_encode_numeric(spark, sf):
+    """A numeric class: missing values take the median."""
+    q = F.when(F.col("l_orderkey") % 9 != 0, F.col("l_linenumber"))
+    out, _labels = M.encode_label(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", q.alias("q")), "q")
+    return out
+
+
+@register("category_dictionary", """
+WITH v AS (SELECT DISTINCT p_brand AS value, 'p_brand' AS feature FROM part UNION SELECT DISTINCT p_type, 'p_type' FROM part
+  UNION SELECT DISTINCT p_name, 'p_name' FROM part),
+p AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS position FROM v WHERE value IS NOT NULL)
+SELECT feature, value, CAST(position AS BIGINT) AS position FROM p""")
+def q_category_dictionary(spark, sf):
+    part = table(spark, sf, "part").select("p_name", "p_brand", "p_type")
+    d, _sizes = M.category_dictionary(part, part.columns)
+    return d.select("feature", "value", "position")
+
+
 def labelled_documents(spark, sf):
     return table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars"),
                                            "doc_id")
@@ -998,13 +1160,9 @@ def q_compare_cls(spark, sf):
     return res
 
 
-def _compare_parts(spark, sf):
-    return _memo(("parts", spark.sparkContext.applicationId, sf), lambda: _compare_parts_fit(spark, sf))
-
-
-def _compare_parts_fit(spark, sf):
+def _compare_parts(spark, sf, cv_folds: int = M.FOLDS):
     p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
-    return M.compare_models(p, "p_retailprice", ["p_partkey"], order_by="p_partkey")
+    return M.compare_models(p, "p_retailprice", ["p_partkey"], order_by="p_partkey", cv_folds=cv_folds)
 
 
 @register("compare_regressors")
@@ -1015,32 +1173,45 @@ def q_compare_reg(spark, sf):
 
 @register("model_comparison")
 def q_model_comparison(spark, sf):
-    res, _best, _models, _feat = _compare_parts(spark, sf)
+    res, _best, _models, _feat = _compare_parts(spark, sf, cv_folds=0)  # shows the test scores only
     return M.comparison_frame(res)
 
 
 @register("feature_importance")
 def q_importance(spark, sf):
-    res, best, models, feat = _compare_parts(spark, sf)
+    _res, best, models, feat = _compare_parts(spark, sf, cv_folds=0)
     pairs = M.feature_importance(models[best], feat.names) if best else []
     return spark.createDataFrame([(best, n, v) for n, v in pairs], "model string, feature string, importance double")
 
 
 def _mlp(spark, sf):
-    return _memo(("mlp", spark.sparkContext.applicationId, sf), lambda: M.mlp_classifier(
-        labelled_documents(spark, sf).drop("toxic"), "quality", ["doc_id"]))
+    return NN.train_mlp(labelled_documents(spark, sf).drop("toxic"), "quality", ["doc_id"])
 
 
 @register("mlp_classifier")
 def q_mlp(spark, sf):
-    metrics, _hist = _mlp(spark, sf)
-    return metrics
+    return _mlp(spark, sf).metrics
 
 
 @register("training_history")
 def q_history_loss(spark, sf):
-    _metrics, hist = _mlp(spark, sf)
-    return hist
+    return _mlp(spark, sf).history
+
+
+_AUC_SQL = " UNION ALL ".join(
+    f"SELECT {c} AS c, sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)) AS auc FROM (SELECT *, coalesce(sum(neg) OVER "
+    f"(ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT s{c} AS s, "
+    f"CAST(count_if(y = {c}) AS DOUBLE) AS pos, CAST(count_if(y <> {c}) AS DOUBLE) AS neg FROM p GROUP BY s{c}))" for c in range(3))
+
+
+@register("roc_auc_classes", "WITH p AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y, "
+          "CAST(l_quantity AS DOUBLE) AS s0, CAST(l_discount * l_quantity AS DOUBLE) AS s1, CAST(l_tax AS DOUBLE) AS s2 FROM lineitem)\n"
+          f"SELECT round(avg(auc), 4) AS roc_auc FROM ({_AUC_SQL})")
+def q_roc_auc_classes(spark, sf):
+    """Three classes, a score for each: the mean of the one-vs-rest areas."""
+    y = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    s = F.array("l_quantity", F.col("l_discount") * F.col("l_quantity"), "l_tax").cast("array<double>")
+    return M.roc_auc_macro(table(spark, sf, "lineitem").select(y.alias("y"), s.alias("s")), "y", "s", 3)
 
 
 # ------------------------------------------------------------ sources/catalog

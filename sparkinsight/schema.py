@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +12,11 @@ INTEGRAL_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 DATETIME_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
+def named(c: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + c.replace("`", "``") + "`")
+
+
 def kind_of(dt: T.DataType) -> str:
     if isinstance(dt, T.BooleanType):
         return "boolean"

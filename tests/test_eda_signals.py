@@ -140,3 +140,25 @@ def test_quantiles_stay_exact_with_poor_sketches(spark):
                 at = (len(v) - 1) * p
                 lo, hi = v[int(np.floor(at))], v[int(np.ceil(at))]
                 assert q == (lo if at == int(at) else (np.ceil(at) - at) * lo + (at - np.floor(at)) * hi)
+
+
+def test_correlations_far_from_zero(spark):
+    """Values near 1e9, pairs with few or no common rows, constants, over several tasks."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=2000)
+    cols = {"a": 1e9 + x, "b": 1e9 + 0.5 * x + 0.1 * rng.normal(size=2000), "c": np.where(rng.random(2000) < 0.3, np.nan, x ** 2),
+            "d": np.full(2000, 7.3), "e": np.full(2000, np.nan), "f": np.where(np.arange(2000) % 2 == 0, np.nan, 5.0),
+            "g": np.where(np.arange(2000) % 2 == 0, x, np.nan)}
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in zip(*cols.values())]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).repartition(5)
+    got = {(r["col1"], r["col2"]): r["corr"] for r in E.correlation_matrix(df, digits=None).collect()}
+    assert len(got) == 49
+    for a in cols:
+        for b in cols:
+            both = ~np.isnan(cols[a]) & ~np.isnan(cols[b])
+            p, q = cols[a][both], cols[b][both]
+            if not len(p) or p.min() == p.max() or q.min() == q.max():
+                assert got[a, b] is None
+            else:
+                p, q = p - p.mean(), q - q.mean()
+                assert abs(got[a, b] - (p @ q) / np.sqrt((p @ p) * (q @ q))) < 1e-7

@@ -63,3 +63,28 @@ def test_constant_non_representable_value_has_no_correlation(spark):
     df = spark.createDataFrame([(0.1, float(i)) for i in range(50)], "a double, b double")
     m = {(r["col1"], r["col2"]): r["corr"] for r in E.correlation_matrix(df).collect()}
     assert m[("a", "b")] is None and m[("a", "a")] is None and m[("b", "b")] == 1.0
+
+
+def test_dotted_and_quoted_names_everywhere(spark):
+    """Column names and category values with dots, spaces and backticks through clean, eda, profile, signals and features."""
+    from sparkinsight.operators import cleaning as C
+    from sparkinsight.operators import eda as E
+    from sparkinsight.operators import models as M
+    from sparkinsight.operators import profile as V
+    from sparkinsight.operators import signals as I
+    rows = [(float(i % 17) + 0.1 * i if i % 9 else None, ["x.1", "y 2", "z`3"][i % 3] if i % 7 else None, str(i), "k", i) for i in range(60)]
+    df = spark.createDataFrame(rows, "`a.b` double, `c.d` string, `e.f` string, `g``h` string, t long")
+    out, log = C.clean(df)
+    assert out.columns == ["a.b", "e.f", "t", "c.d_y 2", "c.d_z`3"] and log.count() == 4
+    dropped, _ = C.clean(df, C.CleanConfig(missing_strategy="drop", outlier_action="drop"))
+    assert dropped.count() == 53
+    assert {r["column"] for r in E.numeric_summary(out).collect()} == {"a.b", "e.f", "t"}
+    assert E.correlation_matrix(out).count() == 9
+    assert E.detect_trends(out.withColumnRenamed("t", "t.t"), "t.t").count() == 3
+    assert {k: f.count() > 0 for k, f in E.chart_data(out).items()} == {
+        "correlation_heatmap": True, "histograms": True, "box_plots": True, "scatter_matrix": True}
+    assert [r["cardinality"] for r in V.profile(df).orderBy("position").collect()][1] == 3
+    assert V.describe_all(df).where("`column` = 'c.d' AND stat = 'unique'").first()["num_value"] == 3
+    assert I.kpis(out).where("label = 'Mean a.b'").count() == 1 and I.signals(out).count() >= 1
+    f = M.prepare_features(out, "a.b", passthrough=["t"])
+    assert f.names == ["e.f", "c.d_y 2_true", "c.d_z`3_true"] and f.frame.count() == 60

@@ -102,3 +102,21 @@ def test_clean_pipeline(dirty_df):
     assert out.agg(F.max("A")).first()[0] < 1000
     steps = [r["step"] for r in log.orderBy("step_no").collect()]
     assert steps[0] == "missing" and "outliers" in steps and steps[-1] == "one_hot"
+
+
+def test_row_digests_tell_rows_apart(spark):
+    """NULLs in other places, signed zeros, NaN, dotted names, rows repeated many times."""
+    from sparkinsight.operators import profile as V
+    rows = [(None, 1, 0.0, "x"), (1, None, 0.0, "x"), (None, 1, -0.0, "x"), (2, 2, float("nan"), None), (2, 2, float("nan"), None)]
+    rows += [(7, 7, 1.5, "hot")] * 40 + [(i, -i, float(i), str(i)) for i in range(50, 90)]
+    df = spark.createDataFrame(rows, "`a.b` int, b int, c double, d string")
+    want = len(rows) - df.distinct().count()
+    assert V.duplicate_count(df).first()[0] == want
+    v = V.validate(df).first()
+    assert (v["n_rows"], v["n_columns"], v["missing_cells"], v["duplicate_rows"]) == (len(rows), 4, 5, want)
+    m = V.table_metrics(df)
+    assert tuple(m.first())[:3] == (len(rows), 4, 5)
+    assert "hashpartitioning" not in m._jdf.queryExecution().toString()
+    empty = V.validate(df.limit(0)).first()
+    assert tuple(empty) == (0, 4, 0, 0.0, 0)
+    assert V.select_columns(df, ["d", "a.b"]).columns == ["d", "a.b"]

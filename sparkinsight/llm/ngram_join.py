@@ -8,7 +8,8 @@ the signatures are the contents of the single non-empty partitions.  Sets at
 least ``similarity`` alike differ in at most k elements, each of which spoils one
 signature, so of A's m signatures they share m - k or more (``needed``, over 0).
 
-Signatures are counted in parts of the signature space.  Those of one set only drop out;
+The texts are read once for sets and signatures alike (and once more for those sets that
+may have a partner).  Signatures are counted in parts of the signature space.  Those of one set only drop out;
 a set with fewer repeated signatures than needed has no partner; and of the others, in
 order of frequency, only the first (repeated - needed + 1) must be looked at, as similar
 sets share one of them.  So a very common passage costs no pairs.  Candidates are
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,25 +122,6 @@ def _from5(b):
     return out.view("<u8").ravel()
 
 
-def _sets(size: int, schemes: Schemes):
-    """Per document: its set's size, id and the number of signatures a similar set shares."""
-    def run(batches):
-        hasher = WordHasher(lower=True)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for s, e in chunks(texts):
-                h, of, n = shingle_sets(texts[s:e], size, hasher)
-                need = [np.bincount(schemes.signatures(h, of, n, low)[1], minlength=len(n)) - schemes.spoiled(n, low)
-                        for low in (False, True)]
-                empty = n == 0
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(n) + 1, 2), pa.int32()),
-                                                 pa.array(np.stack(need, 1).ravel().astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(s, e - s), pa.array(n.astype(np.int64)), pa.array(set_ids(h, n), mask=empty), lists],
-                    names=["doc_id", "n_shingles", "set_id", "needed"])
-    return run
-
-
 def _set_texts(size: int):
     """(set_id, z): the set of each text and the text as zstd bytes."""
     def run(batches):
@@ -154,47 +137,70 @@ def _set_texts(size: int):
     return run
 
 
-def _send(size: int, schemes: Schemes, parts: int):
-    """Rows (part, sets, counts, signatures): each set's signatures, dealt to parts."""
+def _send(size: int, schemes: Schemes, parts: int, buckets: int):
+    """One reading of the texts: each set's signatures, dealt to parts, and beside the parts
+    (from number ``parts`` on) what is told of the documents: id, size and id of the set,
+    and the number of signatures that a similar set shares."""
     mask, bits = np.uint64(parts - 1), np.uint64(parts.bit_length() - 1)
 
     def run(batches):
         hasher = WordHasher(lower=True)
         for b in batches:
-            texts = b.column(0).to_pylist()
+            texts = b.column(1).to_pylist()
             for s, e in chunks(texts):
                 h, of, n = shingle_sets(texts[s:e], size, hasher)
                 ids = set_ids(h, n)
+                two = [schemes.signatures(h, of, n, low) for low in (False, True)]
+                need = [np.bincount(t[1], minlength=len(n)) - schemes.spoiled(n, low) for t, low in zip(two, (False, True))]
+                # documents are dealt by a hash of all their ids and sets: a retried task deals them alike
+                docs = b.column(0).slice(s, e - s).to_pylist()
+                spread = xxhash.xxh64_intdigest(ids.tobytes() + repr(docs).encode()) % buckets
+                out = [(parts + spread, ids.astype("<i8").tobytes(), n.astype("<i8").tobytes(), np.stack(need, 1).astype("<i4").tobytes(), docs)]
                 # equal sets of one chunk are sent once
                 first = np.zeros(len(n), bool)
                 first[np.unique(ids, return_index=True)[1]] = True
-                use = (first & (n > 0))[of]
-                h, of = h[use], of[use]
-                if not len(h):
-                    continue
-                two = [schemes.signatures(h, of, n, low) for low in (False, True)]
-                sig = np.concatenate([t[0] for t in two])
+                first &= n > 0
                 # the scheme (own band or the one below) is the lowest bit of the owner
-                own = np.concatenate([t[1] * 2 + low for low, t in enumerate(two)])
+                sig, own = np.concatenate([t[0] for t in two]), np.concatenate([t[1] * 2 + low for low, t in enumerate(two)])
+                use = first[own >> 1]
+                sig, own = sig[use], own[use]
                 part = (sig & mask).astype(np.int64)
                 order = np.argsort(part * (2 * len(n)) + own, kind="stable")
                 sig, part, own = sig[order] >> bits, part[order], own[order]
-                cut = np.flatnonzero(np.diff(part, prepend=-1, append=parts))
-                out = []
+                cut = np.flatnonzero(np.diff(part, prepend=-1, append=parts)) if len(sig) else []
                 for f, t in zip(cut[:-1], cut[1:]):
                     r, k = np.unique(own[f:t], return_counts=True)
-                    out.append((int(part[f]), ids[r >> 1].astype("<i8").tobytes(), (k * 2 + (r & 1)).astype("<u4").tobytes(), _low5(sig[f:t])))
+                    out.append((int(part[f]), ids[r >> 1].astype("<i8").tobytes(), (k * 2 + (r & 1)).astype("<u4").tobytes(), _low5(sig[f:t]), None))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([o[0] for o in out], pa.int32()), *[pa.array([o[k] for o in out], pa.binary()) for k in (1, 2, 3)]],
-                    names=["part", "sets", "counts", "sigs"])
+                    [pa.array([o[0] for o in out], pa.int64()), *[pa.array([o[k] for o in out], pa.binary()) for k in (1, 2, 3)],
+                     pa.array([o[4] for o in out], pa.list_(pa.int64()))], names=["part", "sets", "counts", "sigs", "docs"])
     return run
 
 
+SENT = "part long, sets binary, counts binary, sigs binary, docs array<long>"
+# of the parts: repeated signatures by bucket of sets; of the documents (bucket -1): ids and what is told of them
+BACK = "bucket long, sets binary, low binary, n binary, sig binary, freq binary, docs array<long>"
+
+
+def _sets(batches):
+    """Per document: its set's size, id and the number of signatures a similar set shares."""
+    for b in batches:
+        docs = b.column(3).flatten()
+        ids, n, need = (np.frombuffer(b"".join(b.column(k).to_pylist()), t) for k, t in ((0, "<i8"), (1, "<i8"), (2, "<i4")))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(n) + 1, 2), pa.int32()), pa.array(need.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([docs, pa.array(n.astype(np.int64)), pa.array(ids.astype(np.int64), mask=n == 0), lists],
+                                         names=["doc_id", "n_shingles", "set_id", "needed"])
+
+
 def _repeated(parts: int, buckets: int):
     """Of one part: signatures of two or more sets, with their frequency, by set."""
     bits = np.uint64(parts.bit_length() - 1)
 
     def run(key, table):
+        if key[0].as_py() >= parts:  # documents, told as they are
+            none = pa.nulls(table.num_rows, pa.binary())
+            return pa.table({"bucket": pa.array([-1] * table.num_rows, pa.int64()), "sets": table.column("sets"), "low": none,
+                             "n": table.column("counts"), "sig": table.column("sigs"), "freq": none, "docs": table.column("docs")})
         part = np.uint64(key[0].as_py())
         cols = [table.column(c).to_pylist() for c in ("sets", "counts", "sigs")]
         sets = np.concatenate([np.frombuffer(x, "<i8") for x in cols[0]])
@@ -226,7 +232,8 @@ def _repeated(parts: int, buckets: int):
             "low": pa.array([cat(x, 1, "u1") for x in by.values()], pa.binary()),
             "n": pa.array([np.array([len(r[2]) for r in x], "<u4").tobytes() for x in by.values()], pa.binary()),
             "sig": pa.array([cat(x, 2, "<i8") for x in by.values()], pa.binary()),
-            "freq": pa.array([cat(x, 3, "<u4") for x in by.values()], pa.binary())})
+            "freq": pa.array([cat(x, 3, "<u4") for x in by.values()], pa.binary()),
+            "docs": pa.nulls(len(by), pa.list_(pa.int64()))})
     return run
 
 
@@ -356,14 +363,14 @@ def near_sets(docs: DataFrame, size: int = 5, percent: int = 80, part_sigs: int
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), bytes_of().alias("b"))
     for seed in range(64):
         schemes = Schemes(percent, seed)
-        rows = materialize(raw.mapInArrow(_sets(size, schemes), SETS))
+        sent = raw.mapInArrow(_send(size, schemes, parts, buckets), SENT)
+        back = materialize(sent.groupBy("part").applyInArrow(_repeated(parts, buckets), BACK))
+        rows = materialize(back.where("bucket < 0").select("sets", "n", "sig", "docs").mapInArrow(_sets, SETS))
         thin = F.least(F.get("needed", F.lit(0)), F.get("needed", F.lit(1)))
         # the guarantee needs one shared signature: another dealing if a set has too few
         if rows.where((F.col("n_shingles") > 0) & (thin < 1)).isEmpty():
             break
-    sent = raw.select("b").mapInArrow(_send(size, schemes, parts), "part int, sets binary, counts binary, sigs binary")
-    back = sent.groupBy("part").applyInArrow(
-        _repeated(parts, buckets), "bucket long, sets binary, low binary, n binary, sig binary, freq binary")
+    back = back.where("bucket >= 0").drop("docs")
     info = (rows.where("set_id is not null").groupBy("set_id").agg(
         F.max("n_shingles").alias("n_shingles"), F.max("needed").alias("needed"))
         .withColumn("bucket", F.pmod("set_id", F.lit(buckets))))

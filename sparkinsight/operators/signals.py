@@ -95,25 +95,29 @@ def signals(df: DataFrame, pairs: int | None = None) -> DataFrame:
     return out.select(F.row_number().over(Window.orderBy("o")).cast("bigint").alias("signal_no"), "kind", "signal")
 
 
-def insight_context(df: DataFrame, model_line: str | None = None, note: str | None = None,
-                    stats_limit: int | None = None) -> DataFrame:
+def insight_context(df: DataFrame, model_line: str | None = None, note: str | None = None, stats_limit: int | None = None,
+                    kpi_columns: int | None = KPI_NUMERIC_COLUMNS, kpi_rows: int | None = KPI_CAP,
+                    pairs: int | None = COLLINEAR_SHOWN) -> DataFrame:
     """Prompt frame (I6): KPI bullets, signals, the count / unique / top rows of the
-    description over all columns, an optional model line and user note.  Built from
-    the small KPI / signal / description frames only; ``stats_limit`` cuts the
-    description to that many characters where a caller asks for it."""
+    description over all columns, an optional model line and user note.  A prompt is short, so
+    by default the KPIs cover the first columns and the first collinear pairs are named
+    (None: all); ``stats_limit`` cuts the description to that many characters on request.
+    Built from the small KPI / signal / description frames only, and without the driver."""
     from .profile import describe_all
-    k = kpis(df, KPI_NUMERIC_COLUMNS, KPI_CAP).orderBy("kpi_no").collect()
-    sig = signals(df, COLLINEAR_SHOWN).orderBy("signal_no").collect()
-    desc = {(r["column"], r["stat"]): r["str_value"] if r["num_value"] is None else f"{r['num_value']:g}"
-            for r in describe_all(df).where(F.col("stat").isin("count", "unique", "top")).collect()}
-    stats = "\n".join(f"{c} {stat} {desc[c, stat]}" for stat in ("count", "unique", "top") for c in df.columns
-                      if desc.get((c, stat)) is not None)
-    text = ("KPIs:\n" + "\n".join(f"- {r['label']}: {r['value']}" + (f" ({r['delta']})" if r["delta"] else "")
-                                   for r in k)
-            + "\n\nSignals:\n" + "\n".join(f"- {r['signal']}" for r in sig)
-            + "\n\nStatistics:\n" + stats[:stats_limit])
-    if model_line:
-        text += f"\n\nModel: {model_line}"
-    if note:
-        text += f"\n\nNote: {note}"
-    return df.sparkSession.createDataFrame([(text,)], "context string")
+    k = kpis(df, kpi_columns, kpi_rows).select(F.lit(0).alias("part"), F.col("kpi_no").alias("no"), F.concat(
+        F.lit("- "), "label", F.lit(": "), "value", F.when(F.col("delta") != "", F.concat(F.lit(" ("), "delta", F.lit(")"))).otherwise("")).alias("line"))
+    s = signals(df, pairs).select(F.lit(1).alias("part"), F.col("signal_no").alias("no"), F.concat(F.lit("- "), "signal").alias("line"))
+    stats = {st: i for i, st in enumerate(("count", "unique", "top"))}
+    place = {c: i for i, c in enumerate(df.columns)}
+    at = lambda table, c: F.element_at(F.create_map(*[x for n, i in table.items() for x in (F.lit(n), F.lit(i))]), F.col(c))
+    value = F.coalesce("str_value", F.col("num_value").cast("bigint").cast("string"))
+    d = describe_all(df).where(F.col("stat").isin(*stats) & value.isNotNull()).select(
+        F.lit(2).alias("part"), (at(stats, "stat") * len(place) + at(place, "column")).cast("bigint").alias("no"),
+        F.concat_ws(" ", "column", "stat", value).alias("line"))
+    # a few rows per column
+    lines = k.unionByName(s).unionByName(d).agg(F.array_sort(F.collect_list(F.struct("part", "no", "line"))).alias("all"))
+    block = lambda n: F.array_join(F.transform(F.filter("all", lambda x: x["part"] == n), lambda x: x["line"]), "\n")
+    described = block(2) if stats_limit is None else F.substring(block(2), 1, stats_limit)
+    tail = (f"\n\nModel: {model_line}" if model_line else "") + (f"\n\nNote: {note}" if note else "")
+    return lines.select(F.concat(F.lit("KPIs:\n"), block(0), F.lit("\n\nSignals:\n"), block(1), F.lit("\n\nStatistics:\n"), described,
+                                 F.lit(tail)).alias("context"))

@@ -880,6 +880,16 @@ def q_latest(spark, sf):
     return RO.latest_user_query(table(spark, sf, "conversations"))
 
 
+@register("explicit_query", "SELECT conv_id, CASE WHEN conv_id % 4 = 0 THEN 'clean conversation ' || conv_id ELSE arg_max(text, turn) END AS query "
+          "FROM conversations WHERE role = 'user' GROUP BY conv_id")
+def q_explicit_query(spark, sf):
+    """Every fourth conversation asks explicitly; an empty explicit query leaves the last message."""
+    conv = table(spark, sf, "conversations")
+    asked = conv.select("conv_id").distinct().withColumn("query", F.when(
+        F.col("conv_id") % 4 == 0, F.concat(F.lit("clean conversation "), F.col("conv_id").cast("string"))).when(F.col("conv_id") % 4 == 1, ""))
+    return RO.latest_user_query(conv, explicit=asked.where(F.col("conv_id") % 4 < 2))
+
+
 def _route_sql(text: str) -> str:
     scores = []
     for name, kws in RO.INTENTS:
@@ -1245,7 +1255,7 @@ def q_fragments(spark, sf):
 
 @register("content_hash")
 def q_hash(spark, sf):
-    return S.content_hash(spark, sf, "*.parquet")
+    return S.content_hash(spark, sf, "*.parquet").drop("path")
 
 
 def _qa_frame(spark, sf):
@@ -1342,18 +1352,76 @@ def q_paragraphs(spark, sf):
     return RP.report_paragraphs(d, key="doc_id", content="text")
 
 
-@register("report_sections")
+_CLEAN_KEPT = ["o_orderkey", "o_custkey", "o_totalprice", "o_size_txt", "o_rare"]
+_REPORT_PARTS = f"""WITH rep AS ({ORACLE['validate_orders']}),
+warn AS ({ORACLE['validation_warnings']}),
+chg AS ({ORACLE['change_log']}),
+cf AS ({ORACLE['clean_full']}),
+dirty AS ({with_dirty('SELECT count(*) AS n FROM dirty_orders')}),
+tr AS ({_trend_sql('cf', 'o_orderkey', _CLEAN_KEPT)}),
+cm AS ({_corr_matrix_sql('cf', _CLEAN_KEPT)}),
+{_signals_sql('cf', _CLEAN_KEPT)}"""
+_REPORT_HEAD, _REPORT_SIGNALS = _REPORT_PARTS.split("\nSELECT CAST(row_number", 1)
+
+
+@register("report_sections", _REPORT_HEAD + f""",
+sig AS (SELECT CAST(row_number{_REPORT_SIGNALS})
+SELECT CAST(1 AS INTEGER) AS section_no, '{RP.HEADINGS['ingestion']}' AS heading, 'File: orders.parquet  |  Rows: ' || n_rows || '  |  Columns: '
+  || n_columns || '  |  Missing: ' || missing_pct || '%' || chr(10) || chr(10)
+  || coalesce((SELECT string_agg(warning, chr(10) ORDER BY warning_no) FROM warn), 'No warnings.') AS content FROM rep
+UNION ALL SELECT 2, '{RP.HEADINGS['cleaning']}', 'Shape before: (' || (SELECT n FROM dirty) || ', {len(DIRTY_COLS)})  →  after: ('
+  || (SELECT count(*) FROM cf) || ', 12)' || chr(10) || chr(10) || 'Changes:' || chr(10)
+  || (SELECT string_agg('• ' || message, chr(10) ORDER BY step_no) FROM chg)
+UNION ALL SELECT 3, '{RP.HEADINGS['eda']}', 'Trends:' || chr(10)
+  || coalesce((SELECT string_agg('- ' || message, chr(10) ORDER BY position) FROM tr WHERE message IS NOT NULL), 'No trends.')
+  || chr(10) || chr(10) || 'Strongest correlations:' || chr(10) || coalesce((SELECT string_agg('- ' || col1 || ' / ' || col2 || ': '
+  || printf('%.4f', corr), chr(10) ORDER BY abs(corr) DESC, col1, col2) FROM cm WHERE i < j AND corr IS NOT NULL), 'None.')
+UNION ALL SELECT 4, '{RP.HEADINGS['insight']}', (SELECT string_agg(signal, chr(10) ORDER BY signal_no) FROM sig)""")
 def q_report_sections(spark, sf):
     from .pipeline import run_pipeline
     res = run_pipeline(dirty_orders(spark, sf), {"file_name": "orders.parquet", "order_by": "o_orderkey"})
     return res["report"]
 
 
-@register("insight_context")
+@register("report_kpis", f"SELECT kpi_no, label, value FROM ({ORACLE['kpis']}) WHERE kpi_no <= {RP.REPORT_KPIS}")
+def q_report_kpis(spark, sf):
+    return RP.report_kpis(I.kpis(table(spark, sf, "lineitem")))
+
+
+def _insight_sql() -> str:
+    """KPI lines, signal lines, then count, unique and top of every column that has them."""
+    sig = _signals_full([], "lineitem", LINEITEM_NUM)
+    text = [c for c in ("l_returnflag", "l_linestatus")]
+    lines = [f"SELECT {i} AS no, '{c} count ' || count({c}) AS line FROM lineitem" for i, c in enumerate(_LINEITEM_ALL) if c in LINEITEM_NUM + text]
+    for c in text:
+        i = _LINEITEM_ALL.index(c)
+        lines.append(f"SELECT {100 + i}, '{c} unique ' || count(DISTINCT {c}) FROM lineitem")
+        lines.append(f"SELECT {200 + i}, '{c} top ' || v FROM (SELECT {c} AS v FROM lineitem WHERE {c} IS NOT NULL GROUP BY {c} "
+                     f"ORDER BY count(*) DESC, {c} LIMIT 1)")
+    return (f"WITH k AS ({ORACLE['kpis']}), g AS ({sig}), d AS ({' UNION ALL '.join(lines)})\n"
+            "SELECT 'KPIs:' || chr(10) || (SELECT string_agg('- ' || label || ': ' || value || CASE WHEN delta <> '' THEN ' (' || delta || ')' "
+            "ELSE '' END, chr(10) ORDER BY kpi_no) FROM k) || chr(10) || chr(10) || 'Signals:' || chr(10) || "
+            "(SELECT string_agg('- ' || signal, chr(10) ORDER BY signal_no) FROM g) || chr(10) || chr(10) || 'Statistics:' || chr(10) || "
+            "(SELECT string_agg(line, chr(10) ORDER BY no) FROM d) AS context")
+
+
+@register("insight_context", _insight_sql())
 def q_insight_context(spark, sf):
     return I.insight_context(table(spark, sf, "lineitem"))
 
 
+@register("content_hash_text", "SELECT lang, substring(sha256(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)), 1, 12) AS hash "
+          "FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+def q_hash_text(spark, sf):
+    """Hashes of text files written by language."""
+    folder = scratch_path(spark, "documents-lang")
+    docs = table(spark, sf, "documents").where("lang IS NOT NULL").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    # one file a language: a hash needs its texts one after the other
+    (docs.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", "text")
+     .write.partitionBy("lang").text(folder))
+    return S.content_hash(spark, folder + "/*").select(F.regexp_extract("path", "lang=([^/]+)", 1).alias("lang"), "hash")
+
+
 @register("read_sqlite_roundtrip", "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, "
           "c_mktsegment FROM customer")
 def q_sqlite(spark, sf):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -30,32 +30,56 @@ def ingestion_section(report: DataFrame, file_name: str) -> DataFrame:
         F.coalesce(F.nullif(w, F.lit("")), F.lit("No warnings."))).alias("content"))
 
 
-def cleaning_section(log: DataFrame, shape_before: tuple, shape_after: tuple) -> DataFrame:
-    lines = log.agg(F.array_join(F.array_sort(F.collect_list(F.struct("step_no", "message"))).getField("message"),
-                                 "\n").alias("m"))
-    return lines.select(F.concat(
-        F.lit(f"Shape before: {shape_before}  →  after: {shape_after}\n\nChanges:\n"),
-        F.coalesce(F.regexp_replace(F.col("m"), r"(?m)^", "• "), F.lit(""))).alias("content"))
+def _shape(df: DataFrame, name: str) -> DataFrame:
+    """One row: the text ``(rows, columns)``."""
+    return df.agg(F.format_string(f"(%d, {len(df.columns)})", F.count(F.lit(1))).alias(name))
+
+
+def _joined(frame: DataFrame, order: str, line: Column, sep: str = "\n") -> DataFrame:
+    """One row ``m``: the lines of a small frame (a few rows per column) in their order; NULL without any."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line"))))
+    return frame.agg(F.nullif(F.array_join(F.transform(parts, lambda s: s["line"]), sep), F.lit("")).alias("m"))
+
+
+def cleaning_section(log: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    one = _joined(log, "step_no", F.concat(F.lit("• "), F.col("message")))
+    one = one.join(F.broadcast(_shape(before, "b"))).join(F.broadcast(_shape(after, "a")))
+    return one.select(F.concat(F.lit("Shape before: "), F.col("b"), F.lit("  →  after: "), F.col("a"), F.lit("\n\nChanges:\n"),
+                               F.coalesce("m", F.lit(""))).alias("content"))
+
+
+def eda_section(trends: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The trend messages, then the strongest correlations (stated facts; no text is generated)."""
+    t = _joined(trends.where(F.col("message").isNotNull()), "position", F.concat(F.lit("- "), F.col("message")))
+    p = pairs.where(F.col("corr").isNotNull()).select(
+        "col1", "col2", "corr", F.struct((-F.abs("corr")).alias("k"), "col1", "col2").alias("o"))
+    c = _joined(p, "o", F.concat(F.lit("- "), F.col("col1"), F.lit(" / "), F.col("col2"), F.lit(": "), F.format_string("%.4f", F.col("corr"))))
+    both = t.join(F.broadcast(c.withColumnRenamed("m", "c")))
+    return both.select(F.concat(F.lit("Trends:\n"), F.coalesce("m", F.lit("No trends.")), F.lit("\n\nStrongest correlations:\n"),
+                                F.coalesce("c", F.lit("None."))).alias("content"))
 
 
 def ml_section(results: DataFrame, task: str, best: str | None) -> DataFrame:
-    per = (results.where(F.col("metric") != "error")
-           .groupBy("model").agg(F.array_join(F.transform(
+    told = results.where((F.col("metric") != "error") & ~F.col("metric").startswith("cv_fold_") & F.col("value").isNotNull())
+    per = (told.groupBy("model").agg(F.array_join(F.transform(
                F.array_sort(F.collect_list(F.struct("metric", "value"))),
-               lambda s: F.concat(s["metric"], F.lit("="), s["value"].cast("string"))), ", ").alias("m"))
-           .select(F.concat(F.lit("**"), F.col("model"), F.lit("**: "), F.col("m")).alias("line")))
-    return per.agg(F.concat(F.lit(f"Task: {task}  |  Best Model: {best}\n\n"),
-                            F.array_join(F.array_sort(F.collect_list("line")), "\n")).alias("content"))
+               lambda s: F.concat(s["metric"], F.lit("="), s["value"].cast("string"))), ", ").alias("m")))
+    one = _joined(per, "model", F.concat(F.lit("**"), F.col("model"), F.lit("**: "), F.col("m")))
+    return one.select(F.concat(F.lit(f"Task: {task}  |  Best Model: {best}\n\n"), F.coalesce("m", F.lit(""))).alias("content"))
 
 
 def dl_section(metrics: DataFrame, model: str, task: str) -> DataFrame:
-    cells = [F.concat(F.lit(f"• {c}: "), F.col(c).cast("string")) for c in metrics.columns]
-    return metrics.select(F.concat(F.lit(f"Model: {model}  |  Task: {task}\n\n"),
-                                   F.concat_ws("\n", *cells)).alias("content"))
+    """One line per metric; a metrics frame of many series gives their lines in the order of the series."""
+    keys = [c for c in metrics.columns if c not in ("accuracy", "f1", "rmse", "mae", "r2")]
+    cells = [F.concat(F.lit("• "), *[x for k in keys for x in (F.coalesce(F.col(k).cast("string"), F.lit("")), F.lit(" "))],
+                      F.lit(f"{c}: "), F.col(c).cast("string")) for c in metrics.columns if c not in keys]
+    rows = metrics.withColumn("__o", F.struct(*keys) if keys else F.lit(0)).withColumn("__m", F.concat_ws("\n", *cells))
+    one = _joined(rows, "__o", F.col("__m"))
+    return one.select(F.concat(F.lit(f"Model: {model}  |  Task: {task}\n\n"), F.coalesce("m", F.lit(""))).alias("content"))
 
 
-def text_section(frame: DataFrame, col: str) -> DataFrame:
-    return frame.select(F.col(col).alias("content"))
+def insight_section(signals: DataFrame) -> DataFrame:
+    return _joined(signals, "signal_no", F.col("signal")).select(F.coalesce("m", F.lit("")).alias("content"))
 
 
 def report_sections(spark: SparkSession, parts: dict[str, DataFrame]) -> DataFrame:
@@ -86,8 +110,11 @@ def report_paragraphs(sections: DataFrame, key: str = "section_no", content: str
 
 
 def write_report(sections: DataFrame, path: str, title: str, kind: str = "full") -> str:
-    """Markdown lines, written as one ordered text file (a report has few rows)."""
-    body = sections if kind == "full" else sections.where(F.col("section_no") <= 1)
+    """Markdown lines, written as one ordered text file (a report has few rows).
+
+    ``full`` holds the sections whole, ``summary`` the first paragraph of each.
+    """
+    body = sections if kind == "full" else sections.withColumn("content", F.split("content", "\n\n")[0])
     lines = body.select(F.col("section_no"), F.concat(F.lit("## "), F.col("heading"), F.lit("\n\n"),
                                                      F.col("content"), F.lit("\n")).alias("value"))
     head = sections.sparkSession.createDataFrame([(0, f"# {title}\n")], "section_no int, value string")

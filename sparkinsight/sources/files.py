@@ -69,13 +69,13 @@ def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def content_hash(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(file name, first 12 hex digits of the SHA-256 of the file bytes)."""
+    """(file name, first 12 hex digits of the SHA-256 of the file bytes, whole path)."""
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     df = reader.load(path)
     return df.select(F.element_at(F.split("path", "/"), -1).alias("file"),
-                     F.substring(F.sha2(F.col("content"), 256), 1, 12).alias("hash"))
+                     F.substring(F.sha2(F.col("content"), 256), 1, 12).alias("hash"), "path")
 
 
 def read_any(spark: SparkSession, path: str, file_type: str = "auto", table: str | None = None) -> DataFrame:
@@ -98,10 +98,26 @@ def read_any(spark: SparkSession, path: str, file_type: str = "auto", table: str
     raise ValueError(f"Unsupported file type: {kind}")
 
 
-def union_fragments(frames: list[DataFrame]) -> DataFrame:
+def fragment_frame(spark: SparkSession, rows: list[list]) -> DataFrame | None:
+    """A table fragment as extracted (its first row holds the column names); None without data rows.
+
+    Names that are missing or repeated get their place as a suffix, so no column is lost.
+    """
+    if len(rows) < 2:
+        return None
+    names, seen = [], set()
+    for k, name in enumerate(rows[0]):
+        name = "" if name is None else str(name)
+        names.append(f"{name}_{k}" if not name or name in seen else name)
+        seen.add(name)
+    cells = [[None if x is None else str(x) for x in (*r[:len(names)], *[None] * (len(names) - len(r)))] for r in rows[1:]]
+    return spark.createDataFrame(cells, ", ".join("`" + n.replace("`", "``") + "` string" for n in names))
+
+
+def union_fragments(frames: list[DataFrame | None]) -> DataFrame:
     """Concatenate table fragments by column name (missing columns -> NULL);
     fragments without data rows are skipped."""
-    keep = [f for f in frames if not f.isEmpty()]
+    keep = [f for f in frames if f is not None and not f.isEmpty()]
     if not keep:
         raise ValueError("no fragment has data rows")
     out = keep[0]

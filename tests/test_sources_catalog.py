@@ -80,7 +80,7 @@ def test_pipeline_and_report(spark, dirty_df):
     res = run_pipeline(dirty_df.withColumn("t", F.monotonically_increasing_id()), {"file_name": "d.csv",
                                                                                     "order_by": "t"})
     secs = res["report"].orderBy("section_no").collect()
-    assert [s["heading"] for s in secs] == ["Data Ingestion Summary", "Data Cleaning",
+    assert [s["heading"] for s in secs] == ["Data Ingestion Summary", "Data Cleaning", "Exploratory Data Analysis",
                                             "Business Insights & Recommendations"]
     assert run_step("nope", dirty_df) is None
     paras = RP.report_paragraphs(res["report"]).collect()
@@ -139,3 +139,50 @@ def test_clean_keeps_wide_integers(spark):
     out = infer_types(df)
     assert out.dtypes == [("w", "decimal(38,0)"), ("s", "bigint")]
     assert out.where("w is null").count() == 0
+
+
+def test_fragments_have_a_header_row(spark):
+    from sparkinsight.sources.files import fragment_frame, union_fragments
+    one = fragment_frame(spark, [["a", None, "a"], [1, 2, 3], [4, None]])
+    assert one.columns == ["a", "_1", "a_2"] and [tuple(r) for r in one.collect()] == [("1", "2", "3"), ("4", None, None)]
+    assert fragment_frame(spark, [["a", "b"]]) is None and fragment_frame(spark, []) is None
+    both = union_fragments([one, None, fragment_frame(spark, [["b", "a"], ["x", "y"]])])
+    assert both.columns == ["a", "_1", "a_2", "b"] and both.count() == 3
+
+
+def test_all_eight_steps_and_six_sections(spark, sample_df):
+    """Every routing target runs; the report has all sections in order, saved and recorded."""
+    from pyspark.sql import functions as F
+    from sparkinsight.operators.routing import INTENTS
+    from sparkinsight.plans.pipeline import STEPS
+    from sparkinsight.session import scratch_path
+    from sparkinsight.sources.catalog import Catalog
+    assert set(STEPS) == {name for name, _ in INTENTS}
+    cat = Catalog(spark, scratch_path(spark, "catalog"))
+    cat.bootstrap()
+    df = sample_df.withColumn("t", F.monotonically_increasing_id())
+    docs = spark.createDataFrame([(1, "s1", "the salary of a sales person"), (2, "s2", "whales swim in oceans")], "doc_id long, source string, text string")
+    asked = spark.createDataFrame([(1, "Which whales swim?"), (2, "zzz")], "query_id long, question string")
+    out = scratch_path(spark, "report")
+    cfg = {"file_name": "people.csv", "order_by": "t", "target": "churn", "keys": ["t"], "cv_folds": 0, "epochs": 3, "catalog": cat,
+           "dataset_id": 3, "documents": docs, "questions": asked, "report_path": out, "title": "People",
+           "clean": {"encode_categoricals": False}}
+    res = run_pipeline(df, cfg, steps=("ingestion", "cleaning", "eda", "ml", "dl", "rag", "insight"))
+    assert not [k for k, v in res.items() if isinstance(v, dict) and "error" in v], res
+    told = res["report"].orderBy("section_no").collect()
+    assert [r["heading"] for r in told] == list(RP.HEADINGS.values()) and [r["section_no"] for r in told] == [1, 2, 3, 4, 5, 6]
+    by = {r["heading"]: r["content"] for r in told}
+    assert by["Data Ingestion Summary"].startswith("File: people.csv  |  Rows: 200  |  Columns: 6  |  Missing: 0.0%")
+    assert by["Data Cleaning"].startswith("Shape before: (200, 6)  →  after: (200, 6)")
+    assert "Task: classification  |  Best Model: " in by["Machine Learning Results"] and "**Random Forest**: accuracy=" in by["Machine Learning Results"]
+    assert by["Deep Learning Results"].startswith("Model: MLP  |  Task: classification\n\n• accuracy: ")
+    assert res["report_kpis"].count() == RP.REPORT_KPIS
+    prompts = {r["query_id"]: r for r in res["rag"]["prompts"].collect()}
+    assert "whales" in prompts[1]["context"] and prompts[2]["prompt"] is None
+    assert cat.list_model_runs(3).count() == 3
+    text = "\n".join(r["value"] for r in spark.read.text(out).collect())
+    assert text.startswith("# People") and text.index("## Data Cleaning") < text.index("## Business Insights")
+    ahead = run_step("dl", df, {"target": "salary", "order_by": "t", "dl_mode": "forecast"})
+    assert ahead["section"].first()["content"].startswith("Model: Lag model  |  Task: time_series_forecast\n\n• rmse: ")
+    broken = run_pipeline(df, {"order_by": "no such column"})
+    assert "error" in broken["eda"] and broken["report"].count() == 3

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,3 +32,14 @@ def fold(id_col: str = "doc_id", folds: int = 5) -> Column:
 def bytes_of(col: str = "text") -> Column:
     """UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
+
+
+def other_columns_aside(stage):
+    """For stages that return the columns of their documents: columns the stage does not read
+    go through it under names of their own, so none can clash with a helper column."""
+    @wraps(stage)
+    def run(docs: DataFrame, *args, **kw) -> DataFrame:
+        read = ("doc_id", "text", "source")
+        plain = docs.toDF(*[c if c in read else f"own_{i}" for i, c in enumerate(docs.columns)])
+        return stage(plain, *args, **kw).toDF(*docs.columns)
+    return run

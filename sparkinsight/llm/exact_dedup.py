@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import parallelism
+from .common import other_columns_aside, parallelism
 
 
 def number_sorted(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -98,6 +98,7 @@ def dedup_report(docs: DataFrame, block_bytes: int = 4096, hash_bits: int = 64)
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+@other_columns_aside
 def exact_dedup(docs: DataFrame, block_bytes: int = 4096) -> DataFrame:
     """``docs`` with one row of each text: that of the largest doc_id."""
     cols = docs.columns

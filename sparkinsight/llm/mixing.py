@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import row_positions
 from ..session import materialize
-from .common import WORD, parallelism
+from .common import WORD, other_columns_aside, parallelism
 
 EPS = 1e-9
 
@@ -231,6 +231,7 @@ def mix_report(docs: DataFrame, **kw) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")))
 
 
+@other_columns_aside
 def mix(docs: DataFrame, **kw) -> DataFrame:
     """The mixed documents themselves: each row of ``docs`` as often as the mix takes it."""
     cols = docs.columns

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import bytes_of
+from .common import bytes_of, other_columns_aside
 from .graph import components
 from .hashing import MULT, WordHasher, chunks, decompressor, mix, power_of_two, total_bytes, window_hashes
 
@@ -438,6 +438,7 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
                     .otherwise(F.col("component_id")).alias("component_id")))
 
 
+@other_columns_aside
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component: that of the least doc_id.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, fold
+from .common import bytes_of, fold, other_columns_aside
 
 STRIP = b".,;:!?\"'()[]*%&$#|"
 WORD_BITS, GRAM_BITS = 20, 18
@@ -333,6 +333,7 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
                     (F.col("_score") >= threshold).cast("int").alias("predicted"))
 
 
+@other_columns_aside
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **kw) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic."""
     return score(docs, train(docs, labels, **kw), docs.columns).where(F.col("_score") < threshold).drop("_score")

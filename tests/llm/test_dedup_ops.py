@@ -166,3 +166,21 @@ def test_embedding_join(spark):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
     assert got[None]["n_links"] == 0
     assert embedding_join.embedding_join(df.where("false")).count() == 0
+
+
+CLASHING = ["_score", "_b", "_text_sha", "_sha", "_id", "_words", "_copy", "_size", "_source", "copies", "size", "name", "set_id", "own_0", "a.b"]
+
+
+def test_stages_keep_columns_with_any_name(spark, labels):
+    """Columns named like helpers go through every stage with their values."""
+    from sparkinsight.llm import mixing, toxicity
+    rows = [(i, f"w{i} alpha beta gamma delta w{i % 7} and some more words {i}", "s", *[f"{c} {i}" for c in CLASHING]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASHING))
+    docs = docs.select(*[f"`{c}`" for c in [*CLASHING[:7], "doc_id", "text", "source", *CLASHING[7:]]])
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    named = real.selectExpr("doc_id", "text", "source", *[f"concat('{c} ', cast(doc_id as string)) AS `{c}`" for c in CLASHING])
+    for name, out in (("exact", exact_dedup.exact_dedup(docs)), ("near", ngram_join.keep_first(docs)), ("mix", mixing.mix(docs)),
+                      ("toxic", toxicity.drop_toxic(named, labels, positives=30, negatives=60))):
+        assert out.columns == (named if name == "toxic" else docs).columns, name
+        got = out.collect()
+        assert got and all(r[c] == f"{c} {r['doc_id']}" for r in got for c in CLASHING), name

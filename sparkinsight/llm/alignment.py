@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import bytes_of
+from .common import bytes_of, worker_store
 from .hashing import chunks, decompressor
 
 U4 = np.dtype("<u4")
@@ -279,15 +279,9 @@ class Aligned:
         return [b"".join(map(get, row[s:e].tolist()))[:-1] for s, e in zip([0, *to], to)]
 
 
-_CACHE: dict = {}
-
-
 def _tokenizers(files) -> Tokenizers:
     """This worker's tokenizers of two broadcast files."""
-    key = files.value["key"]
-    if key not in _CACHE:
-        _CACHE[key] = Tokenizers(*files.value["models"])
-    return _CACHE[key]
+    return worker_store(("alignment", files.value["key"]), lambda: Tokenizers(*files.value["models"]))
 
 
 def _ship(spark, path_a: str, path_b: str):

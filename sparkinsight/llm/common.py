@@ -43,3 +43,20 @@ def other_columns_aside(stage):
         plain = docs.toDF(*[c if c in read else f"own_{i}" for i, c in enumerate(docs.columns)])
         return stage(plain, *args, **kw).toDF(*docs.columns)
     return run
+
+
+_STORES: dict = {}
+
+
+def worker_store(key, build):
+    """An object that this Python worker keeps between tasks.  A worker keeps one at a time, so
+    those of operators that ran before do not add up."""
+    if key not in _STORES:
+        _STORES.clear()
+        _STORES[key] = build()
+    return _STORES[key]
+
+
+def drop_stores() -> None:
+    """For tasks that keep nothing but need the memory."""
+    _STORES.clear()

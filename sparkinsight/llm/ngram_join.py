@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import bytes_of, other_columns_aside
+from .common import bytes_of, drop_stores, other_columns_aside
 from .graph import components
 from .hashing import MULT, WordHasher, chunks, decompressor, mix, power_of_two, total_bytes, window_hashes
 
@@ -144,6 +144,7 @@ def _send(size: int, schemes: Schemes, parts: int, buckets: int):
     mask, bits = np.uint64(parts - 1), np.uint64(parts.bit_length() - 1)
 
     def run(batches):
+        drop_stores()
         hasher = WordHasher(lower=True)
         for b in batches:
             texts = b.column(1).to_pylist()

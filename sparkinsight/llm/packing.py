@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_store
+
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
-_CACHE: dict = {}
 
 
 class Encoder:
@@ -129,7 +130,7 @@ def assign(lengths: list[int], length: int, linear: float, quadratic: float):
 
 def _pack_group(path: str, length: int, end_id: int, linear: float, quadratic: float):
     def run(key, table):
-        enc = _CACHE.setdefault(path, None) or _CACHE.__setitem__(path, Encoder(path)) or _CACHE[path]
+        enc = worker_store(("packing", path), lambda: Encoder(path))
         group = key[0].as_py()
         table = table.sort_by([("doc_id", "ascending"), ("_row", "ascending")])
         doc = table.column("doc_id").to_pylist()

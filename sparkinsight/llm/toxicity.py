@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, fold, other_columns_aside
+from .common import drop_stores, bytes_of, fold, other_columns_aside
 
 STRIP = b".,;:!?\"'()[]*%&$#|"
 WORD_BITS, GRAM_BITS = 20, 18
@@ -312,6 +312,7 @@ def score(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, set by WORD_BITS and GRAM_BITS
 
     def run(batches):
+        drop_stores()
         scorer = Scorer(shared.value)
         for b in batches:
             texts = b.column("_b").to_pylist()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,11 +53,12 @@ def worker_store(key, build):
     """An object that this Python worker keeps between tasks.  A worker keeps one at a time, so
     those of operators that ran before do not add up."""
     if key not in _STORES:
-        _STORES.clear()
+        drop_stores()
         _STORES[key] = build()
     return _STORES[key]
 
 
 def drop_stores() -> None:
-    """For tasks that keep nothing but need the memory."""
+    """For tasks that keep nothing but need the memory; freed Arrow buffers go back as well."""
     _STORES.clear()
+    pa.default_memory_pool().release_unused()

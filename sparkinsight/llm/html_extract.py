@@ -25,7 +25,7 @@ from .hashing import chunks, window_hashes
 
 ARTICLE, CHROME, PLAIN, DOUBT = "article", "chrome", "plain", "doubtful"
 # Elements by their role in a page.
-DROP = frozenset("script style noscript template iframe object svg canvas audio video map head title math".split())
+DROP = frozenset("script style noscript template iframe svg canvas audio video map head title annotation annotation-xml".split())
 CHROME_TAGS = frozenset("nav footer aside form button select textarea dialog menu search".split())
 ARTICLE_TAGS = frozenset("article main".split())
 BLOCK_TAGS = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption
@@ -43,11 +43,16 @@ CHROME_WORDS = frozenset("""ad ads advert adverts advertisement advertising spon
 # what a name may hold beside a chrome word and still say what its element is: site-sidebar, ad-slot
 FORMS = frozenset("""site global top bottom left right box bar block container wrapper wrap list link links item items area
     inner unit slot button buttons icon icons post posts article articles primary secondary sticky mobile desktop""".split())
+PAGE_PARTS = frozenset("article main nav".split())
+TEASER = 4  # articles shorter than the plain text by this factor are teasers
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[/!?]?[a-zA-Z\[-](?:[^<>"']|"[^"]{0,8192}"|'[^']{0,8192}'|["'])*>?""", re.S)
+# a quote opens a value only behind an equals sign; one that never closes is a character as any other
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[/!?]?[a-zA-Z\[-](?:[^<>=]|=\s*(?:"[^"]*"|'[^']*')|=)*+>?""", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTR = re.compile(r"""([a-zA-Z_:][\w:.-]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+QUOTED = re.compile(r"""=\s*(?:"[^"]*"|'[^']*')""")
+HIDDEN = re.compile(r"(?i)(?<![=\s])\s+hidden(?=[\s/>]|\Z)")
 
 
 def _named(name: str, attrs: dict) -> str | None:
@@ -71,6 +76,8 @@ def _region(name: str, tag: str, inside_article: bool) -> str | None:
     attrs = {k.lower(): v.strip("\"'").lower() for k, v in ATTR.findall(tag)} if "=" in tag else {}
     if attrs.get("role") in CHROME_ROLES or attrs.get("hidden") is not None or attrs.get("aria-hidden") == "true":
         return CHROME
+    if "hidden" in tag.lower() and name not in ("html", "body") and HIDDEN.search(QUOTED.sub("=", tag)):
+        return CHROME
     if name in ARTICLE_TAGS or attrs.get("role") in ("main", "article") or attrs.get("itemprop") == "articlebody":
         # <article class="comment"> is a comment
         return CHROME if name == "article" and _named(name, attrs) == CHROME else ARTICLE
@@ -82,19 +89,24 @@ def _by_name(name: str, tag: str) -> bool:
     return name not in ARTICLE_TAGS and _region(name, re.sub(r"(?i)\b(?:class|id)\s*=", "_=", tag), True) is None
 
 
-def parse(page: str, holders: frozenset = frozenset()) -> list[tuple[str, str]]:
+def parse(page: str, holders: frozenset = frozenset(), teasers: bool = False) -> list[tuple[str, str]]:
     """(region, text) of the non-empty blocks of a page, in page order.
 
     Doubtful: inside an article, within an element that only a part of a name calls chrome.
     Where the only articles of a page stand in elements that are chrome by name, these
-    (``holders``, by place in the page) are not chrome.
+    (``holders``, by place in the page) are not chrome, nor is a form that holds parts of a
+    page (its article or menu).  Where the articles of a page are ``teasers`` beside a
+    longer text, they declare nothing.
     """
     out: list[tuple[str, str]] = []
     open_: list[tuple[str, str | None]] = []  # elements that can hold a region
     buf: list[str] = []
     chrome = article = doubt = 0
+    forms: list[int | None] = []  # place of each open form
     named: list[int | None] = []  # place of each open element that is chrome by name alone
     held: set[int] = set()
+    wraps: set[int] = set()  # forms around parts of the page
+    strong = False  # a main text is declared by more than <article>
     pos, n, low = 0, len(page), None
     mute = None  # a leaf element declared chrome: its text is left out
 
@@ -133,7 +145,7 @@ def parse(page: str, holders: frozenset = frozenset()) -> list[tuple[str, str]]:
             # an advert or notice may be a paragraph: it holds to its end tag or the next block
             if closing and name == mute:
                 mute = None
-            elif not closing and not mute and "=" in tag and _region(name, tag, article > 0) == CHROME:
+            elif not closing and not mute and ("=" in tag or "hidden" in tag.lower()) and _region(name, tag, article > 0) == CHROME:
                 mute = name
             continue
         if name in VOID or name in DROP:
@@ -142,14 +154,20 @@ def parse(page: str, holders: frozenset = frozenset()) -> list[tuple[str, str]]:
             kind = _region(name, tag, article > 0)
             if kind == CHROME and m.start() in holders or kind == DOUBT and not article:
                 kind = None
+            if kind == ARTICLE and name == "article" and teasers:
+                kind = None
             if kind and name not in BLOCK_TAGS:
                 flush()
+            strong |= kind == ARTICLE and name != "article"
+            if name in PAGE_PARTS:
+                wraps.update(x for x in forms if x is not None)
             if kind == ARTICLE and chrome:
                 by = [x for (_, k), x in zip(open_, named) if k == CHROME]
                 if None not in by:
                     held.update(by)
             open_.append((name, kind))
             named.append(m.start() if kind == CHROME and _by_name(name, tag) else None)
+            forms.append(m.start() if kind == CHROME and name == "form" else None)
             doubt += kind == DOUBT
             chrome += kind == CHROME
             article += kind == ARTICLE
@@ -162,10 +180,16 @@ def parse(page: str, holders: frozenset = frozenset()) -> list[tuple[str, str]]:
                     chrome -= kind == CHROME
                     article -= kind == ARTICLE
                     doubt -= kind == DOUBT
-                del open_[at:], named[at:]
+                del open_[at:], named[at:], forms[at:]
     flush()
-    if held and not holders and not any(r in (ARTICLE, DOUBT) for r, _ in out):
-        return parse(page, frozenset(held))
+    if wraps - holders:
+        return parse(page, holders | wraps, teasers)
+    size = {r: sum(len(t) for k, t in out if k == r) for r in (ARTICLE, DOUBT, PLAIN)}
+    own = size[ARTICLE] + size[DOUBT]
+    if held - holders and not own:
+        return parse(page, holders | held, teasers)
+    if 0 < TEASER * own < size[PLAIN] and not strong and not teasers:
+        return parse(page, holders, True)
     return out
 
 

@@ -139,6 +139,49 @@ def test_parse_name_rule(page):
     assert [t for r, t in html_extract.parse(page) if r == "article"] == ["Body text"]
 
 
+def _text(page):
+    blocks = html_extract.parse(page)
+    own = [t for r, t in blocks if r in ("article", "doubtful")]
+    return own or [t for r, t in blocks if r == "plain"]
+
+
+LONG = "The main text of this page goes on for a while and says far more than any card beside it does. " * 3
+
+
+@pytest.mark.parametrize("page,want", [
+    # a form around the page is no form; one inside the article is
+    ('<form id="aspnetForm"><nav>Menu</nav><article><p>Body<form>Mail <input></form></article></form>', ["Body"]),
+    ('<form id="aspnetForm"><nav>Menu</nav><div><p>Body</div></form>', ["Body"]),
+    ('<p>Body</p><form><label>Mail</label></form>', ["Body"]),
+    # a teaser does not stand for the main text, a short article beside short text does
+    (f'<div id="content"><p>{LONG}</p></div><article class="card">Teaser</article>', [LONG.strip(), "Teaser"]),
+    (f'<main><p>Short</p></main><div>{LONG}</div>', ["Short"]),
+    ('<article><p>Body text</p></article><div>Other words</div>', ["Body text"]),
+    # text of formulas and of objects that cannot be shown
+    ('<article><p>So <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>x=1</annotation></semantics></math> holds'
+     '</p><object data="a.svg"><p>Fallback</p></object></article>', ["So x=1 holds", "Fallback"]),
+    # attributes of any length, open quotes, quotes that open nothing
+    (f'<article title="{"a" * 9000} > leaked words"><p>Inside</p></article>', ["Inside"]),
+    ("<article><p don't>It isn't <b class=\"x>y\">lost</b></p></article>", ["It isn't lost"]),
+    ('<article><p title="open>Kept</p><p>Too</p></article>', ["Kept", "Too"]),
+    # hidden without a value; not in a class, a value or on the body
+    ('<body hidden><article><p>Seen</p><p hidden>No</p><div hidden class="x">No</div><p class="hidden">Yes</p>'
+     '<p style="overflow: hidden">And</p></article></body>', ["Seen", "Yes", "And"]),
+])
+def test_extract_odd_pages(page, want):
+    assert _text(page) == want
+
+
+def test_extract_very_long_page(spark):
+    words = " ".join(f"w{k}" for k in range(200_000))
+    html = f'<nav>{"Menu " * 50_000}</nav><article data-x="{"<p>" * 100_000}"><p>{words}</p></article>'
+    df = spark.createDataFrame([(1, "http://h.example/1", html), (1, "http://h.example/1", html), (2, None, None)],
+                               "page_id long, url string, html string")
+    got = html_extract.extract_report(df).collect()
+    assert sorted((r["page_id"], r["text"] == words, r["n_chars"]) for r in got) == [
+        (1, True, len(words)), (1, True, len(words)), (2, False, 0)]
+
+
 def test_extract_keeps_doubtful_sections(spark):
     html = '<article><h2 id="social-policy">Head {k}</h2><p id="notice-period">Term {k}<section id="related-work"><p>Work {k}</section></article>'
     df = spark.createDataFrame([(k, f"http://h.example/{k}", html.format(k=k)) for k in range(4)], "page_id long, url string, html string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from functools import wraps
 
 import pyarrow as pa
@@ -59,6 +60,9 @@ def worker_store(key, build):
 
 
 def drop_stores() -> None:
-    """For tasks that keep nothing but need the memory; freed Arrow buffers go back as well."""
+    """For tasks that keep nothing but need the memory; freed buffers go back to the system as well."""
     _STORES.clear()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
+    if trim:
+        trim(0)

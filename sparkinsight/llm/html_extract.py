@@ -369,6 +369,7 @@ def extract(pages: DataFrame, depth: int = 8, share: float = 0.25, least: int =
             .where(F.col("count") > F.col("pages") * share).select("host", "key"))
     found = src.withColumn("row", F.xxhash64("page_id", "url", "html")).mapInArrow(
         _main, "page_id long, url string, row long, text string, plain array<string>, keep array<boolean>, host string")
+    found = materialize(found)  # read three times below
     plain = found.where("plain is not null")
     hits = (plain.select("row", "host", "plain", "keep").dropDuplicates(["row"]).mapInArrow(
         _keys(depth), "row long, host string, key long, block long, at long")

@@ -128,9 +128,9 @@ def assign(lengths: list[int], length: int, linear: float, quadratic: float):
     return out
 
 
-def _pack_group(path: str, length: int, end_id: int, linear: float, quadratic: float):
+def _pack_group(path: str, length: int, end_id: int, linear: float, quadratic: float, kept: int):
     def run(key, table):
-        enc = worker_store(("packing", path), lambda: Encoder(path))
+        enc = worker_store(("packing", path, kept), lambda: Encoder(path, kept))
         group = key[0].as_py()
         table = table.sort_by([("doc_id", "ascending"), ("_row", "ascending")])
         doc = table.column("doc_id").to_pylist()
@@ -146,12 +146,13 @@ def _pack_group(path: str, length: int, end_id: int, linear: float, quadratic: f
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int = 2, linear: float = 1.0,
-         quadratic: float = 1.0 / 4096, group_bytes: int = 4 << 20) -> DataFrame:
+         quadratic: float = 1.0 / 4096, group_bytes: int = 4 << 20, kept: int = 800_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null text counts as empty (only the end id).  Every row is packed, repeated rows
     and null ids too.  Groups hold about ``group_bytes`` of text, their number comes
-    from the table's size, and rows are dealt by row number, so no key is hot.
+    from the table's size, and rows are dealt by row number, so no key is hot.  A Python
+    worker keeps the ids of ``kept`` chunks and as many words: memory against time, not the result.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
@@ -159,4 +160,4 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int =
                        F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_bytes"),
                        F.monotonically_increasing_id().alias("_row"))
     rows = rows.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
-    return rows.groupBy("_group").applyInArrow(_pack_group(tokenizer_path, length, end_id, linear, quadratic), SCHEMA)
+    return rows.groupBy("_group").applyInArrow(_pack_group(tokenizer_path, length, end_id, linear, quadratic, kept), SCHEMA)

@@ -36,7 +36,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, tokenizer_path())
+    # the workers share their executor with what the stages before left behind: a smaller store
+    return pack(docs, tokenizer_path(), kept=200_000)
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_copies), ("ngram_join", near_copies),

@@ -1442,8 +1442,7 @@ def q_list_tables(spark, sf):
 @register("read_text_roundtrip", "SELECT doc_id, text || chr(10) AS text FROM documents")
 def q_text_roundtrip(spark, sf):
     folder = scratch_path(spark, "documents-text")
-    # one text file per document (Spark's text writer ends each value with a newline)
-    table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id") \
-        .write.partitionBy("doc_id").text(folder)
+    # one text file per document, a newline behind each text
+    S.write_text_documents(table(spark, sf, "documents"), folder, "doc_id", "text")
     docs = S.read_text_documents(spark, folder)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")

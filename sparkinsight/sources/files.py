@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
+import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import INTEGER_TEXT, NUMERIC_TEXT, fits, integer_type
 from ..schema import normalise
+from ..session import ship_package
 
 # Text read as missing (the pandas CSV defaults).
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -68,6 +72,54 @@ def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("text"), *extra)
 
 
+# Characters that a folder name holds escaped, as Spark's partitioned writer does.
+PATH_ESCAPES = re.compile("[\x01-\x1f\x7f\"#%'*/:=?\\\\{\\[\\]^]")
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _text_writer(root: str, key: str):
+    """Writes the (key, text) rows of a task, sorted by key: a file per key, shown only when it is whole."""
+    def run(batches):
+        def close():
+            if out is not None:
+                out.close()
+                os.replace(out.name, os.path.join(os.path.dirname(out.name), "part.txt"))
+
+        now, out, n = None, None, 0
+        for b in batches:
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                name = NO_VALUE if k is None else PATH_ESCAPES.sub(lambda m: f"%{ord(m[0]):02X}", k)
+                if name != now:
+                    close()
+                    folder = os.path.join(root, f"{key}={name}")
+                    os.makedirs(folder, exist_ok=True)
+                    # hidden from readers until complete; a repeated task writes the same name
+                    now, out = name, open(os.path.join(folder, f"_part-{uuid.uuid4().hex}"), "wb")
+                    n += 1
+                out.write(t + b"\n" if t is not None else b"\n")
+        close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([n], pa.int64())})
+    return run
+
+
+def write_text_documents(docs: DataFrame, path: str, key: str, text: str) -> None:
+    """One text file per ``key`` below ``path`` (folder ``key=value``), each text with a newline behind.
+
+    A folder that all tasks see as files is written by the tasks themselves: Spark's writer needs
+    several file system commands for every file.  Any other path is left to Spark's writer.
+    """
+    spark = docs.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toUri()
+    if place.getScheme() != "file":
+        docs.select(key, text).repartition(key).write.partitionBy(key).text(path)
+        return
+    ship_package(spark)
+    rows = docs.select(F.nullif(F.col(key).cast("string"), F.lit("")).alias("k"), F.col(text).cast("binary").alias("t"))
+    written = rows.repartition("k").sortWithinPartitions("k").mapInArrow(_text_writer(place.getPath(), key), "files long")
+    written.agg(F.sum("files")).collect()  # one number
+
+
 def content_hash(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(file name, first 12 hex digits of the SHA-256 of the file bytes, whole path)."""
     reader = spark.read.format("binaryFile")

@@ -186,3 +186,15 @@ def test_all_eight_steps_and_six_sections(spark, sample_df):
     assert ahead["section"].first()["content"].startswith("Model: Lag model  |  Task: time_series_forecast\n\n• rmse: ")
     broken = run_pipeline(df, {"order_by": "no such column"})
     assert "error" in broken["eda"] and broken["report"].count() == 3
+
+
+def test_one_text_file_per_key(spark, tmp_path):
+    """Files as Spark's partitioned text writer names and fills them: escaped, non-ASCII, null and repeated keys, null and empty texts."""
+    rows = [("a", "one"), ("a", "one"), ("b/c=d", "x\ny"), ("é%", "ü"), (None, "none"), ("", "empty"), ("n", None), ("m", "")]
+    docs = spark.createDataFrame(rows, "key string, text string")
+    S.write_text_documents(docs, str(tmp_path / "mine"), "key", "text")
+    docs.repartition("key").write.partitionBy("key").text(str(tmp_path / "spark"))
+    mine, plain = (sorted((r["key"] or "", r["text"]) for r in S.read_text_documents(spark, str(tmp_path / d)).collect()) for d in ("mine", "spark"))
+    assert [r for r in mine if r[0]] == [r for r in plain if r[0]]
+    assert sorted("".join(t for k, t in mine if not k).split("\n")) == sorted("".join(t for k, t in plain if not k).split("\n"))
+    assert not [f for f in tmp_path.joinpath("mine").rglob("_part*")]

@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship_package
-from .retrieval import MAX_QUERY_BLOCK, TOP_K, DENSE_ROWS, TopK, ids_of, query_blocks, ranked_hits, retrieve_dense, unit_rows
+from .retrieval import MAX_QUERY_BLOCK, TOP_K, DENSE_ROWS, TopK, ids_of, query_blocks, ranked_hits, retrieve_dense, \
+    rows_at_once, unit_rows
 
 # Rows that fit the cells, and the rounds of the fit.
 FIT_ROWS = 16_384
@@ -171,8 +172,9 @@ def _search_cells(shared, k: int, id_col: str, vec_col: str):
             cut = np.flatnonzero(np.diff(cell[order], prepend=-2))
             for s, e in zip(cut, [*cut[1:], len(order)]):
                 asked = block["by_cell"].get(int(cell[order[s]]))
-                for f in range(s, e if asked is not None else s, DENSE_ROWS):
-                    part = pdf.iloc[order[f:min(e, f + DENSE_ROWS)]]
+                step = rows_at_once(0 if asked is None else len(asked))
+                for f in range(s, e if asked is not None else s, step):
+                    part = pdf.iloc[order[f:min(e, f + step)]]
                     m = unit_rows(np.stack(part[vec_col].to_numpy()).astype("float64"))
                     best.add(asked, block["unit"][asked] @ m.T, ids_of(part[id_col]))
         out = best.frame(block["ids"], id_col)

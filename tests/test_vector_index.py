@@ -1,6 +1,7 @@
 """The inverted-file index against exact retrieval."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from sparkinsight.operators import retrieval as RT
@@ -63,3 +64,18 @@ def test_topk_keeps_the_best_over_blocks():
     for q, name in enumerate("abcd"):
         want = sorted(zip(-scores[q], ids))[:7]
         assert f[f["query_id"] == name]["id"].tolist() == [int(i) for _, i in want]
+
+
+def test_scores_of_a_large_query_block_stay_small():
+    """A full block of queries against many rows: the scores held at once are bounded by cells, not by rows."""
+    import tracemalloc
+    rng = np.random.default_rng(1)
+    queries, rows = rng.normal(size=(RT.MAX_QUERY_BLOCK, 8)), rng.normal(size=(2048, 8))
+    run = RT._topk_scorer([*range(len(queries))], queries, 5, "id", "v")
+    tracemalloc.start()
+    got = pd.concat(run(iter([pd.DataFrame({"id": np.arange(2048), "v": [*rows]})])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    best = np.argsort(-(RT.unit_rows(queries[:50]) @ RT.unit_rows(rows).T), axis=1)[:, :5]
+    assert all(set(got[got.query_id == i].id) == set(best[i]) for i in range(50))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, documents, eda, models, neural, profile, retrieval, sequence, signals
+from ..session import materialize
 from . import report as R
 
 StepFn = Callable[[DataFrame, dict], dict]
@@ -28,6 +29,7 @@ def _ingestion(df, cfg):
 
 def _cleaning(df, cfg):
     out, log = cleaning.clean(df, cleaning.CleanConfig(**cfg.get("clean", {})))
+    out = materialize(out)  # every later step reads it, most of them more than once
     return {"frame": out, "log": log, "section": R.cleaning_section(log, df, out)}
 
 

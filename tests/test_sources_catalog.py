@@ -198,3 +198,11 @@ def test_one_text_file_per_key(spark, tmp_path):
     assert [r for r in mine if r[0]] == [r for r in plain if r[0]]
     assert sorted("".join(t for k, t in mine if not k).split("\n")) == sorted("".join(t for k, t in plain if not k).split("\n"))
     assert not [f for f in tmp_path.joinpath("mine").rglob("_part*")]
+
+
+def test_later_steps_read_the_cleaned_table(spark):
+    """The cleaned frame is written once; the steps behind it do not clean again."""
+    rows = [(i, float(i % 7), str(i % 5)) for i in range(60)]
+    res = run_pipeline(spark.createDataFrame(rows, "k bigint, x double, t string"), {"order_by": "k"}, steps=("cleaning",))
+    assert res["cleaning"]["frame"]._jdf.queryExecution().analyzed().nodeName().startswith("LogicalRelation")
+    assert res["cleaning"]["frame"].count() == 60

@@ -7,12 +7,14 @@ import re
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.sha256 import resumable, take_up
 from ..functions.text import INTEGER_TEXT, NUMERIC_TEXT, fits, integer_type
 from ..schema import normalise
-from ..session import ship_package
+from ..session import materialize, scratch_path, ship_package
 
 # Text read as missing (the pandas CSV defaults).
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -120,14 +122,99 @@ def write_text_documents(docs: DataFrame, path: str, key: str, text: str) -> Non
     written.agg(F.sum("files")).collect()  # one number
 
 
+# Fixed value: a stream longer than this is hashed block after block, each by a task of its own.
+HASH_BLOCK = 128 << 20
+# Fixed value: endings of files that Hadoop's line reader would unpack.
+PACKED = r"(?i)\.(gz|bz2|deflate|snappy|lz4|lzo|zst)$"
+BOM = b"\xef\xbb\xbf"
+
+
+def _reader(spark: SparkSession, kind: str, glob: str | None = None):
+    reader = spark.read.format(kind)
+    return reader.option("pathGlobFilter", glob) if glob else reader
+
+
 def content_hash(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(file name, first 12 hex digits of the SHA-256 of the file bytes, whole path)."""
-    reader = spark.read.format("binaryFile")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    df = reader.load(path)
-    return df.select(F.element_at(F.split("path", "/"), -1).alias("file"),
-                     F.substring(F.sha2(F.col("content"), 256), 1, 12).alias("hash"), "path")
+    """(file name, first 12 hex digits of the SHA-256 of the file bytes, whole path).
+
+    A large file is read in pieces by many tasks and hashed a block at a time; one with the ending of a
+    packed file, which Spark's splitting reader would unpack, is read whole as the small ones are.
+    """
+    large = (F.col("_metadata.file_size") > HASH_BLOCK) & ~F.col("_metadata.file_name").rlike(PACKED)
+    files = _reader(spark, "binaryFile", glob).load(path)
+    out = files.where(~large).select("path", F.sha2("content", 256).alias("hash"))
+    listed = files.where(large).select("path", F.col("_metadata.file_path").alias("id"))
+    if not listed.isEmpty():
+        lines = _reader(spark, "text", glob).option("lineSep", "\n").load(path).where(large)
+        found = _stream_hash(lines, listed.select("id", F.col("id").alias("key"), F.lit(0).cast("bigint").alias("before")))
+        out = out.unionByName(found.join(listed, found["key"] == listed["id"]).select("path", "hash"))
+    return out.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.substring("hash", 1, 12).alias("hash"), "path")
+
+
+def parts_hash(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(``key``, first 12 hex digits of the SHA-256) of the text files of every folder ``key=value`` below
+    ``path``, taken one behind the other in the order that Spark's writer numbers them in."""
+    files = _reader(spark, "binaryFile").load(path + "/*").select(
+        F.regexp_extract("path", f"/{key}=([^/]+)/", 1).alias("key"), "path", "length", F.col("_metadata.file_path").alias("id"))
+    # one row per file; numbers beyond five digits make a longer name
+    earlier = Window.partitionBy("key").orderBy(F.length("path"), "path").rowsBetween(Window.unboundedPreceding, -1)
+    listed = files.select("id", "key", F.coalesce(F.sum("length").over(earlier), F.lit(0)).alias("before"))
+    lines = _reader(spark, "text").option("lineSep", "\n").load(path + "/*")
+    return _stream_hash(lines, listed).select(F.col("key").alias(key), F.substring("hash", 1, 12).alias("hash"))
+
+
+def _join_lines(batches):
+    """The bytes of each run of lines of one piece of a file, a newline behind every line."""
+    n = 0
+    for b in batches:
+        ends = {e for c in ("id", "start") for e in pc.run_end_encode(b.column(c)).run_ends.to_pylist()}
+        at = 0
+        for end in sorted(ends):
+            text = b"\n".join([*b.column("line").slice(at, end - at).to_pylist(), b""])
+            yield pa.RecordBatch.from_pydict({
+                "id": [b.column("id")[at].as_py()], "size": [b.column("size")[at].as_py()],
+                "start": [b.column("start")[at].as_py()], "n": [n], "bytes": [len(text)], "content": pa.array([text], pa.binary())})
+            at, n = end, n + 1
+
+
+def _stream_hash(lines: DataFrame, listed: DataFrame) -> DataFrame:
+    """(key, hash) of streams made of files: ``lines`` is Spark's text reader over the files, split at line feeds,
+    ``listed`` has the ``key`` of the stream a file ``id`` belongs to and the bytes ``before`` it there.
+
+    SHA-256 takes the bytes in order, so a round hashes one block of every stream: its task reads that block and
+    the state that the round before left.  Many tasks read the files; none reads a stream whole.
+    """
+    spark = lines.sparkSession
+    ship_package(spark)
+    read = lines.select(F.col("_metadata.file_path").alias("id"), F.col("_metadata.file_size").alias("size"),
+                        F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
+    pieces = read.mapInArrow(_join_lines, "id string, size long, start long, n long, bytes long, content binary")
+    place = scratch_path(spark, "pieces")
+    at = F.col("before") + F.col("start")
+    block = F.floor(at / HASH_BLOCK) if resumable() else F.lit(0)
+    # the list has a row per file
+    pieces.join(F.broadcast(listed), "id").withColumn("at", at).withColumn("block", block.cast("bigint")) \
+        .write.partitionBy("block").parquet(place)
+    pieces = spark.read.parquet(place)
+    # the reader drops a byte order mark and does not tell whether the last line had its line feed: the sizes do
+    over = F.sum("bytes") - F.first("size")
+    sizes = pieces.groupBy("id").agg(over.alias("over"), F.max(F.struct("start", "n")).alias("last"), F.min(F.struct("start", "n")).alias("first"))
+    here = F.struct("start", "n")
+    content = F.when((here == F.col("first")) & F.col("over").isin(-3, -2), F.concat(F.lit(BOM), "content")).otherwise(F.col("content"))
+    content = F.when((here == F.col("last")) & F.col("over").isin(1, -2), F.substring(content, F.lit(1), F.length(content) - 1)).otherwise(content)
+    wrong = F.raise_error(F.concat(F.lit("not read byte for byte: "), "id")).cast("binary")
+    content = F.when(F.col("over").isin(0, 1, -2, -3), content).otherwise(wrong)
+    sizes = materialize(sizes)
+    states = None
+    for b in sorted(r["block"] for r in pieces.select("block").distinct().collect()):  # one number a block
+        rows = pieces.where(F.col("block") == b).join(F.broadcast(sizes), "id").select(
+            "key", F.lit(False).alias("begun"), "at", "n", content.alias("content"))
+        if states is not None:
+            rows = rows.unionByName(states.select("key", F.lit(True).alias("begun"), F.lit(-1).cast("bigint").alias("at"),
+                                                  F.lit(0).cast("bigint").alias("n"), F.col("state").alias("content")))
+        states = materialize(rows.repartition("key").sortWithinPartitions("key", "at", "n")
+                             .mapInArrow(take_up, "key string, state binary, hash string"))
+    return states.select("key", "hash") if states is not None else listed.select("key", F.lit("").alias("hash")).limit(0)
 
 
 def read_any(spark: SparkSession, path: str, file_type: str = "auto", table: str | None = None) -> DataFrame:

@@ -1,4 +1,7 @@
+import gzip
+import hashlib
 import os
+import random
 import tempfile
 
 import pytest
@@ -42,6 +45,76 @@ def test_text_documents_and_hash(spark):
     assert h["one.txt"] == hashlib.sha256(b"hello world").hexdigest()[:12]
 
 
+def _small_blocks(spark, monkeypatch, folder):
+    """Blocks of 4 KB, files read in pieces of 1 KB, and what hashlib says of every file."""
+    monkeypatch.setattr(S, "HASH_BLOCK", 4096)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    return {f: hashlib.sha256(open(os.path.join(folder, f), "rb").read()).hexdigest()[:12] for f in os.listdir(folder)}
+
+
+@pytest.fixture
+def plain_reading(spark):
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_large_files_are_hashed_in_blocks(spark, monkeypatch, plain_reading):
+    d, rng = tempfile.mkdtemp(), random.Random(1)
+    noise = rng.randbytes(30_000)
+    for name, data in {"noise %41[1].bin": noise, "feed.bin": noise[:20_000] + b"\n", "crlf.bin": b"a\r\n\r\n\n" * 3000, "lines.bin": b"\n" * 9000,
+                       "mark.bin": b"\xef\xbb\xbf" + noise, "mark feed.bin": b"\xef\xbb\xbf\xef\xbb\xbf" + noise + b"\n", "one line.bin": b"x" * 13_000,
+                       "small.bin": b"hello", "packed.bin.gz": gzip.compress(noise), "block.bin": b"y" * 4096, "more.bin": b"y" * 4097}.items():
+        with open(os.path.join(d, name), "wb") as f:
+            f.write(data)
+    told = _small_blocks(spark, monkeypatch, d)
+    rows = S.content_hash(spark, d).collect()
+    assert sorted((r["file"], r["hash"]) for r in rows) == sorted(told.items())
+    assert all(r["path"].endswith(d + "/" + r["file"]) for r in rows)
+    assert [r["file"] for r in S.content_hash(spark, d, "sm*.bin").collect()] == ["small.bin"]
+    # where the state of a hash cannot be had, one task hashes a file
+    monkeypatch.setattr(S, "resumable", lambda: False)
+    assert sorted((r["file"], r["hash"]) for r in S.content_hash(spark, d).collect()) == sorted(told.items())
+
+
+def test_no_task_hashes_a_large_file_whole(spark, monkeypatch, plain_reading):
+    d = tempfile.mkdtemp()
+    with open(os.path.join(d, "a.bin"), "wb") as f:
+        f.write(random.Random(2).randbytes(60_000))
+    told = _small_blocks(spark, monkeypatch, d)
+    taken, rounds = S.take_up, spark.sparkContext.accumulator(0)
+
+    def bounded(batches):
+        held = 0
+
+        def counted():
+            nonlocal held
+            for b in batches:
+                held += sum(len(x) for x in b.column("content").to_pylist())
+                yield b
+        yield from taken(counted())
+        rounds.add(held > 0)
+        assert held < 4096 + 2048 + 112
+
+    monkeypatch.setattr(S, "take_up", bounded)
+    assert [r["hash"] for r in S.content_hash(spark, d).collect()] == [told["a.bin"]]
+    assert rounds.value == 15
+
+
+def test_hashes_of_parts_in_order(spark, monkeypatch, plain_reading):
+    """The query's text by language: parts one behind the other, whatever their number."""
+    from sparkinsight.plans.registry import QUERIES
+    _small_blocks(spark, monkeypatch, d := tempfile.mkdtemp())
+    rows = [(i, None if i % 7 == 0 else f"t {i}\r\n" * (i % 5) if i > 3 else "\ufeffmark", ("en", "de", "x/y=%", None)[i % 4]) for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5).write.parquet(d + "/documents.parquet")
+    want = {}
+    for _i, text, lang in rows:
+        want.setdefault(lang, hashlib.sha256()).update(((text or "") + "\n").encode())
+    got = {r["lang"]: r["hash"] for r in QUERIES["content_hash_text"](spark, d).collect()}
+    assert got == {("x%2Fy%3D%25" if k == "x/y=%" else k): h.hexdigest()[:12] for k, h in want.items() if k}
+
+
 def test_union_fragments(spark):
     a = spark.createDataFrame([(1, "x")], "k int, v string")
     b = spark.createDataFrame([(2, 3.0)], "k int, w double")

@@ -1413,13 +1413,14 @@ def q_insight_context(spark, sf):
 @register("content_hash_text", "SELECT lang, substring(sha256(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)), 1, 12) AS hash "
           "FROM documents WHERE lang IS NOT NULL GROUP BY lang")
 def q_hash_text(spark, sf):
-    """Hashes of text files written by language."""
+    """Hashes of the text written by language, each a run of files in the order of the documents."""
     folder = scratch_path(spark, "documents-lang")
-    docs = table(spark, sf, "documents").where("lang IS NOT NULL").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
-    # one file a language: a hash needs its texts one after the other
-    (docs.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", "text")
+    # a language that cannot be null keeps the order of the rows in Spark's writer, which sorts others anew
+    docs = table(spark, sf, "documents").where("lang IS NOT NULL").select(
+        "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    (docs.repartitionByRange("lang", "doc_id").sortWithinPartitions("lang", "doc_id").select("lang", "text")
      .write.partitionBy("lang").text(folder))
-    return S.content_hash(spark, folder + "/*").select(F.regexp_extract("path", "lang=([^/]+)", 1).alias("lang"), "hash")
+    return S.parts_hash(spark, folder, "lang")
 
 
 @register("read_sqlite_roundtrip", "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, "

@@ -239,3 +239,38 @@ def test_network_learns_and_tells_its_losses(spark):
     lin = spark.createDataFrame([(i, float(p), float(3 * p + 100)) for i, p in enumerate(a)], "id long, a double, y double")
     reg = NN.train_mlp(lin, "y", ["id"], hidden=(16,), epochs=60, rate=0.03)
     assert reg.task == "regression" and reg.metrics.first()["r2"] > 0.9
+
+
+def test_fits_that_run_at_once_hold_bounded_rows(spark, sample_df, monkeypatch):
+    """One frame of folds for all estimators; fits side by side as their rows allow, at most two of many rows."""
+    import threading
+
+    assert [M.fits_at_once(n, 18) for n in (0, 4_000, 1_200_000, 7_200_000, 10**12)] == [18, 18, 16, 2, 2]
+    assert M.fits_at_once(10, 1) == 1
+    monkeypatch.setattr(M, "FIT_ROWS", 1)
+    frames, now, most, lock, pipeline, folded = [], set(), [0], threading.Lock(), M._pipeline, M.fold_frame
+
+    class Watched:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def fit(self, df):
+            with lock:
+                now.add(id(self))
+                most[0] = max(most[0], len(now))
+            try:
+                return self.inner.fit(df)
+            finally:
+                with lock:
+                    now.discard(id(self))
+
+    monkeypatch.setattr(M, "_pipeline", lambda est, size: Watched(pipeline(est, size)))
+    monkeypatch.setattr(M, "fold_frame", lambda *a, **b: frames.append(1) or folded(*a, **b))
+    monkeypatch.setattr(M, "regressors", lambda depth: {n: e for n, e in REGRESSORS(depth).items() if n == "Linear Regression"} | {"Broken": object()})
+    res, best, models, _feat = M.compare_models(sample_df, "score", ["age", "salary"], cv_folds=3, order_by="age")
+    rows = [(r["model"], r["metric"]) for r in res.collect()]
+    assert rows == [("Linear Regression", m) for m in ("rmse", "mae", "r2", "cv_mean", "cv_std", "cv_fold_1", "cv_fold_2", "cv_fold_3")] + [("Broken", "error")]
+    assert best == "Linear Regression" and list(models) == [best] and len(frames) == 1 and most[0] == 2
+
+
+REGRESSORS = M.regressors

@@ -1445,5 +1445,5 @@ def q_text_roundtrip(spark, sf):
     folder = scratch_path(spark, "documents-text")
     # one text file per document, a newline behind each text
     S.write_text_documents(table(spark, sf, "documents"), folder, "doc_id", "text")
-    docs = S.read_text_documents(spark, folder)
+    docs = S.read_text_documents(spark, folder, "doc_id")
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -65,20 +66,94 @@ def read_csv(spark: SparkSession, path: str, **opts) -> DataFrame:
     return normalise(clean.select(*out))
 
 
-def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_text_documents(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
     """One row per text file: (source file name, whole text, partition columns...).
 
-    Bytes that are not valid UTF-8 become replacement characters."""
-    df = spark.read.option("basePath", path).text(path, wholetext=True)
+    Bytes that are not valid UTF-8 become replacement characters.  Spark's reader holds every file that it lists in
+    the driver.  ``key`` names the one partition column (kept as text) of a folder with more files than that, as
+    ``write_text_documents`` leaves it: the tasks list and read it themselves, if all of them see it as files.
+    """
+    reader = spark.read.option("basePath", path)
+    if key is not None:
+        root = _shared_root(spark, path)
+        if root is not None:
+            return _listed_by_tasks(spark, root, key)
+        reader = reader.schema(f"value string, `{key}` string")
+    df = reader.text(path, wholetext=True)
     extra = [c for c in df.columns if c != "value"]
     return df.select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("text"), *extra)
 
 
 # Characters that a folder name holds escaped, as Spark's partitioned writer does.
 PATH_ESCAPES = re.compile("[\x01-\x1f\x7f\"#%'*/:=?\\\\{\\[\\]^]")
+ESCAPED = re.compile("%([0-9A-Fa-f]{2})")
 NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 
 
+def _shared_root(spark: SparkSession, path: str) -> str | None:
+    """The local path of a folder that all tasks see as files; None for any other file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toUri()
+    return place.getPath() if place.getScheme() == "file" else None
+
+
+# Names and bytes of text that a reading task hands on at once.
+FOLDERS_AT_ONCE = 10_000
+TEXT_AT_ONCE = 4 << 20
+
+
+def _folder_lister(root: str, key: str):
+    """The names of the folders ``key=value`` below ``root``, handed on while the folder is read."""
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            with os.scandir(root) as entries:
+                names = (e.name for e in entries if e.name.startswith(f"{key}=") and e.is_dir())
+                while some := list(islice(names, FOLDERS_AT_ONCE)):
+                    yield pa.RecordBatch.from_pydict({"folder": pa.array(some, pa.string())})
+    return run
+
+
+def _text_reader(root: str):
+    """(file name, bytes, value) of the files in the folders ``key=value``; hidden and empty ones are no data, as for Spark."""
+    def run(batches):
+        rows, held = [], 0
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.binary(), pa.string()))],
+                                              names=["source", "text", "value"])
+
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                value = folder.split("=", 1)[1]
+                value = None if value == NO_VALUE else ESCAPED.sub(lambda m: chr(int(m[1], 16)), value)
+                for at, _, names in os.walk(os.path.join(root, folder)):
+                    for name in names:
+                        if name[0] in "._":
+                            continue
+                        with open(os.path.join(at, name), "rb") as f:
+                            text = f.read()
+                        if text:
+                            rows.append((name, text, value))
+                            held += len(text)
+                        if held > TEXT_AT_ONCE:
+                            yield batch()
+                            rows, held = [], 0
+        if rows:
+            yield batch()
+    return run
+
+
+def _listed_by_tasks(spark: SparkSession, root: str, key: str) -> DataFrame:
+    """The files of ``read_text_documents``; one task reads the names of the folders, all tasks what is in them."""
+    ship_package(spark)
+    folders = spark.range(1, numPartitions=1).mapInArrow(_folder_lister(root, key), "folder string")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    read = folders.repartition(n, "folder").mapInArrow(_text_reader(root), "source string, text binary, value string")
+    return read.select("source", F.col("text").cast("string").alias("text"), F.col("value").alias(key))
+
+
 def _text_writer(root: str, key: str):
     """Writes the (key, text) rows of a task, sorted by key: a file per key, shown only when it is whole."""
     def run(batches):
@@ -111,14 +186,13 @@ def write_text_documents(docs: DataFrame, path: str, key: str, text: str) -> Non
     several file system commands for every file.  Any other path is left to Spark's writer.
     """
     spark = docs.sparkSession
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toUri()
-    if place.getScheme() != "file":
+    root = _shared_root(spark, path)
+    if root is None:
         docs.select(key, text).repartition(key).write.partitionBy(key).text(path)
         return
     ship_package(spark)
     rows = docs.select(F.nullif(F.col(key).cast("string"), F.lit("")).alias("k"), F.col(text).cast("binary").alias("t"))
-    written = rows.repartition("k").sortWithinPartitions("k").mapInArrow(_text_writer(place.getPath(), key), "files long")
+    written = rows.repartition("k").sortWithinPartitions("k").mapInArrow(_text_writer(root, key), "files long")
     written.agg(F.sum("files")).collect()  # one number
 
 

@@ -273,6 +273,28 @@ def test_one_text_file_per_key(spark, tmp_path):
     assert not [f for f in tmp_path.joinpath("mine").rglob("_part*")]
 
 
+@pytest.mark.parametrize("shared", [True, False])
+def test_text_files_listed_by_tasks(spark, tmp_path, monkeypatch, shared):
+    """With the key named no file list is held by the driver, and the files are those that Spark's reader finds."""
+    rows = [("a", "one"), ("a", "two"), ("b/c=d", "x\ny"), ("é%", "ü"), ("07", "seven"), (None, "none"), ("n", None), ("m", "")]
+    S.write_text_documents(spark.createDataFrame(rows, "key string, text string"), str(tmp_path), "key", "text")
+    (tmp_path / "key=raw").mkdir()
+    for name, held in (("one.txt", b"\xff bad \xc3"), ("_hidden", b"x"), (".crc", b"x"), ("empty.txt", b"")):
+        (tmp_path / "key=raw" / name).write_bytes(held)
+    (tmp_path / "other").mkdir()
+    monkeypatch.setattr(S, "TEXT_AT_ONCE", 4)
+    monkeypatch.setattr(S, "FOLDERS_AT_ONCE", 2)
+    if not shared:
+        monkeypatch.setattr(S, "_shared_root", lambda *_: None)
+    mine = S.read_text_documents(spark, str(tmp_path), "key")
+    assert ("FileScan" in mine._jdf.queryExecution().toString()) != shared and (mine.inputFiles() == []) == shared
+    plain = S.read_text_documents(spark, str(tmp_path))
+    assert mine.dtypes == [("source", "string"), ("text", "string"), ("key", "string")]
+    found = sorted(tuple(r) for r in mine.fillna("-", ["key"]).collect())
+    assert found == sorted(tuple(r) for r in plain.fillna("-", ["key"]).collect()) and len(found) == 8
+    assert ("part.txt", "seven\n", "07") in found
+
+
 def test_later_steps_read_the_cleaned_table(spark):
     """The cleaned frame is written once; the steps behind it do not clean again."""
     rows = [(i, float(i % 7), str(i % 5)) for i in range(60)]
